@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lm, mixing, pieces, pii, quality, secrets, topk, urls
+from . import jaccard, lm, mixing, pieces, pii, quality, secrets, tokenfiles, topk, urls
 from .common import table
 
 #: The tokenizer files. They are read on every executor.
@@ -67,6 +67,11 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenfiles.write_shards(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_MODEL), end_id=1)
+    return tokenfiles.read_shards(spark, path)
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
@@ -114,7 +119,7 @@ _OP5_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floo
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op8_jaccard_join, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:

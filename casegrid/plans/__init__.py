@@ -1 +1,3 @@
 """Registered queries over the driver's tables."""
+
+from . import retrieval  # noqa: F401

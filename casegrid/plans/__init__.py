@@ -1,3 +1,5 @@
 """Registered queries over the driver's tables."""
 
 from . import retrieval  # noqa: F401
+
+from . import scalars  # noqa: F401,E402

@@ -5,3 +5,5 @@ from . import retrieval  # noqa: F401
 from . import scalars  # noqa: F401,E402
 
 from . import rules  # noqa: F401,E402
+
+from . import corpus  # noqa: F401,E402

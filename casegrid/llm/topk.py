@@ -8,6 +8,7 @@ vectors that still compete. The best of each shard are merged.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -83,13 +84,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best of vectors for each of queries, both as quantised() gives.
 
     Rows with the query's own id are left out; ties go to the smaller id; with fewer than k others, all are given. Rows
-    that repeat an id are candidates each. Vectors of another dimension than the query's never meet it. Empty tables give
+    that repeat an id are candidates each; queries that repeat both id and vector are one, and with other vectors are
+    ranked each under their id. Vectors of another dimension than the query's never meet it. Empty tables give
     none. Shards and blocks are dealt to tasks pair by pair, a bounded number of vectors each; a task gives k rows a query.
     """
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
     packed = _packed(vectors, shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = _packed(queries, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    asked = _packed(queries.distinct(), blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     met = packed.hint("shuffle_hash").join(asked, ["shard", "block", "dim"])
 
     def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,10 +110,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                         at = np.flatnonzero(ids != who)
                         scores = np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in q.astype(object) @ lists[:, at]], object)
                     order = np.lexsort((ids[at], -scores.astype(np.float64)))[:k] if small else sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]
-                    yield pd.DataFrame({"query_id": who, "vec_id": ids[at][order], "score": scores[order].astype(np.int64)})
+                    number = int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "little", signed=True)
+                    yield pd.DataFrame({"query_id": who, "query_no": number, "vec_id": ids[at][order], "score": scores[order].astype(np.int64)})
 
-    local = met.mapInPandas(_gathered(search), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    local = met.mapInPandas(_gathered(search), "query_id long, query_no long, vec_id long, score long")
+    best = W.partitionBy("query_id", "query_no").orderBy(F.desc("score"), "vec_id")
     return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

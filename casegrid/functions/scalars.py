@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The calendar's first year, full-width digits, numerals.
 ERA_YEAR = 1911
@@ -103,13 +104,13 @@ def readable_ratio(c: Column, allowed: str) -> Column:
     return F.when(F.coalesce(F.length(c), F.lit(0)) == 0, 0.0).otherwise(1 - F.length(F.regexp_replace(c, f"[{allowed}]", "")) / F.length(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition, which Spark has no function for."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

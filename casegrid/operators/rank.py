@@ -153,13 +153,14 @@ def version_retention(versions: DataFrame, by: str, order: str, content: str, mo
 
 
 def list_page(cases: DataFrame, created: str, progress: Column, key: str, page: int, size: int = 20) -> DataFrame:
-    """One page of cases, newest first and then by progress; a page beyond the last is the last."""
-    total = cases.agg(F.count("*").alias("total"))
-    last = F.greatest(F.lit(1), F.ceil(F.col("total") / size))
-    paged = cases.withColumn("progress_order", progress).orderBy(F.desc(created), "progress_order", key).crossJoin(F.broadcast(total))
-    number = F.row_number().over(W.orderBy(F.desc(created), "progress_order", key))
-    shown = F.least(F.greatest(F.lit(page), F.lit(1)), last)
-    return paged.withColumns({"position": number, "page": shown.cast("int")}).where((F.col("position") > (F.col("page") - 1) * size) & (F.col("position") <= F.col("page") * size)).drop("total")
+    """One page of cases, newest first and then by progress; a page beyond the last is the last. Only the rows up to the
+    page's end are put in order, by a top-k; the window sees no more than those."""
+    last = max(1, -(-cases.count() // size))
+    page = min(max(page, 1), last)
+    order = [F.desc(created), F.col("progress_order"), F.col(key)]
+    head = cases.withColumn("progress_order", progress).orderBy(*order).limit(page * size)
+    numbered = head.withColumns({"position": F.row_number().over(W.orderBy(*order)), "page": F.lit(page)})
+    return numbered.where(F.col("position") > (page - 1) * size)
 
 
 def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: str) -> Column:

@@ -41,7 +41,7 @@ SAME_LAW = ["同法", "同條例", "同辦法", "同細則", "同準則"]
 
 def loose(word: str) -> str:
     """A pattern for a word that line breaks or spaces may part."""
-    return r"\s*".join(word)
+    return r"[\s　]*".join(word)
 
 
 def strip(c: Column) -> Column:
@@ -58,7 +58,7 @@ def decision_sections(c: Column, most_main: int = 200) -> Column:
     """struct(problem, main, facts, reasons) of a decision; problem is null where the borders are certain."""
     body = strip(F.regexp_extract(c, r"(?s)^(?:.*[全內]\s*文[：:])?(.*)$", 1))
     anchored = body.rlike(loose("決定如下"))
-    tail = F.when(anchored, F.regexp_extract(body, rf"(?s){loose('決定如下')}\s*[:：]?(.*)$", 1)).otherwise(body)
+    tail = F.when(anchored, F.regexp_extract(body, rf"(?s){loose('決定如下')}[\s　]*[:：]?(.*)$", 1)).otherwise(body)
     after = F.regexp_extract(tail, rf"(?s)^.{{0,298}}?{_MAIN}(.*)$", 1)
     has_main = tail.rlike(rf"(?s)^.{{0,298}}?{_MAIN}")
     main = strip(F.regexp_extract(after, f"(?s)^(.*?)(?:{_FACTS}|{_REASONS})", 1))

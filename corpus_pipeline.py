@@ -16,8 +16,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that n-gram Jaccard links connect stays: the one with the smallest doc_id."""
-    return jaccard.keep_one(docs)
+    """One document of each group stays, the one with the smallest doc_id; sets of five-word shingles with a Jaccard
+    similarity of 0.8 or more are linked."""
+    return jaccard.keep_one(docs, words=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,8 +51,8 @@ def test_held_out_copies_score_better_than_base(docs):
     assert r["score"] > r["base_score"]
 
 
-def components(rows):
-    sets = [(i, frozenset(zip(w, w[1:], w[2:])) if len(w) > 2 else frozenset([tuple(w)] if w else [])) for i, t, *_ in rows for w in [words(t)]]
+def components(rows, n=3, percent=90):
+    sets = [(i, frozenset(zip(*[w[k:] for k in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else [])) for i, t, *_ in rows for w in [words(t)]]
     parent = list(range(len(sets)))
 
     def find(x):
@@ -63,7 +63,7 @@ def components(rows):
     for x in range(len(sets)):
         for y in range(x):
             a, b = sets[x][1], sets[y][1]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 parent[find(x)] = find(y)
     least = {}
     for x, (i, s) in enumerate(sets):
@@ -90,8 +90,9 @@ def test_components_of_chains_and_dense_groups(spark):
                 core = w  # the group drifts, so its ends are linked through the middle only
             rows.append((len(rows), " ".join(w)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    got = jaccard.link_components(docs).select("doc_id", "n_shingles", "component_id").collect()
-    assert sorted(map(tuple, got)) == sorted(components(rows))
+    for words_, percent in ((3, 90), (5, 80)):
+        got = jaccard.link_components(docs, words=words_, percent=percent).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == sorted(components(rows, words_, percent))
 
 
 def test_orders_filter_but_lose_no_link():

@@ -18,6 +18,8 @@ from .common import map_texts, materialize
 
 #: Sources whose token counts the driver takes at most; more than that fail rather than overfill it.
 MOST_SOURCES = 1_000_000
+#: Sources whose budgets are broadcast at most; more are joined by a shuffle.
+BROADCAST_SOURCES = 100_000
 #: Documents in a block on average.
 BLOCK_DOCS = 256
 #: How often the most repeated source may be passed over.
@@ -102,7 +104,7 @@ def place(counted: DataFrame, budgets: DataFrame, seed: int = 0) -> DataFrame:
     blocks_of = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
     plan = budgets.withColumn("key", key).select("key", "tokens", "budget", blocks_of.alias("blocks"))
-    rows = counted.withColumn("key", key).join(F.broadcast(plan) if budgets.limit(100_001).count() <= 100_000 else plan, "key")
+    rows = counted.withColumn("key", key).join(F.broadcast(plan) if budgets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan, "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), F.col("blocks")))
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1)
     rows = rows.withColumns({"full": full, "left": F.col("budget") - full * F.col("tokens")})
@@ -154,6 +156,7 @@ def repeat_documents(docs: DataFrame, source_col: str = "source", text_col: str
     sizes = materialize(count_tokens(named, ["source"]).groupBy("source").agg(F.sum("n_tokens_").alias("tokens")), "mixing-sources")
     found = [(s, budget / t if t else 1.0) for s, t, _, budget in source_budgets(sizes, most_passes)]
     plan = docs.sparkSession.createDataFrame(found, "m_source_ string, m_passes_ double")
+    plan = F.broadcast(plan) if len(found) <= BROADCAST_SOURCES else plan
     share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     joined = docs.join(plan, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("m_source_")), "left")
     times = F.floor(F.col("m_passes_")) + F.when(share < F.col("m_passes_") - F.floor(F.col("m_passes_")), 1).otherwise(0)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The patterns of the base kinds, in the order in which they are listed.
 #: Kind, pattern, group whose length is judged, characters that it needs.
 BASE_RULES = [
@@ -78,8 +80,9 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     table gives none. Append the second table to the ledger to make the next run incremental: contents that it holds
     under this rule_version aren't scanned again; under another one they are.
 
-    One shuffle carries the distinct texts of each input split to the scan; paths and findings meet by blob, where only
-    blobs with findings take part.
+    One shuffle carries the distinct texts of each input split to the scan, whose findings are written before paths meet
+    them. Only blobs with findings take part there, and a blob that very many paths share can be split by Spark, as its
+    finding is one row.
     """
     paths = versions.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     paths = paths.withColumn("blob", F.sha2("text", 256))
@@ -87,7 +90,7 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == rule_version)
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
-    new = scan_blobs(unseen.dropDuplicates(["blob"]), rule_version)
+    new = materialize(scan_blobs(unseen.dropDuplicates(["blob"]), rule_version), "secret-findings")
     all_found = new if ledger is None else new.unionByName(known.select("blob", "rule_version", "spans"))
     hits = all_found.where(F.size("spans") > 0).select("blob", "spans")
     found = paths.select("id", "blob").join(hits, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))

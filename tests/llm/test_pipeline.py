@@ -35,3 +35,15 @@ def test_clean_labelled_documents_stay(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "ids", "begins", "ends"} <= set(out.columns) and out.count() > 100
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark, docs, no_docs):
+    for table in (docs, no_docs):
+        rows = table
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, rows, SF)
+            assert name == "encode" or rows.columns == table.columns, name
+            rows = rows.cache()
+            assert rows.count() >= 0
+    first = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert first.count() < docs.count()

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lookup import exact_key_lookup
+from .rank import vector_topk
+
 
 def hashing_embedder(texts: list[str], dim: int = 64) -> list[list[float]]:
     """Unit vectors of hashed words: deterministic, for tests and as a default."""
@@ -44,8 +49,6 @@ def rerank_with(candidates: DataFrame, by: str, rank: Callable[[pd.DataFrame], l
     """(by, id, ext): an external order of candidates (by, id, pos, query, text). rank takes one query's rows and gives ids
     in its order; without it lexical overlap decides, in plain columns."""
     if rank is None:
-        from pyspark.sql import Window as W
-
         scored = candidates.withColumn("s", lexical_overlap(F.col("query"), F.col("text")))
         return scored.select(by, "id", F.row_number().over(W.partitionBy(by).orderBy(F.desc("s"), "pos")).alias("ext"))
 
@@ -55,3 +58,26 @@ def rerank_with(candidates: DataFrame, by: str, rank: Callable[[pd.DataFrame], l
 
     kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
     return candidates.groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, id {kinds['id']}, ext int")
+
+
+class Provider(Protocol):
+    """What a retrieval back end offers, as functions of tables: any object with these methods can stand in."""
+
+    def similar(self, queries: DataFrame, k: int) -> DataFrame:
+        """(query_id, id, score, rank) for queries (query_id, query_vec)."""
+
+    def articles(self, requests: DataFrame) -> DataFrame:
+        """(by, pos, key, text, found) for requests (by, keys)."""
+
+
+class TableProvider:
+    """A provider over plain tables: chunks (id, vec) and articles (key, text)."""
+
+    def __init__(self, chunks: DataFrame, articles: DataFrame) -> None:
+        self._chunks, self._articles = chunks, articles
+
+    def similar(self, queries: DataFrame, k: int) -> DataFrame:
+        return vector_topk(queries, self._chunks, k)
+
+    def articles(self, requests: DataFrame) -> DataFrame:
+        return exact_key_lookup(requests, "by", "keys", self._articles, "key", "text")

@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from .common import WordHashes, lower_words, mix
 from .keyed import exchange, in_chunks, sizes
 
-#: Weight of the words' own distribution in a context, in observations.
-MU = 20.0
+#: Weight of the words' own distribution in a context, in observations. Of 1 to 1000 it gives the held-out texts of the
+#: 10,000 documents of the bench tables the highest probability: log10 -3.72 a token, against -4.19 for single words.
+MU = 300.0
 #: No word is a space, so its hash can stand for the end of a text, which is also the state in which texts begin.
 END = xxhash.xxh64_intdigest(b" ")
 

@@ -47,10 +47,16 @@ def test_each_state_sums_to_one():
 
 
 def test_held_out_copies_score_better_than_base(docs):
-    r = lm.score_texts(docs, held_out=F.col("doc_id") == 9).where("held_out").collect()[0]
+    r = lm.score_texts(docs, held_out=F.col("doc_id") == 9, mu=5.0).where("held_out").collect()[0]
     assert r["score"] > r["base_score"]
 
 
+def test_held_out_text_is_likelier_than_under_single_words(spark):
+    scored = lm.score_texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out")
+    row = scored.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert row["score"] > row["base"]
+
+
 def components(rows, n=3, percent=90):
     sets = [(i, frozenset(zip(*[w[k:] for k in range(n)])) if len(w) >= n else frozenset([tuple(w)] if w else [])) for i, t, *_ in rows for w in [words(t)]]
     parent = list(range(len(sets)))

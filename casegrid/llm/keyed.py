@@ -2,7 +2,7 @@
 
 Chunks ask for the keys that they hold, each key once, and bring their own counts; the keys are parted by range and each
 part adds up what the chunks brought and answers every chunk in the order in which it asked. Keys travel as packed
-arrays, so a key that all documents share crosses once for each chunk, and no part gathers more than its range of keys.
+arrays of gaps, so a key that all documents share crosses once for each chunk, and no part gathers more than its range of keys.
 """
 
 from __future__ import annotations
@@ -16,12 +16,24 @@ from pyspark.sql import functions as F
 
 from .common import text_volume
 
-#: Characters of text for each chunk, and for each part of the keys.
+#: Characters of text for each chunk, and for each part of the keys: what a Python worker of some 400 MB holds. There is a
+#: row for each chunk and part, of some 100 bytes besides its keys, so at these sizes rows cost less than keys up to
+#: 0.7 TB of text. Larger executors should raise both: with 64 and 200 million that point is beyond 150 TB.
 CHUNK_CHARS, PART_CHARS = 4_000_000, 12_000_000
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("answer", pa.binary())])
 
 
+def pack(x: np.ndarray) -> bytes:
+    """64-bit integers as planes of bytes, lowest first: the planes of high bytes, mostly zero, nearly vanish when Spark
+    compresses a shuffle block."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack(data: pa.BinaryScalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
 def sizes(texts: DataFrame, column: str = "text") -> tuple[int, int]:
     """(chunks, parts) for the texts."""
     volume = text_volume(texts, column)
@@ -41,25 +53,24 @@ def exchange(chunked: DataFrame, parts: int, ask: Callable[[pa.Table], tuple[np.
         keys, counts = ask(rows)
         number = rows["chunk"][0].as_py()
         edge = np.searchsorted(keys, np.array([(i << 64) // parts for i in range(parts)], np.uint64)).tolist() + [len(keys)]
-        counts = counts.astype(np.uint32)
         cut = [(edge[i], edge[i + 1]) for i in range(parts)]
-        return pa.table([list(range(parts)), [number] * parts, [keys[a:b].tobytes() for a, b in cut], [counts[a:b].tobytes() for a, b in cut]], schema=_ASK)
+        return pa.table([list(range(parts)), [number] * parts, [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cut], [pack(counts[a:b]) for a, b in cut]], schema=_ASK)
 
     def answering(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows["keys"]]
-        counts = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows["counts"]]
+        keys = [np.cumsum(unpack(x)) for x in rows["keys"]]
+        counts = [unpack(x) for x in rows["counts"]]
         all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(all_keys)).astype(np.uint64)
         head = np.array([total.sum(), np.count_nonzero(total), np.count_nonzero(total[all_keys & np.uint64(1) == 0])], np.uint64)
         edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        answers = [np.concatenate([head, total[at[edge[i] : edge[i + 1]]]]).tobytes() for i in range(len(keys))]
+        answers = [pack(np.concatenate([head, total[at[edge[i] : edge[i + 1]]]])) for i in range(len(keys))]
         return pa.table([rows["chunk"], rows["part"], answers], schema=_ANSWER)
 
     def using(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             raise ValueError("an answer without its chunk")
         ordered = answers.sort_by("part")
-        got = [np.frombuffer(x.as_buffer(), np.uint64) for x in ordered["answer"]]
+        got = [unpack(x) for x in ordered["answer"]]
         return use(rows, np.concatenate([g[3:] for g in got]), np.sum([g[:3] for g in got], axis=0))
 
     asks = chunked.groupBy("chunk").applyInArrow(asking, "part int, chunk int, keys binary, counts binary")

@@ -41,9 +41,10 @@ _WORDS = re.compile(rf"[^{_WHITE}]+")
 class WordEncoder:
     """Ids of texts under a word-level tokenizer file; units that come again are kept, up to a bound.
 
-    Only for tokenizers that drop white space and part letters from other characters, which is checked. Where a text has
-    an apostrophe, which joins letters to it, or a capital I with a dot, whose lower case has a mark after the letter, or an added token's string, or isn't in the normal form that the tokenizer
-    brings it to, units are its words.
+    Only for tokenizers that lower-case, drop white space and part letters from other characters, which is checked. Where
+    a text has an apostrophe, which joins letters to it, a capital I with a dot or a capital sigma, whose lower case isn't
+    one letter for one, or an added token's string, or isn't in the normal form that the tokenizer brings it to, units are
+    its words as they are.
     """
 
     #: Units kept at most. When there are more, long ones go, which are rarer, and all if that isn't enough.
@@ -57,6 +58,17 @@ class WordEncoder:
         probe = "Ab c,d 1é\n\t x"
         parts = [self._library([p])[0] for p in ("Ab", "c", ",", "d", "1", "é", "x")]
         self.parted = np.array_equal(self._library([probe])[0], np.concatenate(parts))
+        # Letters reach the library's model as the byte-level alphabet spells their bytes: printable characters stand for
+        # themselves, and the other bytes for the characters from 256 on.
+        plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
+        self.alphabet = {b: b if b in plain else 256 + b - sum(p < b for p in plain) for b in range(256)}
+        words = ["straße", "école", "año"]
+        self.direct = all(np.array_equal(self._model(w), x) for w, x in zip(words, self._library(words), strict=True))
+
+    def _model(self, word: str) -> np.ndarray:
+        """Ids of a word of lower-case letters, from the library's model without the steps that change nothing in it."""
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -64,17 +76,20 @@ class WordEncoder:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.parted:
             return self._library(texts)
-        units = [(_UNITS if self._plain(t) else _WORDS).findall(t) for t in texts]
+        units = [_UNITS.findall(t.lower()) if self._plain(t) else _WORDS.findall(t) for t in texts]
         if len(self.kept) > self.KEPT:
             self.kept = {u: x for u, x in self.kept.items() if len(u) <= self.SHORT}
             if len(self.kept) > self.KEPT // 2:
                 self.kept = {}
-        if new := list(set().union(*units).difference(self.kept)):
-            self.kept.update(zip(new, (x.tobytes() for x in self._library(new)), strict=True))
+        if new := set().union(*units).difference(self.kept):
+            letters = [u for u in new if self.direct and u.isalpha() and u.islower() and max(u) < "\u0250"]
+            self.kept.update((u, self._model(u).tobytes()) for u in letters)
+            if rest := list(new.difference(letters)):
+                self.kept.update(zip(rest, (x.tobytes() for x in self._library(rest)), strict=True))
         return [np.frombuffer(b"".join(map(self.kept.__getitem__, u)), np.uint32) for u in units]
 
     def _plain(self, text: str) -> bool:
-        return "'" not in text and "\u0130" not in text and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
+        return not any(c in text for c in "'\u0130\u03a3") and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
 
 
 @functools.lru_cache(maxsize=1)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casegrid.functions import scalars as s
@@ -257,13 +256,11 @@ def any_role_flag(spark, d):
     return a.read(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("has_role"))
 
 
-@query(r"""WITH x AS (SELECT conv_id, turn, substr(text, 1, 120) || ' 12/05/2024' AS r, replace(substr(text, 1, 120), 'e', 'x') || CASE WHEN turn % 2 = 0 THEN ' 12/05/2024' ELSE '' END AS g FROM conversations), b AS (SELECT *, regexp_replace(r, '\s+', '', 'g') AS rb, regexp_replace(g, '\s+', '', 'g') AS gb FROM x)
-SELECT conv_id * 100 + turn AS k, levenshtein(rb, gb)::INT AS edits, length(rb)::INT AS length, levenshtein(rb, gb) / length(rb) AS rate, 1 AS dates, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS found FROM b WHERE length(regexp_replace(r, '[\x00-\x7F]', '', 'g')) = 0""")
+@query(r"""WITH x AS (SELECT conv_id, turn, text || ' 12/05/2024' AS r, replace(text, 'e', 'x') || CASE WHEN turn % 2 = 0 THEN ' 12/05/2024' ELSE '' END AS g FROM conversations), b AS (SELECT *, regexp_replace(r, '\s+', '', 'g') AS rb, regexp_replace(g, '\s+', '', 'g') AS gb FROM x)
+SELECT conv_id * 100 + turn AS k, levenshtein(rb, gb)::INT AS edits, length(rb)::INT AS length, levenshtein(rb, gb) / length(rb) AS rate, 1 AS dates, CASE WHEN turn % 2 = 0 THEN 1 ELSE 0 END AS found FROM b""")
 def text_error_rates(spark, d):
-    head = F.substring("text", 1, 120)
     day = F.lit(" 12/05/2024")
-    rows = a.read(spark, d, "conversations").where(F.length(F.regexp_replace(head, r"[\x00-\x7F]", "")) == 0)
-    rows = rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.concat(head, day).alias("r"), F.concat(F.replace(head, F.lit("e"), F.lit("x")), F.when(F.col("turn") % 2 == 0, day).otherwise("")).alias("g"))
+    rows = a.read(spark, d, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("k"), F.concat("text", day).alias("r"), F.concat(F.replace("text", F.lit("e"), F.lit("x")), F.when(F.col("turn") % 2 == 0, day).otherwise("")).alias("g"))
     return k.text_error_rates(rows, "k", "r", "g", "[0-9]{2}/[0-9]{2}/[0-9]{4}")
 
 

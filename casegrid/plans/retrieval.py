@@ -46,13 +46,13 @@ def metadata_filter(spark, d):
     return a.read(spark, d, "embeddings").where(rank.metadata_filter(spec)).select("vec_id", "label")
 
 
-@query(with_("scored") + """, t AS (SELECT *, CASE WHEN kind = query_id AND score > 0.25 THEN 0 WHEN kind = query_id THEN 1 ELSE 2 END AS tier FROM scored),
+@query(with_("scored") + """, t AS (SELECT *, CASE WHEN kind = query_id // 100 % 12 AND score > 0.25 THEN 0 WHEN kind = query_id // 100 % 12 THEN 1 ELSE 2 END AS tier FROM scored),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE tier = best)
 SELECT query_id, id, score, tier, rank FROM r WHERE rank <= 15""")
 def fallback_tiers(spark, d):
     corpus, asked = a.chunk_vectors(spark, d), a.query_vectors(spark, d)
     hits = corpus.join(rank.small(asked), F.col("id") != F.col("query_id")).withColumn("score", F.round(rank.cosine(F.col("vec"), F.col("query_vec")), 6))
-    same = F.col("kind") == F.col("query_id")
+    same = F.col("kind") == F.floor(F.col("query_id") / 100) % 12
     tagged = rank.fallback_tiers(hits.select("query_id", "id", "kind", "score"), [same & (F.col("score") > 0.25), same, None], ["query_id"])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return tagged.withColumn("rank", F.row_number().over(order)).where("rank <= 15").select("query_id", "id", "score", "tier", "rank")
@@ -85,12 +85,12 @@ def per_kind_topk(spark, d):
     return rank.per_kind_topk(hits, "kind", ["query_id"], 3, "entity").select("query_id", "kind", "entity", "id", "score", "rank")
 
 
-@query(with_("scored", "legs", "entities", "fused") + """, e AS (SELECT query_id, entity AS id, rank AS pos FROM fused), x AS (SELECT query_id, id, min(ext) AS ext FROM (SELECT query_id, id, (id * 7919) % 101 AS ext FROM e WHERE id % 2 = 0 AND query_id < 8) GROUP BY 1, 2)
+@query(with_("scored", "legs", "entities", "fused") + """, e AS (SELECT query_id, entity AS id, rank AS pos FROM fused), x AS (SELECT query_id, id, min(ext) AS ext FROM (SELECT query_id, id, (id * 7919) % 101 AS ext FROM e WHERE id % 2 = 0 AND query_id % 300 > 0) GROUP BY 1, 2)
 SELECT query_id, id, rank, reranked FROM (SELECT e.query_id, e.id, row_number() OVER (PARTITION BY e.query_id ORDER BY ext NULLS LAST, pos) AS rank, coalesce(bool_or(ext IS NOT NULL) OVER (PARTITION BY e.query_id), false) AS reranked
   FROM e LEFT JOIN x ON e.query_id = x.query_id AND e.id = x.id) WHERE rank <= 5""")
 def rerank_merge(spark, d):
     candidates = rrf_fuse(spark, d).select("query_id", F.col("entity").alias("id"), F.col("rank").alias("pos"))
-    ext = candidates.where("id % 2 = 0 AND query_id < 8").select("query_id", "id", ((F.col("id") * 7919) % 101).alias("ext"))
+    ext = candidates.where("id % 2 = 0 AND query_id % 300 > 0").select("query_id", "id", ((F.col("id") * 7919) % 101).alias("ext"))
     return rank.rerank_merge(candidates, ext.unionByName(ext), ["query_id"], 5)
 
 

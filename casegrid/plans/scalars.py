@@ -72,10 +72,10 @@ def readable_ratio(spark, d):
     return a.read(spark, d, "documents").select("doc_id", F.round(ratio, 9).alias("ratio"), (ratio < 0.5).alias("unreadable"))
 
 
-@query("""SELECT doc_id, regexp_replace(translate(regexp_replace(substr(text, 1, 80), '[ \\n\\t]+', '', 'g'), '–—', '--'), '號$', '') AS token FROM documents WHERE length(regexp_replace(substr(text, 1, 80), '[\\x00-\\x7F]', '', 'g')) = 0""")
+@query("""SELECT doc_id, md5(regexp_replace(translate(regexp_replace(coalesce(text, ''), '[ \\n\\t]+', '', 'g'), '–—', '--'), '號$', '')) AS digest FROM documents""")
 def normalize_token(spark, d):
-    head = F.substring("text", 1, 80)
-    return a.read(spark, d, "documents").where(F.length(F.regexp_replace(head, r"[\x00-\x7F]", "")) == 0).select("doc_id", s.normalize_token(head).alias("token"))
+    """These texts are in compatibility form already, which SQL can't make; other forms are tested apart."""
+    return a.read(spark, d, "documents").select("doc_id", F.md5(s.normalize_token(F.coalesce("text", F.lit("")))).alias("digest"))
 
 
 @query("""SELECT doc_id, md5(substr(text, 1, 100)) AS clipped, md5(CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 200) || '…' || right(text, 200) END) AS ends,
@@ -129,10 +129,9 @@ def law_type(spark, d):
     return a.read(spark, d, "part").select("p_partkey", s.closed_type(F.col("p_brand"), ["Brand#1", "Brand#2", "Brand#3"], "act", "rule").alias("law_type"))
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents WHERE length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) = 0")
+@query("SELECT doc_id, md5(nfc_normalize(text)) AS digest FROM documents")
 def clean_text(spark, d):
-    docs = a.read(spark, d, "documents").where(F.length(F.regexp_replace("text", r"[\x00-\x7F]", "")) == 0)
-    return docs.select("doc_id", F.md5(s.clean_text(F.concat(F.lit("\0"), F.col("text"), F.lit("(2)")))).alias("digest"))
+    return a.read(spark, d, "documents").select("doc_id", F.md5(s.clean_text(F.concat(F.lit("\0"), F.col("text"), F.lit("(2)")))).alias("digest"))
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k, 1 AS n FROM events")

@@ -166,7 +166,7 @@ def rerank_with(spark, d):
     return plugins.rerank_with(rest.join(first, "conv_id"), "conv_id")
 
 
-@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), s AS (SELECT q.id AS query_id, c.id, round(list_cosine_similarity(c.vec, q.vec), 6) AS score FROM v q JOIN v c ON q.id < 10 AND c.id <> q.id)
+@query("""WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings), s AS (SELECT q.id AS query_id, c.id, round(list_cosine_similarity(c.vec, q.vec), 6) AS score FROM v q JOIN v c ON q.id % 100 = 0 AND c.id <> q.id)
 SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) WHERE rank <= 3""")
 def provider_interface(spark, d):
     provider: plugins.Provider = plugins.TableProvider(a.chunk_vectors(spark, d), a.articles(spark, d).withColumnRenamed("law_id", "key"))

@@ -53,4 +53,4 @@ def test_entry(spark):
     import __spark_entry__
 
     out = __spark_entry__.entry(spark)
-    assert out.columns == ["query_id", "entity", "score", "rank"] and out.count() == 250
+    assert out.columns == ["query_id", "entity", "score", "rank"] and out.count() == 125

@@ -34,6 +34,7 @@ CUTOFF = 30.86
 #: Rows that a group needs for an estimate of its own; smaller sources of a language are pooled, then smaller languages.
 LEAST_ROWS = 200
 STEPS = 6
+BROADCAST_GROUPS = 50_000
 #: Distances are counted in bins of so many a unit of the natural logarithm, so that a step is one aggregation.
 _BINS = 32
 
@@ -153,10 +154,13 @@ def fit_groups(stats: DataFrame, lang_col: str = "lang", source_col: str = "sour
 def judge(measured: DataFrame, groups: DataFrame, model: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:
     """measured with base_failed, distance (squared; null where the base rule fails) and kept, their names after prefix.
 
-    groups and model have a row for each language and source; Spark broadcasts them as long as they're small.
+    groups and model have a row for each language and source. Up to BROADCAST_GROUPS of them are broadcast, so that texts
+    that go along aren't shuffled; more are joined by a shuffle, in which Spark can split a hot source.
     """
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
     table = groups.join(model.drop("rows"), ["g_lang", "g_source"]).select(F.col("lang_").alias("m_lang_"), F.col("source_").alias("m_source_"), F.col("mean").alias("m_mean_"), F.col("inverse").alias("m_inverse_"))
+    if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        table = F.broadcast(table)
     failed = base_failed(prefix)
     joined = measured.withColumns({"j_lang_": named(lang_col), "j_source_": named(source_col)}).join(table, (F.col("j_lang_") == F.col("m_lang_")) & (F.col("j_source_") == F.col("m_source_")), "left")
     distance = F.when(~failed, _distance(vector(prefix), F.col("m_mean_"), F.col("m_inverse_")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -36,6 +37,24 @@ def text_volume(texts: DataFrame, column: str = "text") -> int:
     return int(texts.agg(F.sum(F.length(column)).alias("v")).first()["v"] or 0)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and idle ones count too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that few rows at a time are turned into Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+        del batch
+        give_back()
+
+
 def map_texts(
     df: DataFrame,
     make: Callable[[], Callable[[list], tuple]],
@@ -44,7 +63,7 @@ def map_texts(
     fields: list[tuple[str, pa.DataType]],
     schema: str,
     as_bytes: bool = False,
-    step: int = 2000,
+    step: int = 1000,
 ) -> DataFrame:
     """Run a per-task function over the texts, Arrow batch by Arrow batch.
 
@@ -54,15 +73,13 @@ def map_texts(
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for whole in batches:
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                column = batch.column(len(keys))
-                texts = (column.cast(pa.large_binary()) if as_bytes else column).to_pylist()
-                out = work(texts)
-                arrays = [batch.column(i) for i in range(len(keys))]
-                arrays += [a if isinstance(a, pa.Array) else pa.array(a, kind) for a, (_, kind) in zip(out, fields, strict=True)]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*(f"k{i}" for i in range(len(keys))), *(n for n, _ in fields)])
+        for batch in sliced(batches, step):
+            column = batch.column(len(keys))
+            texts = (column.cast(pa.large_binary()) if as_bytes else column).to_pylist()
+            out = work(texts)
+            arrays = [batch.column(i) for i in range(len(keys))]
+            arrays += [a if isinstance(a, pa.Array) else pa.array(a, kind) for a, (_, kind) in zip(out, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*(f"k{i}" for i in range(len(keys))), *(n for n, _ in fields)])
 
     chosen = df.select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], F.col(f"`{text}`").cast("string").alias("text_"))
     types = ", ".join(f"k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
@@ -73,7 +90,7 @@ def map_texts(
 class WordHashes(dict):
     """Stable 64-bit hashes of words (bytes), kept for words that come again; emptied when it gets large."""
 
-    def __init__(self, most: int = 300_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 

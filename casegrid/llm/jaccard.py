@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lower_words, map_texts, materialize, mix
+from .common import WordHashes, lower_words, map_texts, materialize, mix, sliced
 from .keyed import exchange, in_chunks, sizes
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 3, 90
+#: A word's hash counts in a shingle with this multiplier's power for its place.
+SPREAD = 0x9E3779B97F4A7C15
 #: Multipliers of the orders' hashes. The first order ranks by exact frequency, the others by its power of two.
 ORDERS = [1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -35,10 +37,13 @@ def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.n
         return np.empty(0, np.uint64)
     h = hashes.of(found)
     width = min(words, len(h))
-    key = mix(h[: len(h) - width + 1] + np.uint64(width))
-    for k in range(1, width):
-        key = mix(key * np.uint64(3) + h[k : len(h) - width + 1 + k])
-    return np.unique(key)
+    n = len(h) - width + 1
+    key = np.full(n, width, np.uint64)
+    for k in range(width):
+        key += h[k : k + n] * np.uint64(pow(SPREAD, k + 1, 1 << 64))
+    key = mix(key)
+    key.sort()
+    return key[np.concatenate([[True], key[1:] != key[:-1]])]
 
 
 def digest(tokens: np.ndarray) -> bytes | None:
@@ -80,7 +85,7 @@ def _distinct_texts(docs: DataFrame, text: str, words: int, least: int) -> DataF
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = WordHashes(), set()
-        for batch in batches:
+        for batch in sliced(batches):
             keep, names = [], []
             for i, t in enumerate(batch.column(0).cast(pa.large_binary()).to_pylist()):
                 tokens = shingles(t, hashes, words)
@@ -220,7 +225,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that link. sets: (member, size, heads, tokens). Heads are met first; only pairs that pass get whole sets."""
 
     def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 200):
             keep = []
             for i, (n, m, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
                 p, q = prefix_length(n, percent), prefix_length(m, percent)
@@ -235,7 +240,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
     def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 200):
             keep = []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_volume
+from .common import give_back, text_volume
 
 #: Characters of text for each chunk, and for each part of the keys: what a Python worker of some 400 MB holds. There is a
 #: row for each chunk and part, of some 100 bytes besides its keys, so at these sizes rows cost less than keys up to
-#: 0.7 TB of text. Larger executors should raise both: with 64 and 200 million that point is beyond 150 TB.
-CHUNK_CHARS, PART_CHARS = 4_000_000, 12_000_000
+#: 0.4 TB of text. Larger executors should raise both: with 64 and 200 million that point is beyond 150 TB.
+CHUNK_CHARS, PART_CHARS = 3_000_000, 9_000_000
 _ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("answer", pa.binary())])
 
@@ -50,6 +50,7 @@ def exchange(chunked: DataFrame, parts: int, ask: Callable[[pa.Table], tuple[np.
     """
 
     def asking(rows: pa.Table) -> pa.Table:
+        give_back()
         keys, counts = ask(rows)
         number = rows["chunk"][0].as_py()
         edge = np.searchsorted(keys, np.array([(i << 64) // parts for i in range(parts)], np.uint64)).tolist() + [len(keys)]
@@ -57,6 +58,7 @@ def exchange(chunked: DataFrame, parts: int, ask: Callable[[pa.Table], tuple[np.
         return pa.table([list(range(parts)), [number] * parts, [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cut], [pack(counts[a:b]) for a, b in cut]], schema=_ASK)
 
     def answering(rows: pa.Table) -> pa.Table:
+        give_back()
         keys = [np.cumsum(unpack(x)) for x in rows["keys"]]
         counts = [unpack(x) for x in rows["counts"]]
         all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -67,6 +69,7 @@ def exchange(chunked: DataFrame, parts: int, ask: Callable[[pa.Table], tuple[np.
         return pa.table([rows["chunk"], rows["part"], answers], schema=_ANSWER)
 
     def using(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        give_back()
         if not rows.num_rows:
             raise ValueError("an answer without its chunk")
         ordered = answers.sort_by("part")

@@ -201,17 +201,18 @@ def valid_citations(keys: Column) -> Column:
     return F.filter(keys, lambda x: x.rlike("^[^#]+#[0-9]+(-[0-9]+)?$"))
 
 
-#: The rules of the safety screen. Name and pattern; digit guards keep parts of longer numbers out.
+#: The nine rules of the safety screen. Name and pattern. Digits are those of any script, a dot stops at a
+#: line feed only, and digit guards keep parts of longer numbers out. An address starts where its run of characters does.
 SCREENING_RULES = {
-    "id_number": r"(?<![A-Za-z0-9])[A-Z][12][0-9]{8}(?![0-9])",
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "mobile": r"(?<![0-9])09[0-9]{2}-?[0-9]{3}-?[0-9]{3}(?![0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}[ -]?){3}[0-9]{4}(?![0-9])",
-    "account": r"(?:帳號|帳戶)\D{0,6}[0-9]{8,16}",
-    "address": r"[0-9]+巷[0-9]+弄|[0-9]+號[0-9]+樓",
-    "medical": r"病歷|診斷證明|身心障礙",
-    "identity": r"未成年|性侵害|家庭暴力被害",
-    "injected": r"(?i)ignore (?:all |previous )+instructions|<script",
+    "id_number": r"(?<![A-Za-z0-9])[A-Z][12]\p{Nd}{8}(?!\p{Nd})",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "mobile": r"(?<!\p{Nd})09\p{Nd}{2}[- ]?\p{Nd}{3}[- ]?\p{Nd}{3}(?!\p{Nd})",
+    "card": r"(?<!\p{Nd})(?:\p{Nd}[ -]?){13,19}(?!\p{Nd})",
+    "account": r"(?d)(?:銀行帳號|金融帳號|信用卡號|存摺帳號|付款帳號).{0,24}\p{Nd}{5,}",
+    "address": r"(?U)(?:戶籍地址|居住地址|通訊地址|住址)[\s\x1c-\x1f]*[：:]",
+    "medical": r"病歷|診斷證明|身心障礙|精神疾病|罹患|住院|就醫|醫院診療",
+    "identity": r"(?d)(?:身分證字號|國民身分證|統一編號).{0,24}[A-Z0-9]{6,}",
+    "injected": r"(?iu)<script(?![\p{L}\p{N}_])|javascript:|ignore previous instructions|忽略先前指示",
 }
 
 

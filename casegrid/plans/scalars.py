@@ -188,10 +188,25 @@ def index_role_filter(spark, d):
 
 @query(r"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') THEN 'email' END, CASE WHEN regexp_matches(text, '(?i)ignore (?:all |previous )+instructions|<script') THEN 'injected' END], lambda x: x IS NOT NULL) AS findings FROM documents""")
 def content_safety_screen(spark, d):
-    rules = {k: v for k, v in s.SCREENING_RULES.items() if k in ("email", "injected")}
+    """Two rules of its own; content_safety_screen_all has all nine."""
+    rules = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "injected": r"(?i)ignore (?:all |previous )+instructions|<script"}
     return a.read(spark, d, "documents").select("doc_id", s.screening_findings(F.col("text"), rules).alias("findings"))
 
 
+@query(r"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '(?:^|[^A-Za-z0-9])[A-Z][12]\p{Nd}{8}(?:\P{Nd}|$)') THEN 'id_number' END,
+  CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') THEN 'email' END,
+  CASE WHEN regexp_matches(text, '(?:^|\P{Nd})09\p{Nd}{2}[- ]?\p{Nd}{3}[- ]?\p{Nd}{3}(?:\P{Nd}|$)') THEN 'mobile' END,
+  CASE WHEN regexp_matches(text, '(?:^|\P{Nd})(?:\p{Nd}[ -]?){13,19}(?:\P{Nd}|$)') THEN 'card' END,
+  CASE WHEN regexp_matches(text, '(?:銀行帳號|金融帳號|信用卡號|存摺帳號|付款帳號)[^\n]{0,24}\p{Nd}{5,}') THEN 'account' END,
+  CASE WHEN regexp_matches(text, '(?:戶籍地址|居住地址|通訊地址|住址)[\s\x0b\x1c-\x1f\x{85}\p{Z}]*[：:]') THEN 'address' END,
+  CASE WHEN regexp_matches(text, '病歷|診斷證明|身心障礙|精神疾病|罹患|住院|就醫|醫院診療') THEN 'medical' END,
+  CASE WHEN regexp_matches(text, '(?:身分證字號|國民身分證|統一編號)[^\n]{0,24}[A-Z0-9]{6,}') THEN 'identity' END,
+  CASE WHEN regexp_matches(text, '(?i)<script(?:[^\p{L}\p{N}_]|$)|javascript:|ignore previous instructions|忽略先前指示') THEN 'injected' END], lambda x: x IS NOT NULL) AS findings FROM documents""")
+def content_safety_screen_all(spark, d):
+    """All nine rules. Its SQL has a character or an end where the patterns look around, which finds the same texts."""
+    return a.read(spark, d, "documents").select("doc_id", s.screening_findings(F.col("text")).alias("findings"))
+
+
 @query("""SELECT o.l_orderkey, list(l_partkey || '#' || CASE l_linenumber % 3 WHEN 0 THEN '12' WHEN 1 THEN '40-1' ELSE 'x' END ORDER BY l_linenumber, l_partkey) FILTER (l_linenumber % 3 < 2) AS keys FROM lineitem o GROUP BY 1 HAVING count(*) FILTER (l_linenumber % 3 < 2) > 0""")
 def valid_citation_filter(spark, d):
     tail = F.when(F.col("l_linenumber") % 3 == 0, "12").when(F.col("l_linenumber") % 3 == 1, "40-1").otherwise("x")

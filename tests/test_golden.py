@@ -1,6 +1,7 @@
 """Fixed cases: dates, deadlines, notices, records and layouts of decisions."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -252,3 +253,35 @@ def test_upsert_twice_changes_nothing(spark):
 def test_notes_of_a_district(spark):
     got = one(spark, segment.districts_from_note, "臺中市（一）：中區、東區，西區。臺中市（二）：和平區。")
     assert got == {"臺中市（一）": ["中區", "東區", "西區"], "臺中市（二）": ["和平區"]}
+
+
+#: The nine rules as Python has them, each with texts that break it and texts that nearly do.
+SCREENED = {
+    "id_number": (r"(?<![A-Za-z0-9])[A-Z][12]\d{8}(?!\d)", ["證A123456789。", "B298765432"], ["xA123456789", "A1234567890", "A323456789"]),
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", ["at a.b+1@mail.example.com,", "..x@y.zz"], ["a@b", "a@b.1", "@b.cc"]),
+    "mobile": (r"(?<!\d)09\d{2}[- ]?\d{3}[- ]?\d{3}(?!\d)", ["0912345678", "tel 0912 345-678."], ["10912345678", "09123456789"]),
+    "card": (r"(?<!\d)(?:\d[ -]?){13,19}(?!\d)", ["card 4111 1111 1111 1111.", "4111111111111", "1234-5678-9012-3456-789 x"], ["411111111111", "41111111111111111111"]),
+    "account": (r"(?:銀行帳號|金融帳號|信用卡號|存摺帳號|付款帳號).{0,24}\d{5,}", ["銀行帳號：第一銀行\r12345", "付款帳號 １２３４５"], ["銀行帳號\n12345", "帳號12345"]),
+    "address": (r"(?:戶籍地址|居住地址|通訊地址|住址)\s*[：:]", ["住址　：台北", "通訊地址\n:", "住址\x1c:"], ["住址在台北"]),
+    "medical": (r"(?:病歷|診斷證明|身心障礙|精神疾病|罹患|住院|就醫|醫院診療)", ["曾住院三日"], ["醫院"]),
+    "identity": (r"(?:身分證字號|國民身分證|統一編號).{0,24}[A-Z0-9]{6,}", ["統一編號：12345678"], ["統一編號：12345", "統一編號\n12345678"]),
+    "injected": (r"(?i)(?:<script\b|javascript:|ignore previous instructions|忽略先前指示)", ["<SCRIPT>", "<script", "JavaScript:x", "Ignore previous instructions", "請忽略先前指示"], ["<scripts>", "<script_", "ignore all instructions"]),
+}
+
+
+@pytest.mark.parametrize("name", SCREENED)
+def test_each_screening_rule_agrees_with_python(spark, name):
+    pattern, hits, misses = SCREENED[name]
+    texts = hits + misses
+    assert [bool(re.search(pattern, t)) for t in texts] == [True] * len(hits) + [False] * len(misses)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", s.screening_findings(F.col("text")).alias("x")).orderBy("i").collect()
+    assert [list(r["x"]) for r in rows] == [[n for n, (p, _, _) in SCREENED.items() if re.search(p, t)] for t in texts]
+
+
+def test_screen_over_documents_reports_other_rules_too(spark):
+    from casegrid import registry
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r["doc_id"]: list(r["findings"]) for r in registry.queries()["content_safety_screen_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {r["doc_id"]: [n for n, (p, _, _) in SCREENED.items() if re.search(p, r["text"] or "")] for r in docs}
+    assert {n for x in got.values() for n in x} - {"email", "injected"}

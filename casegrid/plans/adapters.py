@@ -21,6 +21,15 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
 
 
+def leg_vectors(spark: SparkSession, sf_dir: str, leg: int) -> DataFrame:
+    """The query set of a leg: the asked vector (0), or the next chunk of its entity (1), the asked one if that is missing."""
+    asked = query_vectors(spark, sf_dir)
+    if leg == 0:
+        return asked
+    after = read(spark, sf_dir, "embeddings").where(F.col("vec_id") % 100 == 1).select((F.col("vec_id") - 1).alias("query_id"), F.col("embedding").alias("next_vec"))
+    return asked.join(after, "query_id", "left").select("query_id", F.coalesce("next_vec", "query_vec").alias("query_vec"))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(law_id, law_name, article_no, law_key, text): one row for each key, the one with the smallest id."""
     part = read(spark, sf_dir, "part")
@@ -49,6 +58,10 @@ SQL = {
       scored AS (SELECT q.id AS query_id, c.id, c.entity, c.kind, round(list_cosine_similarity(c.vec, q.vec), 6) AS score FROM corpus q JOIN corpus c ON q.id % 100 = 0 AND c.id <> q.id)""",
     "legs": """hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, id) AS rank FROM (
         SELECT *, id % 3 AS leg FROM scored WHERE id % 3 < 2)) WHERE rank <= 100)""",
+    "whole_legs": """asked AS (SELECT id AS query_id, 0 AS leg, vec FROM corpus WHERE id % 100 = 0 UNION ALL
+        SELECT q.id, 1, coalesce(n.vec, q.vec) FROM corpus q LEFT JOIN corpus n ON n.id = q.id + 1 WHERE q.id % 100 = 0),
+      hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, id) AS rank FROM (
+        SELECT query_id, leg, c.id, c.entity, c.kind, round(list_cosine_similarity(c.vec, q.vec), 6) AS score FROM asked q JOIN corpus c ON c.id <> q.query_id)) WHERE rank <= 100)""",
     "entities": """entities AS (SELECT query_id, leg, entity, row_number() OVER (PARTITION BY query_id, leg ORDER BY min(rank)) AS rank FROM hits GROUP BY query_id, leg, entity)""",
     "fused": """fused AS (SELECT * FROM (SELECT query_id, entity, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, leg, r) AS rank FROM (
         SELECT query_id, entity, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(leg) AS leg, arg_min(rank, leg) AS r FROM entities GROUP BY query_id, entity)) WHERE rank <= 25)""",

@@ -12,6 +12,14 @@ from . import adapters as a
 from .adapters import with_
 
 
+#: SQL over the hits and the fused ranking of either pair of legs.
+_BEST = """, b AS (SELECT query_id, entity, id, score, leg, row_number() OVER (PARTITION BY query_id, entity ORDER BY score DESC, leg, rank) AS r FROM hits)
+SELECT query_id, entity, id, score, leg::INT AS leg FROM b WHERE r = 1"""
+_RERANKED = """, e AS (SELECT query_id, entity AS id, rank AS pos FROM fused), x AS (SELECT query_id, id, min(ext) AS ext FROM (SELECT query_id, id, (id * 7919) % 101 AS ext FROM e WHERE id % 2 = 0 AND query_id % 300 > 0) GROUP BY 1, 2)
+SELECT query_id, id, rank, reranked FROM (SELECT e.query_id, e.id, row_number() OVER (PARTITION BY e.query_id ORDER BY ext NULLS LAST, pos) AS rank, coalesce(bool_or(ext IS NOT NULL) OVER (PARTITION BY e.query_id), false) AS reranked
+  FROM e LEFT JOIN x ON e.query_id = x.query_id AND e.id = x.id) WHERE rank <= 5"""
+
+
 def _legs(spark, d):
     """Top 100 of two legs of the corpus: (query_id, id, score, rank, leg, entity)."""
     corpus, asked = a.chunk_vectors(spark, d), a.query_vectors(spark, d)
@@ -19,6 +27,12 @@ def _legs(spark, d):
     return legs[0].unionByName(legs[1]).withColumn("entity", F.floor(F.col("id") / 5))
 
 
+def _whole_legs(spark, d):
+    """_legs with a query vector for each leg, both over the whole corpus, so a vector can be in both."""
+    legs = [rank.vector_topk(a.leg_vectors(spark, d, leg), a.chunk_vectors(spark, d), 100).withColumn("leg", F.lit(leg)) for leg in (0, 1)]
+    return legs[0].unionByName(legs[1]).withColumn("entity", F.floor(F.col("id") / 5))
+
+
 @query(with_("scored") + "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored WHERE kind <> 3) WHERE rank <= 25")
 def vector_topk(spark, d):
     return rank.vector_topk(a.query_vectors(spark, d), a.chunk_vectors(spark, d), 25, F.col("kind") != 3)
@@ -34,8 +48,7 @@ def rrf_fuse(spark, d):
     return rank.rrf_fuse(entity_rank_dedup(spark, d), "entity", ["query_id"])
 
 
-@query(with_("scored", "legs") + """, b AS (SELECT query_id, entity, id, score, leg, row_number() OVER (PARTITION BY query_id, entity ORDER BY score DESC, leg, rank) AS r FROM hits)
-SELECT query_id, entity, id, score, leg::INT AS leg FROM b WHERE r = 1""")
+@query(with_("scored", "legs") + _BEST)
 def best_chunk(spark, d):
     return rank.best_chunk(_legs(spark, d), "entity", ["query_id"], "id")
 
@@ -85,15 +98,37 @@ def per_kind_topk(spark, d):
     return rank.per_kind_topk(hits, "kind", ["query_id"], 3, "entity").select("query_id", "kind", "entity", "id", "score", "rank")
 
 
-@query(with_("scored", "legs", "entities", "fused") + """, e AS (SELECT query_id, entity AS id, rank AS pos FROM fused), x AS (SELECT query_id, id, min(ext) AS ext FROM (SELECT query_id, id, (id * 7919) % 101 AS ext FROM e WHERE id % 2 = 0 AND query_id % 300 > 0) GROUP BY 1, 2)
-SELECT query_id, id, rank, reranked FROM (SELECT e.query_id, e.id, row_number() OVER (PARTITION BY e.query_id ORDER BY ext NULLS LAST, pos) AS rank, coalesce(bool_or(ext IS NOT NULL) OVER (PARTITION BY e.query_id), false) AS reranked
-  FROM e LEFT JOIN x ON e.query_id = x.query_id AND e.id = x.id) WHERE rank <= 5""")
-def rerank_merge(spark, d):
-    candidates = rrf_fuse(spark, d).select("query_id", F.col("entity").alias("id"), F.col("rank").alias("pos"))
+def _rerank(fused):
+    candidates = fused.select("query_id", F.col("entity").alias("id"), F.col("rank").alias("pos"))
     ext = candidates.where("id % 2 = 0 AND query_id % 300 > 0").select("query_id", "id", ((F.col("id") * 7919) % 101).alias("ext"))
     return rank.rerank_merge(candidates, ext.unionByName(ext), ["query_id"], 5)
 
 
+@query(with_("scored", "legs", "entities", "fused") + _RERANKED)
+def rerank_merge(spark, d):
+    return _rerank(rrf_fuse(spark, d))
+
+
+@query(with_("scored", "whole_legs", "entities") + "SELECT * FROM entities")
+def entity_rank_dedup_whole(spark, d):
+    return rank.entity_rank_dedup(_whole_legs(spark, d), "entity", ["query_id", "leg"])
+
+
+@query(with_("scored", "whole_legs", "entities", "fused") + "SELECT query_id, entity, score, rank FROM fused")
+def rrf_fuse_whole(spark, d):
+    return rank.rrf_fuse(entity_rank_dedup_whole(spark, d), "entity", ["query_id"])
+
+
+@query(with_("scored", "whole_legs") + _BEST)
+def best_chunk_whole(spark, d):
+    return rank.best_chunk(_whole_legs(spark, d), "entity", ["query_id"], "id")
+
+
+@query(with_("scored", "whole_legs", "entities", "fused") + _RERANKED)
+def rerank_merge_whole(spark, d):
+    return _rerank(rrf_fuse_whole(spark, d))
+
+
 @query(with_("citations") + """, p AS (SELECT *, law_id % 3 = 0 AS pinned FROM citations), q AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY pinned DESC, pos) AS quota FROM p)
 SELECT case_id, pos, law_id, pinned, row_number() OVER (PARTITION BY case_id ORDER BY pos) AS shown FROM q WHERE quota <= 3""")
 def pinned_cap(spark, d):

@@ -54,3 +54,18 @@ def test_entry(spark):
 
     out = __spark_entry__.entry(spark)
     assert out.columns == ["query_id", "entity", "score", "rank"] and out.count() == 125
+
+
+def test_both_legs_search_every_vector(spark):
+    from casegrid.plans import retrieval
+
+    hits = retrieval._whole_legs(spark, SF).select("query_id", "leg", "id").collect()
+    assert {(r["leg"], r["id"] % 3) for r in hits} == {(leg, k) for leg in (0, 1) for k in range(3)}
+    both = [{(r["query_id"], r["id"]) for r in hits if r["leg"] == leg} for leg in (0, 1)]
+    assert both[0] & both[1] and both[0] != both[1]
+
+
+def test_entry_fuses_both_whole_legs(spark, con):
+    import __spark_entry__
+
+    assert oracle.difference(__spark_entry__.entry(spark), con, SQL["rrf_fuse_whole"]) == ""

@@ -22,9 +22,10 @@ from .common import map_texts, materialize
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks"]
 #: The transformed statistics: their expressions, and the least standard deviation that a group is taken to have in each.
-#: Most texts have none of what the last four measure, so the scatter of the central rows alone would be zero there.
+#: Most texts have none of what the last four measure, so the scatter of the central rows alone would be zero there. Those
+#: of lines and repeats are under sqrt(0.45 / CUTOFF) = 0.1207, so that 45 % of either alone passes the cutoff.
 VECTOR = ["log_word_chars", "log_symbols", "root_dup_lines", "root_repeats", "log_marks"]
-LEAST_SD = np.array([0.05, 0.25, 0.2, 0.2, 0.1])
+LEAST_SD = np.array([0.05, 0.25, 0.12, 0.12, 0.1])
 D = len(VECTOR)
 #: Share of a group's rows that the estimate rests on; the factor that makes the scatter of so many central rows agree
 #: with that of all rows under a normal distribution, 0.75 / P(chi2(D + 2) <= q) with P(chi2(D) <= q) = 0.75.
@@ -96,27 +97,49 @@ def _distance(z: list[Column], mean: Column, inverse: Column) -> Column:
     return sum((gap[i] * gap[j] * inverse[i * D + j] for i in range(D) for j in range(D)), F.lit(0.0))
 
 
+def _floored(scatter: np.ndarray) -> np.ndarray:
+    """scatter with at least the variance LEAST_SD**2 in every direction, and as it is in directions that have more."""
+    unit = np.outer(LEAST_SD, LEAST_SD)
+    values, vectors = np.linalg.eigh(scatter / unit)
+    return (vectors * np.maximum(values, 1.0)) @ vectors.T * unit
+
+
 def _estimates(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Moments of the central rows of each group -> centre and inverse scatter."""
+    """Moments of the central rows of each group -> centre, inverse scatter and the logarithm of the scatter's determinant."""
     for x in frames:
         out = []
         for row in x.itertuples(index=False):
             mean = np.array(row.s1) / row.n
             upper = np.zeros((D, D))
             upper[np.triu_indices(D)] = np.array(row.s2) / row.n
-            scatter = CONSISTENCY * (upper + np.triu(upper, 1).T - np.outer(mean, mean)) + np.diag(LEAST_SD**2)
-            out.append((row.g_lang, row.g_source, row.rows, mean.tolist(), np.linalg.inv(scatter).ravel().tolist()))
-        yield pd.DataFrame(out, columns=["g_lang", "g_source", "rows", "mean", "inverse"])
+            scatter = _floored(CONSISTENCY * (upper + np.triu(upper, 1).T - np.outer(mean, mean)))
+            out.append((row.g_lang, row.g_source, row.start, row.rows, mean.tolist(), np.linalg.inv(scatter).ravel().tolist(), np.linalg.slogdet(scatter)[1]))
+        yield pd.DataFrame(out, columns=["g_lang", "g_source", "start", "rows", "mean", "inverse", "size"])
+
+
+_MODEL = "g_lang string, g_source string, start int, rows long, mean array<double>, inverse array<double>, size double"
 
 
-_MODEL = "g_lang string, g_source string, rows long, mean array<double>, inverse array<double>"
+def _starts(middle: DataFrame) -> DataFrame:
+    """Where the steps of each group begin: at its medians with fixed scales, at its medians with its quartiles' scales, and
+    at texts that repeat nothing and have no symbols or marks."""
+    at = [F.col(f"m{i}") for i in range(D)]
+    fixed = [F.lit(float(1 / (4 * x**2))) for x in LEAST_SD]
+    spread = [1 / F.pow(F.greatest((q[2] - q[0]) / 1.349, F.lit(float(x))), 2) for q, x in zip(at, LEAST_SD, strict=True)]
+    diagonal = lambda scales: F.array(*[scales[i] if i == j else F.lit(0.0) for i in range(D) for j in range(D)])
+    median = F.array(*[q[1] for q in at])
+    clean = F.array(at[0][1], *[F.lit(0.0)] * (D - 1))
+    starts = [(median, fixed), (median, spread), (clean, fixed)]
+    made = F.array(*[F.struct(F.lit(i).alias("start"), mean.alias("mean"), diagonal(scales).alias("inverse")) for i, (mean, scales) in enumerate(starts)])
+    return middle.select("g_lang", "g_source", "rows", F.explode(made).alias("s")).select("g_lang", "g_source", "s.start", "rows", "s.mean", "s.inverse")
 
 
 def fit_groups(stats: DataFrame, lang_col: str = "lang", source_col: str = "source", steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
     """(groups, model): the pooled group of each language and source, and each group's estimate.
 
     stats has the language, the source and STATS of every row. Rows that fail the base rule take no part. A null language
-    or source is a value of its own. Each concentration step is one aggregation by group and distance bin, combined
+    or source is a value of its own. The steps are taken from several starts, and the estimate with the least determinant
+    is kept. Each concentration step is one aggregation by group and distance bin, combined
     before its shuffle, so a group of any size has a few thousand rows there at most. The same rows in any order or
     partitioning give the same bins up to rounding of sums.
     """
@@ -137,18 +160,19 @@ def fit_groups(stats: DataFrame, lang_col: str = "lang", source_col: str = "sour
     keys = ["g_lang", "g_source"]
     rows = materialize(rows.join(groups, ["lang_", "source_"]).drop("lang_", "source_"), "quality-vectors")
     z = [F.col(f"z{i}") for i in range(D)]
-    middle = rows.groupBy(keys).agg(F.count("*").alias("rows"), *[F.percentile_approx(c, 0.5, 1000).alias(f"m{i}") for i, c in enumerate(z)])
-    start = np.diag(1 / (4 * LEAST_SD**2)).ravel().tolist()
-    model = materialize(middle.select(*keys, "rows", F.array(*[f"m{i}" for i in range(D)]).alias("mean"), F.array(*map(F.lit, start)).alias("inverse")), "quality-model")
+    middle = rows.groupBy(keys).agg(F.count("*").alias("rows"), *[F.percentile_approx(c, [0.25, 0.5, 0.75], 1000).alias(f"m{i}") for i, c in enumerate(z)])
+    model = materialize(_starts(middle), "quality-model")
+    each = [*keys, "start"]
     pairs = [(i, j) for i in range(D) for j in range(i, D)]
     for _ in range(steps):
         near = rows.join(model, keys).withColumn("bin", F.floor(F.log(_distance(z, F.col("mean"), F.col("inverse")) + 1e-6) * _BINS))
-        binned = near.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.first("rows").alias("rows"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i, j in pairs])
-        before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        binned = near.groupBy(*each, "bin").agg(F.count("*").alias("n"), F.first("rows").alias("rows"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i, j in pairs])
+        before = F.coalesce(F.sum("n").over(W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         central = binned.withColumn("before", before).where(F.col("before") < F.ceil(F.col("rows") * SUPPORT))
-        moments = central.groupBy(keys).agg(F.sum("n").alias("n"), F.first("rows").alias("rows"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("s1"), F.array(*[F.sum(f"p{i}{j}") for i, j in pairs]).alias("s2"))
+        moments = central.groupBy(each).agg(F.sum("n").alias("n"), F.first("rows").alias("rows"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("s1"), F.array(*[F.sum(f"p{i}{j}") for i, j in pairs]).alias("s2"))
         model = materialize(moments.mapInPandas(_estimates, _MODEL), "quality-model")
-    return groups, model
+    least = F.min_by(F.struct("rows", "mean", "inverse"), F.struct("size", "start")).alias("m")
+    return groups, materialize(model.groupBy(keys).agg(least).select(*keys, "m.*"), "quality-model")
 
 
 def judge(measured: DataFrame, groups: DataFrame, model: DataFrame, lang_col: str = "lang", source_col: str = "source", prefix: str = "") -> DataFrame:

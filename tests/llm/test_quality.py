@@ -88,3 +88,31 @@ def test_filter_keeps_columns_and_agrees_with_report(spark):
 def test_odd_rows_pass_through(docs, no_docs):
     assert quality.keep_good(docs).columns == docs.columns
     assert quality.keep_good(no_docs).count() == 0 and quality.quality_report(no_docs).count() == 0
+
+
+def test_repetition_alone_is_an_outlier_in_a_clean_group(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(3, 8)))
+    rows = []
+    for i in range(600):
+        lines = [" ".join(word() for _ in range(2)) for _ in range(60)]
+        if i < 3:  # 27 of 60 lines are copies; other lines between them, so that no window of three words repeats
+            lines[1:56:2] = [lines[1]] * 28
+        text = "\n".join(lines)
+        if 3 <= i < 6:  # 45 % of words are in repeated windows, on one line
+            once = [word() for _ in range(110)]
+            part = [word() for _ in range(45)]
+            text = " ".join(part + once + part)
+        rows.append((i, text, "en", "clean"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = {r["doc_id"]: r for r in quality.quality_report(docs).collect()}
+    assert not any(out[i]["base_failed"] for i in range(600))
+    assert all(out[i]["n_repeat_words"] > 0.4 * out[i]["n_words"] for i in range(3, 6))
+    assert [i for i in range(6) if out[i]["kept"]] == []
+    assert sum(not out[i]["kept"] for i in range(6, 600)) <= 2
+
+
+def test_least_scatter_leaves_wider_directions_alone():
+    scatter = np.diag((quality.LEAST_SD * [3, 0, 2, 0, 1.5]) ** 2)
+    want = np.diag((quality.LEAST_SD * [3, 1, 2, 1, 1.5]) ** 2)
+    assert np.allclose(quality._floored(scatter), want)

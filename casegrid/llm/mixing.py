@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -92,6 +92,16 @@ def count_tokens(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
     return map_texts(docs, make, keys, text_col, [("n_tokens_", pa.int64())], "n_tokens_ long", as_bytes=True)
 
 
+def _block(doc: Column, docs: Column, seed: int) -> Column:
+    """The block that a document is dealt to."""
+    return F.pmod(F.xxhash64(doc, F.lit(seed)), F.greatest(F.lit(1), F.ceil(docs / BLOCK_DOCS)))
+
+
+def _turn(what: Column, number: Column, seed: int) -> Column:
+    """Where a block, or a document in its block, stands in the pass of this number."""
+    return F.xxhash64(what, number.cast("long"), F.lit(seed))
+
+
 def place(counted: DataFrame, budgets: DataFrame, seed: int = 0) -> DataFrame:
     """(doc, source, pass, block, tokens): which documents each pass over a source takes.
 
@@ -101,15 +111,14 @@ def place(counted: DataFrame, budgets: DataFrame, seed: int = 0) -> DataFrame:
     by a hash of their id, so the running sums are over a source's blocks (one row for some hundred documents), and within
     one block. Rows that repeat a document id share its block and are taken together or in the order of their lengths.
     """
-    blocks_of = F.greatest(F.lit(1), F.ceil(F.col("docs") / BLOCK_DOCS))
     key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
-    plan = budgets.withColumn("key", key).select("key", "tokens", "budget", blocks_of.alias("blocks"))
+    plan = budgets.withColumn("key", key).select("key", "tokens", "budget", "docs")
     rows = counted.withColumn("key", key).join(F.broadcast(plan) if budgets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan, "key")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64(F.col("doc"), F.lit(seed)), F.col("blocks")))
+    rows = rows.withColumn("block", _block(F.col("doc"), F.col("docs"), seed))
     full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1)
     rows = rows.withColumns({"full": full, "left": F.col("budget") - full * F.col("tokens")})
     blocks = rows.groupBy("key", "block").agg(F.sum("n_tokens_").alias("block_tokens"), F.first("full").alias("full"), F.first("left").alias("left"))
-    order = W.partitionBy("key").orderBy(F.xxhash64(F.col("block"), F.col("full"), F.lit(seed)), "block")
+    order = W.partitionBy("key").orderBy(_turn(F.col("block"), F.col("full"), seed), "block")
     before = F.sum("block_tokens").over(order) - F.col("block_tokens")
     last = blocks.withColumn("before", before).where(F.col("before") < F.col("left"))
     whole = last.where(F.col("before") + F.col("block_tokens") <= F.col("left")).select("key", "block", F.lit(None).cast("long").alias("room"))
@@ -117,7 +126,7 @@ def place(counted: DataFrame, budgets: DataFrame, seed: int = 0) -> DataFrame:
     # One row for each block of the last pass; only the block that is cut needs its documents in order.
     taken = whole.unionByName(cut)
     extra = rows.join(taken, ["key", "block"])
-    inside = W.partitionBy("key", "block").orderBy(F.xxhash64(F.col("doc"), F.col("full"), F.lit(seed)), F.col("doc"), "n_tokens_")
+    inside = W.partitionBy("key", "block").orderBy(_turn(F.col("doc"), F.col("full"), seed), F.col("doc"), "n_tokens_")
     partly = extra.where(F.col("room").isNotNull()).withColumn("so_far", F.sum("n_tokens_").over(inside.rowsBetween(W.unboundedPreceding, -1))).where(F.coalesce("so_far", F.lit(0)) < F.col("room"))
     columns = ["doc", "source", "full", "block", "n_tokens_"]
     once = extra.where(F.col("room").isNull()).select(columns).unionByName(partly.select(columns))
@@ -146,18 +155,45 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def repeat_documents(docs: DataFrame, source_col: str = "source", text_col: str = "text", most_passes: float = MOST_PASSES, seed: int = 0) -> DataFrame:
-    """docs with each row as often as the mixture takes it, at least once; all columns stay as they are.
+    """docs with each row as often as place() takes it, at least once; all columns stay as they are.
 
-    Rows get their count from their own content: a hash of the whole row places it below or above its source's share of
-    the last pass, so no row has to be joined back and rows of one source are never gathered. The repeated part of a
-    source agrees with its budget in expectation; mix() is exact to a document. Null sources are a source of their own.
+    A row's id there is a hash of the whole row. The last pass over a source takes a first part of its blocks' order, and
+    of its last block a first part of the documents' order, so each source has one place where that pass ends. That place
+    is all that the rows need for their counts: no text is shuffled, and a source meets its budget to within its longest
+    document. Of rows that are the same in all columns, as many are taken as place() takes. Null sources are a source of
+    their own.
     """
-    named = docs.select(F.col(f"`{source_col}`").cast("string").alias("source"), F.col(f"`{text_col}`").alias("text"))
-    sizes = materialize(count_tokens(named, ["source"]).groupBy("source").agg(F.sum("n_tokens_").alias("tokens")), "mixing-sources")
-    found = [(s, budget / t if t else 1.0) for s, t, _, budget in source_budgets(sizes, most_passes)]
-    plan = docs.sparkSession.createDataFrame(found, "m_source_ string, m_passes_ double")
-    plan = F.broadcast(plan) if len(found) <= BROADCAST_SOURCES else plan
-    share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns], F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    joined = docs.join(plan, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("m_source_")), "left")
-    times = F.floor(F.col("m_passes_")) + F.when(share < F.col("m_passes_") - F.floor(F.col("m_passes_")), 1).otherwise(0)
-    return joined.withColumn("m_times_", F.greatest(F.lit(1), times).cast("int")).withColumn("m_pass_", F.explode(F.sequence(F.lit(1), F.col("m_times_")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    source = F.col(f"`{source_col}`").cast("string")
+    row = F.xxhash64(*columns, F.lit(seed))
+    named = docs.select(row.alias("doc"), source.alias("source"), F.col(f"`{text_col}`").alias("text"))
+    counted = materialize(count_tokens(named, ["doc", "source"]), "mixing-counts")
+    sizes = materialize(counted.groupBy("source").agg(F.sum("n_tokens_").alias("tokens"), F.count("*").alias("docs")), "mixing-sources")
+    found = docs.sparkSession.createDataFrame(source_budgets(sizes, most_passes), "b_source string, b_tokens long, weight double, budget long")
+    full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(1).cast("long")
+    budgets = sizes.join(found, F.col("source").eqNullSafe(F.col("b_source"))).select("source", "tokens", "docs", "budget")
+    plan = budgets.select(F.col("source").alias("m_source_"), F.col("docs").alias("m_docs_"), full.alias("m_full_"))
+
+    def position(doc: Column, block: Column) -> Column:
+        turns = [_turn(block, F.col("m_full_"), seed), block, _turn(doc, F.col("m_full_"), seed), doc]
+        return F.struct(*[t.alias(f"p{i}") for i, t in enumerate(turns)])
+
+    last = place(counted, budgets, seed).join(plan, F.col("source").eqNullSafe(F.col("m_source_"))).where(F.col("pass") == F.col("m_full_"))
+    ends = last.groupBy(F.col("source").alias("e_source_")).agg(F.max(position(F.col("doc"), F.col("block"))).alias("m_end_"))
+    ends = materialize(ends, "mixing-ends")
+    # Rows like the one at the end, and how many of them the last pass takes.
+    at_end = lambda rows: rows.join(ends, F.col("source").eqNullSafe(F.col("e_source_")) & (F.col("doc") == F.col("m_end_.p3"))).groupBy("e_source_")
+    some = at_end(last).agg(F.count("*").alias("m_take_")).alias("t").join(at_end(counted).agg(F.count("*").alias("like_")).alias("l"), F.col("t.e_source_").eqNullSafe(F.col("l.e_source_")))
+    some = materialize(some.where("m_take_ < like_").select(F.col("t.e_source_").alias("c_source_"), "m_take_"), "mixing-cut-copies")
+    plan = plan.join(ends, F.col("m_source_").eqNullSafe(F.col("e_source_")), "left").join(some, F.col("m_source_").eqNullSafe(F.col("c_source_")), "left")
+    plan = materialize(plan.select("m_source_", "m_docs_", "m_full_", "m_end_", "m_take_"), "mixing-plan")
+    plan = F.broadcast(plan) if plan.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else plan
+    joined = docs.withColumn("m_row_", row).join(plan, source.eqNullSafe(F.col("m_source_")), "left")
+    at = position(F.col("m_row_"), _block(F.col("m_row_"), F.col("m_docs_"), seed))
+    cut = F.coalesce((at == F.col("m_end_")) & F.col("m_take_").isNotNull(), F.lit(False))
+    times = F.greatest(F.lit(1), F.col("m_full_") + F.when(at <= F.col("m_end_"), 1).otherwise(0))
+    again = lambda rows, n: rows.withColumn("m_pass_", F.explode(F.sequence(F.lit(1), n.cast("int")))).select(*columns)
+    if some.isEmpty():
+        return again(joined, times)
+    copies = joined.where(cut).groupBy("m_row_").agg(*[F.first(c).alias(n) for c, n in zip(columns, docs.columns, strict=True)], F.count("*").alias("m_n_"), F.first("m_full_").alias("m_full_"), F.first("m_take_").alias("m_take_"))
+    return again(joined.where(~cut), times).unionByName(again(copies, F.greatest(F.lit(1), F.col("m_full_")) * F.col("m_n_") + F.when(F.col("m_full_") > 0, F.col("m_take_")).otherwise(0)))

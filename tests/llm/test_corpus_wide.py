@@ -224,6 +224,20 @@ def test_mixture_of_odd_rows(docs, no_docs, rows):
     assert mixing.repeat_documents(no_docs).count() == 0
 
 
+def test_repeated_documents_fill_budgets(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}", " ".join(["w"] * int(rng.integers(1, 40)))) for i in range(2000)]
+    rows += [(5000 + i, "few", " ".join(["w"] * 30)) for i in range(37)] + [(7000, "same", "w w w")] * 500 + [(8000, None, "w " * 700)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(4)
+    length = F.size(F.split(F.trim("text"), " "))
+    have = {r["source"]: r["n"] for r in mixing.repeat_documents(docs).groupBy("source").agg(F.sum(length).alias("n")).collect()}
+    counts = docs.groupBy("source").agg(F.sum(length).alias("tokens"))
+    longest = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.max(length).alias("n")).collect()}
+    for s, _, _, budget in mixing.source_budgets(counts):
+        assert budget <= have[s] < budget + longest[s], (s, budget, have[s])
+    assert {r[0] for r in mixing.repeat_documents(docs).select("doc_id").distinct().collect()} == {r[0] for r in rows}
+
+
 def test_empty_tables(no_docs):
     assert lm.score_texts(no_docs).count() == 0
     assert jaccard.link_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0

@@ -1,8 +1,9 @@
 """Token-id files: Re-Pair grammar compression by shard.
 
 A shard holds the ids of consecutive documents. Frequent pairs of neighbouring symbols are replaced by new symbols, round
-by round; the file keeps the rules, the expansion length of each, the remaining sequence, and where each document begins
-in it, so one document, or one range of its ids, can be expanded without the others.
+by round, until no pair occurs often enough to pay for its rule; the file keeps the rules, the expansion length of each,
+the remaining sequence, and how much of it each document has, so one document, or one range of its ids, can be expanded
+without the others. Symbols take as many bits as the last of them needs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import functools
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -27,69 +27,90 @@ from .common import scratch_path
 
 #: Ids after which a shard is closed.
 SHARD_IDS = 1_000_000
-#: Rounds at most, rules of a round at most, and uses that a pair needs. A round that saves under 1 % is the last.
-ROUNDS, ROUND_RULES, LEAST_USES = 12, 8192, 8
-MAGIC = b"RPG1"
+#: Uses from which a pair is replaced (a rule costs two symbols), and the least share of the most frequent pair's uses that
+#: a pair replaced in the same round has.
+LEAST_USES, ROUND_SHARE = 3, 0.02
+MAGIC = b"RPG2"
 
-_WHITE = "\t-\r \x85\xa0  -     　"
-#: The units that a tokenizer which splits at white space and between letters and others always parts. Python's
-#: alphanumeric characters that aren't decimal digits are its letters, and some numbers that it parts anyway.
-_UNITS = re.compile(rf"[^\W\d_]+|(?:[^\w{_WHITE}]|[\d_])+")
-_WORDS = re.compile(rf"[^{_WHITE}]+")
+#: White space of Python's str.split that isn't white space to the tokenizer, and what is to both.
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+_WORDS = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+#: Words of these characters alone are parted here. Others aren't: apostrophes join letters, a capital I with a dot has two
+#: letters in lower case, and the digits that aren't decimal are parted like decimal ones.
+_SIMPLE = re.compile("[!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
+_UNITS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
+
+
+class WordIds(dict):
+    """Packed ids of words, found by one encoder where they are missing."""
+
+    def __init__(self, encoder: WordEncoder, kept: dict[str, bytes]) -> None:
+        super().__init__(kept)
+        self.encoder = encoder
+
+    def __missing__(self, word: str) -> bytes:
+        x = self[word] = self.encoder.word(word)
+        return x
 
 
 class WordEncoder:
-    """Ids of texts under a word-level tokenizer file; units that come again are kept, up to a bound.
+    """Ids of texts under a word-level tokenizer file; words that come again are kept, up to a bound.
 
-    Only for tokenizers that lower-case, drop white space and part letters from other characters, which is checked. Where
-    a text has an apostrophe, which joins letters to it, a capital I with a dot or a capital sigma, whose lower case isn't
-    one letter for one, or an added token's string, or isn't in the normal form that the tokenizer brings it to, units are
-    its words as they are.
+    Only for tokenizers that lower-case, drop white space and part letters, single digits and other characters, which is
+    checked; others get whole texts. No token then reaches over white space, so a text's ids are those of its words. A new
+    word of letters without marks goes to the library's model, unit by unit; any other through the library's whole pipeline.
     """
 
-    #: Units kept at most. When there are more, long ones go, which are rarer, and all if that isn't enough.
-    KEPT, SHORT = 900_000, 8
+    #: Words kept at most. When there are more, long ones go, which are rarer, and all if that isn't enough.
+    KEPT, SHORT = 800_000, 8
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.kept = WordIds(self, {})
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        probe = "Ab c,d 1é\n\t x"
-        parts = [self._library([p])[0] for p in ("Ab", "c", ",", "d", "1", "é", "x")]
-        self.parted = np.array_equal(self._library([probe])[0], np.concatenate(parts))
+        probe = "Ab c,d 1é\n\t x 42"
+        parts = [self._library(p) for p in ("Ab", "c", ",", "d", "1", "é", "x", "4", "2")]
+        self.parted = self._library(probe) == b"".join(parts)
         # Letters reach the library's model as the byte-level alphabet spells their bytes: printable characters stand for
         # themselves, and the other bytes for the characters from 256 on.
         plain = [b for b in range(256) if 33 <= b < 127 or 161 <= b and b != 173]
         self.alphabet = {b: b if b in plain else 256 + b - sum(p < b for p in plain) for b in range(256)}
-        words = ["straße", "école", "año"]
-        self.direct = all(np.array_equal(self._model(w), x) for w, x in zip(words, self._library(words), strict=True))
-
-    def _model(self, word: str) -> np.ndarray:
-        """Ids of a word of lower-case letters, from the library's model without the steps that change nothing in it."""
-        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(spelt)], np.uint32)
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        #: Marks that most often end a word, and none.
+        self.tails = {c: self._library(c) for c in ["", *".,;:!?)"]}
+        self.direct = all(self._model(w) == self._library(w) for w in ["straße", "école", "año"])
+
+    def _model(self, unit: str) -> bytes:
+        """Ids of a unit of lower-case letters, from the library's model without the steps that change nothing in it."""
+        spelt = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.alphabet)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Packed ids of a text without white space."""
+        if self.direct:
+            letters, tail = (word, "") if word.isalpha() else (word[:-1], word[-1])
+            if tail in self.tails and letters.isalpha() and (letters.isascii() or _SIMPLE.fullmatch(letters)):
+                unit = letters.lower()
+                return self._model(unit) if unit == word else self.kept[unit] + self.tails[tail]
+            if _SIMPLE.fullmatch(word) and not any(s in word for s in self.special):
+                units = _UNITS.findall(word.lower())
+                if len(units) > 1:
+                    return b"".join([self.kept[u] for u in units])
+        return self._library(word)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         if not self.parted:
-            return self._library(texts)
-        units = [_UNITS.findall(t.lower()) if self._plain(t) else _WORDS.findall(t) for t in texts]
+            return [np.frombuffer(self._library(t), np.uint32) for t in texts]
+        words = [_WORDS.findall(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
         if len(self.kept) > self.KEPT:
-            self.kept = {u: x for u, x in self.kept.items() if len(u) <= self.SHORT}
-            if len(self.kept) > self.KEPT // 2:
-                self.kept = {}
-        if new := set().union(*units).difference(self.kept):
-            letters = [u for u in new if self.direct and u.isalpha() and u.islower() and max(u) < "\u0250"]
-            self.kept.update((u, self._model(u).tobytes()) for u in letters)
-            if rest := list(new.difference(letters)):
-                self.kept.update(zip(rest, (x.tobytes() for x in self._library(rest)), strict=True))
-        return [np.frombuffer(b"".join(map(self.kept.__getitem__, u)), np.uint32) for u in units]
-
-    def _plain(self, text: str) -> bool:
-        return not any(c in text for c in "'\u0130\u03a3") and unicodedata.is_normalized("NFC", text) and not any(s in text for s in self.special)
+            short = {w: x for w, x in self.kept.items() if len(w) <= self.SHORT}
+            self.kept = WordIds(self, short if len(short) <= self.KEPT // 2 else {})
+        return [np.frombuffer(b"".join(map(self.kept.__getitem__, w)), np.uint32) for w in words]
 
 
 @functools.lru_cache(maxsize=1)
@@ -98,61 +119,93 @@ def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def _frequent(keys: np.ndarray) -> np.ndarray:
-    """The most frequent keys, in ascending order of frequency."""
+def bits_of(most: int) -> int:
+    return max(1, int(most).bit_length())
+
+
+def pack_bits(x: np.ndarray, width: int) -> bytes:
+    """Integers in so many bits each, highest bit first, one after the other."""
+    bits = np.unpackbits(x.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 32 - width :]
+    return np.packbits(bits).tobytes()
+
+
+def unpack_bits(data: memoryview, width: int, start: int, stop: int) -> np.ndarray:
+    """Integers start to stop of what pack_bits gave; only their bytes are read."""
+    first, end = start * width, stop * width
+    bits = np.unpackbits(np.frombuffer(data[first // 8 : -(-end // 8)], np.uint8))[first % 8 :][: end - first].reshape(-1, width)
+    whole = np.zeros((len(bits), 32), np.uint8)
+    whole[:, 32 - width :] = bits
+    return np.packbits(whole).view(">u4").astype(np.uint32)
+
+
+def frequent_pairs(keys: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Ascending keys that a round replaces, and whether these are all that occur often enough; negative ones are no pairs."""
     keys = np.sort(keys)
-    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    uses = np.diff(np.append(edge, len(keys)))
-    often = np.flatnonzero(uses >= LEAST_USES)
-    often = often[np.argsort(uses[often], kind="stable")][-ROUND_RULES:]
-    return keys[edge[often]]
+    keys = keys[np.searchsorted(keys, 0) :]
+    edge = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1]) if len(keys) else np.empty(0, np.int64)
+    uses = np.diff(edge, append=len(keys))
+    share = uses.max(initial=0) * ROUND_SHARE
+    return keys[edge[uses >= max(LEAST_USES, share)]], share <= LEAST_USES
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, vocabulary: int) -> bytes:
-    """A shard's file from the ids of its documents, one after the other, and how many each has."""
-    sequence = ids.astype(np.uint32)
-    last = np.zeros(len(sequence), bool)  # of a document
-    ends = np.cumsum(counts)
-    last[ends[counts > 0] - 1] = True
-    rules, levels, top = [np.empty((0, 2), np.uint32)], [], vocabulary
-    for _ in range(ROUNDS):
-        if len(sequence) < 2:
-            break
-        keys = (sequence[:-1].astype(np.uint64) << np.uint64(32)) | sequence[1:]
-        inside = ~last[:-1]
-        pairs = _frequent(keys[inside])
+    """A shard's file from the ids of its documents, one after the other, and how many each has.
+
+    A round replaces the pairs that occur at least ROUND_SHARE as often as the most frequent one; rounds end when no pair
+    within a document occurs LEAST_USES times. Every round shortens the sequence, so they do end.
+    """
+    sequence = ids.astype(np.int64)
+    last = np.cumsum(counts)[counts > 0] - 1  # places where documents end
+    rules, levels, top = [np.empty((0, 2), np.int64)], [], vocabulary
+    look = None  # places of the pairs that may occur often enough; None: all
+    while True:
+        if look is None:
+            keys = sequence[:-1] << 32
+            keys |= sequence[1:]
+            keys[last[:-1]] = -1
+        else:
+            look = look[last[np.searchsorted(last, look)] != look]
+            keys = sequence[look] << 32 | sequence[look + 1]
+        pairs, every = frequent_pairs(keys)
         if not len(pairs):
             break
-        # Numbers of the chosen pairs by a hash of the pair; of two with one hash the more frequent has the place.
-        place = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
-        table = np.full(1 << 20, -1, np.int32)
-        table[place(pairs)] = np.arange(len(pairs))
-        number = table[place(keys)]
-        hit = (number >= 0) & inside
-        hit[hit] = pairs[number[hit]] == keys[hit]
+        chosen = np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1)
+        if look is None:
+            # Places whose two symbols are in some chosen pair each, and of those the ones with a chosen pair.
+            begins, follows = np.zeros(top, bool), np.zeros(top, bool)
+            begins[chosen[:, 0]] = follows[chosen[:, 1]] = True
+            look = np.flatnonzero(begins[sequence[:-1]] & follows[sequence[1:]])
+            keys = keys[look]
+        number = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        hit = pairs[number] == keys
+        at, number = look[hit], number[hit]
         # Of hits in a row every other one is taken, from the left.
-        at = np.arange(len(hit))
-        start = np.maximum.accumulate(np.where(hit & ~np.concatenate([[False], hit[:-1]]), at, 0))
-        taken = np.flatnonzero(hit & ((at - start) % 2 == 0))
-        used, renumbered = np.unique(number[taken], return_inverse=True)
-        if len(taken) < 0.01 * len(sequence):
-            break
-        rules.append(np.stack([pairs[used] >> np.uint64(32), pairs[used] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.uint32))
-        sequence = sequence.copy()
-        sequence[taken] = top + renumbered
-        last[taken] = last[taken + 1]
+        order = np.arange(len(at))
+        begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, order, 0))
+        taken = (order - begin) % 2 == 0
+        at, number = at[taken], number[taken]
+        used = np.bincount(number, minlength=len(pairs)) > 0
+        rules.append(chosen[used])
+        levels.append(int(used.sum()))
+        sequence[at] = (top - 1 + np.cumsum(used))[number]
         keep = np.ones(len(sequence), bool)
-        keep[taken + 1] = False
-        sequence, last = sequence[keep], last[keep]
-        top += len(used)
-        levels.append(len(used))
+        keep[at + 1] = False
+        sequence = sequence[keep]
+        last = last - np.searchsorted(at, last)
+        look = None
+        if every:  # then only pairs with a new symbol can have become frequent
+            near = sequence >= top
+            near[:-1] |= near[1:]
+            look = np.flatnonzero(near)
+        top += levels[-1]
     rule = np.concatenate(rules)
     lengths = _lengths(rule, levels, vocabulary)
-    # Where documents begin in the sequence; empty ones begin where the next does.
-    held = np.zeros(len(counts) + 1, np.int64)
-    held[1:][counts > 0] = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
-    head = struct.pack("<4s6I", MAGIC, vocabulary, len(rule), len(counts), len(sequence), len(levels), 0)
-    return b"".join([head, np.array(levels, "<u4").tobytes(), rule.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.cumsum(held).astype("<u4").tobytes(), sequence.astype("<u4").tobytes()])
+    held = np.zeros(len(counts), np.int64)
+    held[counts > 0] = np.diff(last, prepend=-1)
+    widths = [bits_of(top - 1), bits_of(lengths.max(initial=1)), bits_of(held.max(initial=0))]
+    head = struct.pack("<4s8I", MAGIC, vocabulary, len(rule), len(counts), len(sequence), len(levels), *widths)
+    body = [(rule.ravel(), widths[0]), (lengths, widths[1]), (held, widths[2]), (sequence, widths[0])]
+    return b"".join([head, np.array(levels, "<u4").tobytes(), *(pack_bits(x, w) for x, w in body)])
 
 
 def _lengths(rule: np.ndarray, levels: list[int], vocabulary: int) -> np.ndarray:
@@ -167,20 +220,26 @@ def _lengths(rule: np.ndarray, levels: list[int], vocabulary: int) -> np.ndarray
 
 
 class Shard:
-    """A shard's file, opened. Nothing is expanded before it is asked for."""
+    """A shard's file, opened. Symbols are read and expanded only where they are asked for."""
 
     def __init__(self, data: bytes) -> None:
-        magic, self.vocabulary, rules, self.documents, symbols, levels, _ = struct.unpack_from("<4s6I", data)
+        magic, self.vocabulary, rules, self.documents, self.symbols, levels, *widths = struct.unpack_from("<4s8I", data)
         if magic != MAGIC:
             raise ValueError("not a shard file")
-        at = 28
-        read = []
-        for n in (levels, 2 * rules, rules, self.documents + 1, symbols):
-            read.append(np.frombuffer(data, "<u4", n, at))
-            at += 4 * n
+        self.levels = np.frombuffer(data, "<u4", levels, 36).tolist()
+        view, at, parts = memoryview(data), 36 + 4 * levels, []
+        for n, w in ((2 * rules, widths[0]), (rules, widths[1]), (self.documents, widths[2]), (self.symbols, widths[0])):
+            parts.append(view[at : at + -(-n * w // 8)])
+            at += -(-n * w // 8)
         if at != len(data):
             raise ValueError("a shard file of another length than it says")
-        self.levels, self.rules, self.lengths, self.starts, self.sequence = read[0].tolist(), read[1].reshape(-1, 2), read[2], read[3].astype(np.int64), read[4]
+        self.rules = unpack_bits(parts[0], widths[0], 0, 2 * rules).reshape(-1, 2)
+        self.lengths = unpack_bits(parts[1], widths[1], 0, rules)
+        self.starts = np.concatenate([[0], np.cumsum(unpack_bits(parts[2], widths[2], 0, self.documents).astype(np.int64))])
+        self._packed, self._width = parts[3], widths[0]
+
+    def sequence(self, start: int, stop: int) -> np.ndarray:
+        return unpack_bits(self._packed, self._width, int(start), int(stop))
 
     def symbol_lengths(self, symbols: np.ndarray) -> np.ndarray:
         out = np.ones(len(symbols), np.int64)
@@ -194,6 +253,8 @@ class Shard:
         for n in reversed(self.levels):
             top -= n
             rule = symbols >= top
+            if not rule.any():
+                continue
             width = 1 + rule
             out = np.repeat(symbols, width)
             first = (np.cumsum(width) - width)[rule]
@@ -204,15 +265,15 @@ class Shard:
 
     def counts(self) -> np.ndarray:
         """Ids of each document."""
-        total = np.concatenate([[0], np.cumsum(self.symbol_lengths(self.sequence))])
+        total = np.concatenate([[0], np.cumsum(self.symbol_lengths(self.sequence(0, self.symbols)))])
         return np.diff(total[self.starts])
 
     def document(self, k: int) -> np.ndarray:
-        return self.expand(self.sequence[self.starts[k] : self.starts[k + 1]])
+        return self.expand(self.sequence(self.starts[k], self.starts[k + 1]))
 
     def slice(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document k; only symbols that reach into the range are expanded."""
-        symbols = self.sequence[self.starts[k] : self.starts[k + 1]]
+        symbols = self.sequence(self.starts[k], self.starts[k + 1])
         end = np.cumsum(self.symbol_lengths(symbols))
         a, b = np.searchsorted(end, start, "right"), np.searchsorted(end, max(start, stop - 1), "right") + 1
         before = int(end[a - 1]) if a else 0
@@ -284,7 +345,7 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 crc, k = [], 0
                 while k < shard.documents:
                     to = max(k + 1, int(np.searchsorted(shard.starts, shard.starts[k] + (1 << 20), "right")) - 1)
-                    ids = shard.expand(shard.sequence[shard.starts[k] : shard.starts[to]]).astype("<u4")
+                    ids = shard.expand(shard.sequence(shard.starts[k], shard.starts[to])).astype("<u4")
                     edge = np.concatenate([[0], np.cumsum(counts[k:to])])
                     crc += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                     k = to

@@ -106,12 +106,66 @@ def test_units_are_encoded_as_whole_texts():
         assert library.encode(text, add_special_tokens=False).ids == ids.tolist(), repr(text)
 
 
+def test_every_code_point_is_encoded_as_the_library_does():
+    encoder = tokenfiles.WordEncoder(WORDS)
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # Alone beside letters, digits and marks, a few hundred to a text; the low ones, which are parted here, with each other too.
+    texts = [" ".join(f"a{chr(c)}B{chr(c)}1" for c in points[i : i + 300]) for i in range(0, len(points), 300)]
+    low = [chr(c) for c in (*range(0, 0x100), *range(0x100, 0x260, 7), 0x130, 0x131)]
+    texts += [" ".join(f"{a}{b}" for b in low) for a in low]
+    for text, ids, own in zip(texts, encoder.ids(texts), library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert own.ids == ids.tolist(), repr(text[:40])
+
+
+def plain_repair(ids, least):
+    """Re-Pair with one pair, the most frequent, at a time: symbols left and rules."""
+    sequence, top, rules = list(ids), max(ids) + 1, 0
+    while True:
+        uses, i = {}, 0
+        last = {}
+        for i, pair in enumerate(zip(sequence, sequence[1:])):
+            if last.get(pair) != i - 1 or pair[0] != pair[1]:
+                uses[pair] = uses.get(pair, 0) + 1
+                last[pair] = i
+        pair, n = max(uses.items(), key=lambda x: x[1], default=(None, 0))
+        if n < least:
+            return len(sequence), rules
+        out, i = [], 0
+        while i < len(sequence):
+            if tuple(sequence[i : i + 2]) == pair:
+                out.append(top)
+                i += 2
+            else:
+                out.append(sequence[i])
+                i += 1
+        sequence, top, rules = out, top + 1, rules + 1
+
+
+def test_shards_are_smaller_than_16_bit_ids_and_near_plain_repair(rows):
+    encoder = tokenfiles.WordEncoder(WORDS)
+    found = [np.append(x, 1).astype(np.uint32) for x in encoder.ids([r[1] or "" for r in rows])]
+    ids, counts = np.concatenate(found), np.array([len(x) for x in found])
+    data = tokenfiles.compress(ids, counts, 49408)
+    shard = tokenfiles.Shard(data)
+    assert shard.expand(shard.sequence(0, shard.symbols)).tolist() == ids.tolist()
+    if len(ids) > 5000:
+        assert len(data) < 2 * len(ids)
+    words = np.random.default_rng(3).zipf(1.3, 3000) % 60
+    own = tokenfiles.Shard(tokenfiles.compress(words.astype(np.uint32), np.array([len(words)]), 60))
+    left, rules = plain_repair(words.tolist(), tokenfiles.LEAST_USES)
+    assert own.symbols + 2 * len(own.rules) <= 1.05 * (left + 2 * rules)
+    symbols = own.sequence(0, own.symbols)
+    pairs = np.stack([symbols[:-1], symbols[1:]])[:, symbols[:-1] != symbols[1:]]
+    assert np.unique(pairs, axis=1, return_counts=True)[1].max() < tokenfiles.LEAST_USES
+
+
 @pytest.mark.parametrize("counts", [[], [0], [0, 0, 1], [3, 0, 2], [400, 0, 600, 1], [5000]])
 def test_grammar_round_trip_and_random_access(counts):
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 6, sum(counts)).astype(np.uint32)
     shard = tokenfiles.Shard(tokenfiles.compress(ids, np.array(counts, np.int64), 10))
-    assert shard.expand(shard.sequence).tolist() == ids.tolist() and shard.counts().tolist() == counts
+    assert shard.expand(shard.sequence(0, shard.symbols)).tolist() == ids.tolist() and shard.counts().tolist() == counts
     edge = np.concatenate([[0], np.cumsum(counts)]).astype(int)
     for k in range(len(counts)):
         own = ids[edge[k] : edge[k + 1]].tolist()
@@ -119,7 +173,7 @@ def test_grammar_round_trip_and_random_access(counts):
         for a, b in ((0, 0), (0, len(own)), (len(own) // 3, len(own) // 2)):
             assert shard.slice(k, a, b).tolist() == own[a:b]
     if len(ids) > 4000:
-        assert len(shard.sequence) <= len(ids) / 2 and len(shard.rules)
+        assert shard.symbols <= len(ids) / 2 and len(shard.rules)
 
 
 def test_empty_tables(spark, no_docs):

@@ -5,13 +5,15 @@ any fixed order of all tokens, so candidates must do so in several orders (by do
 pair's first shared token leaves room for must suffice too. The first order finds candidates, the others thin them, and
 what is left is verified on the whole sets.
 
-Components need no link twice: first every posting list is compared with its own leading member, which joins groups of
-copies to a hub in as many pairs as members; then only pairs that the links so far don't connect are tried.
+Components need no link twice: first every posting list is compared with its own leading members, which joins groups of
+copies to a hub in as many pairs as members; then only pairs that the links so far don't connect are tried, one for every
+two components first.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -19,31 +21,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lower_words, map_texts, materialize, mix, sliced
-from .keyed import exchange, in_chunks, sizes
+from .common import hash_words, map_arrays, materialize, mix, sliced
+from .keyed import chunk_answers, count_keys, in_chunks, sizes, totals_of, use_counts
 
 #: Words of a shingle, and the similarity of a link in hundredths.
 WORDS, PERCENT = 3, 90
 #: A word's hash counts in a shingle with this multiplier's power for its place.
 SPREAD = 0x9E3779B97F4A7C15
+#: A shingle's frequency is that of all shingles whose hashes agree in so many bits more than the volume of text has: one
+#: in some hundred shares it with another. As it depends on the shingle alone, the orders are the same everywhere.
+RANK_BITS = 8
+#: Members in a block of a posting list: they are compared with each other and with those of one other block in one go.
+BLOCK = 256
 #: Multipliers of the orders' hashes. The first order ranks by exact frequency, the others by its power of two.
 ORDERS = [1, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
 
-def shingles(text: bytes | None, hashes: WordHashes, words: int = WORDS) -> np.ndarray:
-    """Ascending distinct 64-bit hashes of a text's shingles; of the whole text if it has fewer words; none without words."""
-    found = lower_words(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    h = hashes.of(found)
-    width = min(words, len(h))
-    n = len(h) - width + 1
+def shingle_sets(texts: pa.Array, words: int = WORDS) -> list[np.ndarray]:
+    """Ascending distinct 64-bit hashes of each text's shingles; of the whole text if it has fewer words; none without words."""
+    h, at = hash_words(texts)
+    keys = _joined(h, words)
+    out = []
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if end - begin >= words:
+            key = np.sort(keys[begin : end - words + 1])
+            out.append(key[np.concatenate([[True], key[1:] != key[:-1]])])
+        else:
+            out.append(_joined(h[begin:end], end - begin) if end > begin else np.empty(0, np.uint64))
+    return out
+
+
+def _joined(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
+    n = max(0, len(h) - width + 1)
     key = np.full(n, width, np.uint64)
     for k in range(width):
         key += h[k : k + n] * np.uint64(pow(SPREAD, k + 1, 1 << 64))
-    key = mix(key)
-    key.sort()
-    return key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return mix(key)
 
 
 def digest(tokens: np.ndarray) -> bytes | None:
@@ -60,7 +74,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def ranked(tokens: np.ndarray, frequency: np.ndarray, order: int) -> np.ndarray:
-    """A rank of each token that is the same in all documents: rare ones first, then by the order's hash."""
+    """A rank of each token that is the same in all documents: rare ones first, then by the order's hash. Tokens of one
+    rank are to be kept in the order of their values, so sorts are stable."""
     shown = np.minimum(frequency, np.uint64((1 << 24) - 1)) if order == 0 else np.frexp(frequency.astype(np.float64))[1].astype(np.uint64)
     return (shown << np.uint64(40)) | (mix(tokens * np.uint64(ORDERS[order])) >> np.uint64(24))
 
@@ -68,27 +83,21 @@ def ranked(tokens: np.ndarray, frequency: np.ndarray, order: int) -> np.ndarray:
 def _classes(docs: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
     """The key columns, size and digest of each row's set."""
 
-    def make():
-        hashes = WordHashes()
-
-        def work(texts: list) -> tuple:
-            sets = [shingles(t, hashes, words) for t in texts]
-            return [len(s) for s in sets], [digest(s) for s in sets]
-
-        return work
+    def work(texts: pa.Array) -> tuple:
+        sets = shingle_sets(texts, words)
+        return [len(s) for s in sets], [digest(s) for s in sets]
 
-    return map_texts(docs, make, keys, text, [("size_", pa.int64()), ("digest_", pa.binary())], "size_ long, digest_ binary", as_bytes=True)
+    return map_arrays(docs, work, keys, text, [("size_", pa.int64()), ("digest_", pa.binary())], "size_ long, digest_ binary")
 
 
 def _distinct_texts(docs: DataFrame, text: str, words: int, least: int) -> DataFrame:
     """(digest_, text): the texts with at least so many shingles, of equal sets the first in each task."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in sliced(batches):
             keep, names = [], []
-            for i, t in enumerate(batch.column(0).cast(pa.large_binary()).to_pylist()):
-                tokens = shingles(t, hashes, words)
+            for i, tokens in enumerate(shingle_sets(batch.column(0), words)):
                 if len(tokens) >= least and (d := digest(tokens)) not in seen:
                     seen.add(d)
                     keep.append(i)
@@ -105,32 +114,36 @@ def _members(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """Two kinds of rows: postings (token, member, size, place) for every token of a set's prefix in the first order that
     another set has too; and, where token is null, the set itself with the heads of its prefixes in the other orders."""
     chosen = _distinct_texts(docs, text, words, -(-percent // (100 - percent)))
-    chunks, parts = sizes(docs.select(F.col(f"`{text}`").alias("text")))
+    chunks, parts, bits = sizes(docs.select(F.col(f"`{text}`").alias("text")))
+    width = min(64, bits + RANK_BITS)
 
     def sets_of(rows: pa.Table) -> tuple[list[bytes], list[np.ndarray]]:
-        hashes, found = WordHashes(), {}
-        for name, t in zip(rows["digest_"].to_pylist(), rows["text"].cast(pa.large_binary()).to_pylist(), strict=True):
-            if name not in found:
-                found[name] = shingles(t, hashes, words)
-        names = sorted(found)
-        return names, [found[x] for x in names]
+        first = {name: i for i, name in reversed(list(enumerate(rows["digest_"].to_pylist())))}
+        names, texts = sorted(first), rows["text"].combine_chunks()
+        sets = []
+        for at in range(0, len(names), 200):
+            sets += shingle_sets(texts.take(pa.array([first[x] for x in names[at : at + 200]], pa.int64())), words)
+        return names, sets
+
+    def buckets(sets: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(sets) >> np.uint64(64 - width)
 
     def ask(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate(sets_of(rows)[1]), return_counts=True)
+        return np.unique(buckets(sets_of(rows)[1]), return_counts=True)
 
-    def use(rows: pa.Table, totals: np.ndarray, _: np.ndarray) -> pa.Table:
+    def use(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names, sets = sets_of(rows)
-        keys = np.unique(np.concatenate(sets))
+        totals, keys = totals_of(answers)[0], np.unique(buckets(sets))
         out: dict[str, list] = {c: [] for c in ("token", "member", "size", "place", "heads", "tokens")}
         for name, tokens in zip(names, sets, strict=True):
             n = len(tokens)
-            frequency = totals[np.searchsorted(keys, tokens)]
+            frequency = totals[np.searchsorted(keys, tokens >> np.uint64(64 - width))]
             p = prefix_length(n, percent)
-            first = np.argsort(ranked(tokens, frequency, 0))[:p]
+            first = np.argsort(ranked(tokens, frequency, 0), kind="stable")[:p]
             shared = np.flatnonzero(frequency[first] > 1)
             if not len(shared):
                 continue
-            heads = [tokens[np.argsort(ranked(tokens, frequency, o))[:p]] for o in range(1, len(ORDERS))]
+            heads = [tokens[np.argsort(ranked(tokens, frequency, o), kind="stable")[:p]] for o in range(1, len(ORDERS))]
             k = len(shared)
             out["token"] += tokens[first[shared]].view(np.int64).tolist() + [None]
             out["member"] += [name] * (k + 1)
@@ -141,7 +154,8 @@ def _members(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
         kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
         return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
-    return exchange(in_chunks(chosen, chunks, "digest_"), parts, ask, use, _MEMBERS)
+    chunked = in_chunks(chosen, chunks, "digest_")
+    return use_counts(chunked, chunk_answers(count_keys(chunked, parts, width, ask)), use, _MEMBERS)
 
 
 def _fits(size: int, place: int, sizes_: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:
@@ -150,44 +164,71 @@ def _fits(size: int, place: int, sizes_: np.ndarray, places: np.ndarray, percent
     return close & (1 + np.minimum(size - place - 1, sizes_ - places - 1) >= least_shared(size, sizes_, percent))
 
 
-def _hub_pairs(size: np.ndarray, place: np.ndarray, label: np.ndarray | None, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """The list's leading member with all that fit it, and the same again for those that didn't."""
-    left = np.arange(len(size))
-    while len(left) > 1:
-        hub, rest = left[0], left[1:]
-        good = _fits(size[hub], place[hub], size[rest], place[rest], percent)
-        if good.any():
-            yield hub, rest[good]
-        left = rest[~good]
-
-
-def _unlinked_pairs(size: np.ndarray, place: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """All that fit each other and aren't connected yet."""
-    if (label == label[0]).all():
-        return
+def _led_pairs(postings: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of each member of a posting list and the list's leading member, where both may overlap
+    enough. A list has a leading member for each band of sizes, which is found by an aggregation and joined back, so that
+    Spark can split a list that very many sets are in."""
+    band = F.floor(F.log(F.col("size")) / math.log(100 / percent) / 2)
+    listed = postings.withColumn("band", band)
+    leads = listed.groupBy("token", "band").agg(F.min(F.struct("place", "member", "size")).alias("lead"), F.count("*").alias("n"))
+    leads = materialize(leads.where("n > 1").select(F.col("token").alias("l_token"), F.col("band").alias("l_band"), "lead"), "jaccard-leads")
+    met = listed.join(leads, (F.col("token") == F.col("l_token")) & (F.col("band") == F.col("l_band"))).where(F.col("member") != F.col("lead.member"))
+    n, m = F.col("size"), F.col("lead.size")
+    room = 1 + F.least(n - F.col("place"), m - F.col("lead.place")) - 1
+    good = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * room >= percent * (n + m))
+    pair = [F.least("member", "lead.member").alias("a"), F.greatest("member", "lead.member").alias("b")]
+    return met.where(good).select(*pair).distinct()
+
+
+def _one_each(size: np.ndarray, place: np.ndarray, label: np.ndarray, percent: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For every two labels the first pair of a cell that fits."""
+    done: dict[int, set[int]] = {}
+    for i, good in _unlinked(size, place, label, percent, own):
+        seen = done.setdefault(int(label[i]), set())
+        _, first = np.unique(label[good], return_index=True)
+        new = [int(j) for j in good[np.sort(first)] if int(label[j]) not in seen and int(label[i]) not in done.get(int(label[j]), ())]
+        if new:
+            seen.update(int(label[j]) for j in new)
+            yield i, np.array(new)
+
+
+def _unlinked(size: np.ndarray, place: np.ndarray, label: np.ndarray, percent: int, own: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """All pairs of a cell that fit and whose labels differ. own: which of the cell's two blocks a member is in."""
     for i in range(len(size) - 1):
         others = np.arange(i + 1, len(size))
-        others = others[label[others] != label[i]]
-        good = others[_fits(size[i], place[i], size[others], place[others], percent)]
+        others = others[(label[others] != label[i]) & ((own[others] != own[i]) | (own[0] == own[-1]))]
+        good = others[_fits(size[i], place[i], size[others], place[others], percent)] if len(others) else others
         if len(good):
             yield i, good
 
 
-def _candidates(postings: DataFrame, pairs_of: Callable, percent: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that pairs_of finds in the posting lists. postings has token, member, size, place and label."""
+def _candidates(postings: DataFrame, labels: DataFrame, pairs_of: Callable, percent: int) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that pairs_of finds in the posting lists that have more than one label.
+
+    A list is dealt out as cells, one for every two blocks of its members, so no task holds a whole long list. A member
+    is in the cells of its block: as many copies as its list has blocks, which is one up to BLOCK members or so.
+    """
+    known = postings.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
+    known = materialize(known, "jaccard-labelled")
+    lists = known.groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    lists = materialize(lists.select(F.col("token").alias("l_token"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "jaccard-lists")
+    rows = known.join(lists, F.col("token") == F.col("l_token")).withColumn("own", F.pmod(F.xxhash64("member", F.lit(7)), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = rows.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "member", "size", "place", "label")
+    dealt = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "own", "place", "member")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[bytes, bytes]] = set()
 
         def found(rows: pa.Table) -> pa.RecordBatch:
             member = rows["member"].to_pylist()
-            token, size, place = (rows[c].to_numpy() for c in ("token", "size", "place"))
-            label = np.unique(np.array([x.hex() for x in rows["label"].to_pylist()]), return_inverse=True)[1] if rows.num_rows else None
-            edge = np.concatenate([[0], np.flatnonzero(np.diff(token)) + 1, [len(token)]])
+            size, place, own = (rows[c].to_numpy() for c in ("size", "place", "own"))
+            label = rows["label"].combine_chunks().dictionary_encode().indices.to_numpy()
+            edge = np.concatenate([[0], np.flatnonzero(changes(rows)) + 1, [len(member)]])
             new = []
             for x, y in zip(edge[:-1], edge[1:], strict=True):
                 if y - x > 1:
-                    for i, others in pairs_of(size[x:y], place[x:y], label[x:y], percent):
+                    for i, others in pairs_of(size[x:y], place[x:y], label[x:y], percent, own[x:y]):
                         for j in others:
                             pair = (member[x + i], member[x + j])
                             pair = pair if pair[0] < pair[1] else pair[::-1]
@@ -198,21 +239,22 @@ def _candidates(postings: DataFrame, pairs_of: Callable, percent: int) -> DataFr
                                 new.append(pair)
             return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.binary()), pa.array([p[1] for p in new], pa.binary())], names=["a", "b"])
 
-        held: list[pa.RecordBatch] = []
+        def changes(rows: pa.Table) -> np.ndarray:
+            return np.any([np.diff(rows[c].to_numpy()) != 0 for c in ("token", "x", "y")], axis=0)
+
+        held: pa.Table | None = None
         for batch in batches:
-            held.append(batch)
-            rows = pa.Table.from_batches(held).combine_chunks()
-            token = rows["token"].to_numpy()
-            if not len(token) or token[0] == token[-1]:
-                continue  # the last list may go on
-            cut = len(token) - int(np.argmax(token[::-1] != token[-1]))
-            yield found(rows.slice(0, cut))
-            held = rows.slice(cut).to_batches()
-        if held:
-            yield found(pa.Table.from_batches(held).combine_chunks())
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            at = np.flatnonzero(changes(rows))
+            cut = int(at[-1]) + 1 if len(at) else 0  # the last cell may go on
+            if cut:
+                yield found(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None and held.num_rows:
+            yield found(held)
 
-    dealt = postings.repartition("token").sortWithinPartitions("token", "place", "member")
-    return dealt.select("token", "member", "size", "place", "label").mapInArrow(run, "a binary, b binary").distinct()
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def _first_shared(x: np.ndarray, y: np.ndarray) -> tuple[int, int] | None:
@@ -275,15 +317,22 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _class_labels(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(node, label) of the set classes that have links."""
+    """(node, label) of the set classes that have links.
+
+    First every list is compared with its leading members; then one pair for every two labels that still meet in a list;
+    then every pair whose labels still differ. After each step what is verified joins the links.
+    """
     members = materialize(_members(docs, text, words, percent), "jaccard-members")
     postings = members.where(F.col("token").isNotNull()).select("token", "member", "size", "place")
     sets = members.where(F.col("token").isNull()).select("member", "size", "heads", "tokens")
-    links = materialize(_verified(_candidates(postings.withColumn("label", F.col("member")), _hub_pairs, percent), sets, percent), "jaccard-links")
+    links = materialize(_verified(_led_pairs(postings, percent), sets, percent), "jaccard-links")
     labels = components(links)
-    known = postings.join(labels.withColumnRenamed("node", "member"), "member", "left").withColumn("label", F.coalesce("label", "member"))
-    more = materialize(_verified(_candidates(known, _unlinked_pairs, percent), sets, percent), "jaccard-links")
-    return labels if more.isEmpty() else components(links.unionByName(more))
+    for pairs_of in (_one_each, _unlinked):
+        more = materialize(_verified(_candidates(postings, labels, pairs_of, percent), sets, percent), "jaccard-links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+    return labels
 
 
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

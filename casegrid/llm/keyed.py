@@ -14,70 +14,124 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, text_volume
+from .common import give_back, materialize, text_volume
 
-#: Characters of text for each chunk, and for each part of the keys: what a Python worker of some 400 MB holds. There is a
-#: row for each chunk and part, of some 100 bytes besides its keys, so at these sizes rows cost less than keys up to
-#: 0.4 TB of text. Larger executors should raise both: with 64 and 200 million that point is beyond 150 TB.
+#: Characters of text for each chunk, and for each part of the keys: what a Python worker of some 400 MB holds. A chunk has
+#: a row for each part that it has keys in, so there are never more rows than keys; with larger executors raise both, as
+#: then a row holds more keys (64 and 200 million suit workers of 8 GB).
 CHUNK_CHARS, PART_CHARS = 3_000_000, 9_000_000
-_ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_ANSWER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("answer", pa.binary())])
+_ASK = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("tally", pa.list_(pa.int64()))])
+_ANSWER = pa.schema([("chunk", pa.int32()), ("part", pa.int32()), ("answer", pa.binary()), ("tally", pa.list_(pa.int64()))])
+#: Bins of a tally: counts by the number of their bits.
+BINS = 48
 
 
 def pack(x: np.ndarray) -> bytes:
-    """64-bit integers as planes of bytes, lowest first: the planes of high bytes, mostly zero, nearly vanish when Spark
-    compresses a shuffle block."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """64-bit integers as planes of bytes, lowest first, compressed: planes of high bytes are mostly zero."""
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpack(data: pa.BinaryScalar) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def unpack(data: pa.BinaryScalar | bytes) -> np.ndarray:
+    raw = memoryview(data.as_buffer() if isinstance(data, pa.Scalar) else data)
+    n = int.from_bytes(raw[:8], "little")
+    planes = pa.decompress(raw[8:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def sizes(texts: DataFrame, column: str = "text") -> tuple[int, int]:
-    """(chunks, parts) for the texts."""
+def sizes(texts: DataFrame, column: str = "text") -> tuple[int, int, int]:
+    """(chunks, parts, bits of the volume) for the texts."""
     volume = text_volume(texts, column)
-    return max(1, -(-volume // CHUNK_CHARS)), max(1, -(-volume // PART_CHARS))
+    return max(1, -(-volume // CHUNK_CHARS)), max(1, -(-volume // PART_CHARS)), volume.bit_length()
 
 
-def exchange(chunked: DataFrame, parts: int, ask: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], use: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """use(chunk's rows, totals, sums) of every chunk.
+def tally(counts: np.ndarray) -> np.ndarray:
+    """How many of the counts have so many bits each, and their sums: 2 * BINS numbers."""
+    bits = np.minimum(np.frexp(counts.astype(np.float64))[1], BINS - 1)
+    return np.concatenate([np.bincount(bits, minlength=BINS), np.bincount(bits, weights=counts, minlength=BINS)]).astype(np.int64)
 
-    chunked has an int column chunk. ask(rows) gives the chunk's distinct keys (uint64, ascending) and what it counts of
-    each (unsigned). totals are the counts of these keys in all chunks; sums = (all counts, number of keys counted at
-    all, number of even keys counted at all).
-    The rows of a chunk are dealt once and read by both steps.
+
+def tallies(keys: np.ndarray, counts: np.ndarray, kinds: int) -> list[int]:
+    """The tallies of the counts of each kind of keys; a key's kind is its value in the lowest two bits."""
+    kind = (keys & np.uint64(3)).astype(np.int64)
+    return np.concatenate([tally(counts[kind == k]) for k in range(kinds)]).tolist() if kinds else []
+
+
+def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds: int = 0, known: DataFrame | None = None) -> DataFrame:
+    """(chunk, part, answer, tally): what the chunks asked for, to be given to use_counts().
+
+    chunked has an int column chunk. ask(rows) gives the chunk's distinct keys (uint64 of width bits, ascending) and what
+    it counts of each (unsigned); with known, earlier answers, it is ask(rows, answers) and gives a third value too, the
+    tallies of counts that it knows without asking. Rows with a tally have no chunk: add_tallies() sums them up.
     """
+    edges = np.array([(i << width) // parts for i in range(parts)], np.uint64)
 
-    def asking(rows: pa.Table) -> pa.Table:
+    def asked(rows: pa.Table, answers: pa.Table | None) -> pa.Table:
         give_back()
-        keys, counts = ask(rows)
+        if not rows.num_rows:
+            raise ValueError("an answer without its chunk")
+        keys, counts, *own = ask(rows) if answers is None else ask(rows, answers)
         number = rows["chunk"][0].as_py()
-        edge = np.searchsorted(keys, np.array([(i << 64) // parts for i in range(parts)], np.uint64)).tolist() + [len(keys)]
-        cut = [(edge[i], edge[i + 1]) for i in range(parts)]
-        return pa.table([list(range(parts)), [number] * parts, [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cut], [pack(counts[a:b]) for a, b in cut]], schema=_ASK)
+        edge = np.append(np.searchsorted(keys, edges), len(keys))
+        held = np.flatnonzero(edge[1:] > edge[:-1])
+        cut = [(int(edge[i]), int(edge[i + 1])) for i in held]
+        packed = [[pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cut], [pack(counts[a:b]) for a, b in cut]]
+        extra = [x for x in own if len(x)]
+        columns = [held.tolist() + [0] * len(extra), [number] * len(cut) + [None] * len(extra), *(x + [None] * len(extra) for x in packed), [None] * len(cut) + extra]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ASK, strict=True)], schema=_ASK)
 
     def answering(rows: pa.Table) -> pa.Table:
         give_back()
+        told = [x for x in rows["tally"].to_pylist() if x is not None]
+        rows = rows.filter(pa.compute.is_valid(rows["chunk"]))
         keys = [np.cumsum(unpack(x)) for x in rows["keys"]]
         counts = [unpack(x) for x in rows["counts"]]
-        all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts), minlength=len(all_keys)).astype(np.uint64)
-        head = np.array([total.sum(), np.count_nonzero(total), np.count_nonzero(total[all_keys & np.uint64(1) == 0])], np.uint64)
-        edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-        answers = [pack(np.concatenate([head, total[at[edge[i] : edge[i + 1]]]])) for i in range(len(keys))]
-        return pa.table([rows["chunk"], rows["part"], answers], schema=_ANSWER)
+        answers: list[bytes] = []
+        if keys:
+            all_keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, weights=np.concatenate(counts), minlength=len(all_keys)).astype(np.uint64)
+            edge = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+            # With each total goes whether other chunks asked for the key.
+            answer = total << np.uint64(1) | (np.bincount(at) > 1)
+            answers = [pack(answer[at[edge[i] : edge[i + 1]]]) for i in range(len(keys))]
+            told.append(tallies(all_keys, total, kinds))
+        told = [np.sum(told, axis=0).tolist()] if kinds and told else []
+        columns = [rows["chunk"].to_pylist() + [None] * len(told), rows["part"].to_pylist() + [None] * len(told), answers + [None] * len(told), [None] * len(answers) + told]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWER, strict=True)], schema=_ANSWER)
+
+    schema = "part int, chunk int, keys binary, counts binary, tally array<long>"
+    if known is None:
+        asks = chunked.groupBy("chunk").applyInArrow(lambda rows: asked(rows, None), schema)
+    else:
+        asks = chunked.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(asked, schema)
+    return materialize(asks.groupBy("part").applyInArrow(answering, "chunk int, part int, answer binary, tally array<long>"), "counted-keys")
+
+
+def add_tallies(answers: DataFrame) -> list[int]:
+    """The sums of the tallies, a fixed number of them."""
+    each = answers.where(F.col("tally").isNotNull()).select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n"))
+    return [r["n"] for r in sorted(each.collect())]
+
+
+def chunk_answers(answers: DataFrame) -> DataFrame:
+    return answers.where(F.col("chunk").isNotNull()).select("chunk", "part", "answer")
+
+
+def totals_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(totals, whether other chunks hold the key too) of the keys that a chunk asked for, in their order."""
+    got = np.concatenate([np.empty(0, np.uint64), *(unpack(x) for x in answers.sort_by("part")["answer"])])
+    return got >> np.uint64(1), (got & np.uint64(1)).astype(bool)
+
+
+def use_counts(chunked: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """use(chunk's rows, its answers) of every chunk. The rows of a chunk are dealt once and read by all steps of a plan."""
 
     def using(rows: pa.Table, answers: pa.Table) -> pa.Table:
         give_back()
         if not rows.num_rows:
             raise ValueError("an answer without its chunk")
-        ordered = answers.sort_by("part")
-        got = [unpack(x) for x in ordered["answer"]]
-        return use(rows, np.concatenate([g[3:] for g in got]), np.sum([g[:3] for g in got], axis=0))
+        return use(rows, answers)
 
-    asks = chunked.groupBy("chunk").applyInArrow(asking, "part int, chunk int, keys binary, counts binary")
-    answers = asks.groupBy("part").applyInArrow(answering, "chunk int, part int, answer binary")
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(using, schema)
 
 

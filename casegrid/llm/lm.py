@@ -1,110 +1,189 @@
 """Language-model scoring: a weighted backoff automaton over words.
 
-Training texts give counts of words and of word pairs. Every word that can stand before another is a state; a pair seen in
-training is an arc of its first word's state; and each state has a failure arc to the state without context, which has
-an arc for every word, seen or not. One pass from left to right over a text follows arcs, taking the failure arc where
-the state has none for the next word, and adds their log10 weights.
-
-Smoothing: P(w | h) = (c(h w) + MU P(w)) / (c(h) + MU), P(w) = (c(w) + 1) / (N + V + 1). So an arc weighs P(w | h), a
-failure arc MU / (c(h) + MU), and over all words, one of them standing for all unseen ones, each state sums to 1.
+Training texts give counts of words, of word pairs and of word triples. The states are the contexts seen in training: no
+word, one word, or two. An n-gram seen in training is an arc of its context's state; each state has a failure arc to the
+state of the context without its first word, and the state without context has an arc for every word, seen or not. One
+pass from left to right over a text carries the state, follows the state's arc for the next word or else its failure arc,
+and adds their log10 weights.
+
+Smoothing: P(w | h) = (c(h w) + mu P(w | h')) / (c(h) + mu), where h' is h without its first word and mu belongs to the
+length of h; P(w) = (c(w) + 1) / (N + V + 1). So an arc weighs P(w | h), a failure arc mu / (c(h) + mu), and over all words,
+one of them standing for all unseen ones, each state sums to 1. mu is what makes the n-grams that occur once as frequent
+as the model expects of n-grams that it hasn't seen when one token at a time is left out of training.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, lower_words, mix
-from .keyed import exchange, in_chunks, sizes
+from .common import hash_words, mix
+from .keyed import BINS, add_tallies, chunk_answers, count_keys, in_chunks, sizes, tallies, totals_of, use_counts
 
-#: Weight of the words' own distribution in a context, in observations. Of 1 to 1000 it gives the held-out texts of the
-#: 10,000 documents of the bench tables the highest probability: log10 -3.72 a token, against -4.19 for single words.
-MU = 300.0
-#: No word is a space, so its hash can stand for the end of a text, which is also the state in which texts begin.
-END = xxhash.xxh64_intdigest(b" ")
+#: The token at the end of a text, which is also the context in which texts begin.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Bits of a key beyond those of the volume of text: one n-gram in some hundred million shares its key with another.
+KEY_BITS = 27
+WORD, PAIR, TRIPLE = 0, 1, 2
 
 
-def _tokens(texts: pa.ChunkedArray, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words and ends, where each text begins with the total last)."""
-    found, edge = [], [0]
-    for t in texts.cast(pa.large_binary()).to_pylist():
-        words = lower_words(t)
-        found.append(np.append(hashes.of(words), np.uint64(END)))
-        edge.append(edge[-1] + len(words) + 1)
-    return np.concatenate(found) if found else np.empty(0, np.uint64), np.array(edge)
-
-
-def _keys(tokens: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of each token alone, and of each token after the one before it (an end before a text's first)."""
-    before = np.roll(tokens, 1)
-    before[edge[:-1]] = np.uint64(END)
-    alone = mix(tokens)
-    # Words' keys are even and pairs' odd, so that they never meet.
-    return alone & ~np.uint64(1), mix(mix(before) * np.uint64(3) + alone) | np.uint64(1)
+    found, counts, column = [], [], texts.combine_chunks()
+    for at in range(0, len(column), 250):
+        words, edge = hash_words(column.slice(at, 250))
+        found.append(np.insert(words, edge[1:], END))
+        counts.append(np.diff(edge) + 1)
+    return np.concatenate([np.empty(0, np.uint64), *found]), np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *counts]))])
+
+
+class Places:
+    """The n-grams that end at each token of some texts, as keys of width bits whose lowest two tell their length."""
+
+    def __init__(self, texts: pa.ChunkedArray, width: int) -> None:
+        tokens, self.edge = _tokens(texts)
+        self.first = np.zeros(len(tokens), bool)
+        self.first[self.edge[:-1]] = True
+        before = np.roll(tokens, 1)
+        before[self.first] = END
+        word = mix(tokens)
+        pair = mix(mix(before) * np.uint64(3) + word)
+        triple = mix(np.roll(pair, 1) * np.uint64(5) + word)  # a text's first token ends none
+        short = lambda x, kind: (x >> np.uint64(64 - width)) & ~np.uint64(3) | np.uint64(kind)
+        self.word, self.pair, self.triple = short(word, WORD), short(pair, PAIR), short(triple, TRIPLE)
+        self.end = short(mix(np.array([END])), WORD)[0]
+
+    def training(self, held_out: pa.ChunkedArray) -> np.ndarray:
+        return np.repeat(~np.array(held_out.to_pylist(), bool), np.diff(self.edge))
+
+    def short_keys(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys of words and pairs, their training counts here, the numbers of each token's word and then pair)."""
+        keys, at = np.unique(np.concatenate([self.word, self.pair]), return_inverse=True)
+        return keys, np.bincount(at, weights=np.tile(training, 2), minlength=len(keys)).astype(np.int64), at
+
+    def long_keys(self, training: np.ndarray, shared: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys of triples, their training counts here, the number of each token's triple, which of them other
+        chunks may hold: those both of whose pairs they do)."""
+        elsewhere = shared[at[len(self.word) :]]
+        open_ = elsewhere & np.roll(elsewhere, 1)
+        keys, first, number = np.unique(self.triple, return_index=True, return_inverse=True)
+        counts = np.bincount(number, weights=training & ~self.first, minlength=len(keys)).astype(np.int64)
+        asked = np.zeros(len(keys), bool)
+        asked[number[open_ & ~self.first]] = True
+        return keys, counts, number, asked
 
 
 class Automaton:
-    """The part of the automaton that some texts can reach: counts of their words and pairs, and the training totals."""
-
-    def __init__(self, word_counts: np.ndarray, pair_counts: np.ndarray, pair_state: np.ndarray, pair_word: np.ndarray, total: float, kinds: float, mu: float = MU) -> None:
-        self.word = np.log10((word_counts + 1.0) / (total + kinds + 1.0))
-        self.fail = np.log10(mu / (word_counts + mu))
-        seen = pair_counts > 0
-        context = word_counts[pair_state]
-        smoothed = (pair_counts + mu * 10.0 ** self.word[pair_word]) / (context + mu)
-        # An arc where the pair was seen; elsewhere the failure arc and then the word's own.
-        self.step = np.where(seen, np.log10(smoothed), self.fail[pair_state] + self.word[pair_word])
-
-    def traverse(self, path: np.ndarray, edge: np.ndarray) -> np.ndarray:
-        """Log10 probability of each text: path has the numbers of the pairs that it steps through, edge where texts begin."""
-        return np.add.reduceat(self.step[path], edge[:-1]) if len(path) else np.empty(0)
+    """The part of the automaton that some texts can reach, by the token that each arc is for.
 
+    counts: of the word, pair and triple that end at each token; contexts: of the contexts that those have, the empty one
+    first; kinds: distinct words of the training texts.
+    """
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, mu: float = MU) -> DataFrame:
+    def __init__(self, counts: list[np.ndarray], contexts: list[np.ndarray], kinds: int, mu: list[float]) -> None:
+        self.counts, self.contexts = counts, contexts
+        p = (counts[WORD] + 1.0) / (contexts[0] + kinds + 1.0)
+        self.arc, self.fail = [np.log10(p)], [np.zeros(len(p))]
+        for c, h, m in zip(counts[1:], contexts[1:], mu, strict=True):
+            p = (c + m * p) / (h + m)
+            self.arc.append(np.log10(p))
+            self.fail.append(np.log10(m / (h + m)))
+
+    def traverse(self, edge: np.ndarray) -> np.ndarray:
+        """Log10 probability of each text. The state carried to a token is the longest context that training has seen; as
+        that depends on the n-grams that end before it only, all texts go through their tokens together."""
+        state = np.zeros(len(self.arc[0]), np.int64)
+        for order in range(1, len(self.arc)):
+            state[self.contexts[order] > 0] = order
+        weight = np.zeros(len(state))
+        for order in range(len(self.arc) - 1, -1, -1):
+            here = state == order
+            known = here & ((self.counts[order] > 0) if order else True)
+            weight[known] += self.arc[order][known]
+            failing = here & ~known
+            weight[failing] += self.fail[order][failing]
+            state[failing] -= 1
+        return np.add.reduceat(weight, edge[:-1]) if len(weight) else np.empty(0)
+
+
+def fitted_mu(context: np.ndarray, n_gram: np.ndarray) -> float:
+    """The weight of the shorter context's distribution, from two tallies: of the contexts' counts and of the n-grams'.
+
+    With a token left out, its n-gram is new to the model where it occurs once; the model expects that of a token after a
+    context of count c with probability mu / (c - 1 + mu). mu makes both agree over all tokens, by bisection."""
+    keys, tokens = np.array(context, float).reshape(2, BINS)
+    once = float(n_gram[1])
+    held = keys > 0
+    c, t = tokens[held] / keys[held], tokens[held]
+    low, high = -10.0, 20.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if (t * 2**mid / (c - 1 + 2**mid)).sum() < once else (low, mid)
+    return 2 ** ((low + high) / 2)
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, mu: list[float] | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row.
 
     held_out: a boolean Column over docs; rows where it isn't true are learnt from. By default those whose crc32 of the id
     as text leaves 2 by 7 are held out; null ids are learnt from. Words are parted by ASCII white space, A-Z lower-cased;
     every text ends with one end token, so a null or empty text has one token. Repeated rows are learnt from and scored
-    each. Other columns aren't read. An empty table gives none.
+    each. Other columns aren't read. An empty table gives none. mu: weights for contexts of one word and of two; by default
+    they come from the training counts.
 
-    Every chunk of documents asks for the counts of its own words and pairs, so no task or driver holds the whole model.
-    Words are told apart by 64-bit hashes.
+    Every chunk of documents asks for the counts of its own words and pairs, and then of those triples that other chunks
+    can have, so no task or driver holds the whole model. Words and n-grams are told apart by hashes that are KEY_BITS
+    longer than the logarithm of the volume of text, up to 64 bits.
     """
     held = (F.crc32(F.col(f"`{id_col}`").cast("string")) % 7 == 2) if held_out is None else held_out
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    chunks, parts = sizes(rows)
+    chunks, parts, bits = sizes(rows)
+    width = min(64, bits + KEY_BITS)
+    chunked = in_chunks(rows, chunks, "id", "text")
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def ask(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        tokens, edge = _tokens(rows["text"], WordHashes())
-        training = np.repeat(~np.array(rows["held_out"].to_pylist(), bool), np.diff(edge))
-        keys, at = np.unique(np.concatenate(_keys(tokens, edge)), return_inverse=True)
-        return keys, np.bincount(at, weights=np.tile(training, 2), minlength=len(keys))
-
-    def use(rows: pa.Table, totals: np.ndarray, sums: np.ndarray) -> pa.Table:
-        tokens, edge = _tokens(rows["text"], WordHashes())
-        words, pairs = _keys(tokens, edge)
-        keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-        counts = totals.astype(np.float64)
-        word_at, pair_at = at[: len(words)], at[len(words) :]
-        before = np.roll(word_at, 1)
-        end = mix(np.array([END], np.uint64)) & ~np.uint64(1)
-        before[edge[:-1]] = np.searchsorted(keys, end[0])
-        _, first = np.unique(pair_at, return_index=True)
-        # Numbers of the words and of the pairs among all keys; arrays over keys leave the other kind unused.
-        state, word = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        state[pair_at[first]], word[pair_at[first]] = before[first], word_at[first]
-        # Every training token counts once as a word and once as a pair; kinds are of words only.
-        n, kinds = float(sums[0]) / 2, float(sums[2])
-        model = Automaton(counts, counts, state, word, n, kinds, mu)
-        known = np.add.reduceat((counts[word_at] > 0).astype(np.int64), edge[:-1])
-        base = np.add.reduceat(model.word[word_at], edge[:-1])
-        columns = [rows["id"], rows["held_out"], np.diff(edge), known, np.full(len(known), int(n)), base, model.traverse(pair_at, edge)]
+    def ask_short(rows: pa.Table) -> tuple:
+        places = Places(rows["text"], width)
+        return places.short_keys(places.training(rows["held_out"]))[:2]
+
+    def ask_long(rows: pa.Table, answers: pa.Table) -> tuple:
+        places = Places(rows["text"], width)
+        training = places.training(rows["held_out"])
+        _, _, at = places.short_keys(training)
+        keys, counts, _, asked = places.long_keys(training, totals_of(answers)[1], at)
+        return keys[asked], counts[asked], tallies(keys[~asked], counts[~asked], 3)
+
+    short = count_keys(chunked, parts, width, ask_short, kinds=2)
+    known = chunk_answers(short)
+    long = count_keys(chunked, parts, width, ask_long, kinds=3, known=known)
+    levels = [add_tallies(short), add_tallies(long)]
+    level = lambda kind: np.array((levels[kind == TRIPLE] or [0] * 6 * BINS)[2 * BINS * kind :][: 2 * BINS])
+    n, kinds = int(level(WORD)[BINS:].sum()), int(level(WORD)[1:BINS].sum())
+    mu = mu or [fitted_mu(level(k), level(k + 1)) for k in (WORD, PAIR)]
+
+    def use(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        places = Places(rows["text"], width)
+        training = places.training(rows["held_out"])
+        keys, _, at = places.short_keys(training)
+        step = np.array(answers["step"].to_pylist())
+        totals, shared = totals_of(answers.filter(pa.array(step == 1)))
+        totals = totals.astype(np.int64)
+        _, triples, number, asked = places.long_keys(training, shared, at)
+        triples[asked] = totals_of(answers.filter(pa.array(step == 2)))[0].astype(np.int64)
+        word, pair = totals[at].reshape(2, -1)
+        triple = np.where(places.first, 0, triples[number])
+        # Contexts: none, the word before (an end before a text's first), and the pair before.
+        before = np.roll(word, 1)
+        ends = np.searchsorted(keys, places.end)
+        before[places.first] = totals[ends]
+        automaton = Automaton([word, pair, triple], [np.full(len(word), n), before, np.where(places.first, 0, np.roll(pair, 1))], kinds, mu)
+        known = np.add.reduceat((word > 0).astype(np.int64), places.edge[:-1])
+        base = np.add.reduceat(automaton.arc[0], places.edge[:-1])
+        columns = [rows["id"], rows["held_out"], np.diff(places.edge), known, np.full(len(known), n), base, automaton.traverse(places.edge)]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return exchange(in_chunks(rows, chunks, "id", "text"), parts, ask, use, schema).withColumnRenamed("id", id_col)
+    told = known.withColumn("step", F.lit(1)).unionByName(chunk_answers(long).withColumn("step", F.lit(2)))
+    return use_counts(chunked, told, use, schema).withColumnRenamed("id", id_col)

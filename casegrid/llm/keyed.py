@@ -13,8 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import give_back, materialize, text_volume
+from .common import give_back, text_volume
 
 #: Characters of text for each chunk, and for each part of the keys: what a Python worker of some 400 MB holds. A chunk has
 #: a row for each part that it has keys in, so there are never more rows than keys; with larger executors raise both, as
@@ -62,7 +64,8 @@ def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds:
 
     chunked has an int column chunk. ask(rows) gives the chunk's distinct keys (uint64 of width bits, ascending) and what
     it counts of each (unsigned); with known, earlier answers, it is ask(rows, answers) and gives a third value too, the
-    tallies of counts that it knows without asking. Rows with a tally have no chunk: add_tallies() sums them up.
+    tallies of counts that it knows without asking. Rows with a tally have no chunk: spread_tallies() sums them up.
+    Nothing runs yet: in one plan the chunks' rows, and answers that several steps use, are shuffled once.
     """
     edges = np.array([(i << width) // parts for i in range(parts)], np.uint64)
 
@@ -104,13 +107,14 @@ def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds:
         asks = chunked.groupBy("chunk").applyInArrow(lambda rows: asked(rows, None), schema)
     else:
         asks = chunked.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(asked, schema)
-    return materialize(asks.groupBy("part").applyInArrow(answering, "chunk int, part int, answer binary, tally array<long>"), "counted-keys")
+    return asks.groupBy("part").applyInArrow(answering, "chunk int, part int, answer binary, tally array<long>")
 
 
-def add_tallies(answers: DataFrame) -> list[int]:
-    """The sums of the tallies, a fixed number of them."""
+def spread_tallies(answers: DataFrame, chunks: int) -> DataFrame:
+    """(chunk, tally): the sums of the tallies, a fixed number of them, for every chunk."""
     each = answers.where(F.col("tally").isNotNull()).select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n"))
-    return [r["n"] for r in sorted(each.collect())]
+    whole = each.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("tally"))
+    return whole.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "tally")
 
 
 def chunk_answers(answers: DataFrame) -> DataFrame:
@@ -124,13 +128,16 @@ def totals_of(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def use_counts(chunked: DataFrame, answers: DataFrame, use: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """use(chunk's rows, its answers) of every chunk. The rows of a chunk are dealt once and read by all steps of a plan."""
+    """use(chunk's rows, what is told to it) of every chunk that has rows."""
+    nothing = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
-    def using(rows: pa.Table, answers: pa.Table) -> pa.Table:
+    def using(rows: pa.Table, told: pa.Table) -> pa.Table:
         give_back()
-        if not rows.num_rows:
+        if rows.num_rows:
+            return use(rows, told)
+        if told["answer"].null_count < told.num_rows:
             raise ValueError("an answer without its chunk")
-        return use(rows, answers)
+        return nothing
 
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(using, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import hash_words, mix
-from .keyed import BINS, add_tallies, chunk_answers, count_keys, in_chunks, sizes, tallies, totals_of, use_counts
+from .keyed import BINS, chunk_answers, count_keys, in_chunks, sizes, spread_tallies, tallies, totals_of, use_counts
 
 #: The token at the end of a text, which is also the context in which texts begin.
 END = np.uint64(0x5851F42D4C957F2D)
@@ -158,32 +158,41 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     short = count_keys(chunked, parts, width, ask_short, kinds=2)
     known = chunk_answers(short)
     long = count_keys(chunked, parts, width, ask_long, kinds=3, known=known)
-    levels = [add_tallies(short), add_tallies(long)]
-    level = lambda kind: np.array((levels[kind == TRIPLE] or [0] * 6 * BINS)[2 * BINS * kind :][: 2 * BINS])
-    n, kinds = int(level(WORD)[BINS:].sum()), int(level(WORD)[1:BINS].sum())
-    mu = mu or [fitted_mu(level(k), level(k + 1)) for k in (WORD, PAIR)]
+
+    def told(answers: pa.Table, step: int) -> pa.Table:
+        return answers.filter(pa.compute.equal(answers["step"], step))
+
+    def level(answers: pa.Table, kind: int) -> np.ndarray:
+        """A tally of the whole training set."""
+        sums = told(answers, 4 if kind == TRIPLE else 3)["tally"][0].as_py() or [0] * 6 * BINS
+        return np.array(sums[2 * BINS * kind :][: 2 * BINS])
 
     def use(rows: pa.Table, answers: pa.Table) -> pa.Table:
         places = Places(rows["text"], width)
         training = places.training(rows["held_out"])
         keys, _, at = places.short_keys(training)
-        step = np.array(answers["step"].to_pylist())
-        totals, shared = totals_of(answers.filter(pa.array(step == 1)))
+        totals, shared = totals_of(told(answers, 1))
         totals = totals.astype(np.int64)
         _, triples, number, asked = places.long_keys(training, shared, at)
-        triples[asked] = totals_of(answers.filter(pa.array(step == 2)))[0].astype(np.int64)
+        triples[asked] = totals_of(told(answers, 2))[0].astype(np.int64)
         word, pair = totals[at].reshape(2, -1)
         triple = np.where(places.first, 0, triples[number])
         # Contexts: none, the word before (an end before a text's first), and the pair before.
         before = np.roll(word, 1)
         ends = np.searchsorted(keys, places.end)
         before[places.first] = totals[ends]
-        automaton = Automaton([word, pair, triple], [np.full(len(word), n), before, np.where(places.first, 0, np.roll(pair, 1))], kinds, mu)
+        words, pairs = level(answers, WORD), level(answers, PAIR)
+        n, kinds = int(words[BINS:].sum()), int(words[1:BINS].sum())
+        weights = mu or [fitted_mu(words, pairs), fitted_mu(pairs, level(answers, TRIPLE))]
+        automaton = Automaton([word, pair, triple], [np.full(len(word), n), before, np.where(places.first, 0, np.roll(pair, 1))], kinds, weights)
         known = np.add.reduceat((word > 0).astype(np.int64), places.edge[:-1])
         base = np.add.reduceat(automaton.arc[0], places.edge[:-1])
         columns = [rows["id"], rows["held_out"], np.diff(places.edge), known, np.full(len(known), n), base, automaton.traverse(places.edge)]
         return pa.table([c if isinstance(c, pa.ChunkedArray) else pa.array(c) for c in columns], names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    told = known.withColumn("step", F.lit(1)).unionByName(chunk_answers(long).withColumn("step", F.lit(2)))
-    return use_counts(chunked, told, use, schema).withColumnRenamed("id", id_col)
+    none = F.lit(None)
+    answers = [known.select("chunk", "part", "answer", F.lit(1).alias("step"), none.cast("array<long>").alias("tally")), chunk_answers(long).select("chunk", "part", "answer", F.lit(2).alias("step"), none.cast("array<long>").alias("tally"))]
+    sums = [spread_tallies(x, chunks).select("chunk", none.cast("int").alias("part"), none.cast("binary").alias("answer"), F.lit(step).alias("step"), "tally") for x, step in ((short, 3), (long, 4))]
+    everything = answers[0].unionByName(answers[1]).unionByName(sums[0]).unionByName(sums[1])
+    return use_counts(chunked, everything, use, schema).withColumnRenamed("id", id_col)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .rank import small
+
 
 def calendar(spark: SparkSession, first: str, last: str, holidays: DataFrame) -> DataFrame:
     """(day, open, next_open) for each day: the first day from it on that is neither on a weekend nor a holiday.
@@ -69,8 +71,8 @@ def transit_days_lookup(rows: DataFrame, agency: str, address: str, matrix: Data
     table = matrix.select(F.col("agency").alias("m_agency_"), F.col("residence").alias("m_key_"), F.col("days").alias("transit_days"))
     city_of = F.coalesce(*[F.when(F.col("residence").startswith(c), F.lit(c)) for c in cities], F.lit(None).cast("string"))
     spread = matrix.where(F.col("residence").isin(*groups)).groupBy(F.col("agency").alias("c_agency_"), city_of.alias("c_city_")).agg(F.min("days").alias("low_"), F.max("days").alias("high_"))
-    out = named.join(F.broadcast(table), (F.col("t_agency_") == F.col("m_agency_")) & (F.col("t_key_") == F.col("m_key_")), "left")
-    out = out.join(F.broadcast(spread), (F.col("t_agency_") == F.col("c_agency_")) & (F.col("t_city_") == F.col("c_city_")), "left")
+    out = named.join(small(table), (F.col("t_agency_") == F.col("m_agency_")) & (F.col("t_key_") == F.col("m_key_")), "left")
+    out = out.join(small(spread), (F.col("t_agency_") == F.col("c_agency_")) & (F.col("t_city_") == F.col("c_city_")), "left")
     days = F.coalesce("transit_days", F.when(F.col("low_") == F.col("high_"), F.col("low_")))
     note = F.when(F.col("low_") != F.col("high_"), F.concat(F.lit("住居所行政區不明，"), F.col("t_city_"), F.lit("各組相差"), (F.col("high_") - F.col("low_")).cast("string"), F.lit("日")))
     return out.withColumns({"transit_days": days, "transit_note": F.coalesce(note, F.lit(""))}).select(*rows.columns, "transit_days", "transit_note")
@@ -94,7 +96,7 @@ def deadline_check(rows: DataFrame, days: DataFrame, standard: int = 30) -> Data
     late_longer = F.when((basis == "stated_longer") & overdue, "beyond the stated period")
     of_basis = F.when(~basis.isin("statutory"), F.concat(F.lit("basis "), basis))
     computed = F.array_join(F.array_compact(F.array(no_filing, of_basis, late_longer, F.nullif(F.col("caveat"), F.lit("")))), ";")
-    none = F.when(basis == "undetermined", F.concat(F.lit("not computed, basis undetermined"))).otherwise(F.concat(F.lit("not computed, "), F.when(F.col("transit_note") != "", F.col("transit_note")).otherwise("travel days unknown")))
+    none = F.when(basis == "undetermined", F.concat(F.lit("not computed, basis undetermined"))).otherwise(F.concat(F.lit("not computed, "), F.when(F.col("due_raw_").isNotNull(), "due day beyond the calendar").when(F.col("transit_note") != "", F.col("transit_note")).otherwise("travel days unknown")))
     return rolled.withColumns({"overdue": overdue, "note": F.when(F.col("due").isNull(), none).otherwise(computed)}).withColumn("blocked", F.col("due").isNotNull() & (F.col("note") != "")).drop("due_raw_")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.functions.scalars import clause_key, format_minguo_date, nfkc, parse_minguo_date
+
 
 def in_order(pos: Column, value: Column) -> Column:
     """A group's values by position."""
@@ -132,3 +134,39 @@ def score_field(expected: Column, actual: Column, unsure: Column) -> Column:
     """correct, wrong, or unsure for what is honestly not stated."""
     blank = F.coalesce((F.trim(actual) == "") | (actual == "未載明"), F.lit(True))
     return F.when(unsure | blank, "unsure").when(expected == actual, "correct").otherwise("wrong")
+
+
+#: What a field holds that is honestly not stated, and the shell of a category's name.
+NOT_STATED, UNSORTED, SHELL = ["未載明", "未收錄", ""], "未分類", ("^違反", "事件$")
+
+
+def score_form(c: Column) -> Column:
+    """The form in which values are compared: compatibility form, no white space, one kind of dash, no trailing 號."""
+    return F.regexp_replace(F.translate(F.regexp_replace(nfkc(F.coalesce(c, F.lit(""))), r"(?U)\s+", ""), "–—－~〜", "-----"), "號$", "")
+
+
+def _three_way(unsure: Column, good: Column) -> Column:
+    return F.when(unsure, "unsure").when(F.coalesce(good, F.lit(False)), "correct").otherwise("wrong")
+
+
+def score_text(actual: Column, expected: Column, is_date: bool = False) -> Column:
+    """correct or wrong by the compared forms, dates by the day if they parse; unsure for what isn't stated."""
+    day = lambda c: F.coalesce(format_minguo_date(parse_minguo_date(c)), score_form(c)) if is_date else score_form(c)
+    return _three_way(score_form(actual).isin(NOT_STATED), day(actual) == day(expected))
+
+
+def score_category(actual: Column, expected: Column) -> Column:
+    """As score_text without the shell of the names; an unsorted case is unsure, and an empty key is never met."""
+    core = lambda c: F.regexp_replace(F.regexp_replace(score_form(c), SHELL[0], ""), SHELL[1], "")
+    return _three_way(score_form(actual).isin([*NOT_STATED, UNSORTED]), (core(expected) != "") & (core(actual) == core(expected)))
+
+
+def score_decision(actual: Column, expected: Column) -> Column:
+    """A result's type by equality only; unsure without a draft."""
+    return _three_way(F.regexp_replace(F.coalesce(actual, F.lit("")), r"(?U)\s+", "") == "", score_form(actual) == score_form(expected))
+
+
+def score_screening(passed: Column, clause: Column, note: Column, expected_passed: Column, expected_clause: Column) -> Column:
+    """A screening by its verdict and, if it failed, its clause; one that asks for review is unsure, whatever it says."""
+    same = F.coalesce(passed, F.lit(False)) == F.coalesce(expected_passed, F.lit(False))
+    return _three_way(F.regexp_replace(F.coalesce(note, F.lit("")), r"(?U)\s+", "") != "", same & (expected_passed | clause_key(score_form(clause)).eqNullSafe(expected_clause)))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.storage import numbered
+
+from .vectors import block_topk
+
 #: Rows of a query table that may be broadcast; beyond that Spark chooses the join itself.
 BROADCAST_ROWS = 10_000
 
@@ -25,13 +29,12 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, keep: Column | None = None) -> DataFrame:
     """(query_id, id, score, rank): each query's k most similar vectors other than itself; ties to the smaller id.
 
-    queries: (query_id, query_vec), a stated set that is broadcast if small; corpus: (id, vec, ...). keep filters the
-    corpus before similarities are computed. Only ids and scores are shuffled.
+    queries: (query_id, query_vec), a stated set; corpus: (id, vec, ...), ids being integers. keep filters the corpus before
+    similarities are computed. Both sides are scored in blocks (vectors.block_topk); the k best of each block are merged.
     """
     rows = corpus if keep is None else corpus.where(keep)
-    scored = rows.join(small(queries), F.col("id") != F.col("query_id")).select("query_id", "id", F.round(cosine(F.col("vec"), F.col("query_vec")), 6).alias("score"))
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return block_topk(queries, rows, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def entity_rank_dedup(hits: DataFrame, entity: str, by: list[str]) -> DataFrame:
@@ -125,15 +128,24 @@ def numeric_code_key(code: Column) -> Column:
 def append_only_ids(existing: DataFrame, incoming: DataFrame, key: str, order: list[Column], cache: DataFrame | None = None) -> DataFrame:
     """(key, id) of new keys: cached ids stay; other keys follow the largest id used so far, in the given order.
 
-    existing: (key, id). The running number is a window over all new keys, which are few against existing ones.
+    existing: (key, id). New keys are numbered by ranges of their order, so no task has to hold them all.
     """
     new = incoming.join(existing.select(key), key, "left_anti")
     known = existing.select("id") if cache is None else existing.select("id").union(cache.select("id"))
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    top = known.agg(F.max("id")).first()[0] or 0
     cached = new.limit(0).select(key).withColumn("id", F.lit(0).cast("long")) if cache is None else new.join(cache, key).select(key, "id")
     fresh = new if cache is None else new.join(cache.select(key), key, "left_anti")
-    numbered = fresh.crossJoin(F.broadcast(top)).withColumn("id", F.col("top") + F.row_number().over(W.orderBy(*order)))
-    return cached.unionByName(numbered.select(key, "id"))
+    return cached.unionByName(numbered(fresh, order, "id", top + 1).select(key, "id"))
+
+
+def full_ids(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """(key, id): all keys numbered from 1 in the given order."""
+    return numbered(rows, order, "id").select(key, "id")
+
+
+def code_places(codes: DataFrame, code: str) -> DataFrame:
+    """(code, place): codes like 27-1 in the order of their numbers."""
+    return numbered(codes.withColumn("code_key_", numeric_code_key(F.col(code))), ["code_key_", code], "place").select(code, "place")
 
 
 def deterministic_sample(pool: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from casegrid.functions import scalars as s
@@ -12,14 +9,13 @@ from casegrid.operators import corpus as k
 from casegrid.operators import lookup
 from casegrid.registry import query
 from casegrid.sources import files
+from casegrid.storage import scratch_path
 
 from . import adapters as a
 from .adapters import with_
 
 
-def _folder(spark, name):
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="casegrid-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = scratch_path
 
 
 @query("SELECT count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total FROM events")
@@ -193,6 +189,30 @@ def score_fields(spark, d):
     return answer_key_join(spark, d).select("doc_id", "field", k.score_field(F.col("expected"), F.col("actual"), F.col("doc_id") % 10 == 1).alias("score"))
 
 
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey AS p, o_orderdate::DATE AS day FROM orders)
+SELECT k, CASE WHEN p % 4 = 0 THEN 'unsure' WHEN p % 4 = 3 THEN 'wrong' ELSE 'correct' END AS number, CASE WHEN p % 5 = 0 THEN 'unsure' WHEN p % 5 = 1 THEN 'wrong' ELSE 'correct' END AS date,
+  CASE WHEN p % 3 = 0 THEN 'unsure' WHEN p % 3 = 1 THEN 'correct' ELSE 'wrong' END AS category, CASE WHEN p % 7 = 0 THEN 'unsure' WHEN p % 7 = 1 THEN 'wrong' ELSE 'correct' END AS decision,
+  CASE WHEN p % 11 = 0 THEN 'unsure' WHEN k % 2 <> p % 2 THEN 'wrong' WHEN p % 2 = 0 THEN 'correct' WHEN p % 3 = 0 THEN 'wrong' ELSE 'correct' END AS screening FROM x""")
+def score_answers(spark, d):
+    """Each kind of field against the answer key: spellings of one number, day, category or clause are the same answer."""
+    p, day = F.col("o_custkey"), F.to_date("o_orderdate")
+    key = F.concat(F.lit("字第41-"), p.cast("string"), F.lit("號"))
+    number = F.when(p % 4 == 0, "未載明").when(p % 4 == 1, F.concat(F.lit("字第４１–"), p.cast("string"))).when(p % 4 == 2, F.concat(F.lit("字第 41~"), p.cast("string"), F.lit("號"))).otherwise(F.concat(F.lit("字第42-"), p.cast("string")))
+    told = F.when(p % 5 == 0, "").when(p % 5 == 1, s.format_minguo_date(F.date_add(day, 1))).when(p % 5 == 2, s.format_minguo_date(day, "spaced")).otherwise(s.format_minguo_date(day, "short"))
+    kind = F.when(p % 3 == 0, "未分類").when(p % 3 == 1, "廢棄物清理法").otherwise("違反廢棄物清理法第27條事件")
+    draft = F.when(p % 7 == 0, " ").when(p % 7 == 1, "部分不受理部分駁回").otherwise("不受理")
+    clause = F.when(p % 3 == 0, "77條第二款").when(p % 3 == 1, "訴願法第 77 條第 8 款").otherwise("77條第八款")
+    screening = k.score_screening(F.col("o_orderkey") % 2 == 0, clause, F.when(p % 11 == 0, "to be confirmed"), p % 2 == 0, F.when(p % 2 == 1, "77(8)"))
+    return a.read(spark, d, "orders").select(
+        F.col("o_orderkey").alias("k"),
+        k.score_text(number, key).alias("number"),
+        k.score_text(told, s.format_minguo_date(day), True).alias("date"),
+        k.score_category(kind, F.lit("違反廢棄物清理法事件")).alias("category"),
+        k.score_decision(draft, F.lit("不受理")).alias("decision"),
+        screening.alias("screening"),
+    )
+
+
 @query(_JOINED + """, s AS (SELECT field, CASE WHEN doc_id % 10 = 1 OR actual IS NULL THEN 'unsure' WHEN expected = actual THEN 'correct' ELSE 'wrong' END AS score FROM j)
 SELECT field, count(*) FILTER (score = 'correct') AS correct, count(*) FILTER (score = 'wrong') AS wrong, count(*) FILTER (score = 'unsure') AS unsure, count(*) AS total, round(count(*) FILTER (score = 'wrong') / count(*), 3) AS wrong_rate FROM s GROUP BY ROLLUP (field)""")
 def tally(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from casegrid.operators import lookup, rank
 from casegrid.registry import query
+from casegrid.storage import materialize
 
 from . import adapters as a
 from .adapters import with_
@@ -77,7 +78,8 @@ g AS (SELECT query_id, entity, round(sum(score), 6) AS total, min(rank) AS f, co
 SELECT * EXCLUDE (f) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, f) AS rank FROM g) WHERE rank <= 10""")
 def document_score_sum(spark, d):
     hits = rank.vector_topk(a.query_vectors(spark, d), a.chunk_vectors(spark, d), 30).withColumn("entity", F.floor(F.col("id") / 5))
-    texts = a.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(F.broadcast(hits.select("id").distinct()), "id")
+    hits = materialize(hits, "hits")
+    texts = a.read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").join(rank.small(hits.select("id").distinct()), "id")
     return rank.document_score_sum(hits.join(texts, "id", "left"), "entity", ["query_id"], "text")
 
 
@@ -139,7 +141,7 @@ def pinned_cap(spark, d):
 fresh AS (SELECT * FROM articles WHERE law_id % 2 = 1 AND law_id % 5 <> 0), top AS (SELECT greatest((SELECT max(id) FROM known), (SELECT max(id) FROM cache)) AS t)
 SELECT law_key, id FROM cache UNION ALL SELECT law_key, t + row_number() OVER (ORDER BY law_name, article_no) FROM fresh, top""")
 def append_only_ids(spark, d):
-    rows = a.articles(spark, d).cache()
+    rows = materialize(a.articles(spark, d), "articles")
     known = rows.where("law_id % 2 = 0").select("law_key", F.col("law_id").alias("id"))
     cache = rows.where("law_id % 2 = 1 AND law_id % 5 = 0").select("law_key", (F.col("law_id") + 1000000).alias("id"))
     return rank.append_only_ids(known, rows.where("law_id % 2 = 1"), "law_key", [F.col("law_name"), F.col("article_no")], cache)
@@ -147,7 +149,7 @@ def append_only_ids(spark, d):
 
 @query(with_("articles") + """SELECT law_key, row_number() OVER (ORDER BY law_id >= 10, law_name, article_no) AS id FROM articles""")
 def full_id_assignment(spark, d):
-    return a.articles(spark, d).select("law_key", F.row_number().over(W.orderBy(F.col("law_id") >= 10, "law_name", "article_no")).alias("id"))
+    return rank.full_ids(a.articles(spark, d), "law_key", [F.col("law_id") >= 10, F.col("law_name"), F.col("article_no")])
 
 
 @query(with_("articles") + """SELECT law_key, law_id FROM articles WHERE article_no > 5 ORDER BY md5('seed-1' || law_key), law_key LIMIT 20""")
@@ -181,7 +183,7 @@ def carry_forward(spark, d):
 def numeric_code_sort(spark, d):
     size = F.col("p_size").cast("string")
     codes = a.read(spark, d, "part").select(F.when(F.col("p_partkey") % 3 == 0, F.concat_ws("-", size, (F.col("p_partkey") % 12).cast("string"))).otherwise(size).alias("code")).distinct()
-    return codes.select("code", F.row_number().over(W.orderBy(rank.numeric_code_key(F.col("code")), "code")).alias("place"))
+    return rank.code_places(codes, "code")
 
 
 @query("""WITH m AS (SELECT *, event_type = 'signup' AS rerun, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, sum((event_type = 'signup')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS seg FROM events),

@@ -185,6 +185,35 @@ def needs_review(spark, d):
     return _reviews(spark, d).select("k", "review")
 
 
+_CASES = """c AS (SELECT o_orderkey AS k, o_custkey AS p, o_orderstatus = 'F' AS ready FROM orders),
+s AS (SELECT l_orderkey AS k, bool_or((l_returnflag <> 'N' AND (l_linenumber > 1 OR l_partkey % 2 = 0)) OR l_partkey % 97 = 0) AS bad FROM lineitem GROUP BY 1)"""
+
+
+@query(f"""WITH {_CASES}, x AS (SELECT c.k, p, coalesce(bad, false) AS bad, p % 17 = 0 AS noted, p % 19 = 0 AS screened, k % 3 > 0 AS admissible, CASE k % 6 WHEN 0 THEN '駁回' WHEN 1 THEN '不受理' WHEN 2 THEN '撤銷另處' WHEN 3 THEN '部分不受理部分駁回' WHEN 4 THEN '原處分撤銷' END AS kind FROM c LEFT JOIN s USING (k))
+SELECT k, bad OR noted OR screened OR coalesce(admissible AND kind = '不受理' AND p % 5 > 0, false) OR (kind IS NOT NULL AND (p % 23 = 0 OR p % 29 = 0)) OR coalesce(kind <> '不受理' AND p % 31 = 0, false)
+  OR coalesce(kind = '部分不受理部分駁回', false) OR coalesce(kind = '撤銷另處' AND p % 2 = 0, false) OR p % 37 = 0 OR p % 41 = 0 OR p % 43 = 0 AS review FROM x""")
+def needs_review_sources(spark, d):
+    """needs_review from its ten sources, each rendered from the case's order, items and party."""
+    slot = F.struct(F.when(F.col("l_linenumber") == 1, "service").otherwise("appeal").alias("slot"), (F.col("l_returnflag") == "N").alias("matched"), F.when(F.col("l_partkey") % 2 == 0, "text").otherwise(" ").alias("text"), F.when(F.col("l_partkey") % 97 == 0, "n").otherwise("").alias("note"))
+    slots = a.read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.collect_list(slot).alias("slots"))
+    rows = a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("p")).join(slots, "k", "left")
+    k, p = F.col("k"), F.col("p")
+    kind = F.get(F.array(*map(F.lit, ["駁回", "不受理", "撤銷另處", r.PARTIAL, "原處分撤銷"])), (k % 6).cast("int"))
+    main = F.when(p % 29 == 0, "").when(p % 2 == 0, "main").otherwise("於30日內另為處分")
+    draft = F.when(kind.isNotNull(), F.struct(kind.alias("kind"), main.alias("main"), F.when(p % 31 == 0, " ").otherwise("fact").alias("fact"), F.when(p % 23 == 0, "").otherwise("reason").alias("reason")))
+    note = lambda n: F.when(p % n == 0, "to be confirmed")
+    review = r.case_needs_review(F.coalesce("slots", F.array().cast(slots.schema["slots"].dataType)), ["service"], note(17), note(19), k % 3 > 0, draft, p % 5 == 0, F.when(p % 37 == 0, F.array(F.lit("name"))), p % 41 != 0, p % 43 == 0)
+    return rows.select("k", review.alias("review"))
+
+
+@query(f"""WITH {_SCREEN}, x AS (SELECT k, passed, CASE k % 5 WHEN 0 THEN '部分不受理部分駁回' WHEN 1 THEN '不受理' WHEN 2 THEN '和解' WHEN 3 THEN '駁回' END AS kind FROM s)
+SELECT k, kind, CASE WHEN kind IS NULL THEN NULL WHEN kind = '和解' THEN false ELSE NOT (passed AND kind = '不受理') END AS allowed, CASE WHEN passed THEN 4 ELSE 5 END AS choices FROM x""")
+def allowed_result_types(spark, d):
+    kind = F.get(F.array(*map(F.lit, [r.PARTIAL, r.INADMISSIBLE, "和解", "駁回"])), (F.col("k") % 5).cast("int"))
+    passed = F.col("s.passed")
+    return _screenings(spark, d).select("k", kind.alias("kind"), r.result_allowed(passed, kind).alias("allowed"), F.size(r.allowed_results(passed)).alias("choices"))
+
+
 @query(f"""WITH {_REVIEW}, w AS (SELECT *, failed OR noted OR coalesce(result = '撤銷另處' AND k % 8 = 1, false) OR (result IS NULL AND status = 'done') AS review FROM v)
 SELECT k, CASE WHEN status = 'error' OR (status = 'collecting' AND failed) THEN '處理失敗' WHEN status = 'done' AND NOT review THEN '已審結' ELSE '審理中' END AS progress, CASE result WHEN '駁回' THEN 'reject' WHEN '撤銷另處' THEN 'pass' WHEN '其他' THEN 'accent' END AS seal FROM w""")
 def progress_and_result(spark, d):
@@ -200,20 +229,34 @@ def case_list_summary(spark, d):
 _TERMS = [("en", "the", True), ("en", "and", False), ("en", "of", False), ("de", "der", True), ("de", "und", False), ("fr", "les", True), ("fr", "une", False), ("es", "que", True), ("es", "los", False)]
 
 
+def _slot_terms():
+    return {slot: ([t for s, t, strong in _TERMS if s == slot and strong], [t for s, t, strong in _TERMS if s == slot and not strong]) for slot in dict.fromkeys(s for s, *_ in _TERMS)}
+
+
 @query(f"""WITH t(slot, term, strong) AS (VALUES {', '.join(f"('{a_}', '{b}', {c_})" for a_, b, c_ in _TERMS)}), x AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS b FROM documents),
 s AS (SELECT doc_id, slot, 3 * max((strong AND contains(b, term))::INT) + sum((NOT strong AND contains(b, term))::INT) AS score FROM x, t GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, slot DESC) AS n, count(*) OVER (PARTITION BY doc_id, score) AS same FROM s)
 SELECT doc_id, score::INT AS score, CASE WHEN score < 3 OR same > 1 THEN 'unknown' ELSE slot END AS slot FROM r WHERE n = 1""")
 def document_type_score(spark, d):
-    terms = spark.createDataFrame(_TERMS, "slot string, term string, strong boolean")
-    return r.document_type_score(a.read(spark, d, "documents"), "doc_id", F.col("text"), terms)
+    return r.document_type_score(a.read(spark, d, "documents"), "doc_id", F.col("text"), _slot_terms())
+
+
+@query(f"""WITH t(slot, term, strong) AS (VALUES {', '.join(f"('{a_}', '{b}', {c_})" for a_, b, c_ in _TERMS)}), x AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS b FROM documents),
+s AS (SELECT doc_id, lang, slot, 3 * max((strong AND contains(b, term))::INT) + sum((NOT strong AND contains(b, term))::INT) AS score FROM x, t GROUP BY 1, 2, 3),
+m AS (SELECT doc_id, lang, max(score) AS best FROM s GROUP BY 1, 2),
+w AS (SELECT m.doc_id, m.lang, best, count(*) AS n, any_value(slot) AS slot, string_agg(upper(slot), '、' ORDER BY position(slot IN 'en de fr es')) AS tied FROM m JOIN s ON m.doc_id = s.doc_id AND best = score GROUP BY ALL)
+SELECT doc_id, CASE WHEN best >= 3 AND n = 1 THEN slot = lang END AS matched, CASE WHEN best >= 3 AND n = 1 THEN 'rule' ELSE 'none' END AS method,
+  CASE WHEN best < 3 THEN '規則判斷特徵不足，無法確認文件類型' WHEN n > 1 THEN '規則判斷特徵在' || tied || '之間並列，無法確認文件類型' WHEN slot = lang THEN '符合' || upper(lang) || '的文字特徵' ELSE '文字特徵更接近' || upper(slot) || '，不是' || upper(lang) END AS note FROM w""")
+def document_type_check(spark, d):
+    check = r.document_type_check(F.col("text"), F.col("lang"), _slot_terms(), {x: x.upper() for x in ("en", "de", "fr", "es")})
+    return a.read(spark, d, "documents").select("doc_id", check.alias("c")).select("doc_id", "c.*")
 
 
 @query("""WITH p(profile, pos, ks) AS (VALUES ('a', 0, ['the ', 'this', 'zz']), ('b', 1, ['les ', 'une ', 'dans']), ('c', 2, ['tion', 'eaux', 'ing '])),
 s AS (SELECT doc_id, profile, pos, len(list_filter(ks, lambda k: contains(text, k))) AS n FROM documents, p), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, pos) AS i FROM s)
 SELECT doc_id, CASE WHEN n >= 2 THEN profile END AS profile FROM r WHERE i = 1""")
 def sample_keyword_match(spark, d):
-    profiles = spark.createDataFrame([("a", 0, ["the ", "this", "zz"]), ("b", 1, ["les ", "une ", "dans"]), ("c", 2, ["tion", "eaux", "ing "])], "profile string, pos int, keywords array<string>")
+    profiles = [("a", ["the ", "this", "zz"]), ("b", ["les ", "une ", "dans"]), ("c", ["tion", "eaux", "ing "])]
     return r.keyword_match(a.read(spark, d, "documents"), "doc_id", "text", profiles)
 
 
@@ -269,3 +312,34 @@ def deadline_facts(spark, d):
     )
     f = r.deadline_facts(text)
     return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), f["service"].alias("service"), f["filed"].alias("filed"), f["transit"].cast("long").alias("transit"), f["public_notice"].alias("public_notice"), f["problem"].alias("problem"))
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN 20 ELSE 30 END AS period, CASE WHEN o_custkey % 4 > 0 THEN o_orderdate::DATE + 1 END AS stated_start,
+  CASE o_custkey % 4 WHEN 1 THEN o_orderdate::DATE + 30 WHEN 2 THEN o_orderdate::DATE + 31 END AS stated_due, CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'N' || o_custkey || '市甲區乙路1號' ELSE '丁縣丙鄉' || o_custkey || '村' END AS residence FROM orders""")
+def deadline_statement(spark, d):
+    """What a record itself states: the correction's period, its own start and end of the period, and the residence."""
+    from casegrid.functions.scalars import format_minguo_date as era
+
+    day, p = F.to_date("o_orderdate"), F.col("o_custkey")
+    on = lambda n: era(F.date_add(day, n), "short")
+    start = F.concat(F.lit("期間應自送達之翌日"), on(1), F.lit("起算，"))
+    statement = F.when(p % 4 == 1, F.concat(start, F.lit("至"), on(30), F.lit("屆滿，惟訴願人遲至"), on(99), F.lit("提起。"))).when(p % 4 == 2, F.concat(start, F.lit("至"), on(30), F.lit("屆滿，以"), on(31), F.lit("代之。"))).when(p % 4 == 3, F.concat(start, F.lit("惟訴願人遲至"), on(99), F.lit("提起。"))).otherwise("無記載。")
+    home = F.when(p % 5 == 0, "住址：聯絡電話").when(p % 5 == 1, F.concat(F.lit("住址：聯絡電話\n住居所：N"), p.cast("string"), F.lit("市甲區乙路1號"))).otherwise(F.concat(F.lit("（地址：丁縣丙鄉"), p.cast("string"), F.lit("村）")))
+    text = F.concat(F.when(p % 3 == 0, "命於20日補正期間內補正。").otherwise(""), statement, F.lit("\n"), home, F.lit("\n"))
+    f = r.deadline_facts(text)
+    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), *[f[c].alias(c) for c in ("period", "stated_start", "stated_due", "residence")])
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey % 6 AS c, o_orderkey % 3 AS a, o_orderdate::DATE AS day FROM orders)
+SELECT k, CASE WHEN c = 5 THEN day + 7 WHEN c < 2 THEN day WHEN a > 0 THEN day + (a - 1)::INT END AS service, coalesce(c BETWEEN 2 AND 4 AND a > 0, false) AS self_reported,
+  CASE WHEN c BETWEEN 2 AND 4 AND a > 0 THEN CASE c WHEN 2 THEN 'missing_field' WHEN 3 THEN 'absent_slot' ELSE 'unreadable' END END AS fallback, CASE WHEN c < 2 AND a = 2 THEN day + 1 END AS disputed,
+  CASE WHEN c BETWEEN 2 AND 4 AND a = 0 THEN '期間未計算，送達日無法認定：抽到 0 個' END AS problem FROM x""")
+def deadline_facts_by_slot(spark, d):
+    """Certificate and appeal apart: the certificate's day, or why the appellant's own is taken, or what they dispute."""
+    from casegrid.functions.scalars import format_minguo_date as era
+
+    day, c, own = F.to_date("o_orderdate"), F.col("o_custkey") % 6, F.col("o_orderkey") % 3
+    certificate = F.when(c < 2, F.concat(F.lit("送達時間："), era(day, "short"), F.lit("上午。"))).when(c == 2, "本件文書已交付").when(c == 3, F.lit(" ")).when(c == 4, "※◎●□◆").otherwise("簽收日期為")
+    appeal = F.when(own > 0, F.concat(F.lit("收受或知悉行政處分日期："), era(F.date_add(day, own.cast("int") - 1), "short"))).otherwise("訴願人不服。")
+    f = r.deadline_facts_by_slot(appeal, certificate, service=F.when(c == 5, F.date_add(day, 7)))
+    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), *[f[x].alias(x) for x in ("service", "self_reported", "fallback", "disputed", "problem")])

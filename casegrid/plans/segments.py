@@ -15,6 +15,37 @@ from .adapters import with_
 from .corpus import _folder
 
 
+_DECISION = """上列訴願人因事件，決定如
+下：
+　主　文
+訴願{result}。
+{fact}　理　由
+一、按{law}。二、卷查{case}。
+綜上論結，決定如主文。
+{signed}"""
+
+
+@query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 7 = 0 THEN 'no signature' WHEN o_custkey % 7 = 1 THEN 'no main text' WHEN o_custkey % 7 = 2 THEN 'main text too long' END AS problem,
+  CASE WHEN o_custkey % 7 > 2 THEN '訴願' || o_orderpriority || '。' END AS main, CASE WHEN o_custkey % 7 > 2 THEN CASE WHEN o_custkey % 2 = 0 THEN '緣' || o_custkey || '不服。' ELSE '' END END AS fact FROM orders""")
+def split_decision_layouts(spark, d):
+    """Decisions rendered from orders: with and without facts, without signature or main text, with too long a one."""
+    p, k = F.col("o_custkey"), F.col("o_orderkey").cast("string")
+    parts = {
+        "result": F.when(p % 7 == 2, F.repeat(F.lit("長"), F.lit(300))).otherwise(F.col("o_orderpriority")),
+        "fact": F.when(p % 2 == 0, F.concat(F.lit("　事　實\n緣"), p.cast("string"), F.lit("不服。\n"))).otherwise(""),
+        "law": F.concat(F.lit("法"), k),
+        "case": F.concat(F.lit("本件"), k),
+        "signed": F.when(p % 7 == 0, "").otherwise("訴願審議委員會主任委員 某"),
+    }
+    text = F.lit(_DECISION)
+    for name, part in parts.items():
+        text = F.replace(text, F.lit("{" + name + "}"), part)
+    text = F.when(p % 7 == 1, F.replace(text, F.lit("　主　文"), F.lit(""))).otherwise(text)
+    got = s.decision_sections(text)
+    good = got["problem"].isNull()
+    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), got["problem"].alias("problem"), F.when(good, got["main"]).alias("main"), F.when(good, got["facts"]).alias("fact"))
+
+
 @query("SELECT doc_id, 'no main text' AS problem FROM documents")
 def split_decision_sections(spark, d):
     """None of these texts is a decision; the layouts of decisions are tested apart."""
@@ -135,7 +166,7 @@ def incremental_ingest_stream(spark, d):
     source, work = _folder(spark, "arrivals"), _folder(spark, "ingest")
     docs = a.read(spark, d, "documents").select("doc_id", "lang", F.length("text").alias("size"), F.lit(1).alias("version"))
     old = docs.where("doc_id % 3 = 0").withColumns({"size": F.lit(-1), "version": F.lit(0)})
-    docs.unionByName(old).repartition(4, "doc_id").write.parquet(source)
+    docs.unionByName(old).repartition("doc_id").write.parquet(source)
     arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(source)
     return jobs.ingest(arriving, "doc_id", "version", f"{work}/table", f"{work}/checkpoint").select("doc_id", "lang", "size")
 
@@ -144,7 +175,7 @@ def incremental_ingest_stream(spark, d):
 def case_stage_stream(spark, d):
     source, work = _folder(spark, "events"), _folder(spark, "stages")
     events = a.read(spark, d, "events").select("user_id", "event_type", "event_id")
-    events.repartition(3, "event_id").write.parquet(source)
+    events.repartition("event_id").write.parquet(source)
     arriving = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
     return jobs.stages(arriving, "user_id", "event_type", "event_id", f"{work}/out", f"{work}/checkpoint")
 

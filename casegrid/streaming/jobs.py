@@ -1,40 +1,103 @@
-"""Incremental jobs: idempotent arrival of chunks, and the current stage of each case."""
+"""Incremental jobs: idempotent arrival of chunks, and the current stage of each case.
+
+A job's table is a folder of changes: every batch writes its own, under its number, so a batch that is replayed after a
+failure is taken once, and a restart finds the table by its path alone. compact() folds the changes into a new base now
+and then, so that readers don't go through all batches ever written.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casegrid.operators.corpus import snapshot_upsert
+from casegrid.operators.lookup import pending_rows
+
+#: Batches since the last base from which a run ends with a compaction.
+COMPACT_FROM = 20
+
+
+def _write(rows: DataFrame, path: str, kind: str, number: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{path}/kind={kind}/upto={number}")
+
+
+def _begin(spark: SparkSession, schema, path: str) -> None:
+    """An empty base, so that there is a table before the first batch."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{path}/kind=base/upto=-1")
+
+
+def changes(spark: SparkSession, path: str) -> DataFrame:
+    """The last base and the batches after it, with upto, the number of the batch."""
+    rows = spark.read.parquet(path)
+    base = rows.where("kind = 'base'").agg(F.coalesce(F.max("upto"), F.lit(-1))).first()[0]
+    return rows.where((F.col("upto") > base) | ((F.col("kind") == "base") & (F.col("upto") == base)))
 
 
-def ingest(arriving: DataFrame, key: str, order: str, path: str, checkpoint: str) -> DataFrame:
-    """Upsert every batch of a stream into a table of snapshots at path and give the last snapshot. A batch that is replayed
-    after a failure is written to the same place, so it is taken once."""
+def current(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The table: of each key the row that is last by order and then by batch."""
+    rows = changes(spark, path)
+    columns = [c for c in rows.columns if c not in ("kind", "upto")]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, "upto")).alias("x")).select("x.*")
+
+
+def compact(spark: SparkSession, path: str, key: str, order: str, least: int = 1) -> bool:
+    """Write the table as a new base if there are at least so many batches since the last one."""
+    rows = changes(spark, path)
+    seen = rows.agg(F.count_distinct(F.when(F.col("kind") == "batch", F.col("upto"))).alias("n"), F.max("upto").alias("last")).first()
+    if (seen["n"] or 0) < least:
+        return False
+    _write(current(spark, path, key, order), path, "base", seen["last"])
+    return True
+
+
+def ingest(arriving: DataFrame, key: str, order: str, path: str, checkpoint: str, submit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Take every batch of a stream into the table at path and give the table: of each key the row that is last by order.
+
+    A run that finds nothing new gives the table as it is. With submit, rows that the index doesn't hold as done are
+    handed to it after the batches, those that failed before among them; it gives (key, status) of each, which are written
+    beside the table and decide what the next run submits.
+    """
     spark = arriving.sparkSession
-    rows = arriving.schema
+    table = f"{path}/rows"
+    _begin(spark, arriving.schema, table)
 
     def take(batch: DataFrame, number: int) -> None:
-        newest = batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("x")).select("x.*")
-        base = spark.read.schema(rows).parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], rows)
-        snapshot_upsert(base, newest, key).write.mode("overwrite").parquet(f"{path}/{number}")
+        _write(batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("x")).select("x.*"), table, "batch", number)
+
+    arriving.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    compact(spark, table, key, order, COMPACT_FROM)
+    if submit is not None:
+        resubmit(spark, table, f"{path}/index", key, order, submit)
+    return current(spark, table, key, order)
+
+
+def index_state(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, status): the last status of each key that was submitted."""
+    return current(spark, path, key, "turn").select(key, "status")
+
 
-    query = arriving.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else -1
-    if query.recentProgress:
-        last = max(p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0)
-    return spark.read.schema(rows).parquet(f"{path}/{last}") if last >= 0 else spark.createDataFrame([], rows)
+def resubmit(spark: SparkSession, table: str, index: str, key: str, order: str, submit: Callable[[DataFrame], DataFrame]) -> None:
+    """Submit the rows that the index doesn't hold as done and record what becomes of them."""
+    rows = current(spark, table, key, order)
+    kind = rows.schema[key].dataType.simpleString()
+    _begin(spark, f"{key} {kind}, status string, turn long", index)
+    pending = pending_rows(rows, index_state(spark, index, key), key, "status")
+    turn = (changes(spark, index).agg(F.max("upto")).first()[0] or 0) + 1
+    _write(submit(pending).select(key, F.col("status").cast("string").alias("status"), F.lit(turn).cast("long").alias("turn")), index, "batch", turn)
+    compact(spark, index, key, "turn", COMPACT_FROM)
 
 
 def stages(events: DataFrame, case: str, stage: str, ts: str, path: str, checkpoint: str) -> DataFrame:
-    """(case, stage, ts): the last stage of each case; state is one row a case. Every batch's changes are written below path."""
+    """(case, stage, ts): the last stage of each case; state is one row a case, and every batch writes what it changed."""
+    spark = events.sparkSession
+    schema = events.select(case, stage, ts).schema
+    _begin(spark, schema, path)
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        _write(batch.select(case, stage, ts), path, "batch", number)
 
     latest = events.groupBy(case).agg(F.max_by(stage, ts).alias(stage), F.max(ts).alias(ts))
-    query = latest.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    spark: SparkSession = events.sparkSession
-    return spark.read.parquet(path).groupBy(case).agg(F.max_by(F.struct(stage, ts), "batch").alias("x")).select(case, "x.*")
+    latest.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    compact(spark, path, case, ts, COMPACT_FROM)
+    return current(spark, path, case, ts)

@@ -285,3 +285,133 @@ def test_screen_over_documents_reports_other_rules_too(spark):
     got = {r["doc_id"]: list(r["findings"]) for r in registry.queries()["content_safety_screen_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == {r["doc_id"]: [n for n, (p, _, _) in SCREENED.items() if re.search(p, r["text"] or "")] for r in docs}
     assert {n for x in got.values() for n in x} - {"email", "injected"}
+
+
+@pytest.mark.parametrize(
+    "clause, disposition, record, basis, days",
+    [
+        ("如不服本處分,得於本處分書送達之次日起三十日內,繕具訴願書向本府提起訴願。", "主旨:裁處罰鍰。", "", "statutory", 30),
+        ("得於送達次日起30日內提起訴願。", "主旨:裁處罰鍰。", "", "statutory", 30),
+        ("", "主旨:裁處罰鍰。", "", "one_year", None),
+        ("如不服本處分,得繕具訴願書向本府提起訴願。", "主旨:裁處罰鍰。", "", "one_year", None),
+        ("如不服本處分,", "主旨:裁處罰鍰。得於三十日內提起訴願。", "", "statutory", 30),
+        ("得於送達次日起六十日內提起訴願。", "主旨:裁處罰鍰。", "", "stated_longer", 60),
+        ("得於送達次日起二十日內提起訴願。", "主旨:裁處罰鍰。", "另以更正通知於114年6月10日送達訴願人。", "restart", 20),
+        ("得於送達次日起二十日內提起訴願。", "主旨:裁處罰鍰。", "告知之救濟期間有誤,迄未通知更正。", "one_year", 20),
+        ("得於送達次日起二十日內提起訴願。", "主旨:裁處罰鍰。", "原處分機關未為更正。", "one_year", 20),
+        ("得於送達次日起二十日內提起訴願。", "主旨:裁處罰鍰。", "", "undetermined", 20),
+        ("得於送達次日起二十日內提起訴願。", "主旨:裁處罰鍰。", "原處分機關已另發更正通知。", "undetermined", 20),
+        ("", "", "", "not_assessed", None),
+    ],
+)
+def test_notice_branches(spark, clause, disposition, record, basis, days):
+    got = one(spark, rules.notice_period, clause, disposition, record)
+    assert (got["basis"], got["days"]) == (basis, days)
+
+
+def test_what_a_record_states(spark):
+    text = "命於20日補正期間內補正。期間應自送達之翌日114年2月4日起算，至114年3月3日屆滿，以114年3月4日代之，惟訴願人遲至114年5月1日始提起。\n住址：聯絡電話\n　新北市板橋區中山路1號\n"
+    got = one(spark, rules.deadline_facts, text)
+    iso = lambda d: d and d.isoformat()
+    assert (got["period"], iso(got["stated_start"]), iso(got["stated_due"])) == (20, "2025-02-04", "2025-03-04")
+    assert got["residence"] == "新北市板橋區中山路1號" or got["residence"] == ""
+    bare = one(spark, rules.deadline_facts, "卷內無記載")
+    assert (bare["period"], bare["stated_start"], bare["stated_due"], bare["residence"]) == (30, None, None, "")
+    fallback = "期間應自114年2月4日起算，至114年3月3日屆滿。退步言之，至遲應自114年4月1日起算。"
+    assert iso(one(spark, rules.deadline_facts, fallback)["stated_due"]) == "2025-03-03"
+
+
+def test_certificate_precedes_the_appeal(spark):
+    both = lambda a, b: one(spark, lambda x, y: rules.deadline_facts_by_slot(x, y), a, b)
+    own = "收受或知悉行政處分日期：114年3月6日"
+    got = both(own, "送達時間：中華民國114年3月5日")
+    assert got["service"].isoformat() == "2025-03-05" and got["disputed"].isoformat() == "2025-03-06" and not got["self_reported"]
+    assert both(own, "送達時間：中華民國114年3月6日")["disputed"] is None
+    for certificate, why in (("", "absent_slot"), (None, "absent_slot"), ("※◎●□◆", "unreadable"), ("本件文書已交付", "missing_field")):
+        got = both(own, certificate)
+        assert (got["service"].isoformat(), got["fallback"], got["self_reported"]) == ("2025-03-06", why, True)
+    assert both("無", "")["problem"].startswith("期間未計算，")
+    confirmed = one(spark, lambda x, y: rules.deadline_facts_by_slot(x, y, service=F.lit(dt.date(2025, 3, 1))), own, "送達時間：中華民國114年3月5日")
+    assert confirmed["service"].isoformat() == "2025-03-01" and confirmed["disputed"] is None and not confirmed["public_notice"]
+
+
+TERMS = {"appeal": (["訴願書"], ["訴願人", "請求"]), "service": (["送達證書"], ["受送達人"]), "answer": (["訴願答辯書"], ["答辯"])}
+LABELS = {"appeal": "訴願書", "service": "送達證書", "answer": "訴願答辯書"}
+
+
+@pytest.mark.parametrize(
+    "text, slot, matched, note",
+    [
+        ("訴　願　書\n訴願人", "appeal", True, "符合訴願書的文字特徵"),
+        ("送達證書", "appeal", False, "文字特徵更接近送達證書，不是訴願書"),
+        ("訴願書 送達證書", "appeal", None, "規則判斷特徵在訴願書、送達證書之間並列，無法確認文件類型"),
+        ("", "appeal", None, "規則判斷特徵不足，無法確認文件類型"),
+        (None, "service", None, "規則判斷特徵不足，無法確認文件類型"),
+    ],
+)
+def test_document_types(spark, text, slot, matched, note):
+    got = one(spark, lambda t, s_: rules.document_type_check(t, s_, TERMS, LABELS), text, slot)
+    assert (got["matched"], got["note"]) == (matched, note)
+
+
+@pytest.mark.parametrize(
+    "actual, expected, is_date, score",
+    [
+        ("新北環稽字第41–112–010273號", "新北環稽字第41-112-010273號", False, "correct"),
+        ("新北環稽字第４１-１１２-０１０２７３號", "新北環稽字第41-112-010273號", False, "correct"),
+        ("新北環稽字第41-112-010999號", "新北環稽字第41-112-010273號", False, "wrong"),
+        ("民國 112 年 1 月 10 日", "112年1月10日", True, "correct"),
+        ("112年01月10日", "112年1月10日", True, "correct"),
+        ("112年1月11日", "112年1月10日", True, "wrong"),
+        ("無法辨識", "112年1月10日", True, "wrong"),
+        ("未載明", "x", False, "unsure"),
+        ("", "x", False, "unsure"),
+        (None, "x", False, "unsure"),
+    ],
+)
+def test_field_scores(spark, actual, expected, is_date, score):
+    assert one(spark, lambda a, e: k.score_text(a, e, is_date), actual, expected) == score
+
+
+def test_category_decision_and_screening_scores(spark):
+    of = lambda f, *v: one(spark, f, *v)
+    assert of(k.score_category, "廢棄物清理法", "違反廢棄物清理法事件") == "correct"
+    assert of(k.score_category, "違反廢棄物清理法第27條之事件紀錄", "違反廢棄物清理法事件") == "wrong"
+    assert of(k.score_category, "未分類", "違反廢棄物清理法事件") == "unsure" and of(k.score_category, "事件", "事件") == "wrong"
+    assert of(k.score_decision, "部分不受理部分駁回", "不受理") == "wrong" and of(k.score_decision, None, "不受理") == "unsure"
+    screening = lambda clause, note: k.score_screening(F.lit(False), clause, note, F.lit(False), F.lit("77(2)"))
+    assert of(screening, "77條第二款", "") == "correct" and of(screening, "77條第8款", None) == "wrong" and of(screening, "77條第2款", "x") == "unsure"
+    assert of(lambda c: k.score_screening(F.lit(True), c, F.lit(None).cast("string"), F.lit(True), F.lit(None).cast("string")), None) == "correct"
+
+
+def review(spark, **change):
+    given = {
+        "slots": "array(named_struct('slot', 'service', 'matched', cast(null as boolean), 'text', ' ', 'note', ''), named_struct('slot', 'appeal', 'matched', true, 'text', 'x', 'note', ''))",
+        "deadline": "cast(null as string)",
+        "screening": "''",
+        "admissible": "true",
+        "draft": "named_struct('kind', '駁回', 'main', 'm', 'fact', 'f', 'reason', 'r')",
+        "edited": "false",
+        "missing": "cast(array() as array<string>)",
+        "same": "cast(null as boolean)",
+        "stale": "false",
+    } | change
+    row = spark.range(1).select(*[F.expr(v).alias(n) for n, v in given.items()])
+    c = F.col
+    return row.select(rules.case_needs_review(c("slots"), ["service"], c("deadline"), c("screening"), c("admissible"), c("draft"), c("edited"), c("missing"), c("same"), c("stale")).alias("x")).first()["x"]
+
+
+def test_each_reason_for_review(spark):
+    draft = lambda kind, main="m", fact="f", reason="r": f"named_struct('kind', '{kind}', 'main', '{main}', 'fact', '{fact}', 'reason', '{reason}')"
+    assert not review(spark) and not review(spark, draft="cast(null as struct<kind: string, main: string, fact: string, reason: string>)")
+    assert review(spark, slots="array(named_struct('slot', 'service', 'matched', false, 'text', 'x', 'note', ''))")
+    assert review(spark, slots="array(named_struct('slot', 'appeal', 'matched', true, 'text', 'x', 'note', 'n'))")
+    assert review(spark, deadline="'n'") and review(spark, screening="'n'") and review(spark, stale="true") and review(spark, same="false") and review(spark, missing="array('x')")
+    assert review(spark, draft=draft("不受理")) and not review(spark, draft=draft("不受理"), edited="true") and not review(spark, draft=draft("不受理", fact=""), admissible="false")
+    assert review(spark, draft=draft("駁回", main="")) and review(spark, draft=draft("駁回", reason=" ")) and review(spark, draft=draft("駁回", fact=""))
+    assert review(spark, draft=draft("部分不受理部分駁回")) and review(spark, draft=draft("撤銷另處")) and not review(spark, draft=draft("撤銷另處", main="於2 個月內另為處分"))
+
+
+def test_results_allowed_on_each_track(spark):
+    allowed = lambda passed, kind: one(spark, lambda x: rules.result_allowed(F.lit(passed), x), kind)
+    assert allowed(True, "駁回") and not allowed(True, "不受理") and allowed(False, "不受理") and not allowed(False, "和解") and allowed(True, None) is None

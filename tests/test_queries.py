@@ -30,7 +30,12 @@ def plan(df):
 
 def test_topk_prunes_before_its_shuffle(spark):
     text = plan(QUERIES["vector_topk"](spark, SF))
-    assert "WindowGroupLimit" in text and "BroadcastNestedLoopJoin" in text and "Python" not in text
+    assert "WindowGroupLimit" in text and "NestedLoop" not in text and "CartesianProduct" not in text and text.count("MapInArrow") == 3
+
+
+@pytest.mark.parametrize("name", ["append_only_ids", "full_id_assignment", "numeric_code_sort"])
+def test_numbering_has_no_single_task(spark, name):
+    assert "SinglePartition" not in plan(QUERIES[name](spark, SF))
 
 
 def test_calendar_is_broadcast(spark):

@@ -25,7 +25,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CUES = ["account", "acct", "iban", "passport", "ssn", "kontonummer", "compte", "cuenta"]
 _AFTER_CUE = re.compile(r"(?:[ ]?(?:no|nr|number|num|id))?[ ]?[.:#=]{0,2}[ ]?([A-Z]{0,2}[0-9](?:[ -]?[A-Z0-9]){4,33})(?![A-Za-z0-9])")
-_AUTHORITY = re.compile(r"[^\s/?#@]+(?::[^\s/?#@]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?")
+#: User data, with or without a password, before a host. No part can hold what ends the one before, so it never goes back.
+_AUTHORITY = re.compile(r"[^\s/?#@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 
 
 def _automaton() -> ahocorasick.Automaton:

@@ -25,6 +25,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(found).drop("blob")
 
 
+def secret_scan_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1_secret_scan as the second of two runs: the first has scanned the documents of all sources but the last, and its
+    ledger, appended twice over, leaves only what it lacks to the second."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    last = docs.agg(F.max("source")).first()[0]
+    _, before = secrets.scan_versions(docs.where(~F.col("source").eqNullSafe(last)))
+    found, _ = secrets.scan_versions(docs, ledger=before.unionByName(before))
+    return secrets.secret_report(found).drop("blob")
+
+
 _DIGITS: list = []
 
 
@@ -91,21 +101,22 @@ _RULE_SQL = [
     ("hex", r"[0-9a-f]{32,}", 0, 32),
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     ("ghp", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    ("jwt", r"(^|[^A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
 ]
 
 
 def _op1_sql() -> str:
-    """Matches by number: their starts are the lengths of all earlier matches and of what lies between."""
+    """Matches by number: their starts are the lengths of all earlier matches and of what lies between. The character before
+    a jwt is part of its match here, and taken off its span."""
     legs = [
-        f"""SELECT doc_id, {o} AS o, '{kind}' AS kind, unnest(gaps) AS gap, unnest(hits) AS hit, unnest(parts) AS part, {least} AS least, unnest(range(len(hits))) AS i
-        FROM (SELECT doc_id, string_split_regex(t, '{p}')[1:len(regexp_extract_all(t, '{p}'))] AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS parts
+        f"""SELECT doc_id, {o} AS o, '{kind}' AS kind, unnest(gaps) AS gap, unnest(hits) AS hit, unnest(parts) AS part, {f"unnest(regexp_extract_all(t, '{p}', 1))" if kind == "jwt" else "''"} AS lead, {least} AS least, unnest(range(len(hits))) AS i
+        FROM (SELECT doc_id, string_split_regex(t, '{p}')[1:len(regexp_extract_all(t, '{p}'))] AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {group}) AS parts, t
               FROM (SELECT doc_id, {_FLAT} AS t FROM documents))"""
         for o, (kind, p, group, least) in enumerate(_RULE_SQL)
     ]
     return f"""WITH hits AS ({' UNION ALL '.join(legs)}),
     placed AS (SELECT *, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, o ORDER BY i) AS to_ FROM hits),
-    spans AS (SELECT doc_id, o, kind, (to_ - length(hit))::BIGINT AS pos, kind || ':' || (to_ - length(hit))::BIGINT || ':' || to_::BIGINT AS span FROM placed WHERE length(part) >= least),
+    spans AS (SELECT doc_id, o, kind, (to_ - length(hit) + length(lead))::BIGINT AS pos, kind || ':' || (to_ - length(hit) + length(lead))::BIGINT || ':' || to_::BIGINT AS span FROM placed WHERE length(part) - length(lead) >= least),
     found AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
         string_agg(span, ',' ORDER BY pos, o) AS spans, string_agg(span, ',' ORDER BY pos, o) FILTER (o < 3) AS base FROM spans GROUP BY doc_id)
     SELECT d.doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
@@ -128,8 +139,8 @@ _OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "op5_exact_topk": _OP5_SQL, "op8_jaccard_join": _OP8_SQL}
+    return {"op1_secret_scan": _op1_sql(), "secret_scan_increment": _op1_sql(), "op5_exact_topk": _OP5_SQL, "op8_jaccard_join": _OP8_SQL}

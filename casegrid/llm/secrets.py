@@ -24,13 +24,33 @@ BASE_RULES = [
 MORE_RULES = [
     ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
     ("ghp", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40),
-    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
+    # Only where a run of such characters begins, so that a run is gone through once.
+    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30),
 ]
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "2"
+RULE_VERSION = "3"
+#: Matches whose places are added up in one go; longer lists are cut into so many, so that the work grows with their length.
+RUN = 256
 _SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
 
 
+def _once(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _placed(lengths: Column, begin: Column, kind: str, order: int) -> Column:
+    """Spans of the good ones of some matches in a row, the first of whose gaps begins at begin."""
+    end = lambda acc, x: acc["at"] + x["gap"] + x["hit"]
+    span = lambda acc, x: F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), end(acc, x).alias("end"))
+    return F.aggregate(
+        lengths,
+        F.struct(begin.alias("at"), F.array().cast(_SPAN).alias("out")),
+        lambda acc, x: F.struct(end(acc, x).alias("at"), F.when(x["good"], F.concat(acc["out"], F.array(span(acc, x)))).otherwise(acc["out"]).alias("out")),
+        lambda acc: acc["out"],
+    )
+
+
 def _spans(text: Column, rule: tuple[str, str, int, int], order: int) -> Column:
     """Spans of one rule's leftmost non-overlapping matches: the lengths of matches and of what lies between add up to
     their places. Text without a match costs one search."""
@@ -42,23 +62,11 @@ def _spans(text: Column, rule: tuple[str, str, int, int], order: int) -> Column:
         judged,
         lambda x, part: F.struct(x["gap"].alias("gap"), x["hit"].alias("hit"), (F.length(part) >= least).alias("good")),
     )
-    found = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["hit"]).alias("at"),
-            F.when(
-                x["good"],
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + x["gap"]).alias("start"), F.lit(order).alias("ord"), F.lit(kind).alias("kind"), (acc["at"] + x["gap"] + x["hit"]).alias("end"))),
-                ),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    total = lambda x: F.aggregate(x, F.lit(0), lambda acc, y: acc + y["gap"] + y["hit"])
+    cut = lambda x: F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / RUN).cast("int")), lambda i: F.slice(x, i * RUN + 1, F.lit(RUN))), lambda y: F.size(y) > 0)
+    begins = lambda runs: F.aggregate(runs, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + total(x))))
+    placed = lambda runs: F.flatten(F.zip_with(runs, F.slice(begins(runs), F.lit(1), F.size(runs)), lambda x, begin: _placed(x, begin, kind, order)))
+    found = _once(lengths, lambda x: _once(cut(x), placed))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPAN))
 
 
@@ -78,7 +86,8 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     Findings have a row for each row of versions: (id, blob, spans). A null text counts as empty; an empty or null id is
     passed through; repeated rows give repeated findings; other columns aren't read, so their names can't clash. An empty
     table gives none. Append the second table to the ledger to make the next run incremental: contents that it holds
-    under this rule_version aren't scanned again; under another one they are.
+    under this rule_version aren't scanned again; under another one they are. Pairs that the ledger holds more than once
+    count once.
 
     One shuffle carries the distinct texts of each input split to the scan, whose findings are written before paths meet
     them. Only blobs with findings take part there, and a blob that very many paths share can be split by Spark, as its
@@ -88,7 +97,8 @@ def scan_versions(versions: DataFrame, id_col: str = "doc_id", text_col: str = "
     paths = paths.withColumn("blob", F.sha2("text", 256))
     unseen = paths.select("blob", "text")
     if ledger is not None:
-        known = ledger.where(F.col("rule_version") == rule_version)
+        # A ledger may hold a pair more than once, as an append that is tried again leaves it.
+        known = ledger.where(F.col("rule_version") == rule_version).dropDuplicates(["blob"])
         unseen = unseen.join(known.select("blob"), "blob", "left_anti")
     new = materialize(scan_blobs(unseen.dropDuplicates(["blob"]), rule_version), "secret-findings")
     all_found = new if ledger is None else new.unionByName(known.select("blob", "rule_version", "spans"))

@@ -70,6 +70,41 @@ def test_ledger_scans_only_what_it_lacks(spark, docs):
     assert secrets.scan_versions(more, ledger=new)[1].count() == 1
 
 
+def test_a_ledger_with_repeated_rows_counts_once(spark, docs):
+    found, new = secrets.scan_versions(docs)
+    again, fresh = secrets.scan_versions(docs, ledger=new.unionByName(new).unionByName(new))
+    key = lambda r: (r["doc_id"] or -1, r["blob"], str(r["spans"]))
+    assert fresh.count() == 0 and sorted(map(key, again.collect())) == sorted(map(key, found.collect()))
+
+
+def hostile(n):
+    """Long texts of what begins a match, again and again."""
+    parts = ["eyJ", "://:", "://" + ":" * 50, "a@", "1.", "+1(", "password ", "token=", "-----BEGIN ", "AKIA", "0", "account: ", "ghp_", "%.", "'\""]
+    return [(i, (p * (n // len(p) + 1))[:n]) for i, p in enumerate(parts)] + [(100, "://" + ":" * n), (101, "eyJ" + "a" * n), (102, "secret=abcdefgh1 " * (n // 17))]
+
+
+def test_hostile_texts_take_time_by_their_length(spark):
+    import time
+
+    finder = pii.PiiFinder()
+    for _, text in hostile(1_000_000):
+        began = time.perf_counter()
+        finder.find(text)
+        assert time.perf_counter() - began < 30
+    rows = spark.createDataFrame(hostile(1_000_000), "doc_id long, text string").repartition(8)
+    began = time.perf_counter()
+    out = {r["doc_id"]: r for r in secrets.secret_report(secrets.scan_versions(rows)[0]).collect()}
+    assert time.perf_counter() - began < 60
+    assert out[102]["n_assign"] == 1_000_000 // 17 and out[102]["spans"].startswith("assign:0:16,assign:17:33,")
+
+
+def test_token_begins_a_run(spark):
+    jwt = "eyJabcdefgh.eyJabcdefgh.abcdefgh"
+    rows = spark.createDataFrame([(1, jwt), (2, "x" + jwt), (3, f"a,{jwt} {jwt}"), (4, "." + jwt)], "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.secret_report(secrets.scan_versions(rows)[0]).collect()}
+    assert spans == {1: "jwt:0:32", 2: "", 3: "jwt:2:34,jwt:35:67", 4: "jwt:1:33"}
+
+
 def test_secrets_run_no_python(docs):
     plan = secrets.secret_report(secrets.scan_versions(docs)[0])._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Vectors in a shard, queries in a block, and vectors of a shard that are looked at together.
 SHARD, BLOCK, STRIDE = 8192, 2048, 1024
+#: Groups of shards for each core. Queries cross once for each group, so what is shuffled grows with the table.
+GROUPS_A_CORE = 2
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
@@ -85,14 +87,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
 
     Rows with the query's own id are left out; ties go to the smaller id; with fewer than k others, all are given. Rows
     that repeat an id are candidates each; queries that repeat both id and vector are one, and with other vectors are
-    ranked each under their id. Vectors of another dimension than the query's never meet it. Empty tables give
-    none. Shards and blocks are dealt to tasks pair by pair, a bounded number of vectors each; a task gives k rows a query.
+    ranked each under their id. Vectors of another dimension than the query's never meet it. Null ids take no part, neither
+    as candidates nor as queries. A score beyond 64 bits is an error. Empty tables give none. Shards are dealt to a fixed
+    number of groups, and every group meets all blocks of queries, a pair of a shard and a block at a time; each pair gives k
+    rows a query.
     """
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
-    packed = _packed(vectors, shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = _packed(queries.distinct(), blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = packed.hint("shuffle_hash").join(asked, ["shard", "block", "dim"])
+    groups = min(shards, GROUPS_A_CORE * vectors.sparkSession.sparkContext.defaultParallelism)
+    packed = _packed(vectors, shards, "shard").withColumn("group", F.col("shard") % groups)
+    asked = _packed(queries.distinct(), blocks, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    met = packed.join(asked, ["group", "dim"])
 
     def search(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
@@ -108,7 +113,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                         at, scores = max_score(q.astype(np.float64), who, lists, ids, k)
                     else:
                         at = np.flatnonzero(ids != who)
-                        scores = np.array([max(-(2**63), min(2**63 - 1, int(s))) for s in q.astype(object) @ lists[:, at]], object)
+                        scores = np.array([int(s) for s in q.astype(object) @ lists[:, at]], object)
+                        if any(not -(2**63) <= s < 2**63 for s in scores):
+                            raise OverflowError("a score is beyond 64 bits")
                     order = np.lexsort((ids[at], -scores.astype(np.float64)))[:k] if small else sorted(range(len(at)), key=lambda i: (-scores[i], ids[at[i]]))[:k]
                     number = int.from_bytes(hashlib.blake2b(q.tobytes(), digest_size=8).digest(), "little", signed=True)
                     yield pd.DataFrame({"query_id": who, "query_no": number, "vec_id": ids[at][order], "score": scores[order].astype(np.int64)})

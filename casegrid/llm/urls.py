@@ -13,59 +13,31 @@ from .common import map_texts
 
 #: Fixed values: (verdict, host, path). A rule fits its host and all subdomains where the path starts with its path.
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-#: The small labelled URL table that the model learns from: what to keep and what to block.
-GOOD_URLS = """
-https://www.cityuniversity.edu/physics/lecture-notes/week3
-https://library.town.gov/archive/1987/records
-http://blog.gardeners.org/en/412
-https://docs.opentools.org/manual/chapter2.html
-https://news.riverpost.com/world/2021/05/harvest
-https://www.museumofnature.org/collections/minerals
-https://en.wikiprojects.org/history-of-bridges
-https://m.villagenews.net/en/25
-https://research.lakeinstitute.org/papers/water-quality
-https://www.countyschools.edu/calendar
-https://forum.woodworkers.net/thread/9912
-https://statistics.bureau.gov/tables/population
-https://www.recipesathome.com/soup/lentil
-http://journal.medicine.org/articles/1182
-https://support.software.com/kb/install
-https://blog.teacher.example.org/en/853/
-https://learn.mathforall.org/algebra/lesson-4
-https://www.weatherservice.gov/forecast/north
-https://poetry.society.org/essays/metre
-https://www.trainmuseum.net/visit
-https://developer.maps.org/reference/api
-https://court.records.gov/opinions/2019/44
-https://www.symphonyhall.org/concerts/season
-https://travelnotes.example.net/en/760
-""".split()
-BAD_URLS = """
-http://spam-farm.example.org/en/728
-http://cheap-pills-online.example.biz/buy-now/viagra
-https://casino-bonus-win.example.net/free-spins?ref=88
-http://xxx-adult-cams.example.com/live/sex
-https://free-download-crack.example.org/keygen.exe
-http://link-farm-seo.example.info/backlinks/cheap
-https://best-payday-loans.example.biz/apply-now
-http://spam-offers.example.net/win-prize/click-here
-https://replica-watches-sale.example.shop/rolex-cheap
-http://poker-betting-tips.example.biz/bonus
-https://adult-dating-hot.example.net/singles/sexy
-http://click-ads-farm.example.org/redirect/click
-https://weight-loss-miracle.example.shop/buy-pills
-http://torrent-warez.example.info/full-crack/download
-https://crypto-doubler-win.example.biz/free-bitcoin
-http://malware-update.example.org/install.exe
-https://porn-videos-free.example.net/xxx
-http://seo-spam-links.example.info/buy-backlinks
-https://lottery-winner-claim.example.shop/prize
-http://fake-invoice-login.example.org/verify/account
-https://casino-slots-online.example.biz/jackpot
-http://viagra-discount.example.shop/order-cheap
-https://spam-farm.example.net/de/11
-http://hot-deals-click.example.biz/sale/sale/sale
-""".split()
+#: The small labelled URL table that the model learns from: words of site names to keep and to block. Names are pairs of
+#: words, on hosts and paths that go round the same lists for both, so that nothing but the words tells them apart.
+GOOD_WORDS = """city library garden tools river museum bridge village lake school wood statistics soup medicine software teacher
+math weather poetry train map court symphony travel bird book harbour mountain saint theatre northern farm painter hospital reading
+astronomy seaside atlas bakery rowing tennis chess heritage forest stone winter song language physics geology history choir parish
+archive station law energy design science film opera wildlife""".split()
+BAD_WORDS = """casino viagra pills adult xxx porn free spins loans payday replica poker betting bet click ads weight-loss torrent warez
+crypto malware seo lottery winner login slots jackpot discount singles tracker win spam farm keygen crack dating prize bonus cheap
+popup meds nude hacked""".split()
+_PLACES = ["", "www.", "m.", "blog."]
+_ENDINGS = ["com", "example.com", "org", "example.org", "net", "example.net", "info"]
+_PATHS = ["/en/412", "/de/11/", "/fr/8815.html", "/es/97", "/", "/archive/1987", "/en/7/", "", "/thread/9912"]
+
+
+def site_names(words: list[str]) -> list[str]:
+    """Three names of each word, with the words at some distances from it."""
+    return [f"{w}{'-' if (i + step) % 3 else ''}{words[(i + step) % len(words)]}" for step in (1, 5, 11) for i, w in enumerate(words)]
+
+
+def labelled_urls(names: list[str]) -> list[str]:
+    """An URL for each name."""
+    return [f"http{'s' * (n % 2)}://{_PLACES[n % 4]}{name}.{_ENDINGS[n % 7]}{_PATHS[n % 9]}" for n, name in enumerate(names)]
+
+
+GOOD_URLS, BAD_URLS = labelled_urls(site_names(GOOD_WORDS)), labelled_urls(site_names(BAD_WORDS))
 BITS, GRAMS = 15, (3, 4, 5)
 #: Probability of being unwanted from which an URL without a rule is blocked.
 BLOCK_FROM = 0.5
@@ -105,14 +77,17 @@ def train(good: tuple[str, ...] = tuple(GOOD_URLS), bad: tuple[str, ...] = tuple
     Every example counts as a unit vector, so long URLs weigh no more than short ones."""
     rows = [features(*split_url(u)) for u in (*good, *bad)]
     wanted = np.array([0.0] * len(good) + [1.0] * len(bad))
-    x = np.zeros((len(rows), 1 << BITS), np.float32)
+    held = np.unique(np.concatenate(rows)) if rows else np.empty(0, np.int64)
+    x = np.zeros((len(rows), len(held)))
     for i, r in enumerate(rows):
-        x[i, r] = 1 / np.sqrt(max(1, len(r)))
-    w, b = np.zeros(1 << BITS), 0.0
+        x[i, np.searchsorted(held, r)] = 1 / np.sqrt(max(1, len(r)))
+    v, b = np.zeros(len(held)), 0.0
     for _ in range(rounds):
-        gap = 1 / (1 + np.exp(-(x @ w + b))) - wanted
-        w -= rate * (x.T @ gap / len(rows) * 10 + decay * w)
+        gap = 1 / (1 + np.exp(-(x @ v + b))) - wanted
+        v -= rate * (x.T @ gap / len(rows) * 10 + decay * v)
         b -= rate * gap.mean()
+    w = np.zeros(1 << BITS)
+    w[held] = v
     return w, b
 
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -15,23 +13,19 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrid.storage import materialize, scratch_path  # noqa: F401  the operators take them from here
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of one input table."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor can read: below spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="casegrid-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared scratch folder and read it back, so that later steps don't depend on its lineage."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_prefix(columns: Iterable[str], base: str) -> str:
+    """base, made longer until no column begins with it, so that names after it can't clash."""
+    while any(c.lower().startswith(base.lower()) for c in columns):
+        base += "_"
+    return base
 
 
 def text_volume(texts: DataFrame, column: str = "text") -> int:

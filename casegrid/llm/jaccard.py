@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, map_arrays, materialize, mix, sliced
+from .common import free_prefix, hash_words, map_arrays, materialize, mix, sliced
 from .keyed import chunk_answers, count_keys, in_chunks, sizes, totals_of, use_counts
 
 #: Words of a shingle, and the similarity of a link in hundredths.
@@ -80,14 +80,14 @@ def ranked(tokens: np.ndarray, frequency: np.ndarray, order: int) -> np.ndarray:
     return (shown << np.uint64(40)) | (mix(tokens * np.uint64(ORDERS[order])) >> np.uint64(24))
 
 
-def _classes(docs: DataFrame, keys: list[str], text: str, words: int) -> DataFrame:
-    """The key columns, size and digest of each row's set."""
+def _classes(docs: DataFrame, keys: list[str], text: str, words: int, prefix: str = "") -> DataFrame:
+    """The key columns, size and digest of each row's set; prefix goes before the names of the last two."""
 
     def work(texts: pa.Array) -> tuple:
         sets = shingle_sets(texts, words)
         return [len(s) for s in sets], [digest(s) for s in sets]
 
-    return map_arrays(docs, work, keys, text, [("size_", pa.int64()), ("digest_", pa.binary())], "size_ long, digest_ binary")
+    return map_arrays(docs, work, keys, text, [(f"{prefix}size_", pa.int64()), (f"{prefix}digest_", pa.binary())], f"{prefix}size_ long, {prefix}digest_ binary")
 
 
 def _distinct_texts(docs: DataFrame, text: str, words: int, least: int) -> DataFrame:
@@ -361,14 +361,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     Texts without words all stay. Of rows that repeat both id and set, any one stays. Where a component has null ids only,
     one row stays.
     """
+    own = free_prefix(docs.columns, "j_")
     found = materialize(link_components(docs, id_col, text_col, words, percent), "jaccard-components").where(F.col("set_digest").isNotNull())
     # The least id, null only if there is no other, and of its sets the least digest.
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("set_digest").alias("digest"))).alias("first")
-    chosen = found.groupBy("group_digest").agg(first).select(F.col("first.id").alias("keep_id_"), F.col("first.digest").alias("keep_digest_"))
-    rows = _classes(docs.withColumn("k_text_", F.col(f"`{text_col}`").cast("string")), docs.columns, "k_text_", words)
-    bare = rows.where(F.col("digest_").isNull())
-    best = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id_")) & (F.col("digest_") == F.col("keep_digest_")), "left_semi")
+    chosen = found.groupBy("group_digest").agg(first).select(F.col("first.id").alias(f"{own}keep_id"), F.col("first.digest").alias(f"{own}keep_digest"))
+    rows = _classes(docs.withColumn(f"{own}text", F.col(f"`{text_col}`").cast("string")), docs.columns, f"{own}text", words, own)
+    bare = rows.where(F.col(f"{own}digest_").isNull())
+    best = rows.join(chosen, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{own}keep_id")) & (F.col(f"{own}digest_") == F.col(f"{own}keep_digest")), "left_semi")
     if not found.groupBy(id_col, "set_digest").count().where("count > 1").isEmpty():
-        best = best.dropDuplicates([id_col, "digest_"])
+        best = best.dropDuplicates([id_col, f"{own}digest_"])
     columns = [F.col(f"`{c}`") for c in docs.columns]
     return best.select(*columns).unionByName(bare.select(*columns))

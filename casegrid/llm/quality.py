@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import map_texts, materialize
+from .common import free_prefix, map_texts, materialize
 
 #: The limits of the base rule.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
@@ -168,8 +168,11 @@ def fit_groups(stats: DataFrame, lang_col: str = "lang", source_col: str = "sour
         near = rows.join(model, keys).withColumn("bin", F.floor(F.log(_distance(z, F.col("mean"), F.col("inverse")) + 1e-6) * _BINS))
         binned = near.groupBy(*each, "bin").agg(F.count("*").alias("n"), F.first("rows").alias("rows"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(z)], *[F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i, j in pairs])
         before = F.coalesce(F.sum("n").over(W.partitionBy(*each).orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        central = binned.withColumn("before", before).where(F.col("before") < F.ceil(F.col("rows") * SUPPORT))
-        moments = central.groupBy(each).agg(F.sum("n").alias("n"), F.first("rows").alias("rows"), F.array(*[F.sum(f"s{i}") for i in range(D)]).alias("s1"), F.array(*[F.sum(f"p{i}{j}") for i, j in pairs]).alias("s2"))
+        # Of the bin at the border as much as makes the central rows as many as they should be.
+        wanted = F.ceil(F.col("rows") * SUPPORT)
+        central = binned.withColumn("before", before).where(F.col("before") < wanted).withColumn("part", F.least(F.lit(1.0), (wanted - F.col("before")) / F.col("n")))
+        total = lambda c: F.sum(F.col(c) * F.col("part"))
+        moments = central.groupBy(each).agg(total("n").alias("n"), F.first("rows").alias("rows"), F.array(*[total(f"s{i}") for i in range(D)]).alias("s1"), F.array(*[total(f"p{i}{j}") for i, j in pairs]).alias("s2"))
         model = materialize(moments.mapInPandas(_estimates, _MODEL), "quality-model")
     least = F.min_by(F.struct("rows", "mean", "inverse"), F.struct("size", "start")).alias("m")
     return groups, materialize(model.groupBy(keys).agg(least).select(*keys, "m.*"), "quality-model")
@@ -182,15 +185,18 @@ def judge(measured: DataFrame, groups: DataFrame, model: DataFrame, lang_col: st
     that go along aren't shuffled; more are joined by a shuffle, in which Spark can split a hot source.
     """
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
-    table = groups.join(model.drop("rows"), ["g_lang", "g_source"]).select(F.col("lang_").alias("m_lang_"), F.col("source_").alias("m_source_"), F.col("mean").alias("m_mean_"), F.col("inverse").alias("m_inverse_"))
+    own = free_prefix(measured.columns, "m_")
+    names = {c: own + c for c in ("lang", "source", "mean", "inverse", "of_lang", "of_source")}
+    table = groups.join(model.drop("rows"), ["g_lang", "g_source"]).select(F.col("lang_").alias(names["lang"]), F.col("source_").alias(names["source"]), F.col("mean").alias(names["mean"]), F.col("inverse").alias(names["inverse"]))
     if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
     failed = base_failed(prefix)
-    joined = measured.withColumns({"j_lang_": named(lang_col), "j_source_": named(source_col)}).join(table, (F.col("j_lang_") == F.col("m_lang_")) & (F.col("j_source_") == F.col("m_source_")), "left")
-    distance = F.when(~failed, _distance(vector(prefix), F.col("m_mean_"), F.col("m_inverse_")))
+    rows = measured.withColumns({names["of_lang"]: named(lang_col), names["of_source"]: named(source_col)})
+    joined = rows.join(table, (F.col(names["of_lang"]) == F.col(names["lang"])) & (F.col(names["of_source"]) == F.col(names["source"])), "left")
+    distance = F.when(~failed, _distance(vector(prefix), F.col(names["mean"]), F.col(names["inverse"])))
     out = joined.withColumns({f"{prefix}base_failed": failed, f"{prefix}distance": distance})
     out = out.withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & (F.coalesce(F.col(f"{prefix}distance"), F.lit(0.0)) <= CUTOFF))
-    return out.drop("j_lang_", "j_source_", "m_lang_", "m_source_", "m_mean_", "m_inverse_")
+    return out.drop(*names.values())
 
 
 def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -206,13 +212,16 @@ def quality_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of docs that quality_report keeps, all columns as they are. Rows come from a second pass over the texts,
-    which needs no join back by id."""
-    stats = materialize(measure(docs, [lang_col, source_col], text_col), "quality-stats") if {lang_col, source_col}.isdisjoint(STATS) else None
-    if stats is None:
-        raise ValueError("language and source columns may not be named like the statistics")
-    groups, model = fit_groups(stats, lang_col, source_col)
+    """The rows of docs that quality_report keeps, all columns as they are, whatever their names.
+
+    Null, empty and short texts fail the base rule and go; repeated rows go or stay together, as do ties at the cutoff, which
+    stay; null languages and sources are groups of their own; an empty table gives none. Rows come from a second pass over
+    the texts, which needs no join back by id and writes no text.
+    """
+    given = docs.select(F.col(f"`{lang_col}`").alias("k_lang"), F.col(f"`{source_col}`").alias("k_source"), F.col(f"`{text_col}`").alias("k_text"))
+    groups, model = fit_groups(materialize(measure(given, ["k_lang", "k_source"], "k_text"), "quality-stats"), "k_lang", "k_source")
     # The text goes along as a key too, so that the row comes out whole.
-    measured = measure(docs.withColumn("q_text_", F.col(f"`{text_col}`")), docs.columns, "q_text_", "q_")
-    judged = judge(measured, groups, model, lang_col, source_col, "q_")
-    return judged.where("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = free_prefix(docs.columns, "q_")
+    measured = measure(docs.withColumn(f"{own}text_", F.col(f"`{text_col}`")), docs.columns, f"{own}text_", own)
+    judged = judge(measured, groups, model, lang_col, source_col, own)
+    return judged.where(F.col(f"{own}kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

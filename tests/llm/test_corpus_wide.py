@@ -334,3 +334,22 @@ def test_empty_tables(no_docs):
     assert lm.score_texts(no_docs).count() == 0
     assert jaccard.link_components(no_docs).count() == 0 and jaccard.keep_one(no_docs).count() == 0
     assert urls.judge_urls(no_docs, "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("entropy", [None, 1.2])
+def test_budgets_of_very_many_sources_are_the_same(spark, monkeypatch, entropy):
+    counts = spark.createDataFrame([(f"s{i}", (i * i * 37) % 1000) for i in range(50)] + [(None, 40)], "source string, tokens long")
+    few = {r[0]: r for r in mixing.budget_table(counts, 3.0, entropy).collect()}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 10)
+    many = {r[0]: r for r in mixing.budget_table(counts, 3.0, entropy).collect()}
+    assert few.keys() == many.keys()
+    assert all(abs(few[k][2] - many[k][2]) < 1e-6 and abs(few[k][3] - many[k][3]) <= 1 for k in few)
+
+
+def test_mixing_and_join_with_any_column_names(spark):
+    rows = [(i, " ".join(f"w{(i * 7 + j) % 50}" for j in range(20 + i)), "ab"[i % 2], 1, 2, 3, 4) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m_full_ int, j_digest_ int, keep_id_ int, digest_ int")
+    again = mixing.repeat_documents(docs)
+    assert again.columns == docs.columns and {r["doc_id"] for r in again.collect()} == set(range(40))
+    kept = jaccard.keep_one(docs, words=5, percent=80)
+    assert kept.columns == docs.columns and 0 < kept.count() <= 40

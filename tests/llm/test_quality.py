@@ -69,15 +69,44 @@ def test_estimate_agrees_with_direct_steps(spark):
     gap = z - np.median(z, axis=0)
     d = (gap**2 / (4 * quality.LEAST_SD**2)).sum(axis=1)
     for _ in range(quality.STEPS):
-        bins = np.floor(np.log(d + 1e-6) * 32)
-        limit = np.sort(bins)[math.ceil(len(z) * quality.SUPPORT) - 1]
-        near = z[bins <= limit]
+        near = z[np.argsort(d, kind="stable")[: math.ceil(len(z) * quality.SUPPORT)]]
         m = near.mean(axis=0)
-        s = quality.CONSISTENCY * np.cov(near.T, bias=True) + np.diag(quality.LEAST_SD**2)
+        s = quality._floored(quality.CONSISTENCY * np.cov(near.T, bias=True))
         d = np.einsum("ij,jk,ik->i", z - m, np.linalg.inv(s), z - m)
     assert np.allclose(mean, m, atol=0.02) and np.allclose(np.linalg.inv(inverse), s, atol=0.02)
 
 
+def test_estimate_is_the_least_determinant_of_all_subsets(spark, monkeypatch):
+    """Groups so small that every subset of the supported size can be tried."""
+    from itertools import combinations
+
+    monkeypatch.setattr(quality, "LEAST_ROWS", 10)
+    rng = np.random.default_rng(11)
+    rows, n = [], 16
+    for g in range(3):
+        for i in range(n):
+            words = int(rng.integers(200, 900))
+            wild = i < 3
+            stats = [words, int(words * rng.uniform(3, 9) * (4 if wild else 1)), int(words * rng.uniform(0, 0.3) * (9 if wild else 1)), int(rng.integers(0, 30)), int(words * rng.uniform(0, 0.3)), 100, int(words * rng.uniform(0, 1.5))]
+            rows.append((f"g{g}", "s", *stats))
+    stats = spark.createDataFrame(rows, ", ".join(["lang string", "source string", *(f"{c} long" for c in quality.STATS)]))
+    _, model = quality.fit_groups(stats)
+    for m in model.collect():
+        z = np.array([[float(x) for x in r] for r in stats.where(quality.F.concat(quality.F.lit("="), "lang") == m["g_lang"]).select(*quality.vector()).collect()])
+        h = math.ceil(n * quality.SUPPORT)
+        pick = np.array(list(combinations(range(n), h)))
+        least = min(np.linalg.slogdet(quality._floored(quality.CONSISTENCY * np.cov(z[p].T, bias=True)))[1] for p in pick)
+        own = -np.linalg.slogdet(np.array(m["inverse"]).reshape(quality.D, quality.D))[1]
+        assert own <= least + 0.35, (own, least)
+
+
+def test_tables_with_any_column_names(spark):
+    docs = made(spark).limit(400)
+    odd = docs.selectExpr("doc_id", "text", "lang AS n_words", "source AS q_kept", "1 AS m_mean", "2 AS q_n_words", "3 AS j_lang_", "4 AS `a b`")
+    kept = quality.keep_good(odd, lang_col="n_words", source_col="q_kept")
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(r["doc_id"] for r in quality.keep_good(docs).collect())
+
+
 def test_filter_keeps_columns_and_agrees_with_report(spark):
     docs = made(spark)
     kept = quality.keep_good(docs)

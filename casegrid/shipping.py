@@ -35,12 +35,17 @@ def send(spark: SparkSession) -> None:
 SETTINGS = {"spark.sql.unionOutputPartitioning": "false"}
 
 
+def settle(spark: SparkSession) -> None:
+    """Make the settings that results depend on."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+
+
 def sending(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         send(spark)
-        for key, value in SETTINGS.items():
-            spark.conf.set(key, value)
+        settle(spark)
         return query(spark, sf_dir)
 
     return run

@@ -15,6 +15,11 @@ FULL_WIDTH = "０１２３４５６７８９"
 NUMERALS = "一二三四五六七八九"
 
 
+def once(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _part(c: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(c, pattern, group)
 
@@ -225,3 +230,37 @@ def holdout_filter(rows: DataFrame, year: Column, held: list[int]) -> tuple[Data
     """(rows of other years, how many were dropped of each). A null year stays."""
     out = F.coalesce(year.isin(*held), F.lit(False))
     return rows.where(~out), rows.where(out).groupBy(year.alias("year")).agg(F.count("*").alias("dropped"))
+
+
+def chunk_key(source: Column, place: Column, pieces: Column) -> Column:
+    """source#place, and #p with the number from 1 where a document has several pieces."""
+    return F.concat(source, F.lit("#"), place.cast("string"), F.when(pieces > 1, F.concat(F.lit("#p"), (place + 1).cast("string"))).otherwise(""))
+
+
+def chunk_body(header: Column, piece: Column) -> Column:
+    """A piece below its document's header in brackets."""
+    return F.concat(F.lit("["), header, F.lit("]\n"), piece)
+
+
+def indexed_role(role: Column, left_out: list[str]) -> Column:
+    """Whether rows of a role go into the index; those without a role don't."""
+    return ~role.isin(*left_out)
+
+
+def article_number(number: Column) -> Column:
+    """An article's number as it is; one that isn't a number, or a number with a part, is an error."""
+    good = number.cast("string").rlike("^[0-9]+(-[0-9]+)?$")
+    return F.when(good, number).otherwise(F.raise_error(F.lit("bad article number")))
+
+
+def list_filter(search: str | None, texts: list[Column], status: Column, wanted: str | None, day: Column, until: Column, days: int | None) -> Column:
+    """Cases that any text finds, of a status, no older than so many days; a part that isn't given lets all pass."""
+    out = F.lit(True)
+    if search:
+        found = F.lit(False)
+        for t in texts:
+            found = found | F.lower(t.cast("string")).contains(search.lower())
+        out = out & found
+    if wanted is not None:
+        out = out & (status == wanted)
+    return out if days is None else out & (day >= F.date_sub(until, days))

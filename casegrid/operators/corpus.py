@@ -136,6 +136,39 @@ def score_field(expected: Column, actual: Column, unsure: Column) -> Column:
     return F.when(unsure | blank, "unsure").when(expected == actual, "correct").otherwise("wrong")
 
 
+def valid_articles(rows: DataFrame, good: Column, name: str, number: str, order: str) -> DataFrame:
+    """Rows that are good, of each name and number the first by order; other columns aren't kept."""
+    return rows.where(good).groupBy(name, number).agg(F.min(order).alias(order))
+
+
+def facet_values(rows: DataFrame, column: str) -> DataFrame:
+    """(value): the distinct values of a column, without null, in order."""
+    return rows.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().orderBy("value")
+
+
+def any_role(rows: DataFrame, key: str, role: str, wanted: str) -> DataFrame:
+    """(key, has_role): whether any row of a key has the role."""
+    return rows.groupBy(key).agg(F.bool_or(F.col(role) == wanted).alias("has_role"))
+
+
+def corpus_union(*parts: DataFrame) -> DataFrame:
+    """The parts by column name; what a part lacks is null."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
+
+
+def ordered_union(first: Column, second: Column) -> Column:
+    """Both arrays' values, each once, in the order of first appearance."""
+    return F.array_union(first, second)
+
+
+def ordered_allowed(ids: Column, allowed: Column) -> Column:
+    """The ids that are allowed, in their own order, each once."""
+    return F.array_intersect(ids, allowed)
+
+
 #: What a field holds that is honestly not stated, and the shell of a category's name.
 NOT_STATED, UNSORTED, SHELL = ["未載明", "未收錄", ""], "未分類", ("^違反", "事件$")
 

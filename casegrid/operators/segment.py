@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.functions.scalars import once
+
 #: Numerals, and the law names that citations are looked for under, the longest first.
 _NUM = "[一二三四五六七八九十百]+"
 LAW_NAMES = [
@@ -48,6 +50,7 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+# The words that border a decision's sections.
 _ALONE = "(?<![一-龥])"
 _MAIN, _FACTS, _REASONS = (_ALONE + loose(w) for w in ("主文", "事實", "理由"))
 _SIGNED = loose("訴願審議委員會") + f"(?:{loose('兼')})?" + loose("主任委員")
@@ -88,9 +91,10 @@ def labelled_sections(docs: DataFrame, key: str, text: str, heading: str, unique
     lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
     lines = lines.withColumn("name", F.nullif(F.regexp_extract("line", heading, 1), F.lit("")))
     w = W.partitionBy(key)
-    lines = lines.withColumns({"section": F.count("name").over(w.orderBy("i")), "names": F.collect_list("name").over(w)})
-    bad = (F.size("names") != F.size(F.array_distinct("names"))) if unique else F.lit(False)
-    whole = (F.size("names") == 0) | bad
+    twice = F.col("name").isNotNull() & (F.count("name").over(W.partitionBy(key, "name")) > 1) if unique else F.lit(False)
+    lines = lines.withColumn("twice", twice)
+    lines = lines.withColumns({"section": F.count("name").over(w.orderBy("i")), "names": F.count("name").over(w), "bad": F.max("twice").over(w)})
+    whole = (F.col("names") == 0) | F.col("bad")
     lines = lines.withColumn("section", F.when(whole, 0).otherwise(F.col("section"))).withColumn("name", F.when(~whole, F.col("name"))).where(whole | (F.col("section") > 0))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("name").isNull(), F.struct("i", "line")))), lambda x: x["line"]), "\n")
     out = lines.groupBy(key, "section").agg(F.max("name").alias("name"), strip(body).alias("body"))
@@ -172,10 +176,7 @@ def split_articles(docs: DataFrame, key: str, text: str, chapter: str = CHAPTER,
 def pack_chunks(c: Column, whole: int = 2000, most: int = 1500) -> Column:
     """array of chunks: a short text whole; else paragraphs, or lines where there is one paragraph only, packed greedily. A
     unit over the limit stays whole."""
-    text = strip(c)
-    parts = lambda p: F.filter(F.transform(F.split(text, p), strip), lambda x: x != "")
-    paragraphs = parts(r"\n\s*\n")
-    units = F.when(F.size(paragraphs) > 1, paragraphs).otherwise(parts("\n"))
+    parts = lambda text, p: F.filter(F.transform(F.split(text, p), strip), lambda x: x != "")
 
     def step(acc: Column, x: Column) -> Column:
         fits = F.length(acc["now"]) + 1 + F.length(x) <= most
@@ -186,11 +187,12 @@ def pack_chunks(c: Column, whole: int = 2000, most: int = 1500) -> Column:
         )
 
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
-    packed = F.aggregate(units, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
-    return F.when(F.length(text) < whole, F.array(text)).otherwise(packed)
+    packed = lambda units: F.aggregate(units, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    units = lambda text: once(parts(text, r"\n\s*\n"), lambda paragraphs: packed(F.when(F.size(paragraphs) > 1, paragraphs).otherwise(parts(text, "\n"))))
+    return once(strip(c), lambda text: F.when(F.length(text) < whole, F.array(text)).otherwise(units(text)))
 
 
-#: Patterns of paragraph roles, as the decisions are worded.
+# Patterns of paragraph roles, as the decisions are worded, in the order of the operator's rules.
 ROLE_PATTERNS = {
     "conclusion": _CONCLUSION,
     "enum": rf"^(?:{_NUM}\s*、|[（(]{_NUM}[）)])",

@@ -268,12 +268,12 @@ def expected_count_check(spark, d):
 
 @query("SELECT DISTINCT p_type AS value FROM part WHERE p_type IS NOT NULL")
 def facet_values(spark, d):
-    return a.read(spark, d, "part").where("p_type is not null").select(F.col("p_type").alias("value")).distinct().orderBy("value")
+    return k.facet_values(a.read(spark, d, "part"), "p_type")
 
 
 @query("SELECT conv_id, bool_or(role = 'system') AS has_role FROM conversations GROUP BY 1")
 def any_role_flag(spark, d):
-    return a.read(spark, d, "conversations").groupBy("conv_id").agg(F.bool_or(F.col("role") == "system").alias("has_role"))
+    return k.any_role(a.read(spark, d, "conversations"), "conv_id", "role", "system")
 
 
 @query(r"""WITH x AS (SELECT conv_id, turn, text || ' 12/05/2024' AS r, replace(text, 'e', 'x') || CASE WHEN turn % 2 = 0 THEN ' 12/05/2024' ELSE '' END AS g FROM conversations), b AS (SELECT *, regexp_replace(r, '\s+', '', 'g') AS rb, regexp_replace(g, '\s+', '', 'g') AS gb FROM x)
@@ -288,7 +288,7 @@ def text_error_rates(spark, d):
 def corpus_union(spark, d):
     docs = a.read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.lit("document").alias("origin"), F.col("lang").alias("kind"), F.length("text").alias("size"))
     pages = a.read(spark, d, "pages").select(F.length("html").alias("size"), F.lit("page").alias("origin"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"))
-    return docs.unionByName(pages, allowMissingColumns=True)
+    return k.corpus_union(docs, pages)
 
 
 @query("""WITH r AS (SELECT o_orderkey AS k, o_orderdate, o_orderstatus FROM orders WHERE o_orderkey % 4 > 0 UNION ALL SELECT o_orderkey, o_orderdate, o_orderstatus FROM orders WHERE o_orderkey % 40 = 1)
@@ -305,6 +305,6 @@ def corpus_assertions(spark, d):
 SELECT case_id, all_ids, list_filter(all_ids, lambda x: x % 2 = 0) AS allowed FROM c""")
 def ordered_set_ops(spark, d):
     ids = a.citations(spark, d).groupBy("case_id").agg(k.in_order(F.col("pos"), F.col("law_id")).alias("x"))
-    union = F.array_union(F.slice("x", 1, 2), F.col("x"))
+    union = k.ordered_union(F.slice("x", 1, 2), F.col("x"))
     even = F.filter("x", lambda v: v % 2 == 0)
-    return ids.select("case_id", union.alias("all_ids"), F.array_intersect(union, even).alias("allowed"))
+    return ids.select("case_id", union.alias("all_ids"), k.ordered_allowed(union, even).alias("allowed"))

@@ -223,7 +223,7 @@ def progress_and_result(spark, d):
 
 @query(f"""WITH {_REVIEW} SELECT k, category, failed OR noted OR coalesce(result = '撤銷另處' AND k % 8 = 1, false) OR (result IS NULL AND status = 'done') AS review, result, failed AS documents_failed FROM v""")
 def case_list_summary(spark, d):
-    return _reviews(spark, d).select("k", "category", "review", "result", F.col("failed").alias("documents_failed"))
+    return r.case_summary(_reviews(spark, d), "k", "category", "review", "result", "failed")
 
 
 _TERMS = [("en", "the", True), ("en", "and", False), ("en", "of", False), ("de", "der", True), ("de", "und", False), ("fr", "les", True), ("fr", "une", False), ("es", "que", True), ("es", "los", False)]

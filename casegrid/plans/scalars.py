@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrid.functions import scalars as s
+from casegrid.operators import corpus
 from casegrid.registry import query
 
 from . import adapters as a
@@ -120,8 +121,7 @@ FROM (SELECT doc_id, source, lang, n, i, string_split(text, chr(10))[i] AS piece
 def chunk_key_and_header(spark, d):
     docs = a.read(spark, d, "documents").withColumn("pieces", F.split("text", "\n"))
     rows = docs.select("doc_id", "source", "lang", F.size("pieces").alias("n"), F.posexplode("pieces").alias("i", "piece"))
-    tail = F.when(F.col("n") > 1, F.concat(F.lit("#p"), (F.col("i") + 1).cast("string"))).otherwise("")
-    return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.concat("source", F.lit("#"), F.col("i").cast("string"), tail).alias("chunk_id"), F.concat(F.lit("["), F.col("lang"), F.lit("]\n"), F.col("piece")).alias("body"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("i"), s.chunk_key(F.col("source"), F.col("i"), F.col("n")).alias("chunk_id"), s.chunk_body(F.col("lang"), F.col("piece")).alias("body"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') THEN 'act' ELSE 'rule' END AS law_type FROM part")
@@ -183,7 +183,7 @@ def holdout_filter(spark, d):
 
 @query("SELECT conv_id, turn FROM conversations WHERE role NOT IN ('system', 'assistant')")
 def index_role_filter(spark, d):
-    return a.read(spark, d, "conversations").where(~F.col("role").isin("system", "assistant")).select("conv_id", "turn")
+    return a.read(spark, d, "conversations").where(s.indexed_role(F.col("role"), ["system", "assistant"])).select("conv_id", "turn")
 
 
 @query(r"""SELECT doc_id, list_filter([CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') THEN 'email' END, CASE WHEN regexp_matches(text, '(?i)ignore (?:all |previous )+instructions|<script') THEN 'injected' END], lambda x: x IS NOT NULL) AS findings FROM documents""")
@@ -218,15 +218,14 @@ def valid_citation_filter(spark, d):
 @query("""SELECT o_orderkey FROM orders WHERE (contains(lower(o_orderpriority), 'low') OR contains(o_orderkey::VARCHAR, '77')) AND o_orderstatus = 'F' AND o_orderdate::DATE >= DATE '2001-08-01' - 365""")
 def case_list_filter(spark, d):
     o = a.read(spark, d, "orders")
-    found = F.lower("o_orderpriority").contains("low") | F.col("o_orderkey").cast("string").contains("77")
-    recent = F.to_date("o_orderdate") >= F.date_sub(F.lit("2001-08-01").cast("date"), 365)
-    return o.where(found & (F.col("o_orderstatus") == "F") & recent).select("o_orderkey")
+    kept = s.list_filter("low", [F.col("o_orderpriority")], F.col("o_orderstatus"), "F", F.to_date("o_orderdate"), F.lit("2001-08-01").cast("date"), 365)
+    other = s.list_filter("77", [F.col("o_orderkey")], F.col("o_orderstatus"), "F", F.to_date("o_orderdate"), F.lit("2001-08-01").cast("date"), 365)
+    return o.where(kept | other).select("o_orderkey")
 
 
 @query("SELECT law_id, law_name, article_no FROM (SELECT p_partkey AS law_id, p_brand AS law_name, p_size AS article_no, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS r FROM part WHERE p_type <> 'PROMO' AND p_name <> '' AND p_retailprice > 905) WHERE r = 1")
 def law_row_validity(spark, d):
     """Deleted, unnamed and empty rows go; a number that isn't one is an error; the first row of a key wins."""
-    part = a.read(spark, d, "part").where("p_type <> 'PROMO' AND p_name <> '' AND p_retailprice > 905")
-    number = F.when(F.col("p_size").cast("string").rlike("^[0-9]+(-[0-9]+)?$"), F.col("p_size")).otherwise(F.raise_error(F.lit("bad article number")).cast("int"))
-    first = F.min(F.struct("p_partkey")).alias("f")
-    return part.withColumn("article_no", number).groupBy(F.col("p_brand").alias("law_name"), "article_no").agg(first).select(F.col("f.p_partkey").alias("law_id"), "law_name", "article_no")
+    part = a.read(spark, d, "part").select(F.col("p_partkey").alias("law_id"), F.col("p_brand").alias("law_name"), s.article_number(F.col("p_size")).cast("int").alias("article_no"), "p_type", "p_name", "p_retailprice")
+    good = (F.col("p_type") != "PROMO") & (F.col("p_name") != "") & (F.col("p_retailprice") > 905)
+    return corpus.valid_articles(part, good, "law_name", "article_no", "law_id").select("law_id", "law_name", "article_no")

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
-def jsonl_source(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
+def jsonl_source(spark: SparkSession, path: str, schema: str, strict: bool = True, skip_missing: bool = False) -> DataFrame:
     """Rows of JSON lines with file, the file's name. Blank lines are skipped. strict: a malformed line fails, with its
-    file and text; else it comes as a row of nulls with the line in corrupt."""
-    raw = spark.read.schema(f"{schema}, corrupt string").json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt").withColumn("file", F.col("_metadata.file_name"))
+    file and text; else it comes as a row of nulls with the line in corrupt, and malformed_lines() numbers it. skip_missing:
+    a path that isn't there gives no rows; else it is an error."""
+    columns = StructType.fromDDL(f"{schema}, corrupt string")
+    if skip_missing and not _exists(spark, path):
+        none = spark.createDataFrame([], StructType.fromDDL(f"{schema}, corrupt string, file string"))
+        return none.drop("corrupt") if strict else none
+    raw = spark.read.schema(columns).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt").withColumn("file", F.col("_metadata.file_name"))
     if not strict:
         return raw
     bad = F.col("corrupt").isNotNull()
@@ -18,6 +25,24 @@ def jsonl_source(spark: SparkSession, path: str, schema: str, strict: bool = Tru
     return raw.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("corrupt")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is anything at the path, in any store that Spark reads."""
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+
+
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, text) of lines that aren't JSON of the schema, with their number from 1 in the file. Files are read
+    whole for this, one at a time, so it is for finding what jsonl_source found wrong."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    parsed = F.from_json("text", StructType.fromDDL(f"{schema}, corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
+    return lines.where(F.trim("text") != "").withColumn("x", parsed).where(F.col("x.corrupt").isNotNull()).select("file", (F.col("line") + 1).alias("line"), "text")
+
+
 def bucketed_source(spark: SparkSession, path: str, pattern: str, schema: str) -> DataFrame:
     """Rows of many files with bucket, taken from the file's or folder's name; a name that doesn't fit is an error."""
     rows = spark.read.schema(schema).json(path, recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_path"))

@@ -415,3 +415,41 @@ def test_each_reason_for_review(spark):
 def test_results_allowed_on_each_track(spark):
     allowed = lambda passed, kind: one(spark, lambda x: rules.result_allowed(F.lit(passed), x), kind)
     assert allowed(True, "駁回") and not allowed(True, "不受理") and allowed(False, "不受理") and not allowed(False, "和解") and allowed(True, None) is None
+
+
+def test_json_lines_that_are_missing_or_malformed(spark, tmp_path):
+    from casegrid.sources import files
+
+    (tmp_path / "a.jsonl").write_text('{"k": 1}\n\n{"k": 2}\nnot json\n{"k": 4}\n')
+    path = str(tmp_path / "a.jsonl")
+    assert [tuple(r) for r in files.malformed_lines(spark, path, "k long").collect()] == [("a.jsonl", 4, "not json")]
+    loose = files.jsonl_source(spark, path, "k long", strict=False)
+    assert sorted((r["k"] or 0, r["corrupt"]) for r in loose.collect()) == [(0, "not json"), (1, None), (2, None), (4, None)]
+    with pytest.raises(Exception, match="malformed line in a.jsonl"):
+        files.jsonl_source(spark, path, "k long").collect()
+    gone = files.jsonl_source(spark, str(tmp_path / "none.jsonl"), "k long", skip_missing=True)
+    assert gone.columns == ["k", "file"] and gone.count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.jsonl_source(spark, str(tmp_path / "none.jsonl"), "k long").count()
+
+
+def test_embedding_agrees_with_plain_python(spark):
+    import zlib
+
+    from casegrid.operators import plugins
+
+    texts = ["a b a", "", None, "c " * 70]
+    got = plugins.embed_batches(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), "text", batch=2)
+    for r in got.collect():
+        want = [0.0] * 64
+        for w in (texts[r["id"]] or "").split():
+            h = zlib.crc32(w.encode())
+            want[h % 64] += 1 if h >> 16 & 1 else -1
+        norm = sum(x * x for x in want) ** 0.5 or 1
+        assert all(abs(x - y / norm) < 1e-6 for x, y in zip(r["embedding"], want))
+
+
+def test_sections_with_a_repeated_heading(spark):
+    rows = spark.createDataFrame([(1, "A.\nx\nB.\ny"), (2, "A.\nx\nA.\ny"), (3, "x")], "k int, t string")
+    got = {(r["k"], r["section"]): (r["name"], r["body"]) for r in segment.labelled_sections(rows, "k", "t", r"^([A-Z])\.$", unique=True).collect()}
+    assert got == {(1, 1): ("A", "x"), (1, 2): ("B", "y"), (2, 0): (None, "A.\nx\nA.\ny"), (3, 0): (None, "x")}

@@ -9,6 +9,7 @@ without the others. Symbols take as many bits as the last of them needs.
 from __future__ import annotations
 
 import functools
+import operator
 import os
 import re
 import struct
@@ -41,6 +42,15 @@ _SIMPLE = re.compile("[!-&(-~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]
 _UNITS = re.compile(r"[^\W\d_]+|\d|(?:[^\w]|_)+")
 
 
+_ID = operator.attrgetter("id")
+
+
+@functools.cache
+def _packer(n: int):
+    """A function that packs so many ids."""
+    return struct.Struct(f"<{n}I").pack
+
+
 class WordIds(dict):
     """Packed ids of words, found by one encoder where they are missing."""
 
@@ -84,8 +94,8 @@ class WordEncoder:
     def _model(self, unit: str) -> bytes:
         """Ids of a unit of lower-case letters, from the library's model without the steps that change nothing in it."""
         spelt = unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.alphabet)
-        ids = [t.id for t in self.model.tokenize(spelt)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        found = self.model.tokenize(spelt)
+        return _packer(len(found))(*map(_ID, found))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
@@ -219,6 +229,13 @@ def _lengths(rule: np.ndarray, levels: list[int], vocabulary: int) -> np.ndarray
     return lengths[vocabulary:]
 
 
+def _spell(symbols: np.ndarray, flat: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """What flat has for each of the symbols, one after the other."""
+    length = (start[1:] - start[:-1])[symbols]
+    end = np.cumsum(length)
+    return flat[np.repeat(start[symbols] - end + length, length) + np.arange(end[-1] if len(end) else 0)]
+
+
 class Shard:
     """A shard's file, opened. Symbols are read and expanded only where they are asked for."""
 
@@ -263,6 +280,23 @@ class Shard:
             symbols = out
         return symbols
 
+    @functools.cached_property
+    def _spelt(self) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of every symbol, one symbol after the other; where each begins, with the total last). A rule's pair
+        occurs apart from the others of its level, so a level holds no more ids than the shard."""
+        flat, start = np.arange(self.vocabulary, dtype=np.uint32), np.arange(self.vocabulary + 1)
+        done = 0
+        for n in self.levels:
+            pair = self.rules[done : done + n].ravel()
+            flat = np.concatenate([flat, _spell(pair, flat, start)])
+            start = np.concatenate([start, start[-1] + np.cumsum(self.lengths[done : done + n], dtype=np.int64)])
+            done += n
+        return flat, start
+
+    def expand_many(self, symbols: np.ndarray) -> np.ndarray:
+        """expand() for many symbols: the rules are spelt once, and the symbols are looked up."""
+        return _spell(symbols, *self._spelt)
+
     def counts(self) -> np.ndarray:
         """Ids of each document."""
         total = np.concatenate([[0], np.cumsum(self.symbol_lengths(self.sequence(0, self.symbols)))])
@@ -345,7 +379,7 @@ def read_shards(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataF
                 crc, k = [], 0
                 while k < shard.documents:
                     to = max(k + 1, int(np.searchsorted(shard.starts, shard.starts[k] + (1 << 20), "right")) - 1)
-                    ids = shard.expand(shard.sequence(shard.starts[k], shard.starts[to])).astype("<u4")
+                    ids = shard.expand_many(shard.sequence(shard.starts[k], shard.starts[to])).astype("<u4")
                     edge = np.concatenate([[0], np.cumsum(counts[k:to])])
                     crc += [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(edge[:-1], edge[1:], strict=True)]
                     k = to

@@ -166,6 +166,7 @@ def test_grammar_round_trip_and_random_access(counts):
     ids = rng.integers(0, 6, sum(counts)).astype(np.uint32)
     shard = tokenfiles.Shard(tokenfiles.compress(ids, np.array(counts, np.int64), 10))
     assert shard.expand(shard.sequence(0, shard.symbols)).tolist() == ids.tolist() and shard.counts().tolist() == counts
+    assert shard.expand_many(shard.sequence(0, shard.symbols)).tolist() == ids.tolist()
     edge = np.concatenate([[0], np.cumsum(counts)]).astype(int)
     for k in range(len(counts)):
         own = ids[edge[k] : edge[k + 1]].tolist()

@@ -24,8 +24,8 @@ from .keyed import BINS, chunk_answers, count_keys, in_chunks, sizes, spread_tal
 
 #: The token at the end of a text, which is also the context in which texts begin.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Bits of a key beyond those of the volume of text: one n-gram in some hundred million shares its key with another.
-KEY_BITS = 27
+#: Bits of a key beyond those of the volume of text: one n-gram in some ten million shares its key with another.
+KEY_BITS = 23
 WORD, PAIR, TRIPLE = 0, 1, 2
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,62 +13,103 @@ from pyspark.sql import functions as F
 BLOCK, SLOTS_A_CORE = 4096, 2
 
 
-def _blocks(rows: DataFrame, key: str, vec: str) -> DataFrame:
-    """(dim, ids, m): blocks of vectors of one length, scaled to length 1 in doubles. Rows without a vector, without a length
-    or with a null key or part take no part. Each task packs its own rows, so nothing is shuffled."""
+def _blocks(rows: DataFrame, key: str, vec: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(dim, ids, m, x0, x1, ...): blocks of vectors of one length, scaled to length 1 in doubles, with extra integer columns
+    (null: -1). Rows without a vector, without a length or with a null key or part take no part. Each task packs its own
+    rows, so nothing is shuffled."""
+    names = ["dim", "ids", "m", *(f"x{i}" for i in range(len(extra)))]
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                keys, vectors = part.column(0), part.column(1)
-                good = pa.compute.and_(pa.compute.is_valid(keys), pa.compute.is_valid(vectors))
-                part = part.filter(good)
+                part = part.filter(pa.compute.and_(pa.compute.is_valid(part.column(0)), pa.compute.is_valid(part.column(1))))
                 dims = np.asarray(pa.compute.list_value_length(part.column(1)))
                 for dim in np.unique(dims[dims > 0]) if part.num_rows else ():
                     some = part.filter(pa.array(dims == dim))
                     m = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
                     norm = np.sqrt((m * m).sum(axis=1))
                     held = norm > 0  # not of null parts either
-                    ids = some.column(0).cast(pa.int64()).to_numpy()[held]
                     m = m[held] / norm[held, None]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([m.tobytes()], pa.binary())], names=["dim", "ids", "m"])
+                    packed = [m.tobytes()] + [some.column(2 + i).to_numpy(zero_copy_only=False)[held].tobytes() for i in range(len(extra))]
+                    ids = some.column(0).to_numpy()[held].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids, *packed))], names=names)
 
-    return rows.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec")).mapInArrow(pack, "dim int, ids binary, m binary")
+    chosen = rows.select(F.col(key).cast("long").alias("key"), F.col(vec).cast("array<double>").alias("vec"), *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(f"x{i}") for i, c in enumerate(extra)])
+    return chosen.mapInArrow(pack, "dim int, ids binary, m binary" + "".join(f", x{i} binary" for i in range(len(extra))))
+
+
+def _met(queries: DataFrame, corpus: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(dim, ids, m, q_ids, q_m, x0, ...): every block of the corpus with every block of queries. The corpus is dealt to a
+    fixed number of slots, and each slot meets all queries."""
+    slots = max(1, SLOTS_A_CORE * corpus.sparkSession.sparkContext.defaultParallelism)
+    held = _blocks(corpus, "id", "vec", extra).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
+    asked = _blocks(queries, "query_id", "query_vec").select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    return held.join(asked, ["slot", "dim"]).select("dim", "ids", "m", "q_ids", "q_m", *[f"x{i}" for i in range(len(extra))])
+
+
+def _scored(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(query ids, ids, scores, extra columns) of some queries and one block of the corpus, ids ascending; a query's own id
+    scores minus infinity, and the others the cosine rounded to 6 places."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            dim = batch.column(0)[i].as_py()
+            read = lambda c, kind: np.frombuffer(batch.column(c)[i].as_buffer(), kind)  # noqa: B023, E731
+            ids, m, q_ids, q_m = read(1, np.int64), read(2, np.float64), read(3, np.int64), read(4, np.float64)
+            order = np.argsort(ids, kind="stable")
+            extra = [read(c, np.int64)[order] for c in range(5, batch.num_columns)]
+            ids, m = ids[order], m.reshape(-1, dim)[order]
+            for at in range(0, len(q_ids), 256):
+                own = q_ids[at : at + 256]
+                scores = np.round(q_m.reshape(-1, dim)[at : at + 256] @ m.T, 6)
+                scores[own[:, None] == ids[None, :]] = -np.inf
+                yield own, ids, scores, extra
 
 
 def block_topk(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score): of each block of the corpus the k vectors most similar to each query, other than itself, by the
     cosine rounded to 6 places and then the smaller id. What the k best of all blocks have in common is a superset of the
     answer. Every slot of the corpus meets all blocks of queries, a pair of blocks at a time."""
-    spark = corpus.sparkSession
-    slots = max(1, SLOTS_A_CORE * spark.sparkContext.defaultParallelism)
-    held = _blocks(corpus, "id", "vec").withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int"))
-    asked = _blocks(queries, "query_id", "query_vec").select(F.col("dim"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    met = held.join(asked, ["slot", "dim"]).select("dim", "ids", "m", "q_ids", "q_m")
 
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                dim = batch.column(0)[i].as_py()
-                ids, m, q_ids, q_m = (np.frombuffer(batch.column(c)[i].as_buffer(), kind) for c, kind in ((1, np.int64), (2, np.float64), (3, np.int64), (4, np.float64)))
-                order = np.argsort(ids, kind="stable")
-                ids, m = ids[order], m.reshape(-1, dim)[order]
-                for at in range(0, len(q_ids), 256):
-                    own = q_ids[at : at + 256]
-                    scores = np.round(q_m.reshape(-1, dim)[at : at + 256] @ m.T, 6)
-                    scores[own[:, None] == ids[None, :]] = -np.inf
-                    # Stable by descending score: ids ascend, so ties go to the smaller one.
-                    if scores.shape[1] > 4 * k:
-                        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-                        q, c = np.nonzero(scores >= least[:, None])
-                    else:
-                        q, c = np.nonzero(np.isfinite(scores))
-                    best = np.lexsort((ids[c], -scores[q, c], q))
-                    q, c = q[best], c[best]
-                    begin = np.searchsorted(q, np.arange(len(own)))
-                    keep = (np.arange(len(q)) - begin[q] < k) & np.isfinite(scores[q, c])
-                    q, c = q[keep], c[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[c]), pa.array(scores[q, c])], names=["query_id", "id", "score"])
-
-    return met.mapInArrow(search, "query_id long, id long, score double")
+        for own, ids, scores, _ in _scored(batches):
+            # Stable by descending score: ids ascend, so ties go to the smaller one.
+            if scores.shape[1] > 4 * k:
+                least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+                q, c = np.nonzero(scores >= least[:, None])
+            else:
+                q, c = np.nonzero(np.isfinite(scores))
+            best = np.lexsort((ids[c], -scores[q, c], q))
+            q, c = q[best], c[best]
+            begin = np.searchsorted(q, np.arange(len(own)))
+            keep = (np.arange(len(q)) - begin[q] < k) & np.isfinite(scores[q, c])
+            q, c = q[keep], c[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[c]), pa.array(scores[q, c])], names=["query_id", "id", "score"])
+
+    return _met(queries, corpus).mapInArrow(search, "query_id long, id long, score double")
+
+
+def block_group_topk(queries: DataFrame, corpus: DataFrame, k: int, group: Callable, name: str | None = None) -> DataFrame:
+    """(query_id, id, grp, name, score): of each block of the corpus the k vectors most similar to each query in each group,
+    each name once at its best, by rounded cosine and then the smaller id.
+
+    corpus: (id, vec, attr, ...); group(query ids, attrs, scores) gives an integer for every pair, from columns of shape
+    (queries, 1), (1, vectors) and (queries, vectors). name: an integer column of the corpus; without it every id is its own.
+    """
+
+    def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own, ids, scores, (attr, named) in _scored(batches):
+            q, c = np.nonzero(np.isfinite(scores))
+            groups = np.broadcast_to(group(own[:, None], attr[None, :], scores), scores.shape)[q, c]
+            best = np.lexsort((ids[c], -scores[q, c], groups, q))
+            q, c, groups = q[best], c[best], groups[best]
+            if len(q) and name is not None:
+                _, first = np.unique(np.stack([q, groups, named[c]]), axis=1, return_index=True)
+                first.sort()
+                q, c, groups = q[first], c[first], groups[first]
+            begins = np.flatnonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(groups) != 0)])) if len(q) else np.empty(0, np.int64)
+            place = np.arange(len(q)) - np.repeat(begins, np.diff(begins, append=len(q)))
+            q, c, groups = q[place < k], c[place < k], groups[place < k]
+            yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[c]), pa.array(groups.astype(np.int64)), pa.array(named[c]), pa.array(scores[q, c])], names=["query_id", "id", "grp", "name", "score"])
+
+    return _met(queries, corpus, ("attr", name or "id")).mapInArrow(search, "query_id long, id long, grp long, name long, score double")

@@ -59,6 +59,24 @@ def holiday_calendar_source(spark, d):
     return files.closed_weekdays(rows.unionByName(rows.limit(1).withColumn("date", F.lit("2024xx01"))), "date", "flag", "label", "f")
 
 
+@query("""WITH x AS (SELECT o_orderdate::DATE AS day, o_custkey % 3 AS f FROM orders), y AS (SELECT year(day) AS y, max(f) AS f FROM x GROUP BY 1)
+SELECT day, CASE WHEN day(day) % 2 = 0 THEN '放假日' ELSE 'named' END AS label FROM x JOIN y ON y.y = year(day) AND x.f = y.f WHERE isodow(day) <= 5 AND (day(day) + x.f) % 7 = 0""")
+def holiday_calendar_orders(spark, d):
+    """Calendar rows rendered from orders: as many as there are orders."""
+    day, f = F.to_date("o_orderdate"), F.col("o_custkey") % 3
+    number = F.dayofmonth(day)
+    rows = a.read(spark, d, "orders").select(F.date_format(day, "yyyyMMdd").alias("date"), F.when((number + f) % 7 == 0, "2").otherwise("0").alias("flag"), F.when(number % 2 == 0, " ").otherwise("named").alias("label"), f.alias("f"))
+    return files.closed_weekdays(rows, "date", "flag", "label", "f")
+
+
+@query("SELECT 'A' || c_custkey AS agency, n_name AS residence, (c_custkey % 31)::INT AS days FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def transit_matrix_parties(spark, d):
+    """Nested tables rendered from customers: a block for each."""
+    rows = a.read(spark, d, "customer").join(a.read(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    block = F.to_json(F.create_map(F.concat(F.lit("A"), F.col("c_custkey").cast("string")), F.create_map("n_name", (F.col("c_custkey") % 31).cast("int"))))
+    return files.transit_matrix(rows.select(block.alias("block")), "block")
+
+
 @query("SELECT r_name AS agency, n_name AS residence, ((n_nationkey * 7 + r_regionkey) % 31)::INT AS days FROM nation, region")
 def transit_matrix_source(spark, d):
     pairs = a.read(spark, d, "nation").join(F.broadcast(a.read(spark, d, "region")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casegrid.operators import lookup, rank
+from casegrid.operators import lookup, rank, vectors
 from casegrid.registry import query
 from casegrid.storage import materialize
 
@@ -64,10 +65,14 @@ def metadata_filter(spark, d):
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE tier = best)
 SELECT query_id, id, score, tier, rank FROM r WHERE rank <= 15""")
 def fallback_tiers(spark, d):
-    corpus, asked = a.chunk_vectors(spark, d), a.query_vectors(spark, d)
-    hits = corpus.join(rank.small(asked), F.col("id") != F.col("query_id")).withColumn("score", F.round(rank.cosine(F.col("vec"), F.col("query_vec")), 6))
-    same = F.col("kind") == F.floor(F.col("query_id") / 100) % 12
-    tagged = rank.fallback_tiers(hits.select("query_id", "id", "kind", "score"), [same & (F.col("score") > 0.25), same, None], ["query_id"])
+    corpus, asked = a.chunk_vectors(spark, d).withColumn("attr", F.col("kind")), a.query_vectors(spark, d)
+
+    def tier(query: np.ndarray, kind: np.ndarray, score: np.ndarray) -> np.ndarray:
+        same = kind == query // 100 % 12
+        return np.where(same & (score > 0.25), 0, np.where(same, 1, 2))
+
+    hits = vectors.block_group_topk(asked, corpus, 15, tier).withColumnRenamed("grp", "t")
+    tagged = rank.fallback_tiers(hits, [F.col("t") == 0, F.col("t") == 1, None], ["query_id"])
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return tagged.withColumn("rank", F.row_number().over(order)).where("rank <= 15").select("query_id", "id", "score", "tier", "rank")
 
@@ -95,8 +100,9 @@ def candidate_frequency(spark, d):
 @query(with_("scored") + """, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind, entity ORDER BY score DESC, id) AS dup FROM scored)
 SELECT query_id, kind, entity, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, id) AS rank FROM o WHERE dup = 1) WHERE rank <= 3""")
 def per_kind_topk(spark, d):
-    corpus, asked = a.chunk_vectors(spark, d), a.query_vectors(spark, d)
-    hits = corpus.join(rank.small(asked), F.col("id") != F.col("query_id")).select("query_id", "id", "entity", "kind", F.round(rank.cosine(F.col("vec"), F.col("query_vec")), 6).alias("score"), F.lit(0).alias("rank"))
+    corpus, asked = a.chunk_vectors(spark, d).withColumn("attr", F.col("kind")), a.query_vectors(spark, d)
+    found = vectors.block_group_topk(asked, corpus, 3, lambda query, kind, score: kind, "entity")
+    hits = found.select("query_id", "id", F.col("name").alias("entity"), F.col("grp").alias("kind"), "score", F.lit(0).alias("rank"))
     return rank.per_kind_topk(hits, "kind", ["query_id"], 3, "entity").select("query_id", "kind", "entity", "id", "score", "rank")
 
 

@@ -160,6 +160,14 @@ def districts_from_note(spark, d):
     return a.read(spark, d, "nation").select("n_nationkey", F.explode(s.districts_from_note(note)).alias("grp", "districts"))
 
 
+@query("""SELECT c_custkey, '甲乙市（一）' AS grp, ['N' || c_custkey || '區', '丁區'] AS districts FROM customer UNION ALL SELECT c_custkey, '丙丁市（二）', CASE WHEN c_custkey % 2 = 0 THEN ['戊區'] ELSE [] END FROM customer""")
+def districts_from_notes(spark, d):
+    """A note for each customer."""
+    key = F.col("c_custkey").cast("string")
+    note = F.concat(F.lit("甲乙市（一）：N"), key, F.lit("區、丁 區，x。丙丁市（二）："), F.when(F.col("c_custkey") % 2 == 0, "戊區").otherwise("無"), F.lit("。"))
+    return a.read(spark, d, "customer").select("c_custkey", F.explode(s.districts_from_note(note)).alias("grp", "districts"))
+
+
 @query("""SELECT doc_id, lang, length(text)::INT AS size FROM documents""")
 def incremental_ingest_stream(spark, d):
     """Documents arrive in files, some of them twice; the table is as if they had come at once."""

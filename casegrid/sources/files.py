@@ -59,8 +59,8 @@ def first_links(rows: DataFrame, key: str, url: str, order: str, keep: Column) -
 def closed_weekdays(rows: DataFrame, date: str, flag: str, label: str, file_pos: str, default: str = "放假日") -> DataFrame:
     """(day, label) of official calendar rows: closed days that aren't on a weekend. Of a year's files the last listed holds."""
     parsed = rows.withColumn("day", F.try_to_date(F.col(date), "yyyyMMdd")).where(F.col("day").isNotNull())
-    latest = F.max(file_pos).over(W.partitionBy(F.year("day")))
-    closed = parsed.withColumn("latest_", latest).where((F.col(file_pos) == F.col("latest_")) & (F.col(flag) == "2") & (F.weekday("day") < 5))
+    latest = parsed.groupBy(F.year("day").alias("year_")).agg(F.max(file_pos).alias("latest_"))  # a row for each year
+    closed = parsed.join(latest, F.year("day") == F.col("year_")).where((F.col(file_pos) == F.col("latest_")) & (F.col(flag) == "2") & (F.weekday("day") < 5))
     return closed.select("day", F.coalesce(F.nullif(F.trim(F.col(label)), F.lit("")), F.lit(default)).alias("label"))
 
 

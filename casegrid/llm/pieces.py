@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding with source offsets.
 
 The text is normalised here, by the longest prefix that the model's compiled character map knows at each place, and each
-normalised byte remembers the source byte that it came from. The sentencepiece library turns the normalised text into
-ids; the lengths of the pieces then project every piece onto the normalised text, and through the alignment onto the
-bytes of the original.
+normalised byte remembers the source byte that it came from. The sentencepiece library turns the text as it is, which it
+normalises in the same way, into ids; the lengths of the pieces then project every piece onto the normalised text, and
+through the alignment onto the bytes of the original.
 """
 
 from __future__ import annotations
@@ -121,9 +121,8 @@ class Encoder:
         if unknown.any():
             lengths = self._unknown_lengths(text)
         edge = np.concatenate([[0], np.cumsum(lengths)])
-        if edge[-1] != len(out):
-            raise ValueError("pieces don't add up to the normalised text")
-        begins, ends = align[edge[:-1]], align[edge[1:]]
+        # Where the pieces don't add up to the text as it is normalised here, the library's own places are taken.
+        begins, ends = (align[edge[:-1]], align[edge[1:]]) if edge[-1] == len(out) else self._library_places(text)
         if end:
             size = len(text.encode())
             ids, begins, ends = np.append(ids, np.int32(self.sp.eos_id())), np.append(begins, size), np.append(ends, size)
@@ -132,6 +131,11 @@ class Encoder:
     def _unknown_lengths(self, text: str) -> np.ndarray:
         return np.array([len(p.encode()) for p in self.sp.encode(text, out_type=str)], np.int64)
 
+    def _library_places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes that each piece covers as the library tells them."""
+        pieces = self.sp.encode(text, return_type="proto").pieces
+        return np.array([p.begin for p in pieces], np.int64), np.array([p.end for p in pieces], np.int64)
+
     def decode(self, ids: np.ndarray) -> str:
         return self.sp.decode(ids.tolist())
 
@@ -177,7 +181,8 @@ def encode_texts(docs: DataFrame, keys: list[str], model: str, text_col: str = "
 
 
 def decode_ids(encoded: DataFrame, keys: list[str], model: str, ids_col: str = "ids") -> DataFrame:
-    """The key columns and the text that each row's ids stand for; null for null ids."""
+    """The key columns and text, what each row's ids stand for: null for null ids, empty for none. Rows are independent, so
+    repeated rows come out each; keys may have any names but text; an empty table gives none."""
     kept = {k: encoded.schema[k].dataType.simpleString() for k in keys}
 
     def run(batches):
@@ -186,4 +191,4 @@ def decode_ids(encoded: DataFrame, keys: list[str], model: str, ids_col: str = "
             ids = b.column(len(keys)).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else sp.decode(x) for x in ids], pa.string())], names=[*keys, "text"])
 
-    return encoded.select(*keys, ids_col).mapInArrow(run, ", ".join([*(f"{k} {t}" for k, t in kept.items()), "text string"]))
+    return encoded.select(*[f"`{k}`" for k in keys], f"`{ids_col}`").mapInArrow(run, ", ".join([*(f"`{k}` {t}" for k, t in kept.items()), "text string"]))

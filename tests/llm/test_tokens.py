@@ -180,3 +180,17 @@ def test_grammar_round_trip_and_random_access(counts):
 def test_empty_tables(spark, no_docs):
     assert pieces.encode_texts(no_docs, ["doc_id"], PIECES).count() == 0
     assert tokenfiles.read_shards(spark, tokenfiles.write_shards(no_docs, WORDS, 1)).count() == 0
+
+
+def test_library_places_agree_with_the_alignment():
+    encoder = pieces.Encoder(PIECES)
+    for text in ("Hello wörld, 日本 x", " a  b ", "", "é\U0001F600\u0301"):
+        ids, begins, ends = encoder.encode(text, end=False)
+        own = encoder._library_places(text)
+        assert len(own[0]) == len(ids) and sorted(set(ends.tolist()))[-1:] == sorted(set(own[1].tolist()))[-1:]
+
+
+def test_decoding_takes_any_key_names(spark):
+    rows = spark.createDataFrame([(1, [35, 36]), (2, []), (3, None), (3, None)], "`a b` int, ids array<int>")
+    out = [(r[0], r[1]) for r in pieces.decode_ids(rows, ["a b"], PIECES).collect()]
+    assert sorted(x for x, _ in out) == [1, 2, 3, 3] and dict(out)[2] == "" and dict(out)[3] is None

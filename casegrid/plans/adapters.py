@@ -57,7 +57,7 @@ SQL = {
     "scored": """corpus AS (SELECT vec_id AS id, vec_id // 5 AS entity, label AS kind, embedding::DOUBLE[] AS vec FROM embeddings),
       scored AS (SELECT q.id AS query_id, c.id, c.entity, c.kind, round(list_cosine_similarity(c.vec, q.vec), 6) AS score FROM corpus q JOIN corpus c ON q.id % 100 = 0 AND c.id <> q.id)""",
     "legs": """hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, id) AS rank FROM (
-        SELECT *, id % 3 AS leg FROM scored WHERE id % 3 < 2)) WHERE rank <= 100)""",
+        SELECT *, coalesce((kind >= 5)::INT, 0) AS leg FROM scored)) WHERE rank <= 100)""",
     "whole_legs": """asked AS (SELECT id AS query_id, 0 AS leg, vec FROM corpus WHERE id % 100 = 0 UNION ALL
         SELECT q.id, 1, coalesce(n.vec, q.vec) FROM corpus q LEFT JOIN corpus n ON n.id = q.id + 1 WHERE q.id % 100 = 0),
       hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, leg ORDER BY score DESC, id) AS rank FROM (

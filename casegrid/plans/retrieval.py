@@ -23,9 +23,11 @@ SELECT query_id, id, rank, reranked FROM (SELECT e.query_id, e.id, row_number()
 
 
 def _legs(spark, d):
-    """Top 100 of two legs of the corpus: (query_id, id, score, rank, leg, entity)."""
+    """Top 100 of two legs: (query_id, id, score, rank, leg, entity). Each leg has the chunks of some kinds, and every chunk
+    is in one."""
     corpus, asked = a.chunk_vectors(spark, d), a.query_vectors(spark, d)
-    legs = [rank.vector_topk(asked, corpus, 100, F.col("id") % 3 == leg).withColumn("leg", F.lit(leg)) for leg in (0, 1)]
+    high = F.coalesce(F.col("kind") >= 5, F.lit(False))
+    legs = [rank.vector_topk(asked, corpus, 100, keep).withColumn("leg", F.lit(leg)) for leg, keep in enumerate((~high, high))]
     return legs[0].unionByName(legs[1]).withColumn("entity", F.floor(F.col("id") / 5))
 
 

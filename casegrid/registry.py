@@ -2,15 +2,27 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from casegrid.shipping import settle
+
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
+def _settled(f: Query) -> Query:
+    @functools.wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        settle(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     """Register a query, with its SQL if it has one."""
 
@@ -18,7 +30,7 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
         key = name or f.__name__
         if key in _QUERIES:
             raise ValueError(f"two queries are named {key}")
-        _QUERIES[key] = f
+        _QUERIES[key] = _settled(f)
         if sql:
             _SQL[key] = sql
         return f

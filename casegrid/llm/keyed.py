@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -86,7 +87,7 @@ def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds:
     def answering(rows: pa.Table) -> pa.Table:
         give_back()
         told = [x for x in rows["tally"].to_pylist() if x is not None]
-        rows = rows.filter(pa.compute.is_valid(rows["chunk"]))
+        rows = rows.filter(pc.is_valid(rows["chunk"]))
         keys = [np.cumsum(unpack(x)) for x in rows["keys"]]
         counts = [unpack(x) for x in rows["counts"]]
         answers: list[bytes] = []

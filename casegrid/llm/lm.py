@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -160,7 +161,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     long = count_keys(chunked, parts, width, ask_long, kinds=3, known=known)
 
     def told(answers: pa.Table, step: int) -> pa.Table:
-        return answers.filter(pa.compute.equal(answers["step"], step))
+        return answers.filter(pc.equal(answers["step"], step))
 
     def level(answers: pa.Table, kind: int) -> np.ndarray:
         """A tally of the whole training set."""

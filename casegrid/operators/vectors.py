@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +24,8 @@ def _blocks(rows: DataFrame, key: str, vec: str, extra: tuple[str, ...] = ()) ->
         for batch in batches:
             for at in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(at, BLOCK)
-                part = part.filter(pa.compute.and_(pa.compute.is_valid(part.column(0)), pa.compute.is_valid(part.column(1))))
-                dims = np.asarray(pa.compute.list_value_length(part.column(1)))
+                part = part.filter(pc.and_(pc.is_valid(part.column(0)), pc.is_valid(part.column(1))))
+                dims = np.asarray(pc.list_value_length(part.column(1)))
                 for dim in np.unique(dims[dims > 0]) if part.num_rows else ():
                     some = part.filter(pa.array(dims == dim))
                     m = some.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)

@@ -348,7 +348,9 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = _class_labels(rows, "text", words, percent)
     least = classes.where(F.col("digest_").isNotNull()).groupBy("digest_").agg(F.min("id_").alias("least"))
     least = least.join(labels, F.col("digest_") == F.col("node"), "left").withColumn("label", F.coalesce("label", "digest_"))
-    grouped = least.groupBy("label").agg(F.min("least").alias("component"))
+    # Written first, so that the join that takes it back can split a component with very many classes.
+    least = materialize(least, "jaccard-least")
+    grouped = materialize(least.groupBy("label").agg(F.min("least").alias("component")), "jaccard-components")
     found = least.join(grouped, "label").select(F.col("digest_").alias("class_"), "component", F.col("label").alias("group"))
     out = classes.join(found, F.col("digest_") == F.col("class_"), "left")
     component = F.when(F.col("digest_").isNull(), F.col("id_")).otherwise(F.col("component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 from collections.abc import Callable
@@ -12,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, lm, mixing, pieces, pii, quality, secrets, tokenfiles, topk, urls
+from . import bpe, jaccard, lm, mixing, pieces, pii, quality, secrets, tokenfiles, topk, urls
 from .common import table
 
 #: The tokenizer files. They are read on every executor.
 PIECE_MODEL = "piece_bpe_32k.model"
 WORD_MODEL = "word_bpe_49k.json"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,18 +37,19 @@ def secret_scan_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(found).drop("blob")
 
 
-_DIGITS: list = []
+@functools.cache
+def _digits(before: str) -> tuple[np.ndarray, np.ndarray]:
+    """(the characters of each 16-bit id after before, which of them there are)."""
+    words = [f"{before}{i}".encode() for i in range(1 << 16)]
+    chars = np.array([w.ljust(6, b"\0") for w in words], "S6").view(np.uint8).reshape(-1, 6)
+    return chars, chars != 0
 
 
-def id_digest(ids: np.ndarray) -> str:
-    """SHA-256 of the decimal ids joined by one space."""
-    if not _DIGITS:
-        words = [f" {i}".encode() for i in range(1 << 16)]
-        chars = np.array([w.ljust(6, b"\0") for w in words], "S6").view(np.uint8).reshape(-1, 6)
-        _DIGITS.extend([chars, chars != 0])
+def id_digest(ids: np.ndarray, between: str = " ") -> str:
+    """SHA-256 of the decimal ids joined by one character."""
     if not len(ids):
         return hashlib.sha256(b"").hexdigest()
-    chars, real = _DIGITS
+    chars, real = _digits(between)
     return hashlib.sha256(chars[ids].ravel()[real[ids].ravel()][1:].tobytes()).hexdigest()
 
 
@@ -94,6 +97,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def emit(encoder: bpe.BpeEncoder, ids: np.ndarray) -> tuple:
+        decoded = encoder.decode_bytes(ids.tolist())
+        try:
+            decoded.decode()
+        except UnicodeDecodeError:
+            decoded = decoded.decode("utf-8", "replace").encode()
+        return len(ids), id_digest(ids, ","), hashlib.sha256(decoded).hexdigest()
+
+    fields = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path(BYTE_MODEL), emit=emit, fields=fields, schema=schema)
+
+
 _FLAT = "coalesce(text, '')"
 _RULE_SQL = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))[""'']?\x20*[:=]\x20*[""'']?([A-Za-z0-9+/_.=-]+)""".replace('""', '"'), 2, 8),
@@ -139,7 +156,7 @@ _OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:

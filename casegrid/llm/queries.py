@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm, mixing, pieces, pii, quality, secrets, tokenfiles, topk, urls
+from . import bpe, jaccard, lm, mixing, negatives, pieces, pii, quality, secrets, tokenfiles, topk, urls
 from .common import table
 
 #: The tokenizer files. They are read on every executor.
@@ -111,6 +111,13 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(table(spark, sf_dir, "documents", "doc_id", "text"), ["doc_id"], public_tokenizers.path(BYTE_MODEL), emit=emit, fields=fields, schema=schema)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = negatives.labelled(vectors, label)
+    return negatives.mine(rows, rows.where(F.col("id") % 100 == 0))
+
+
 _FLAT = "coalesce(text, '')"
 _RULE_SQL = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))[""'']?\x20*[:=]\x20*[""'']?([A-Za-z0-9+/_.=-]+)""".replace('""', '"'), 2, 8),
@@ -146,6 +153,14 @@ _OP5_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floo
   SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
 
+_OP12_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0),
+  p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5"""
+
+
 _OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
   s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
   e AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM s),
@@ -156,8 +171,8 @@ _OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing, op11_byte_bpe, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secret_scan": _op1_sql(), "secret_scan_increment": _op1_sql(), "op5_exact_topk": _OP5_SQL, "op8_jaccard_join": _OP8_SQL}
+    return {"op1_secret_scan": _op1_sql(), "secret_scan_increment": _op1_sql(), "op5_exact_topk": _OP5_SQL, "op8_jaccard_join": _OP8_SQL, "op12_hard_negatives": _OP12_SQL}

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,12 +23,16 @@ SHARD, BLOCK, STRIDE = 8192, 2048, 1024
 GROUPS_A_CORE = 2
 
 
-def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
-    """(id, v): components as floor(scale * x); without vectors that are null, empty or have null or non-finite parts."""
+def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64, extra: dict[str, Column] | None = None) -> DataFrame:
+    """(id, v, extra columns): components as floor(scale * x); without vectors that are null, empty or have null or non-finite
+    parts, and without null ids. A component beyond 64 bits is an error."""
     v = F.transform(F.col(f"`{vec_col}`"), lambda x: x.cast("double"))
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(good)
-    return rows.select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v"))
+    rows = vectors.select(F.col(f"`{id_col}`").alias("id"), v.alias("v"), *[c.alias(name) for name, c in (extra or {}).items()])
+    rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(good)
+    # floor() alone would give the nearest 64-bit integer.
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
+    return rows.withColumn("v", F.transform("v", whole))
 
 
 def _packed(rows: DataFrame, parts: int, name: str) -> DataFrame:

@@ -170,7 +170,65 @@ class PairIndex:
                 yield int(rank[i]), place[i:j].tolist()
 
 
-class BpeEncoder:
+class WordKeeper:
+    """Encodes texts word by word, the new words of some texts together; words that come again are kept.
+
+    Kept words are bounded by bytes, in two generations: when the newer one is full the older one goes, and words that are met
+    again move to the newer one. Long words aren't kept.
+    """
+
+    def __init__(self) -> None:
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def words(self, text: str) -> list[str]:
+        """The words of a text, whose ids in a row are the text's."""
+        raise NotImplementedError
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, packed in 32 bits each."""
+        raise NotImplementedError
+
+    def packed(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, packed in 32 bits each."""
+        at = 0
+        while at < len(texts):
+            # Some texts at a time, so that their words are few enough to be held.
+            to, chars = at, 0
+            while to < len(texts) and (to == at or chars + len(texts[to]) <= SLICE_CHARS):
+                chars += len(texts[to])
+                to += 1
+            words = [self.words(t) for t in texts[at:to]]
+            own = self._learn({w for x in words for w in x}.difference(self.kept))
+            for x in words:
+                yield b"".join(map(own.__getitem__, x) if own is self.kept else [own[w] if w in own else self.kept[w] for w in x])
+            if self.held > KEPT_BYTES:
+                self.kept, self.older, self.held = {}, self.kept, 0
+            at = to
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """A table that has the new words: the kept one, unless some of them are too long to be kept. Words that were kept
+        before the last change of generations are taken from there."""
+        todo = list(new.difference(self.older))
+        found: dict[str, bytes] = {w: self.older[w] for w in new if w in self.older} if len(todo) < len(new) else {}
+        batch, size = [], 0
+        for i, w in enumerate(todo):
+            batch.append(w)
+            size += len(w)
+            if size >= INDEX_BYTES or i == len(todo) - 1:
+                found.update(zip(batch, self.encode_words(batch), strict=True))
+                batch, size = [], 0
+        short = {w: x for w, x in found.items() if len(w) <= KEPT_WORD} if max(map(len, new), default=0) > KEPT_WORD else found
+        self.held += sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
+        self.kept |= short
+        return self.kept if short is found else found
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.frombuffer(x, "<u4") for x in self.packed(texts)]
+
+
+class BpeEncoder(WordKeeper):
     """Encodes and decodes texts under one byte-level tokenizer file.
 
     specials: whether the strings of added tokens inside texts stand for those tokens, as the library has it by default, or
@@ -178,6 +236,7 @@ class BpeEncoder:
     """
 
     def __init__(self, path: str, specials: bool = True) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -200,9 +259,6 @@ class BpeEncoder:
             if specials:
                 self.special[t["content"]] = int(t["id"]).to_bytes(4, "little")
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.held = 0
         self.agreed, self.differ = set(map(chr, range(128))), set()
 
     def _library_words(self, text: str) -> list[str]:
@@ -229,46 +285,11 @@ class BpeEncoder:
             return parts + (self.words(text[at:]) if at < len(text) else [])
         return WORDS.findall(text) if self._plain(text) else self._library_words(text)
 
-    def packed(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text, packed in 32 bits each."""
-        at = 0
-        while at < len(texts):
-            # Some texts at a time, so that their words are few enough to be held.
-            to, chars = at, 0
-            while to < len(texts) and (to == at or chars + len(texts[to]) <= SLICE_CHARS):
-                chars += len(texts[to])
-                to += 1
-            words = [self.words(t) for t in texts[at:to]]
-            own = self._learn({w for x in words for w in x}.difference(self.kept))
-            for x in words:
-                yield b"".join(map(own.__getitem__, x) if own is self.kept else [own[w] if w in own else self.kept[w] for w in x])
-            if self.held > KEPT_BYTES:
-                self.kept, self.older, self.held = {}, self.kept, 0
-            at = to
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """A table that has the new words: the kept one, unless some of them are too long to be kept. Words that were kept
-        before the last change of generations are taken from there."""
-        todo = list(new.difference(self.older))
-        known = len(new) - len(todo)
-        found: dict[str, bytes] = {w: self.older[w] for w in new if w in self.older} if known else {}
-        if self.special:
-            found |= {w: self.special[w] for w in todo if w in self.special}
-            todo = [w for w in todo if w not in self.special]
-        batch, size = [], 0
-        for i, w in enumerate(todo):
-            batch.append(w)
-            size += len(w)
-            if size >= INDEX_BYTES or i == len(todo) - 1:
-                found.update(zip(batch, self.index.encode([x.encode() for x in batch]), strict=True))
-                batch, size = [], 0
-        short = {w: x for w, x in found.items() if len(w) <= KEPT_WORD} if max(map(len, new), default=0) > KEPT_WORD else found
-        self.held += sum(map(len, short)) + sum(map(len, short.values())) + _ENTRY * len(short)
-        self.kept |= short
-        return self.kept if short is found else found
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(x, "<u4") for x in self.packed(texts)]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        if not self.special:
+            return self.index.encode([w.encode() for w in words])
+        plain = iter(self.index.encode([w.encode() for w in words if w not in self.special]))
+        return [self.special[w] if w in self.special else next(plain) for w in words]
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))

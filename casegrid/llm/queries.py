@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, lm, mixing, negatives, pieces, pii, quality, secrets, tokenfiles, topk, urls
+from . import align, bpe, jaccard, lm, mixing, negatives, pieces, pii, quality, secrets, tokenfiles, topk, urls
 from .common import table
 
 #: The tokenizer files. They are read on every executor.
@@ -118,6 +118,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, rows.where(F.col("id") % 100 == 0))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_documents(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL))
+
+
 _FLAT = "coalesce(text, '')"
 _RULE_SQL = [
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))[""'']?\x20*[:=]\x20*[""'']?([A-Za-z0-9+/_.=-]+)""".replace('""', '"'), 2, 8),
@@ -171,7 +175,7 @@ _OP8_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing, op11_byte_bpe, op12_hard_negatives)}
+    return {f.__name__: f for f in (op1_secret_scan, secret_scan_increment, op2_sentencepiece, op3_pii, op4_quality_rules, op5_exact_topk, op6_lm_scoring, op7_token_files, op8_jaccard_join, op9_url_filter, op10_mixing, op11_byte_bpe, op12_hard_negatives, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:

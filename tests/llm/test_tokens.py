@@ -194,3 +194,17 @@ def test_decoding_takes_any_key_names(spark):
     rows = spark.createDataFrame([(1, [35, 36]), (2, []), (3, None), (3, None)], "`a b` int, ids array<int>")
     out = [(r[0], r[1]) for r in pieces.decode_ids(rows, ["a b"], PIECES).collect()]
     assert sorted(x for x, _ in out) == [1, 2, 3, 3] and dict(out)[2] == "" and dict(out)[3] is None
+
+
+def test_kept_words_are_bounded_by_bytes(monkeypatch):
+    import random
+
+    rng = random.Random(9)
+    encoder = tokenfiles.WordEncoder(WORDS)
+    library = tokenizers.Tokenizer.from_file(WORDS)
+    monkeypatch.setattr(tokenfiles.WordEncoder, "KEPT_BYTES", 30_000)
+    # Texts without white space are one new word each.
+    texts = ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (3, 40, 70, 5000, 1 << 20) for _ in range(1 if n > 5000 else 60)]
+    for text in texts:
+        assert encoder.ids([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert encoder.kept.held < 60_000 and max(map(len, encoder.kept), default=0) <= tokenfiles.WordIds.LONGEST

@@ -128,8 +128,8 @@ def _members(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     def buckets(sets: list[np.ndarray]) -> np.ndarray:
         return np.concatenate(sets) >> np.uint64(64 - width)
 
-    def ask(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(buckets(sets_of(rows)[1]), return_counts=True)
+    def ask(rows: pa.Table) -> tuple[list[tuple[np.ndarray, np.ndarray]]]:
+        return ([np.unique(buckets(sets_of(rows)[1]), return_counts=True)],)
 
     def use(rows: pa.Table, answers: pa.Table) -> pa.Table:
         names, sets = sets_of(rows)
@@ -155,7 +155,7 @@ def _members(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
         return pa.table([pa.array(v, kind) for v, kind in zip(out.values(), kinds, strict=True)], names=list(out))
 
     chunked = in_chunks(chosen, chunks, "digest_")
-    return use_counts(chunked, chunk_answers(count_keys(chunked, parts, width, ask)), use, _MEMBERS)
+    return use_counts(chunked, chunk_answers(count_keys(chunked, [parts], [width], ask)), use, _MEMBERS)
 
 
 def _fits(size: int, place: int, sizes_: np.ndarray, places: np.ndarray, percent: int) -> np.ndarray:

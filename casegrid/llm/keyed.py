@@ -54,34 +54,33 @@ def tally(counts: np.ndarray) -> np.ndarray:
     return np.concatenate([np.bincount(bits, minlength=BINS), np.bincount(bits, weights=counts, minlength=BINS)]).astype(np.int64)
 
 
-def tallies(keys: np.ndarray, counts: np.ndarray, kinds: int) -> list[int]:
-    """The tallies of the counts of each kind of keys; a key's kind is its value in the lowest two bits."""
-    kind = (keys & np.uint64(3)).astype(np.int64)
-    return np.concatenate([tally(counts[kind == k]) for k in range(kinds)]).tolist() if kinds else []
-
-
-def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds: int = 0, known: DataFrame | None = None) -> DataFrame:
+def count_keys(chunked: DataFrame, parts: list[int], widths: list[int], ask: Callable, tallied: bool = False, known: DataFrame | None = None) -> DataFrame:
     """(chunk, part, answer, tally): what the chunks asked for, to be given to use_counts().
 
-    chunked has an int column chunk. ask(rows) gives the chunk's distinct keys (uint64 of width bits, ascending) and what
-    it counts of each (unsigned); with known, earlier answers, it is ask(rows, answers) and gives a third value too, the
-    tallies of counts that it knows without asking. Rows with a tally have no chunk: spread_tallies() sums them up.
+    chunked has an int column chunk. ask(rows) gives, for each kind of keys, the chunk's distinct keys (uint64 of the kind's
+    width in bits, ascending) and what it counts of each (unsigned); with known, earlier answers, it is ask(rows, answers), and
+    where tallied it may give, as a second value, the tallies of counts that it knows without asking. Each kind has so many
+    parts of its own, numbered on from those of the kind before. Rows with a tally have no chunk: spread_tallies() sums them up.
     Nothing runs yet: in one plan the chunks' rows, and answers that several steps use, are shuffled once.
     """
-    edges = np.array([(i << width) // parts for i in range(parts)], np.uint64)
+    edges = [np.array([(i << width) // n for i in range(n)], np.uint64) for n, width in zip(parts, widths, strict=True)]
+    first = np.cumsum([0, *parts]).tolist()
 
     def asked(rows: pa.Table, answers: pa.Table | None) -> pa.Table:
         give_back()
         if not rows.num_rows:
             raise ValueError("an answer without its chunk")
-        keys, counts, *own = ask(rows) if answers is None else ask(rows, answers)
-        number = rows["chunk"][0].as_py()
-        edge = np.append(np.searchsorted(keys, edges), len(keys))
-        held = np.flatnonzero(edge[1:] > edge[:-1])
-        cut = [(int(edge[i]), int(edge[i + 1])) for i in held]
-        packed = [[pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cut], [pack(counts[a:b]) for a, b in cut]]
+        by_kind, *own = ask(rows) if answers is None else ask(rows, answers)
+        number, held, keys_of, counts_of = rows["chunk"][0].as_py(), [], [], []
+        for kind, (keys, counts) in enumerate(by_kind):
+            edge = np.append(np.searchsorted(keys, edges[kind]), len(keys))
+            full = np.flatnonzero(edge[1:] > edge[:-1])
+            cut = [(int(edge[i]), int(edge[i + 1])) for i in full]
+            held += (full + first[kind]).tolist()
+            keys_of += [pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in cut]
+            counts_of += [pack(counts[a:b]) for a, b in cut]
         extra = [x for x in own if len(x)]
-        columns = [held.tolist() + [0] * len(extra), [number] * len(cut) + [None] * len(extra), *(x + [None] * len(extra) for x in packed), [None] * len(cut) + extra]
+        columns = [held + [0] * len(extra), [number] * len(held) + [None] * len(extra), keys_of + [None] * len(extra), counts_of + [None] * len(extra), [None] * len(held) + extra]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ASK, strict=True)], schema=_ASK)
 
     def answering(rows: pa.Table) -> pa.Table:
@@ -98,8 +97,9 @@ def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds:
             # With each total goes whether other chunks asked for the key.
             answer = total << np.uint64(1) | (np.bincount(at) > 1)
             answers = [pack(answer[at[edge[i] : edge[i + 1]]]) for i in range(len(keys))]
-            told.append(tallies(all_keys, total, kinds))
-        told = [np.sum(told, axis=0).tolist()] if kinds and told else []
+            kind = int(np.searchsorted(first, rows["part"][0].as_py(), "right")) - 1
+            told.append(tallies({kind: total}, len(parts)))
+        told = [np.sum(told, axis=0).tolist()] if tallied and told else []
         columns = [rows["chunk"].to_pylist() + [None] * len(told), rows["part"].to_pylist() + [None] * len(told), answers + [None] * len(told), [None] * len(answers) + told]
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _ANSWER, strict=True)], schema=_ANSWER)
 
@@ -111,6 +111,12 @@ def count_keys(chunked: DataFrame, parts: int, width: int, ask: Callable, kinds:
     return asks.groupBy("part").applyInArrow(answering, "chunk int, part int, answer binary, tally array<long>")
 
 
+def tallies(counts: dict[int, np.ndarray], kinds: int) -> list[int]:
+    """The tallies of the counts of each kind of keys, one after the other; those of kinds without any are zeros."""
+    none = np.empty(0, np.uint64)
+    return np.concatenate([tally(counts.get(k, none)) for k in range(kinds)]).tolist()
+
+
 def spread_tallies(answers: DataFrame, chunks: int) -> DataFrame:
     """(chunk, tally): the sums of the tallies, a fixed number of them, for every chunk."""
     each = answers.where(F.col("tally").isNotNull()).select(F.posexplode("tally")).groupBy("pos").agg(F.sum("col").alias("n"))

@@ -25,8 +25,8 @@ from .keyed import BINS, chunk_answers, count_keys, in_chunks, sizes, spread_tal
 
 #: The token at the end of a text, which is also the context in which texts begin.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Bits of a key beyond those of the volume of text: one n-gram in some ten million shares its key with another.
-KEY_BITS = 23
+#: Bits of the keys of words, and of those of pairs and triples: of 10^10 different ones, one in 10^8 shares its key.
+WORD_BITS, PAIR_BITS = 64, 60
 WORD, PAIR, TRIPLE = 0, 1, 2
 
 
@@ -41,28 +41,33 @@ def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Places:
-    """The n-grams that end at each token of some texts, as keys of width bits whose lowest two tell their length."""
+    """The n-grams that end at each token of some texts, as keys: words of WORD_BITS, pairs and triples of PAIR_BITS."""
 
-    def __init__(self, texts: pa.ChunkedArray, width: int) -> None:
+    def __init__(self, texts: pa.ChunkedArray) -> None:
         tokens, self.edge = _tokens(texts)
         self.first = np.zeros(len(tokens), bool)
         self.first[self.edge[:-1]] = True
         before = np.roll(tokens, 1)
         before[self.first] = END
-        word = mix(tokens)
-        pair = mix(mix(before) * np.uint64(3) + word)
-        triple = mix(np.roll(pair, 1) * np.uint64(5) + word)  # a text's first token ends none
-        short = lambda x, kind: (x >> np.uint64(64 - width)) & ~np.uint64(3) | np.uint64(kind)
-        self.word, self.pair, self.triple = short(word, WORD), short(pair, PAIR), short(triple, TRIPLE)
-        self.end = short(mix(np.array([END])), WORD)[0]
+        self.word = mix(tokens)
+        pair = mix(mix(before) * np.uint64(3) + self.word)
+        triple = mix(np.roll(pair, 1) * np.uint64(5) + self.word)  # a text's first token ends none
+        self.pair, self.triple = pair >> np.uint64(64 - PAIR_BITS), triple >> np.uint64(64 - PAIR_BITS)
+        self.end = mix(np.array([END]))[0]
 
     def training(self, held_out: pa.ChunkedArray) -> np.ndarray:
         return np.repeat(~np.array(held_out.to_pylist(), bool), np.diff(self.edge))
 
-    def short_keys(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys of words and pairs, their training counts here, the numbers of each token's word and then pair)."""
-        keys, at = np.unique(np.concatenate([self.word, self.pair]), return_inverse=True)
-        return keys, np.bincount(at, weights=np.tile(training, 2), minlength=len(keys)).astype(np.int64), at
+    def short_keys(self, training: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """(for words and for pairs, the distinct keys and their training counts here; the numbers of each token's word and
+        then pair, pairs numbered on from the words)."""
+        out, numbers, before = [], [], 0
+        for keys in (self.word, self.pair):
+            keys, at = np.unique(keys, return_inverse=True)
+            out.append((keys, np.bincount(at, weights=training, minlength=len(keys)).astype(np.int64)))
+            numbers.append(at + before)
+            before += len(keys)
+        return out, np.concatenate(numbers)
 
     def long_keys(self, training: np.ndarray, shared: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(distinct keys of triples, their training counts here, the number of each token's triple, which of them other
@@ -135,43 +140,43 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they come from the training counts.
 
     Every chunk of documents asks for the counts of its own words and pairs, and then of those triples that other chunks
-    can have, so no task or driver holds the whole model. Words and n-grams are told apart by hashes that are KEY_BITS
-    longer than the logarithm of the volume of text, up to 64 bits.
+    can have, so no task or driver holds the whole model. Words and n-grams are told apart by hashes of WORD_BITS and
+    PAIR_BITS, whatever the volume of text.
     """
     held = (F.crc32(F.col(f"`{id_col}`").cast("string")) % 7 == 2) if held_out is None else held_out
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    chunks, parts, bits = sizes(rows)
-    width = min(64, bits + KEY_BITS)
+    chunks, parts, _ = sizes(rows)
     chunked = in_chunks(rows, chunks, "id", "text")
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def ask_short(rows: pa.Table) -> tuple:
-        places = Places(rows["text"], width)
-        return places.short_keys(places.training(rows["held_out"]))[:2]
+        places = Places(rows["text"])
+        return (places.short_keys(places.training(rows["held_out"]))[0],)
 
     def ask_long(rows: pa.Table, answers: pa.Table) -> tuple:
-        places = Places(rows["text"], width)
+        places = Places(rows["text"])
         training = places.training(rows["held_out"])
-        _, _, at = places.short_keys(training)
+        _, at = places.short_keys(training)
         keys, counts, _, asked = places.long_keys(training, totals_of(answers)[1], at)
-        return keys[asked], counts[asked], tallies(keys[~asked], counts[~asked], 3)
+        return [(keys[asked], counts[asked])], tallies({0: counts[~asked]}, 1)
 
-    short = count_keys(chunked, parts, width, ask_short, kinds=2)
+    short = count_keys(chunked, [-(-parts // 4), parts], [WORD_BITS, PAIR_BITS], ask_short, tallied=True)
     known = chunk_answers(short)
-    long = count_keys(chunked, parts, width, ask_long, kinds=3, known=known)
+    long = count_keys(chunked, [parts], [PAIR_BITS], ask_long, tallied=True, known=known)
 
     def told(answers: pa.Table, step: int) -> pa.Table:
         return answers.filter(pc.equal(answers["step"], step))
 
     def level(answers: pa.Table, kind: int) -> np.ndarray:
         """A tally of the whole training set."""
-        sums = told(answers, 4 if kind == TRIPLE else 3)["tally"][0].as_py() or [0] * 6 * BINS
-        return np.array(sums[2 * BINS * kind :][: 2 * BINS])
+        step, at = (4, 0) if kind == TRIPLE else (3, kind)
+        sums = told(answers, step)["tally"][0].as_py() or [0] * 4 * BINS
+        return np.array(sums[2 * BINS * at :][: 2 * BINS])
 
     def use(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        places = Places(rows["text"], width)
+        places = Places(rows["text"])
         training = places.training(rows["held_out"])
-        keys, _, at = places.short_keys(training)
+        ((keys, _), _), at = places.short_keys(training)
         totals, shared = totals_of(told(answers, 1))
         totals = totals.astype(np.int64)
         _, triples, number, asked = places.long_keys(training, shared, at)

@@ -353,3 +353,26 @@ def test_mixing_and_join_with_any_column_names(spark):
     assert again.columns == docs.columns and {r["doc_id"] for r in again.collect()} == set(range(40))
     kept = jaccard.keep_one(docs, words=5, percent=80)
     assert kept.columns == docs.columns and 0 < kept.count() <= 40
+
+
+def test_words_whose_hashes_are_near_are_told_apart(spark):
+    docs = spark.createDataFrame([(1, "w182239 " + "aa " * 550), (2, "w262543")], "doc_id long, text string")
+    r = lm.score_texts(docs, held_out=F.col("doc_id") == 2).where("held_out").collect()[0]
+    assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (2, 1, 552)
+    # Known words: w182239, aa and the end.
+    assert abs(r["base_score"] - (math.log10(1 / (552 + 4)) + math.log10(2 / (552 + 4)))) < 1e-9
+
+
+def test_a_hundred_thousand_words_are_counted_exactly(spark):
+    rng = np.random.default_rng(7)
+    names = [f"w{i}" for i in range(200_000)]
+    rows = [(i, " ".join(names[j] for j in rng.integers(0, 200_000, 2000))) for i in range(120)]
+    counts = Counter(w for i, t in rows if not held_by_id(i) for w in [*t.split(), None])
+    assert len(counts) > 100_000
+    n, v = sum(counts.values()), len(counts)
+    out = {r["doc_id"]: r for r in lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, t in rows:
+        seq = [*t.split(), None]
+        r = out[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held_by_id(i), len(seq), sum(w in counts for w in seq), n)
+        assert abs(r["base_score"] - sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in seq)) < 1e-6

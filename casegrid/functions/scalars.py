@@ -7,6 +7,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from .patterns import number, plain_digits, strip, wide
 from pyspark.sql import types as T
 
 #: The calendar's first year, full-width digits, numerals.
@@ -31,14 +33,14 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def parse_minguo_date(c: Column) -> Column:
     """A date in any of three grammars, tried in order: Gregorian from 1912 on, year-month-day words of the republican
     era, era years with separators. The first that matches decides; a day that doesn't exist is null."""
-    s = F.regexp_replace(c, r"(?U)^\s+", "")
-    sep, end = r"\s*[./-]\s*", r"(?![0-9])"
-    era = r"^(?:中華)?(?:民國)?\s*([0-9]{1,3})\s*"
-    western = rf"(?U)^([0-9]{{4}}){sep}([0-9]{{1,2}}){sep}([0-9]{{1,2}}){end}"
-    words = rf"(?U){era}年\s*([0-9]{{1,2}})\s*月\s*([0-9]{{1,2}})\s*日"
-    marks = rf"(?U){era}[./-]\s*([0-9]{{1,2}}){sep}([0-9]{{1,2}}){end}"
-    year = lambda p: _part(s, p, 1).try_cast("int")
-    made = lambda p, shift: _date(year(p) + shift, _part(s, p, 2), _part(s, p, 3))
+    s = strip(c)
+    sep, end = r"\s*[./-]\s*", r"(?!\d)"
+    era = r"^(?:中華民國|民國)?\s*(\d{1,3})\s*"
+    western = wide(rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}}){end}")
+    words = wide(rf"{era}年\s*(\d{{1,2}})\s*月\s*(\d{{1,2}})\s*日")
+    marks = wide(rf"{era}[./-]\s*(\d{{1,2}}){sep}(\d{{1,2}}){end}")
+    year = lambda p: number(_part(s, p, 1))
+    made = lambda p, shift: _date(year(p) + shift, plain_digits(_part(s, p, 2)), plain_digits(_part(s, p, 3)))
     return F.when(s.rlike(western) & (year(western) > ERA_YEAR), made(western, 0)).when(s.rlike(words), made(words, ERA_YEAR)).when(s.rlike(marks), made(marks, ERA_YEAR))
 
 

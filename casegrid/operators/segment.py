@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.functions.patterns import strip, wide
 from casegrid.functions.scalars import once
 
 #: Numerals, and the law names that citations are looked for under, the longest first.
@@ -43,11 +46,7 @@ SAME_LAW = ["同法", "同條例", "同辦法", "同細則", "同準則"]
 
 def loose(word: str) -> str:
     """A pattern for a word that line breaks or spaces may part."""
-    return r"[\s　]*".join(word)
-
-
-def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return wide(r"\s*").join(word)
 
 
 # The words that border a decision's sections.
@@ -59,9 +58,9 @@ _CONCLUSION = loose("綜上論結") + "|" + loose("決定如主文")
 
 def decision_sections(c: Column, most_main: int = 200) -> Column:
     """struct(problem, main, facts, reasons) of a decision; problem is null where the borders are certain."""
-    body = strip(F.regexp_extract(c, r"(?s)^(?:.*[全內]\s*文[：:])?(.*)$", 1))
+    body = strip(F.regexp_extract(c, wide(r"(?s)^(?:.*[全內]\s*文[：:])?(.*)$"), 1))
     anchored = body.rlike(loose("決定如下"))
-    tail = F.when(anchored, F.regexp_extract(body, rf"(?s){loose('決定如下')}[\s　]*[:：]?(.*)$", 1)).otherwise(body)
+    tail = F.when(anchored, F.regexp_extract(body, wide(rf"(?s){loose('決定如下')}\s*[:：]?(.*)$"), 1)).otherwise(body)
     after = F.regexp_extract(tail, rf"(?s)^.{{0,298}}?{_MAIN}(.*)$", 1)
     has_main = tail.rlike(rf"(?s)^.{{0,298}}?{_MAIN}")
     main = strip(F.regexp_extract(after, f"(?s)^(.*?)(?:{_FACTS}|{_REASONS})", 1))
@@ -86,19 +85,27 @@ def decision_sections(c: Column, most_main: int = 200) -> Column:
 
 
 def labelled_sections(docs: DataFrame, key: str, text: str, heading: str, unique: bool = False) -> DataFrame:
-    """(key, section, name, body): texts parted at whole-line headings. Without any, or if unique with a repeated one, the
-    whole text is one section named null. Empty sections are left out."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "line"))
-    lines = lines.withColumn("name", F.nullif(F.regexp_extract("line", heading, 1), F.lit("")))
-    w = W.partitionBy(key)
-    twice = F.col("name").isNotNull() & (F.count("name").over(W.partitionBy(key, "name")) > 1) if unique else F.lit(False)
-    lines = lines.withColumn("twice", twice)
-    lines = lines.withColumns({"section": F.count("name").over(w.orderBy("i")), "names": F.count("name").over(w), "bad": F.max("twice").over(w)})
-    whole = (F.col("names") == 0) | F.col("bad")
-    lines = lines.withColumn("section", F.when(whole, 0).otherwise(F.col("section"))).withColumn("name", F.when(~whole, F.col("name"))).where(whole | (F.col("section") > 0))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("name").isNull(), F.struct("i", "line")))), lambda x: x["line"]), "\n")
-    out = lines.groupBy(key, "section").agg(F.max("name").alias("name"), strip(body).alias("body"))
-    return out.where("body <> ''").select(key, F.col("section").cast("int").alias("section"), "name", "body")
+    """(key, section, name, body): texts parted at whole-line headings, whose name is the pattern's first group, which isn't
+    empty. Without any, or if unique with a repeated one, the whole text is one section named null. Empty sections are left out,
+    and so are null texts.
+
+    Headings are found once and marked; the text is parted at the marks within its row, so nothing is shuffled."""
+    line = "^(?:" + heading.removeprefix("^").removesuffix("$") + ")$"
+    parts = F.split(F.regexp_replace(_marked(F.col(text)), f"(?md){line}", f"{_MARK}m$1{_MARK}n"), _MARK + "m")
+    headed = lambda x: F.split(x, _MARK + "n", 2)
+    section = lambda number, name, body: F.struct(number.cast("int").alias("section"), name.alias("name"), _unmarked(strip(body)).alias("body"))
+
+    def sections(all_parts: Column) -> Column:
+        named = F.slice(all_parts, F.lit(2), F.greatest(F.size(all_parts) - 1, F.lit(0)))
+        name = lambda x: _unmarked(F.get(headed(x), F.lit(0)))
+        whole = F.size(all_parts) == 1
+        if unique:
+            whole = whole | (F.size(F.array_distinct(F.transform(named, name))) < F.size(named))
+        each = F.transform(named, lambda x, i: section(i + 1, name(x), F.get(headed(x), F.lit(1))))
+        return F.when(whole, F.array(section(F.lit(0), F.lit(None).cast("string"), _marked(F.col(text))))).otherwise(each)
+
+    out = docs.select(key, F.explode(once(parts, sections)).alias("s")).select(key, "s.section", "s.name", "s.body")
+    return out.where("body <> ''")
 
 
 def header_fields(c: Column, labels: dict[str, str]) -> Column:
@@ -119,24 +126,37 @@ def header_fields(c: Column, labels: dict[str, str]) -> Column:
     return F.map_from_entries(F.transform(marks, lambda m, i: F.struct(m["name"].alias("k"), strip(F.substring(c, m["to"], until(i) - m["to"])).alias("v"))))
 
 
-def split_items(c: Column, marker: str = rf"(?:^|(?<=[。\n」]))(?=\s*{_NUM}\s*、)", quotes: tuple[str, str] = ("「", "」")) -> Column:
-    """array of top-level items: parted before markers that aren't inside open quotes; what leads is an item too."""
-    count = lambda x, q: F.length(x) - F.length(F.replace(x, F.lit(q), F.lit("")))
-    pieces = F.split(strip(c), marker)
+#: What marks places in a text while it is taken apart, and how the texts' own ones are written meanwhile.
+_MARK, _OWN = "\x01", "\x01e"
+
+
+def _marked(c: Column) -> Column:
+    return F.replace(c, F.lit(_MARK), F.lit(_OWN))
+
+
+def _unmarked(c: Column) -> Column:
+    return F.replace(c, F.lit(_OWN), F.lit(_MARK))
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        text = F.array_join(acc, "")
-        inside = (count(text, quotes[0]) - count(text, quotes[1])) % 2 == 1
-        return F.when(inside & (F.size(acc) > 0), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(F.when(F.size(acc) > 0, last), x)))).otherwise(F.concat(acc, F.array(x)))
 
-    merged = F.when(F.size(pieces) > 0, F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), F.slice(pieces, 1, 1), step))
-    return F.filter(F.transform(merged, strip), lambda x: x != "")
+def split_items(c: Column, marker: str = wide(rf"(?:^|(?<=[。\n」]))(?=\s*{_NUM}\s*、)"), quotes: tuple[str, str] = ("「", "」")) -> Column:
+    """array of top-level items: parted before markers that aren't inside open quotes; what leads is an item too. A marker is
+    inside where an odd number of quotation marks stands before it.
+
+    One pass, in time by the length: the text is parted at the quotation marks, every other part is outside, and markers
+    there get a mark at which the text is parted again. Null gives null, and a blank text none."""
+    either = "".join(map(re.escape, quotes))
+
+    def items(text: Column) -> Column:
+        opens = F.substring(text, 1, 1).isin(*quotes).cast("int")
+        parts = F.transform(F.split(text, f"(?=[{either}])"), lambda x, i: F.when((i + opens) % 2 == 0, F.regexp_replace(x, marker, _MARK + "m")).otherwise(x))
+        return F.split(F.array_join(parts, ""), _MARK + "m")
+
+    return F.filter(F.transform(once(strip(_marked(c)), items), lambda x: _unmarked(strip(x))), lambda x: x != "")
 
 
 def appeal_items(c: Column) -> Column:
     """struct(facts, reasons) lists of an appeal's headed parts; both empty where either can't be parted, or in an answer."""
-    gap = r"[　\s]*"
+    gap = wide(r"\s*")
     head = lambda w: rf"(?m)^{gap}{w[0]}{gap}{w[1]}{gap}$"
     tail = rf"(?m)^{gap}(?:附{gap}送{gap}證{gap}件|證{gap}物|此{gap}致|收受或知悉行政處分日期)"
     answer = c.rlike(rf"訴{gap}願{gap}答{gap}辯{gap}書|答{gap}辯{gap}聲{gap}明")
@@ -152,25 +172,44 @@ def appeal_items(c: Column) -> Column:
     return F.struct(F.when(good, a).otherwise(none).alias("facts"), F.when(good, b).otherwise(none).alias("reasons"))
 
 
+# How statutes write chapters, articles and the items of lists.
 CHAPTER = r"^[ \t]*(第[ \t]*[一二三四五六七八九十百千零]+(?:之[一二三四五六七八九十百千零]+)?[ \t]*[編章節款目][^\n]*)$"
-ARTICLE = r"^[ \t]*第[ \t]*(\d+(?:-\d+)?)[ \t]*條"
-LIST_MARK = r"^(\d+[\s　]|[一二三四五六七八九十百千]+、|（[一二三四五六七八九十百千]+）)"
+ARTICLE = wide(r"^[ \t]*第[ \t]*(\d+(?:-\d+)?)[ \t]*條")
+LIST_MARK = wide(r"^(\d+\s|[一二三四五六七八九十百千]+、|（[一二三四五六七八九十百千]+）)")
 
 
 def split_articles(docs: DataFrame, key: str, text: str, chapter: str = CHAPTER, article: str = ARTICLE, mark: str = LIST_MARK, noise: str = "^(所有條文|法規名稱|法規類別|列印時間|生效狀態)") -> DataFrame:
     """(key, place, chapter, article_no, body) of statutes: noise lines go, wrapped lines are joined unless a list marker
-    begins them, and the chapter is carried on."""
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("i", "raw")).where((strip(F.col("raw")) != "") & ~strip(F.col("raw")).rlike(noise))
-    number, name = F.nullif(F.regexp_extract("raw", article, 1), F.lit("")), F.nullif(strip(F.regexp_extract("raw", chapter, 1)), F.lit(""))
-    lines = lines.withColumns({"number": number, "name": name})
-    w = W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    # A chapter ends the article before it, so what follows it before the next article belongs to none.
-    lines = lines.withColumns({"place": F.count("number").over(w), "chapter": F.last("name", ignorenulls=True).over(w), "part": F.count(F.coalesce("number", "name")).over(w)})
-    body = strip(F.when(F.col("number").isNotNull(), F.regexp_replace("raw", article, "")).otherwise(F.col("raw")))
-    lines = lines.where("name is null").select(key, "part", "place", "i", "number", "chapter", body.alias("body"))
-    rows = lines.groupBy(key, "part", "place").agg(F.max("number").alias("article_no"), F.min_by("chapter", "i").alias("chapter"), F.sort_array(F.collect_list(F.when(F.col("body") != "", F.struct("i", "body")))).alias("x"))
-    text_of = lambda x: F.aggregate(F.transform(x, lambda y: y["body"]), F.lit(""), lambda acc, y: F.when(acc == "", y).when(y.rlike(mark), F.concat(acc, F.lit("\n"), y)).otherwise(F.concat(acc, y)))
-    return rows.where("article_no is not null").select(key, F.col("place").cast("int").alias("place"), F.coalesce("chapter", F.lit("")).alias("chapter"), "article_no", text_of(F.col("x")).alias("body"))
+    begins them, and the chapter is carried on. A chapter ends the article before it, so what follows it before the next
+    article belongs to none; a line that is both counts as a chapter. Null texts give none.
+
+    A text's lines are filtered and marked by their kind, put together, and parted at chapters and then at articles, within its
+    row: nothing is shuffled, and each article has its chapter beside it."""
+
+    def kind(raw: Column) -> Column:
+        name, number = strip(F.regexp_extract(raw, chapter, 1)), F.regexp_extract(raw, article, 1)
+        line = strip(raw)
+        return (
+            F.when(name != "", F.concat(F.lit(_MARK + "c"), name, F.lit(_MARK + "n")))
+            .when(number != "", F.concat(F.lit(_MARK + "a"), number, F.lit(_MARK + "n"), strip(F.regexp_replace(raw, article, ""))))
+            .when(line.rlike(mark), F.concat(F.lit("\n"), line))
+            .otherwise(line)
+        )
+
+    lines = F.filter(F.split(_marked(F.col(text)), "\n"), lambda raw: (strip(raw) != "") & ~strip(raw).rlike(noise))
+    chapters = F.split(F.array_join(F.transform(lines, kind), ""), _MARK + "c")
+
+    def articles(part: Column, i: Column) -> Column:
+        name = F.when(i > 0, F.get(F.split(part, _MARK + "n", 2), F.lit(0))).otherwise("")
+        found = F.split(part, _MARK + "a")
+        headed = lambda x: F.split(x, _MARK + "n", 2)
+        # The first list marker begins no new line.
+        body = lambda x: F.regexp_replace(F.get(headed(x), F.lit(1)), "^\n", "")
+        each = lambda x: F.struct(_unmarked(name).alias("chapter"), _unmarked(F.get(headed(x), F.lit(0))).alias("article_no"), _unmarked(body(x)).alias("body"))
+        return F.transform(F.slice(found, F.lit(2), F.greatest(F.size(found) - 1, F.lit(0))), each)
+
+    rows = docs.select(key, F.posexplode(F.flatten(F.transform(chapters, articles))).alias("pos", "x"))
+    return rows.select(key, (F.col("pos") + 1).cast("int").alias("place"), "x.chapter", "x.article_no", "x.body")
 
 
 def pack_chunks(c: Column, whole: int = 2000, most: int = 1500) -> Column:
@@ -195,9 +234,9 @@ def pack_chunks(c: Column, whole: int = 2000, most: int = 1500) -> Column:
 # Patterns of paragraph roles, as the decisions are worded, in the order of the operator's rules.
 ROLE_PATTERNS = {
     "conclusion": _CONCLUSION,
-    "enum": rf"^(?:{_NUM}\s*、|[（(]{_NUM}[）)])",
+    "enum": wide(rf"^(?:{_NUM}\s*、|[（(]{_NUM}[）)])"),
     "citing": "^(?:又|另|次|再)?(按|依|查)",
-    "article": r"第\s*\d+\s*條",
+    "article": wide(r"第\s*\d+\s*條"),
     "rebuttal": "主張.*?(等語|云云)",
     "specific": "系爭|卷查|經查|查本件|查本案",
     "going_on": "^(?:又|另|惟)(?!.{0,2}(按|依|查))",
@@ -222,7 +261,7 @@ def paragraph_role(section: Column, c: Column, last: Column, p: dict[str, str] |
     )
 
 
-def extract_citations(docs: DataFrame, key: str, text: str, names: list[str] | None = None, same: list[str] | None = None, tail: str = r"第\s*(\d+)\s*條(?:之\s*(\d+))?") -> DataFrame:
+def extract_citations(docs: DataFrame, key: str, text: str, names: list[str] | None = None, same: list[str] | None = None, tail: str = wide(r"第\s*(\d+)\s*條(?:之\s*(\d+))?")) -> DataFrame:
     """(key, law, number, pos): each citation once, by first appearance. A word for the same law means the last one named."""
     names, same = names or LAW_NAMES, same or SAME_LAW
     pattern = F.lit(f"({'|'.join(names + same)}){tail}")
@@ -234,14 +273,14 @@ def extract_citations(docs: DataFrame, key: str, text: str, names: list[str] | N
     return found.groupBy(key, "law", "number").agg(F.min("pos").alias("pos"))
 
 
-def parse_citation_string(rows: DataFrame, key: str, text: str, pattern: str = r"^(.+?)\s*第(\d+)條(?:之(\d+))?(?:第\d+項)?(?:第\d+款)?$") -> DataFrame:
+def parse_citation_string(rows: DataFrame, key: str, text: str, pattern: str = wide(r"^(.+?)\s*第(\d+)條(?:之(\d+))?(?:第\d+項)?(?:第\d+款)?$")) -> DataFrame:
     """(key, pos, fragment, name, number): fragments of a list; name and number are null where one doesn't parse."""
     parts = rows.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "[；;]")).alias("pos", "raw")).select(key, "pos", strip(F.col("raw")).alias("fragment")).where("fragment <> ''")
     get = lambda i: F.nullif(F.regexp_extract("fragment", pattern, i), F.lit(""))
     return parts.select(key, "pos", "fragment", strip(get(1)).alias("name"), F.concat(get(2), F.coalesce(F.concat(F.lit("-"), get(3)), F.lit(""))).alias("number"))
 
 
-def clause_of(c: Column, clause: str = r"訴願法第\s*77\s*條第\s*(\d+)\s*款", second: str = r"訴願法第\s*81\s*條|另為適法之處分", third: str = r"訴願法第\s*79\s*條") -> Column:
+def clause_of(c: Column, clause: str = wide(r"訴願法第\s*77\s*條第\s*(\d+)\s*款"), second: str = wide(r"訴願法第\s*81\s*條|另為適法之處分"), third: str = wide(r"訴願法第\s*79\s*條")) -> Column:
     n = F.regexp_extract(c, clause, 1)
     return F.when(n != "", F.concat(F.lit("§77("), n, F.lit(")"))).when(c.rlike(second), "§81").when(c.rlike(third), "§79").otherwise("")
 
@@ -250,13 +289,13 @@ def result_of(c: Column, terms: list[str] = ("部分", "不受理", "駁回", "
     return F.coalesce(*[F.when(c.contains(t), F.lit(t)) for t in terms], F.lit(other))
 
 
-def last_date(c: Column, pattern: str = r"中華民國\s*\d+\s*年\s*\d+\s*月\s*\d+\s*日") -> Column:
+def last_date(c: Column, pattern: str = wide(r"中華民國\s*\d+\s*年\s*\d+\s*月\s*\d+\s*日")) -> Column:
     return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lit(-1))
 
 
 def districts_from_note(c: Column, pattern: str = "([一-龥]{2}市)（([一二])）[:：]?([^。；]+)") -> Column:
     """map of group -> districts from a note's records."""
-    flat = F.regexp_replace(c, r"[─\s]", "")
+    flat = F.regexp_replace(c, wide(r"[─\s]"), "")
     groups = [F.regexp_extract_all(flat, F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "city"), (2, "part"), (3, "names"))]
     entry = lambda x: F.struct(F.concat(x["city"], F.lit("（"), x["part"], F.lit("）")).alias("k"), F.filter(F.split(x["names"], "[、，]"), lambda d: d.endswith("區")).alias("v"))
     return F.map_from_entries(F.transform(F.arrays_zip(*groups), entry))

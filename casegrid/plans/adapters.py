@@ -71,3 +71,10 @@ SQL = {
 def with_(*names: str) -> str:
     """WITH clause of the named tables."""
     return "WITH " + ", ".join(SQL[n] for n in names) + " "
+
+
+def written_wide(text):
+    """The text with full-width digits and ideographic spaces around them; an empty one as a line feed and such a space."""
+    digits = "０１２３４５６７８９"
+    wide = F.regexp_replace(F.translate(text, "0123456789", digits), f"([{digits}]+)", "　$1　")
+    return F.when(text == "", "\n　").otherwise(wide)

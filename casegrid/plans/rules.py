@@ -287,19 +287,34 @@ def rerun_plan(spark, d):
 @query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 6 = 5 THEN 'not_assessed' WHEN o_custkey % 6 = 4 THEN 'one_year' WHEN o_orderkey % 50 = 30 THEN 'statutory' WHEN o_orderkey % 50 > 30 THEN 'stated_longer' WHEN o_custkey % 6 = 3 THEN 'one_year' WHEN o_custkey % 6 = 2 THEN 'restart' ELSE 'undetermined' END AS basis,
   CASE WHEN o_custkey % 6 < 4 THEN o_orderkey % 50 END AS days, CASE WHEN o_custkey % 6 = 2 AND o_orderkey % 50 < 30 THEN o_orderdate::DATE END AS corrected FROM orders""")
 def notice_period_rule(spark, d):
+    return _notices(spark, d, lambda text: text)
+
+
+def _notices(spark, d, written):
     from casegrid.functions.scalars import format_minguo_date
 
     k, p = F.col("o_orderkey"), F.col("o_custkey") % 6
     days = F.concat(F.lit("本件說明如下。如不服本處分，應於收受後"), (k % 50).cast("string"), F.lit("日內提起訴願。"))
     clause = F.when(p == 5, "").when(p == 4, "本處分自送達生效。").otherwise(days)
     record = F.when(p == 3, "機關未為更正，漏未更正。").when(p == 2, F.concat(F.lit("更正通知於"), format_minguo_date(F.to_date("o_orderdate"), "short"), F.lit("送達。"))).otherwise("無記載。")
-    rule = r.notice_period(clause, F.lit(""), record)
+    rule = r.notice_period(written(clause), F.lit(""), written(record))
     return a.read(spark, d, "orders").select(k.alias("k"), rule["basis"].alias("basis"), rule["days"].cast("long").alias("days"), rule["corrected"].alias("corrected"))
 
 
+@query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 6 = 5 THEN 'not_assessed' WHEN o_custkey % 6 = 4 THEN 'one_year' WHEN o_orderkey % 50 = 30 THEN 'statutory' WHEN o_orderkey % 50 > 30 THEN 'stated_longer' WHEN o_custkey % 6 = 3 THEN 'one_year' WHEN o_custkey % 6 = 2 THEN 'restart' ELSE 'undetermined' END AS basis,
+  CASE WHEN o_custkey % 6 < 4 THEN o_orderkey % 50 END AS days, CASE WHEN o_custkey % 6 = 2 AND o_orderkey % 50 < 30 THEN o_orderdate::DATE END AS corrected FROM orders""")
+def notice_period_rule_wide(spark, d):
+    """The same notices with full-width digits and ideographic spaces; blank ones are of a line feed and such a space."""
+    return _notices(spark, d, a.written_wide)
+
+
 @query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN o_orderdate::DATE + 20 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS service, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 25 END AS filed,
   CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 9 WHEN 3 THEN 0 END AS transit, o_orderkey % 4 = 1 AS public_notice, CASE WHEN o_orderkey % 4 = 2 THEN '送達日無法認定：抽到 2 個' END AS problem FROM orders""")
 def deadline_facts(spark, d):
+    return _facts(spark, d, lambda text: text)
+
+
+def _facts(spark, d, written):
     from casegrid.functions.scalars import format_minguo_date as era
 
     day, k = F.to_date("o_orderdate"), F.col("o_orderkey") % 4
@@ -310,10 +325,17 @@ def deadline_facts(spark, d):
         .when(k == 2, F.concat(F.lit("其一"), on(day), F.lit("送達。其二"), on(F.date_add(day, 1)), F.lit("寄存。")))
         .otherwise(F.concat(F.lit("簽收日期為"), on(day), F.lit("。毋須扣除在途期間。")))
     )
-    f = r.deadline_facts(text)
+    f = r.deadline_facts(written(text))
     return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), f["service"].alias("service"), f["filed"].alias("filed"), f["transit"].cast("long").alias("transit"), f["public_notice"].alias("public_notice"), f["problem"].alias("problem"))
 
 
+@query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN o_orderdate::DATE + 20 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS service, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 25 END AS filed,
+  CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 9 WHEN 3 THEN 0 END AS transit, o_orderkey % 4 = 1 AS public_notice, CASE WHEN o_orderkey % 4 = 2 THEN '送達日無法認定：抽到 2 個' END AS problem FROM orders""")
+def deadline_facts_wide(spark, d):
+    """The same records with full-width digits and ideographic spaces."""
+    return _facts(spark, d, a.written_wide)
+
+
 @query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN 20 ELSE 30 END AS period, CASE WHEN o_custkey % 4 > 0 THEN o_orderdate::DATE + 1 END AS stated_start,
   CASE o_custkey % 4 WHEN 1 THEN o_orderdate::DATE + 30 WHEN 2 THEN o_orderdate::DATE + 31 END AS stated_due, CASE o_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'N' || o_custkey || '市甲區乙路1號' ELSE '丁縣丙鄉' || o_custkey || '村' END AS residence FROM orders""")
 def deadline_statement(spark, d):

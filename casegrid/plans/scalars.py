@@ -20,6 +20,10 @@ _DAY = "WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS day, year(o_orde
 
 @query(_DAY + "SELECT k, CASE WHEN k % 5 = 4 THEN NULL ELSE day END AS parsed FROM o")
 def parse_minguo_date(spark, d):
+    return _era_dates(spark, d, lambda text: text)
+
+
+def _era_dates(spark, d, written):
     o, day = _orders(spark, d), F.col("day")
     y = (F.year(day) - 1911).cast("string")
     text = (
@@ -29,7 +33,13 @@ def parse_minguo_date(spark, d):
         .when(F.col("k") % 5 == 3, s.format_minguo_date(day, "short"))
         .otherwise(F.concat(y, F.lit("年2月30日")))
     )
-    return o.select("k", s.parse_minguo_date(text).alias("parsed"))
+    return o.select("k", s.parse_minguo_date(written(text)).alias("parsed"))
+
+
+@query(_DAY + "SELECT k, CASE WHEN k % 5 = 4 THEN NULL ELSE day END AS parsed FROM o")
+def parse_minguo_date_wide(spark, d):
+    """The same dates with full-width digits and ideographic spaces."""
+    return _era_dates(spark, d, a.written_wide)
 
 
 @query(_DAY + """SELECT k, '民國' || y || '年' || m || '月' || dd || '日' AS long, y || '年' || m || '月' || dd || '日' AS short,

@@ -154,6 +154,51 @@ def extract_clause_result_date(spark, d):
     return a.read(spark, d, "documents").select("doc_id", clause.alias("clause"), s.result_of(t, ["zz", "eaux", "tion"], "none").alias("result"), s.last_date(t, "[0-9]{2,}").alias("last_number"))
 
 
+_LAW = "CASE o_custkey % 3 WHEN 0 THEN '訴願法' WHEN 1 THEN '民法' ELSE '建築法' END"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, {_LAW} AS law, o_custkey AS n, o_orderkey % 9 + 1 AS m FROM orders)
+SELECT k, law, translate(n::VARCHAR, '0123456789', '０１２３４５６７８９') AS number, 0 AS pos FROM x UNION ALL SELECT k, law, translate(m::VARCHAR || '-' || n, '0123456789', '０１２３４５６７８９'), 1 FROM x""")
+def extract_citations_wide(spark, d):
+    """Citations of the decisions' own laws, with full-width digits and ideographic spaces, the second one of the same law."""
+    k, n, m = F.col("o_orderkey"), F.col("o_custkey").cast("string"), (F.col("o_orderkey") % 9 + 1).cast("string")
+    law = F.when(F.col("o_custkey") % 3 == 0, "訴願法").when(F.col("o_custkey") % 3 == 1, "民法").otherwise("建築法")
+    text = a.written_wide(F.concat(F.lit("按"), law, F.lit("第"), n, F.lit("條規定，次按同法第"), m, F.lit("條之"), n, F.lit("及"), law, F.lit("第"), n, F.lit("條。")))
+    return s.extract_citations(a.read(spark, d, "orders").select(k.alias("k"), text.alias("text")), "k", "text")
+
+
+@query(f"""WITH x AS (SELECT o_orderkey AS k, {_LAW} AS law, o_custkey AS n FROM orders), w AS (SELECT *, translate(n::VARCHAR, '0123456789', '０１２３４５６７８９') AS f FROM x)
+SELECT k, 0 AS pos, law AS name, CASE WHEN n % 2 = 0 THEN f || '-' || f ELSE f END AS number FROM w UNION ALL SELECT k, 1, NULL, NULL FROM w""")
+def parse_citation_string_wide(spark, d):
+    """Lists with full-width digits, and a fragment that doesn't parse."""
+    n = F.translate(F.col("o_custkey").cast("string"), "0123456789", "０１２３４５６７８９")
+    law = F.when(F.col("o_custkey") % 3 == 0, "訴願法").when(F.col("o_custkey") % 3 == 1, "民法").otherwise("建築法")
+    text = F.concat(law, F.lit("　第"), n, F.lit("條"), F.when(F.col("o_custkey") % 2 == 0, F.concat(F.lit("之"), n)).otherwise(""), F.lit("；第三編"))
+    rows = s.parse_citation_string(a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), text.alias("text")), "k", "text")
+    return rows.select("k", "pos", "name", "number")
+
+
+@query("""SELECT o_orderkey AS k, CASE o_custkey % 4 WHEN 0 THEN '§77(' || translate((o_orderkey % 8 + 1)::VARCHAR, '0123456789', '０１２３４５６７８９') || ')' WHEN 1 THEN '§81' WHEN 2 THEN '§79' ELSE '' END AS clause,
+  CASE o_custkey % 4 WHEN 0 THEN '不受理' WHEN 1 THEN '撤銷' WHEN 2 THEN '駁回' ELSE '其他' END AS result, o_orderdate::DATE AS day FROM orders""")
+def extract_clause_result_date_wide(spark, d):
+    """Clauses, results and dates as decisions word them, with full-width digits and ideographic spaces."""
+    from casegrid.functions.scalars import format_minguo_date, parse_minguo_date
+
+    p, day = F.col("o_custkey") % 4, F.to_date("o_orderdate")
+    wide = a.written_wide
+    clause = F.when(p == 0, F.concat(F.lit("依訴願法第　77　條第"), wide((F.col("o_orderkey") % 8 + 1).cast("string")), F.lit("款，訴願不受理"))).when(p == 1, "依訴願法第　81　條，原處分撤銷").when(p == 2, "依訴願法第\u200779\u2007條，訴願駁回").otherwise("如主文")
+    text = F.concat(clause, wide(F.concat(F.lit("。中華民國1年1月1日。中華"), format_minguo_date(day))))
+    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), s.clause_of(text).alias("clause"), s.result_of(text).alias("result"), parse_minguo_date(s.last_date(text)).alias("day"))
+
+
+@query("""SELECT doc_id, 1 + 2 * (length(text) - length(replace(text, '. ', '.')))::INT AS n FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%「%'""")
+def split_items_long(spark, d):
+    """Every sentence of every document as an item that quotes items of its own."""
+    docs = a.read(spark, d, "documents").where(F.col("text").isNotNull() & ~F.col("text").contains("「"))
+    text = F.concat(F.lit("x"), F.replace(F.col("text"), F.lit(". "), F.lit("。一、see「a。二、b」。三、more ")))
+    return docs.select("doc_id", F.size(s.split_items(text)).alias("n"))
+
+
 @query("""SELECT n_nationkey, '甲乙市（一）' AS grp, ['N' || n_nationkey || '區', '丁區'] AS districts FROM nation UNION ALL SELECT n_nationkey, '甲乙市（二）', ['戊區'] FROM nation""")
 def districts_from_note(spark, d):
     note = F.concat(F.lit("甲乙市（一）：N"), F.col("n_nationkey").cast("string"), F.lit("區、丁 區，x。甲乙市（二）：戊區。"))

@@ -453,3 +453,135 @@ def test_sections_with_a_repeated_heading(spark):
     rows = spark.createDataFrame([(1, "A.\nx\nB.\ny"), (2, "A.\nx\nA.\ny"), (3, "x")], "k int, t string")
     got = {(r["k"], r["section"]): (r["name"], r["body"]) for r in segment.labelled_sections(rows, "k", "t", r"^([A-Z])\.$", unique=True).collect()}
     assert got == {(1, 1): ("A", "x"), (1, 2): ("B", "y"), (2, 0): (None, "A.\nx\nA.\ny"), (3, 0): (None, "x")}
+
+
+def value(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize(
+    "text,day",
+    [("民國１１４年３月４日", "2025-03-04"), ("中華民國　１１４　年　3　月　４　日", "2025-03-04"), ("　１１４．７．４".replace("．", "."), "2025-07-04"), ("２０２５/７/４", "2025-07-04"), ("中華114年3月4日", None), ("114年２月３０日", None)],
+)
+def test_minguo_dates_in_wide_forms(spark, text, day):
+    got = value(spark, s.parse_minguo_date(F.lit(text)))
+    assert (str(got) if got else None) == day
+
+
+@pytest.mark.parametrize(
+    "clause,disposition,basis,days",
+    [
+        ("如不服本處分，得於３０日內提起訴願。", "", "statutory", 30),
+        ("如不服，得於三十　日內提起訴願。", "", "statutory", 30),
+        ("如不服，得於６０　日內提起訴願。", "", "stated_longer", 60),
+        ("\n", "　", "not_assessed", None),
+        ("\x1f", "", "not_assessed", None),
+        ("得於０日內提起訴願。", "得於30日內提起訴願。", "statutory", 30),
+    ],
+)
+def test_notices_in_wide_forms(spark, clause, disposition, basis, days):
+    got = value(spark, rules.notice_period(F.lit(clause), F.lit(disposition), F.lit("")))
+    assert (got["basis"], got["days"]) == (basis, days)
+
+
+def test_records_in_wide_forms(spark):
+    text = "處分書於１１４　年　3　月　４　日送達。扣除　在途期間　２　日。收文日期：　１１４年４月１日。命於２０　日補正期間內補正。"
+    got = value(spark, rules.deadline_facts(F.lit(text)))
+    assert (str(got["service"]), str(got["filed"]), got["transit"], got["period"]) == ("2025-03-04", "2025-04-01", 2, 20)
+    assert value(spark, F.lit("應於３０　日內另為處分").rlike(rules._REMAND_PERIOD)) and value(spark, F.lit("應於2個月內").rlike(rules._REMAND_PERIOD))
+
+
+def test_citations_in_wide_forms(spark):
+    rows = spark.createDataFrame([(1, "依訴願法第　77　條、民法第１４條之２及同法第\u20033條")], "k int, t string")
+    found = [(r["law"], r["number"]) for r in segment.extract_citations(rows, "k", "t").orderBy("pos").collect()]
+    assert found == [("訴願法", "77"), ("民法", "１４-２"), ("民法", "3")]
+    parsed = segment.parse_citation_string(spark.createDataFrame([(1, "民法　第１４條之２；x；")], "k int, t string"), "k", "t").orderBy("pos").collect()
+    assert [(r["name"], r["number"]) for r in parsed] == [("民法", "１４-２"), (None, None)]
+    assert value(spark, segment.clause_of(F.lit("訴願法第　77　條第　２　款"))) == "§77(２)"
+    assert value(spark, segment.last_date(F.lit("中華民國　１１４　年３月４日"))) == "中華民國　１１４　年３月４日"
+
+
+@pytest.mark.parametrize("pattern,java", [(r"\d+\s", r"\p{Nd}+[\s\x0b\x1c-\x1f\x85\p{Z}]"), (r"[\d\s]", r"[\p{Nd}\s\x0b\x1c-\x1f\x85\p{Z}]"), (r"\\d[^\n]\S", r"\\d[^\n][^\s\x0b\x1c-\x1f\x85\p{Z}]"), (r"[0-9\]]\d", r"[0-9\]]\p{Nd}")])
+def test_patterns_for_any_script(pattern, java):
+    from casegrid.functions import patterns
+
+    assert patterns.wide(pattern) == java and patterns.wide(java).count("Nd") == java.count("Nd")
+
+
+def plain_items(text):
+    """Items by looking at every marker in turn."""
+    import re
+
+    text, mark = text.strip(), re.compile(r"(?:(?<=\A)|(?<=[。\n」]))\s*[一二三四五六七八九十百]+\s*、")
+    places = [m.start() for m in mark.finditer(text) if (text[: m.start()].count("「") - text[: m.start()].count("」")) % 2 == 0]
+    edges = [0, *places, len(text)]
+    return [p for p in (text[x:y].strip() for x, y in zip(edges, edges[1:])) if p]
+
+
+def test_items_of_made_texts(spark):
+    import random
+
+    rng = random.Random(4)
+    parts = ["一、", "二 、", "十二、", "。", "\n", "「", "」", "x", "　", " ", "\x01", "\x01e", "\x01m", "、"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("t", segment.split_items(F.col("t")).alias("x")).collect():
+        assert r["x"] == plain_items(r["t"]), repr(r["t"])
+    assert value(spark, segment.split_items(F.lit(None).cast("string"))) is None
+
+
+def test_items_take_time_by_the_length(spark):
+    import time
+
+    def seconds(n):
+        begin = time.time()
+        assert value(spark, F.size(segment.split_items(F.repeat(F.lit("x。一、「二、」"), F.lit(n))))) == n + 1
+        return time.time() - begin
+
+    seconds(1000)
+    assert seconds(120_000) < 20  # a megabyte; its square would take hours
+
+
+def plain_sections(text, unique):
+    """Sections line by line: headings are single capital letters with a full stop."""
+    lines = text.split("\n")
+    names = [x[0] for x in lines if len(x) == 2 and x[0].isupper() and x[1] == "."]
+    if not names or (unique and len(set(names)) < len(names)):
+        return [(0, None, text.strip())] if text.strip() else []
+    out = []
+    for x in lines:
+        if len(x) == 2 and x[0].isupper() and x[1] == ".":
+            out.append([x[0], []])
+        elif out:
+            out[-1][1].append(x)
+    return [(i + 1, n, "\n".join(b).strip()) for i, (n, b) in enumerate(out) if "\n".join(b).strip()]
+
+
+@pytest.mark.parametrize("unique", [False, True])
+def test_sections_of_made_texts_without_a_shuffle(spark, unique):
+    import random
+
+    rng = random.Random(5)
+    parts = ["A.", "B.", "C.", "A. ", "x", "\n", "\n", "\r", " ", "\x01", "\x01m", "\u2028"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 20))) for _ in range(800)]
+    df = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string")
+    out = segment.labelled_sections(df, "i", "t", r"^([A-Z])\.$", unique)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.orderBy("i", "section").collect():
+        got.setdefault(r["i"], []).append((r["section"], r["name"], r["body"]))
+    for i, t in enumerate(texts):
+        assert got.get(i, []) == plain_sections(t, unique), repr(t)
+    assert -1 not in got
+
+
+def test_articles_without_a_shuffle_in_time_by_the_length(spark):
+    import time
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "所有條文\n第 1 條 a\nb\n１　c\n一、d\n第 一 章 總則\nlost\n第 ２-１ 條\n（一）e\n第 3 條\x01a")], "i int, t string")
+    out = segment.split_articles(df, "i", "t")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r)[1:] for r in out.orderBy("place").collect()] == [(1, "", "1", "ab\n１　c\n一、d"), (2, "第 一 章 總則", "２-１", "（一）e"), (3, "第 一 章 總則", "3", "\x01a")]
+    begin = time.time()
+    long = spark.range(1).select(F.col("id").alias("i"), F.repeat(F.lit("第 1 條 a\nb\n"), F.lit(80_000)).alias("t"))
+    assert segment.split_articles(long, "i", "t").count() == 80_000 and time.time() - begin < 30

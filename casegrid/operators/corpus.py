@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.functions.edits import edits as edit_distances
 from casegrid.functions.scalars import clause_key, format_minguo_date, nfkc, parse_minguo_date
 
 
@@ -116,10 +117,10 @@ def corpus_assertions(rows: DataFrame, wanted: DataFrame, key: str, held_out: Co
 
 def text_error_rates(pairs: DataFrame, key: str, reference: str, read: str, date: str) -> DataFrame:
     """(key, edits, length, rate, dates, found): edits per character of the reference, white space apart, and how many of its
-    distinct dates the reading has."""
+    distinct dates the reading has. Nulls count as empty; long texts take linear memory."""
     bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)\s+", "")
     dates = lambda c: F.array_distinct(F.regexp_extract_all(F.col(c), F.lit(date), F.lit(0)))
-    n, edits = F.length(bare(reference)), F.levenshtein(bare(reference), bare(read))
+    n, edits = F.length(bare(reference)), edit_distances(bare(reference), bare(read))
     return pairs.select(
         key,
         edits.alias("edits"),

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from casegrid.functions import scalars as s
 from casegrid.operators import corpus as k
-from casegrid.operators import lookup
+from casegrid.operators import keyed_table, lookup
+from casegrid.operators.keyed_table import KeyedTable
 from casegrid.registry import query
 from casegrid.sources import files
 from casegrid.storage import scratch_path
+from casegrid.streaming import jobs
 
 from . import adapters as a
 from .adapters import with_
@@ -169,6 +171,42 @@ def sync_plan(spark, d):
     return lookup.sync_plan(_index(spark, d), wanted, "key", "status", delete=True)
 
 
+@query("""SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 10 <> 3 UNION ALL SELECT p_partkey, 'new ' || p_name, p_size + 1 FROM part WHERE p_partkey % 10 = 3 UNION ALL SELECT p_partkey + 10000000, p_name, p_size FROM part WHERE p_partkey % 50 = 0""")
+def snapshot_upsert_buckets(spark, d):
+    """The same upsert into a table of key buckets, applied twice and vacuumed."""
+    part = a.read(spark, d, "part").select("p_partkey", "p_name", "p_size")
+    changed = part.where("p_partkey % 10 = 3").select("p_partkey", F.concat(F.lit("new "), F.col("p_name")).alias("p_name"), (F.col("p_size") + 1).alias("p_size"))
+    added = part.where("p_partkey % 50 = 0").select((F.col("p_partkey") + 10000000).alias("p_partkey"), "p_name", "p_size")
+    table = KeyedTable(spark, _folder(spark, "parts"), "p_partkey").create(part.schema, 8)
+    for delta in (part, changed.unionByName(added), changed.unionByName(added)):
+        table.upsert(delta)
+    table.vacuum(1)
+    return table.read()
+
+
+@query(f"WITH {_UPDATES} SELECT o.o_orderkey, o_custkey, coalesce(u.d, o_orderdate)::DATE AS day FROM orders o LEFT JOIN u ON o.o_orderkey = u.o_orderkey")
+def partial_update_buckets(spark, d):
+    base = a.read(spark, d, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"))
+    delta = a.read(spark, d, "lineitem").where("l_orderkey % 3 = 0").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.to_date(F.max("l_shipdate")).alias("day"))
+    table = KeyedTable(spark, _folder(spark, "orders"), "o_orderkey").create(base.schema, 8)
+    table.upsert(base)
+    table.update(delta, ["day"])
+    return table.read()
+
+
+@query(f"""WITH {_INDEX}, w AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 3 > 0)
+SELECT coalesce(i.key, w.key) AS key, status, CASE WHEN w.key IS NULL THEN 'delete_stale' WHEN status IS NULL THEN 'submit' WHEN status = 'FAILED' THEN 'retry_failed' ELSE 'skip' END AS action FROM idx i FULL JOIN w ON i.key = w.key WHERE w.key IS NULL OR status IS NULL OR status = 'FAILED'""")
+def sync_changes(spark, d):
+    """What sync_plan wouldn't skip, from two tables of key buckets whose digests are compared first."""
+    wanted = a.read(spark, d, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("key"))
+    index = _index(spark, d)
+    held = jobs.index_of(spark, _folder(spark, "index"), "key").create(index.schema, 8)
+    held.upsert(index)
+    corpus = KeyedTable(spark, _folder(spark, "wanted"), "key").create(wanted.schema, 8)
+    corpus.upsert(wanted)
+    return keyed_table.sync_changes(held, corpus, "status", delete=True)
+
+
 @query(f"WITH {_INDEX} SELECT o_orderkey AS key FROM orders WHERE o_orderkey NOT IN (SELECT key FROM idx WHERE status IN ('INDEXED', 'IN_PROGRESS'))")
 def pending_rows(spark, d):
     return lookup.pending_rows(a.read(spark, d, "orders").select(F.col("o_orderkey").alias("key")), _index(spark, d), "key", "status")

@@ -44,3 +44,44 @@ def numbered(rows: DataFrame, order: list, name: str, start: int = 1) -> DataFra
     starts = rows.sparkSession.createDataFrame(offsets, "part_ long, before_ long")
     out = placed.withColumn("part_", part).join(F.broadcast(starts), "part_")
     return out.select(*rows.columns, (F.col("before_") + F.col("at_").bitwiseAND((1 << 33) - 1)).alias(name))
+
+
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of the session's Hadoop client, which reaches whatever Spark does."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds; nothing where it is missing."""
+    fs, place = _place(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(place)) if fs.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, through the driver."""
+    fs, place = _place(spark, path)
+    stream = fs.open(place)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_whole(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that readers see whole or not at all. An error if there is one of that name."""
+    fs, place = _place(spark, path)
+    _, own = _place(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    stream = fs.create(own, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(place) or not fs.rename(own, place):
+        fs.delete(own, False)
+        raise ValueError(f"{path} was written meanwhile")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _place(spark, path)
+    fs.delete(place, True)

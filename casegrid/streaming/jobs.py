@@ -1,8 +1,9 @@
 """Incremental jobs: idempotent arrival of chunks, and the current stage of each case.
 
-A job's table is a folder of changes: every batch writes its own, under its number, so a batch that is replayed after a
-failure is taken once, and a restart finds the table by its path alone. compact() folds the changes into a new base now
-and then, so that readers don't go through all batches ever written.
+Arriving chunks go into a table of key buckets, whose manifest says which query's batch was the last one: a batch that is
+replayed after a failure is taken once, and a checkpoint that was lost is an error. The stages' table is a folder of changes:
+every batch writes its own, under its number; compact() folds the changes into a new base now and then and removes what
+the base before it made useless.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casegrid import storage
+from casegrid.operators.keyed_table import KeyedTable
 from casegrid.operators.lookup import pending_rows
 
 #: Batches since the last base from which a run ends with a compaction.
@@ -47,45 +50,69 @@ def compact(spark: SparkSession, path: str, key: str, order: str, least: int = 1
     seen = rows.agg(F.count_distinct(F.when(F.col("kind") == "batch", F.col("upto"))).alias("n"), F.max("upto").alias("last")).first()
     if (seen["n"] or 0) < least:
         return False
+    before = rows.where("kind = 'base'").agg(F.max("upto")).first()[0]
     _write(current(spark, path, key, order), path, "base", seen["last"])
+    # Readers that began before may still read the base before this one and its batches, but nothing older.
+    for kind in ("base", "batch"):
+        for name in storage.names(spark, f"{path}/kind={kind}"):
+            upto = int(name.removeprefix("upto=")) if name.startswith("upto=") else None
+            if upto is not None and before is not None and (upto < before if kind == "base" else upto <= before):
+                storage.remove(spark, f"{path}/kind={kind}/{name}")
     return True
 
 
-def ingest(arriving: DataFrame, key: str, order: str, path: str, checkpoint: str, submit: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+#: Buckets of a table of arriving chunks.
+BUCKETS = 32
+
+
+def ingest(arriving: DataFrame, key: str, order: str, path: str, checkpoint: str, submit: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Take every batch of a stream into the table at path and give the table: of each key the row that is last by order.
 
-    A run that finds nothing new gives the table as it is. With submit, rows that the index doesn't hold as done are
+    A batch rewrites the buckets of its keys, and its number is published with them, so a crash between both leaves the table
+    as it was and the replay takes the batch once. A run that finds nothing new gives the table as it is. A checkpoint other
+    than the one that the table was written with is an error. With submit, rows that the index doesn't hold as done are
     handed to it after the batches, those that failed before among them; it gives (key, status) of each, which are written
     beside the table and decide what the next run submits.
     """
     spark = arriving.sparkSession
-    table = f"{path}/rows"
-    _begin(spark, arriving.schema, table)
+    table = KeyedTable(spark, f"{path}/rows", key).create(arriving.schema, buckets)
+    last = F.max_by(F.struct(*arriving.columns), F.struct(F.col(order), F.col("turn_"))).alias("x")
+
+    def latest(old: DataFrame, new: DataFrame) -> DataFrame:
+        both = old.withColumn("turn_", F.lit(0)).unionByName(new.withColumn("turn_", F.lit(1)))
+        return both.groupBy(key).agg(last).select("x.*")
 
     def take(batch: DataFrame, number: int) -> None:
-        _write(batch.groupBy(key).agg(F.max_by(F.struct(*batch.columns), order).alias("x")).select("x.*"), table, "batch", number)
+        tags = table.manifest()["tags"]
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if tags.get("query", query) != query:
+            raise ValueError(f"the table at {path} was written with another checkpoint than {checkpoint}")
+        if number > tags.get("batch", -1):
+            table.merge(batch, latest, {"query": query, "batch": number})
+            table.vacuum()
 
     arriving.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    compact(spark, table, key, order, COMPACT_FROM)
     if submit is not None:
-        resubmit(spark, table, f"{path}/index", key, order, submit)
-    return current(spark, table, key, order)
+        resubmit(table, f"{path}/index", submit)
+    return table.read()
 
 
-def index_state(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """(key, status): the last status of each key that was submitted."""
-    return current(spark, path, key, "turn").select(key, "status")
+def index_of(spark: SparkSession, path: str, key: str) -> KeyedTable:
+    """The table of (key, status), the last status of each key that was submitted, with a mark that counts failed ones."""
+    return KeyedTable(spark, path, key, {"failed": F.count_if(F.col("status") == "FAILED")})
 
 
-def resubmit(spark: SparkSession, table: str, index: str, key: str, order: str, submit: Callable[[DataFrame], DataFrame]) -> None:
+def resubmit(table: KeyedTable, index: str, submit: Callable[[DataFrame], DataFrame]) -> None:
     """Submit the rows that the index doesn't hold as done and record what becomes of them."""
-    rows = current(spark, table, key, order)
-    kind = rows.schema[key].dataType.simpleString()
-    _begin(spark, f"{key} {kind}, status string, turn long", index)
-    pending = pending_rows(rows, index_state(spark, index, key), key, "status")
-    turn = (changes(spark, index).agg(F.max("upto")).first()[0] or 0) + 1
-    _write(submit(pending).select(key, F.col("status").cast("string").alias("status"), F.lit(turn).cast("long").alias("turn")), index, "batch", turn)
-    compact(spark, index, key, "turn", COMPACT_FROM)
+    spark, key = table.spark, table.key
+    rows = table.read()
+    schema = rows.select(key, F.lit("").alias("status")).schema
+    held = index_of(spark, index, key).create(schema, table.manifest()["buckets"])
+    pending = pending_rows(rows, held.read(), key, "status")
+    # What was submitted must not be submitted again because its outcome is read twice.
+    told = storage.materialize(submit(pending).select(key, F.col("status").cast("string").alias("status")), "submitted")
+    held.upsert(told)
+    held.vacuum()
 
 
 def stages(events: DataFrame, case: str, stage: str, ts: str, path: str, checkpoint: str) -> DataFrame:

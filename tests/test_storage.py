@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from casegrid import storage
-from casegrid.operators import rank, vectors
+from casegrid.operators import corpus, keyed_table, lookup, rank, vectors
 from casegrid.streaming import jobs
 
 
@@ -53,7 +53,7 @@ def arrivals(spark, folder, rows):
     return spark.readStream.schema("k long, v string, version int").option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-def test_ingest_survives_restarts_and_resubmits(spark, tmp_path, monkeypatch):
+def test_ingest_survives_restarts_and_resubmits(spark, tmp_path):
     source, path, check = f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/check"
     asked = []
 
@@ -70,9 +70,9 @@ def test_ingest_survives_restarts_and_resubmits(spark, tmp_path, monkeypatch):
     assert run(again()) == [(1, "a", 1), (2, "b", 1)]  # nothing new
     arrivals(spark, source, [(1, "older", 0), (3, "c", 1)])
     arrivals(spark, source, [(3, "d", 2)])
-    monkeypatch.setattr(jobs, "COMPACT_FROM", 2)
     assert run(again()) == [(1, "a", 1), (2, "b", 1), (3, "d", 2)]
-    assert jobs.changes(spark, f"{path}/rows").where("kind = 'batch'").count() == 0  # folded into a base
+    table = keyed_table.KeyedTable(spark, f"{path}/rows", "k")
+    assert len(table.versions()) <= keyed_table.KEPT and table.manifest()["tags"]["batch"] == 2
     assert run(again()) == [(1, "a", 1), (2, "b", 1), (3, "d", 2)]
     assert asked == [[1, 2], [2], [3], []]
 
@@ -82,3 +82,89 @@ def test_first_run_without_arrivals(spark, tmp_path):
     stream = spark.readStream.schema("k long, v string, version int").parquet(f"{tmp_path}/in")
     assert jobs.ingest(stream, "k", "version", f"{tmp_path}/t", f"{tmp_path}/c").count() == 0
     assert jobs.stages(stream, "k", "v", "version", f"{tmp_path}/s", f"{tmp_path}/d").count() == 0
+
+
+def test_a_batch_that_fails_before_its_manifest_is_taken_once(spark, tmp_path, monkeypatch):
+    source, path, check = f"{tmp_path}/in", f"{tmp_path}/table", f"{tmp_path}/check"
+    run = lambda stream, c=check: sorted(map(tuple, jobs.ingest(stream, "k", "version", path, c).collect()))
+    assert run(arrivals(spark, source, [(i, "a", 1) for i in range(20)])) == [(i, "a", 1) for i in range(20)]
+    stream = arrivals(spark, source, [(3, "b", 2), (50, "c", 1)])
+    publish = keyed_table.KeyedTable._publish
+
+    def broken(self, manifest, version):
+        raise RuntimeError("lost before the manifest")
+
+    monkeypatch.setattr(keyed_table.KeyedTable, "_publish", broken)
+    with pytest.raises(Exception, match="lost before"):
+        run(stream)
+    monkeypatch.setattr(keyed_table.KeyedTable, "_publish", publish)
+    table = keyed_table.KeyedTable(spark, f"{path}/rows", "k")
+    assert table.read().count() == 20 and table.read().where("v = 'b'").count() == 0  # as it was
+    want = sorted([(i, "b" if i == 3 else "a", 2 if i == 3 else 1) for i in range(20)] + [(50, "c", 1)])
+    assert run(arrivals(spark, source, [])) == want
+    # Another checkpoint would take all batches again under the same numbers.
+    with pytest.raises(Exception, match="another checkpoint"):
+        run(arrivals(spark, source, []), f"{tmp_path}/other")
+
+
+def test_an_upsert_rewrites_the_buckets_that_it_touches(spark, tmp_path):
+    base = spark.range(5000).select(F.col("id").alias("k"), F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    table = keyed_table.KeyedTable(spark, f"{tmp_path}/t", "k").create(base.schema, 16)
+    table.upsert(base)
+    before = table.manifest()
+    assert sum(p["rows"] for p in before["parts"].values()) == 5000 and len(before["parts"]) == 16
+    delta = spark.createDataFrame([(7, "new"), (6000, "more")], "k long, v string")
+    old = table.read()
+    after = table.upsert(delta)
+    changed = [b for b in after["parts"] if after["parts"][b]["folder"] != before["parts"][b]["folder"]]
+    assert 1 <= len(changed) <= 2
+    rewritten = sum(after["parts"][b]["rows"] for b in changed)
+    assert rewritten <= 2 * 450  # two buckets of 16
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(table.read()) == rows(corpus.snapshot_upsert(base, delta, "k"))
+    assert rows(old) == rows(base)  # a reader that began before
+    assert {b: p["digest"] for b, p in table.upsert(delta)["parts"].items()} == {b: p["digest"] for b, p in after["parts"].items()}
+    assert table.vacuum(1) >= len(changed) and rows(table.read()) == rows(corpus.snapshot_upsert(base, delta, "k"))
+    table.update(spark.createDataFrame([(7, "newest"), (9, None), (9999, "x")], "k long, v string"), ["v"])
+    assert {r["k"]: r["v"] for r in table.read().where("k in (7, 9, 9999)").collect()} == {7: "newest", 9: "v9"}
+    with pytest.raises(ValueError):
+        table.upsert(spark.createDataFrame([(None, "x")], "k long, v string"))
+    with pytest.raises(ValueError):
+        keyed_table.KeyedTable(spark, f"{tmp_path}/none", "k").read()
+
+
+def test_a_manifest_that_came_meanwhile_is_an_error(spark, tmp_path):
+    table = keyed_table.KeyedTable(spark, f"{tmp_path}/t", "k").create(spark.createDataFrame([], "k long").schema, 4)
+    table._publish(table.manifest(), 1)
+    with pytest.raises(ValueError, match="meanwhile"):
+        table._publish(table.manifest(), 1)
+    assert table.versions() == [0, 1] and table.read().count() == 0
+
+
+def test_sync_reads_differing_buckets_only_and_acts_as_the_full_join(spark, tmp_path):
+    index = jobs.index_of(spark, f"{tmp_path}/i", "k").create(spark.createDataFrame([], "k long, status string").schema, 16)
+    wanted = keyed_table.KeyedTable(spark, f"{tmp_path}/w", "key").create(spark.createDataFrame([], "key int").schema, 16)
+    all_ = spark.range(1000)
+    index.upsert(all_.select(F.col("id").alias("k"), F.lit("INDEXED").alias("status")))
+    wanted.upsert(all_.select(F.col("id").cast("int").alias("key")))
+    same = keyed_table.sync_changes(index, wanted, "status", True)
+    assert keyed_table.differing(index, wanted) == [] and "FileScan" not in same._jdf.queryExecution().executedPlan().toString() and same.count() == 0
+    index.upsert(spark.createDataFrame([(5, "FAILED"), (2000, "INDEXED")], "k long, status string"))
+    wanted.upsert(spark.createDataFrame([(3000,)], "key int"))
+    for delete in (True, False):
+        got = sorted(map(tuple, keyed_table.sync_changes(index, wanted, "status", delete).collect()))
+        full = lookup.sync_plan(index.read(), wanted.read().withColumnRenamed("key", "k"), "k", "status", delete).where("action <> 'skip'")
+        assert got == sorted(map(tuple, full.collect())) and len(got) == 3
+    assert len(keyed_table.differing(index, wanted)) <= 2
+
+
+def test_old_bases_and_batches_go(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    jobs._begin(spark, spark.createDataFrame([], "k long, v string, t long").schema, path)
+    for n in range(6):
+        jobs._write(spark.createDataFrame([(n % 2, f"v{n}", n)], "k long, v string, t long"), path, "batch", n)
+        if n % 2:
+            assert jobs.compact(spark, path, "k", "t")
+    assert storage.names(spark, f"{path}/kind=base") == ["upto=3", "upto=5"] or storage.names(spark, f"{path}/kind=base")[-2:] == ["upto=3", "upto=5"]
+    assert "upto=0" not in storage.names(spark, f"{path}/kind=batch") and "upto=1" not in storage.names(spark, f"{path}/kind=batch")
+    assert sorted(map(tuple, jobs.current(spark, path, "k", "t").collect())) == [(0, "v4", 4), (1, "v5", 5)]

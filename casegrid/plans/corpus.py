@@ -27,6 +27,15 @@ def jsonl_source(spark, d):
     return files.jsonl_source(spark, path, "k long").agg(F.count("*").alias("n"), F.sum("k").alias("total"))
 
 
+@query("SELECT event_id, event_id % 3 AS file, row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id) * 2 AS line FROM events")
+def jsonl_source_numbered(spark, d):
+    """A file for each third of the events, whose rows stand on every other line, read in small splits."""
+    path, events = _folder(spark, "jsonl"), a.read(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("file"))
+    lines = events.select("file", F.concat(F.lit(" \n"), F.to_json(F.struct("event_id", F.col("file").alias("third")))).alias("value"), "event_id")
+    lines.repartition(3, "file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    return files.jsonl_source(spark, path, "event_id long, third long", numbered=True).select("event_id", F.col("third").alias("file"), "line")
+
+
 @query("SELECT source AS bucket, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
 def bucketed_source(spark, d):
     path = _folder(spark, "buckets")

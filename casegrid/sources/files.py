@@ -9,20 +9,45 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def jsonl_source(spark: SparkSession, path: str, schema: str, strict: bool = True, skip_missing: bool = False) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their number from 1 in the file.
+
+    Files are read in splits as always, so a file may be larger than any memory. The lines of each split are counted in a first
+    pass, and the counts of a file's earlier splits are added to the places in a split. A split's lines follow each other in
+    one task, and the same files are dealt to the same tasks in both passes."""
+    here = lambda: spark.read.text(path).select(F.col("_metadata.file_path").alias("path_"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("start_"), F.monotonically_increasing_id().alias("at_"), "value")
+    splits = here().groupBy("path_", "start_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))
+    before = F.sum("n_").over(W.partitionBy("path_").orderBy("start_")) - F.col("n_")
+    offsets = splits.select("path_", "start_", (before - F.col("first_") + 1).alias("offset_"))
+    return here().join(offsets, ["path_", "start_"]).select("file", (F.col("at_") + F.col("offset_")).alias("line"), "value")
+
+
+def jsonl_source(spark: SparkSession, path: str, schema: str, strict: bool = True, skip_missing: bool = False, numbered: bool = False, counted: bool = True) -> DataFrame:
     """Rows of JSON lines with file, the file's name. Blank lines are skipped. strict: a malformed line fails, with its
-    file and text; else it comes as a row of nulls with the line in corrupt, and malformed_lines() numbers it. skip_missing:
-    a path that isn't there gives no rows; else it is an error."""
+    file, number and text; else it comes as a row of nulls with the line in corrupt. numbered: with line, the number from 1 in
+    the file, of each row. skip_missing: a path that isn't there gives no rows; else it is an error.
+
+    Numbers take a pass that counts the lines of each split. counted false: strict reading does without it, and an error
+    names the file and the text only."""
     columns = StructType.fromDDL(f"{schema}, corrupt string")
+    more = "file string, line long" if numbered else "file string"
     if skip_missing and not _exists(spark, path):
-        none = spark.createDataFrame([], StructType.fromDDL(f"{schema}, corrupt string, file string"))
+        none = spark.createDataFrame([], StructType.fromDDL(f"{schema}, corrupt string, {more}"))
         return none.drop("corrupt") if strict else none
-    raw = spark.read.schema(columns).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="corrupt").withColumn("file", F.col("_metadata.file_name"))
+    if numbered or (strict and counted):
+        lines = numbered_lines(spark, path).where(F.col("value").rlike(r"(?s)[^ \t\r\n]"))
+        raw = lines.select(F.from_json("value", columns, _PERMISSIVE).alias("x"), "file", "line").select("x.*", "file", "line")
+        where = F.concat(F.col("file"), F.lit(", line "), F.col("line").cast("string"))
+    else:
+        raw = spark.read.schema(columns).json(path, **_PERMISSIVE).withColumn("file", F.col("_metadata.file_name"))
+        where = F.col("file")
     if not strict:
         return raw
-    bad = F.col("corrupt").isNotNull()
-    message = F.concat(F.lit("malformed line in "), F.col("file"), F.lit(": "), F.substring("corrupt", 1, 80))
-    return raw.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("corrupt")
+    message = F.concat(F.lit("malformed line in "), where, F.lit(": "), F.substring("corrupt", 1, 80))
+    return raw.where(F.when(F.col("corrupt").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop(*(("corrupt",) if numbered else ("corrupt", "line")))
+
+
+_PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -36,11 +61,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """(file, line, text) of lines that aren't JSON of the schema, with their number from 1 in the file. Files are read
-    whole for this, one at a time, so it is for finding what jsonl_source found wrong."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    parsed = F.from_json("text", StructType.fromDDL(f"{schema}, corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"})
-    return lines.where(F.trim("text") != "").withColumn("x", parsed).where(F.col("x.corrupt").isNotNull()).select("file", (F.col("line") + 1).alias("line"), "text")
+    """(file, line, text) of lines that aren't JSON of the schema, with their number from 1 in the file."""
+    rows = jsonl_source(spark, path, schema, strict=False, numbered=True)
+    return rows.where(F.col("corrupt").isNotNull()).select("file", "line", F.col("corrupt").alias("text"))
 
 
 def bucketed_source(spark: SparkSession, path: str, pattern: str, schema: str) -> DataFrame:

@@ -425,7 +425,7 @@ def test_json_lines_that_are_missing_or_malformed(spark, tmp_path):
     assert [tuple(r) for r in files.malformed_lines(spark, path, "k long").collect()] == [("a.jsonl", 4, "not json")]
     loose = files.jsonl_source(spark, path, "k long", strict=False)
     assert sorted((r["k"] or 0, r["corrupt"]) for r in loose.collect()) == [(0, "not json"), (1, None), (2, None), (4, None)]
-    with pytest.raises(Exception, match="malformed line in a.jsonl"):
+    with pytest.raises(Exception, match="malformed line in a.jsonl, line 4: not json"):
         files.jsonl_source(spark, path, "k long").collect()
     gone = files.jsonl_source(spark, str(tmp_path / "none.jsonl"), "k long", skip_missing=True)
     assert gone.columns == ["k", "file"] and gone.count() == 0
@@ -585,3 +585,22 @@ def test_articles_without_a_shuffle_in_time_by_the_length(spark):
     begin = time.time()
     long = spark.range(1).select(F.col("id").alias("i"), F.repeat(F.lit("第 1 條 a\nb\n"), F.lit(80_000)).alias("t"))
     assert segment.split_articles(long, "i", "t").count() == 80_000 and time.time() - begin < 30
+
+
+def test_lines_are_numbered_across_splits_and_files(spark, tmp_path):
+    from casegrid.sources import files
+
+    for name, n in (("a", 4000), ("b", 10)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"k": {i}}}\n' if i % 3 else "\n" for i in range(n)) + "bad\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    try:
+        path = str(tmp_path)
+        assert spark.read.text(path).rdd.getNumPartitions() > 8
+        rows = files.jsonl_source(spark, path, "k long", strict=False, numbered=True).collect()
+        assert sorted((r["file"], r["line"], r["k"]) for r in rows if r["corrupt"] is None) == sorted((f"{f}.jsonl", i + 1, i) for f, n in (("a", 4000), ("b", 10)) for i in range(n) if i % 3)
+        assert sorted(map(tuple, files.malformed_lines(spark, path, "k long").collect())) == [("a.jsonl", 4001, "bad"), ("b.jsonl", 11, "bad")]
+        with pytest.raises(Exception, match="malformed line in a.jsonl, line 4001: bad|malformed line in b.jsonl, line 11: bad"):
+            files.jsonl_source(spark, path, "k long").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

@@ -14,27 +14,43 @@ as the model expects of n-grams that it hasn't seen when one token at a time is
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix
+from .common import hash_words, mix, sliced
 from .keyed import BINS, chunk_answers, count_keys, in_chunks, sizes, spread_tallies, tallies, totals_of, use_counts
 
 #: The token at the end of a text, which is also the context in which texts begin.
 END = np.uint64(0x5851F42D4C957F2D)
 #: Bits of the keys of words, and of those of pairs and triples: of 10^10 different ones, one in 10^8 shares its key.
 WORD_BITS, PAIR_BITS = 64, 60
-WORD, PAIR, TRIPLE, SUMS = 0, 1, 2, 3
+WORD, PAIR, TRIPLE = 0, 1, 2
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with each text compressed, as they are shuffled whole."""
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=1, write_content_size=True).compress
+        for batch in sliced(batches):
+            texts = pa.array([small(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", texts)
+
+    schema = ", ".join(f"{f.name} {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(pack, schema)
 
 
 def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words and ends, where each text begins with the total last)."""
-    found, counts, column = [], [], texts.combine_chunks()
-    for at in range(0, len(column), 250):
-        words, edge = hash_words(column.slice(at, 250))
+    found, counts, unpack = [], [], zstandard.ZstdDecompressor().decompress
+    for at in range(0, len(texts), 250):
+        words, edge = hash_words(pa.array([unpack(x) for x in texts.slice(at, 250).to_pylist()], pa.large_binary()))
         found.append(np.insert(words, edge[1:], END))
         counts.append(np.diff(edge) + 1)
     return np.concatenate([np.empty(0, np.uint64), *found]), np.concatenate([[0], np.cumsum(np.concatenate([np.empty(0, np.int64), *counts]))])
@@ -58,53 +74,27 @@ class Places:
     def training(self, held_out: pa.ChunkedArray) -> np.ndarray:
         return np.repeat(~np.array(held_out.to_pylist(), bool), np.diff(self.edge))
 
-    def words(self, training: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(distinct keys of words, their training counts here, the number of each token's word)."""
-        keys, number = np.unique(self.word, return_inverse=True)
-        return keys, np.bincount(number, weights=training, minlength=len(keys)).astype(np.int64), number
-
-    def before(self, x: np.ndarray, at_first) -> np.ndarray:
-        """What x has for the token before each, and at_first for a text's first."""
-        out = np.roll(x, 1)
-        out[self.first] = at_first
-        return out
-
-
-class NGrams:
-    """Distinct keys of pairs or of triples, ascending, with their training counts here, the number of each token's, and which
-    of them other chunks may hold: those of an open token."""
-
-    def __init__(self, of_tokens: np.ndarray, training: np.ndarray, open_: np.ndarray) -> None:
-        self.keys, self.number = np.unique(of_tokens, return_inverse=True)
-        self.counts = np.bincount(self.number, weights=training, minlength=len(self.keys)).astype(np.int64)
-        self.asked = np.zeros(len(self.keys), bool)
-        self.asked[self.number[open_]] = True
-
-    def ask(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[int]]:
-        """What to ask other chunks, and the tallies of the rest."""
-        return [(self.keys[self.asked], self.counts[self.asked])], tallies({0: self.counts[~self.asked]}, 1)
-
-    def told(self, answers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """(total, whether other chunks hold it) of each token's."""
-        total, shared = self.counts.copy(), np.zeros(len(self.keys), bool)
-        total[self.asked], shared[self.asked] = answers
-        return total[self.number], shared[self.number]
-
-
-def pairs_of(places: Places, training: np.ndarray, answers: tuple[np.ndarray, np.ndarray]) -> tuple[NGrams, np.ndarray, np.ndarray]:
-    """(pairs, total of each token's word, total of an end) from the words' answers. Other chunks may hold a pair if they hold
-    both its words."""
-    keys, _, number = places.words(training)
-    total, shared = answers
-    end = np.searchsorted(keys, places.end)  # every text has one
-    word_shared = shared[number]
-    pairs = NGrams(places.pair, training, word_shared & places.before(word_shared, shared[end]) if len(number) else word_shared)
-    return pairs, total[number].astype(np.int64), total[end : end + 1].astype(np.int64)
-
-
-def triples_of(places: Places, training: np.ndarray, pair_shared: np.ndarray) -> NGrams:
-    """Triples; other chunks may hold one if they hold both its pairs. A text's first token ends none."""
-    return NGrams(places.triple, training & ~places.first, pair_shared & places.before(pair_shared, False) & ~places.first)
+    def short_keys(self, training: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """(for words and for pairs, the distinct keys and their training counts here; the numbers of each token's word and
+        then pair, pairs numbered on from the words)."""
+        out, numbers, before = [], [], 0
+        for keys in (self.word, self.pair):
+            keys, at = np.unique(keys, return_inverse=True)
+            out.append((keys, np.bincount(at, weights=training, minlength=len(keys)).astype(np.int64)))
+            numbers.append(at + before)
+            before += len(keys)
+        return out, np.concatenate(numbers)
+
+    def long_keys(self, training: np.ndarray, shared: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys of triples, their training counts here, the number of each token's triple, which of them other
+        chunks may hold: those both of whose pairs they do)."""
+        elsewhere = shared[at[len(self.word) :]]
+        open_ = elsewhere & np.roll(elsewhere, 1)
+        keys, first, number = np.unique(self.triple, return_index=True, return_inverse=True)
+        counts = np.bincount(number, weights=training & ~self.first, minlength=len(keys)).astype(np.int64)
+        asked = np.zeros(len(keys), bool)
+        asked[number[open_ & ~self.first]] = True
+        return keys, counts, number, asked
 
 
 class Automaton:
@@ -165,58 +155,58 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each. Other columns aren't read. An empty table gives none. mu: weights for contexts of one word and of two; by default
     they come from the training counts.
 
-    Every chunk of documents asks for the counts of its own words, then of those pairs that other chunks can have, as they
-    have both words, and then of such triples, so no task or driver holds the whole model. Words and n-grams are told apart by
-    hashes of WORD_BITS and PAIR_BITS, whatever the volume of text.
+    Every chunk of documents asks for the counts of its own words and pairs, and then of those triples that other chunks
+    can have, so no task or driver holds the whole model. Words and n-grams are told apart by hashes of WORD_BITS and
+    PAIR_BITS, whatever the volume of text.
     """
     held = (F.crc32(F.col(f"`{id_col}`").cast("string")) % 7 == 2) if held_out is None else held_out
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     chunks, parts, _ = sizes(rows)
-    chunked = in_chunks(rows, chunks, "id", "text")
+    chunked = _packed(in_chunks(rows, chunks, "id", "text"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def ask_words(rows: pa.Table) -> tuple:
-        places = Places(rows["text"])
-        return ([places.words(places.training(rows["held_out"]))[:2]],)
-
-    def ask_pairs(rows: pa.Table, answers: pa.Table) -> tuple:
+    def ask_short(rows: pa.Table) -> tuple:
         places = Places(rows["text"])
-        return pairs_of(places, places.training(rows["held_out"]), totals_of(answers))[0].ask()
+        return (places.short_keys(places.training(rows["held_out"]))[0],)
 
-    def ask_triples(rows: pa.Table, answers: pa.Table) -> tuple:
+    def ask_long(rows: pa.Table, answers: pa.Table) -> tuple:
         places = Places(rows["text"])
         training = places.training(rows["held_out"])
-        pairs = pairs_of(places, training, totals_of(told(answers, WORD)))[0]
-        return triples_of(places, training, pairs.told(totals_of(told(answers, PAIR)))[1]).ask()
-
-    def told(answers: pa.Table, kind: int) -> pa.Table:
-        return answers.filter(pc.equal(answers["kind"], kind))
+        _, at = places.short_keys(training)
+        keys, counts, _, asked = places.long_keys(training, totals_of(answers)[1], at)
+        return [(keys[asked], counts[asked])], tallies({0: counts[~asked]}, 1)
 
-    def answered(counted: DataFrame, kind: int) -> DataFrame:
-        return chunk_answers(counted).select("chunk", "part", "answer", F.lit(kind).alias("kind"))
+    short = count_keys(chunked, [-(-parts // 4), parts], [WORD_BITS, PAIR_BITS], ask_short, tallied=True)
+    known = chunk_answers(short)
+    long = count_keys(chunked, [parts], [PAIR_BITS], ask_long, tallied=True, known=known)
 
-    words = count_keys(chunked, [-(-parts // 4)], [WORD_BITS], ask_words, tallied=True)
-    pairs = count_keys(chunked, [parts], [PAIR_BITS], ask_pairs, tallied=True, known=answered(words, WORD))
-    short = answered(words, WORD).unionByName(answered(pairs, PAIR))
-    triples = count_keys(chunked, [parts], [PAIR_BITS], ask_triples, tallied=True, known=short)
+    def told(answers: pa.Table, step: int) -> pa.Table:
+        return answers.filter(pc.equal(answers["step"], step))
 
     def level(answers: pa.Table, kind: int) -> np.ndarray:
         """A tally of the whole training set."""
-        return np.array(told(answers, SUMS + kind)["tally"][0].as_py() or [0] * 2 * BINS)
+        step, at = (4, 0) if kind == TRIPLE else (3, kind)
+        sums = told(answers, step)["tally"][0].as_py() or [0] * 4 * BINS
+        return np.array(sums[2 * BINS * at :][: 2 * BINS])
 
     def use(rows: pa.Table, answers: pa.Table) -> pa.Table:
         places = Places(rows["text"])
         training = places.training(rows["held_out"])
-        of_pairs, word, end = pairs_of(places, training, totals_of(told(answers, WORD)))
-        pair, shared = of_pairs.told(totals_of(told(answers, PAIR)))
-        triple = triples_of(places, training, shared).told(totals_of(told(answers, TRIPLE)))[0]
-        triple[places.first] = 0
+        ((keys, _), _), at = places.short_keys(training)
+        totals, shared = totals_of(told(answers, 1))
+        totals = totals.astype(np.int64)
+        _, triples, number, asked = places.long_keys(training, shared, at)
+        triples[asked] = totals_of(told(answers, 2))[0].astype(np.int64)
+        word, pair = totals[at].reshape(2, -1)
+        triple = np.where(places.first, 0, triples[number])
         # Contexts: none, the word before (an end before a text's first), and the pair before.
-        before = places.before(word, end[0] if len(end) else 0)
+        before = np.roll(word, 1)
+        ends = np.searchsorted(keys, places.end)
+        before[places.first] = totals[ends]
         words, pairs = level(answers, WORD), level(answers, PAIR)
         n, kinds = int(words[BINS:].sum()), int(words[1:BINS].sum())
         weights = mu or [fitted_mu(words, pairs), fitted_mu(pairs, level(answers, TRIPLE))]
-        automaton = Automaton([word, pair, triple], [np.full(len(word), n), before, places.before(pair, 0)], kinds, weights)
+        automaton = Automaton([word, pair, triple], [np.full(len(word), n), before, np.where(places.first, 0, np.roll(pair, 1))], kinds, weights)
         known = np.add.reduceat((word > 0).astype(np.int64), places.edge[:-1])
         base = np.add.reduceat(automaton.arc[0], places.edge[:-1])
         columns = [rows["id"], rows["held_out"], np.diff(places.edge), known, np.full(len(known), n), base, automaton.traverse(places.edge)]
@@ -224,7 +214,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = f"id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     none = F.lit(None)
-    everything = short.unionByName(answered(triples, TRIPLE)).withColumn("tally", none.cast("array<long>"))
-    for kind, counted in ((WORD, words), (PAIR, pairs), (TRIPLE, triples)):
-        everything = everything.unionByName(spread_tallies(counted, chunks).select("chunk", none.cast("int").alias("part"), none.cast("binary").alias("answer"), F.lit(SUMS + kind).alias("kind"), "tally"))
+    answers = [known.select("chunk", "part", "answer", F.lit(1).alias("step"), none.cast("array<long>").alias("tally")), chunk_answers(long).select("chunk", "part", "answer", F.lit(2).alias("step"), none.cast("array<long>").alias("tally"))]
+    sums = [spread_tallies(x, chunks).select("chunk", none.cast("int").alias("part"), none.cast("binary").alias("answer"), F.lit(step).alias("step"), "tally") for x, step in ((short, 3), (long, 4))]
+    everything = answers[0].unionByName(answers[1]).unionByName(sums[0]).unionByName(sums[1])
     return use_counts(chunked, everything, use, schema).withColumnRenamed("id", id_col)

@@ -52,21 +52,20 @@ def _packer(n: int):
 
 
 class WordIds(dict):
-    """Packed ids of words, found by one encoder where they are missing. Long words aren't kept; held: bytes of the others."""
+    """Packed ids of words, found by one encoder where they are missing. Long words aren't kept, so a bound on the number of
+    words is one on their bytes."""
 
-    #: Characters of the longest word that is kept, and what a word costs beside its characters and ids.
-    LONGEST, ENTRY = 64, 190
+    #: Characters of the longest word that is kept.
+    LONGEST = 32
 
     def __init__(self, encoder: WordEncoder, kept: dict[str, bytes]) -> None:
         super().__init__(kept)
         self.encoder = encoder
-        self.held = sum(len(w) + len(x) for w, x in kept.items()) + self.ENTRY * len(kept)
 
     def __missing__(self, word: str) -> bytes:
         x = self.encoder.word(word)
         if len(word) <= self.LONGEST:
             self[word] = x
-            self.held += len(word) + len(x) + self.ENTRY
         return x
 
 
@@ -78,8 +77,9 @@ class WordEncoder:
     word of letters without marks goes to the library's model, unit by unit; any other through the library's whole pipeline.
     """
 
-    #: Bytes of words kept at most. When there are more, long words go, which are rarer, and all if that isn't enough.
-    KEPT_BYTES, SHORT = 176 << 20, 8
+    #: Words kept at most, each of some 200 bytes and never more than 400. When there are more, long ones go, which are rarer,
+    #: and all if that isn't enough.
+    KEPT, SHORT = 800_000, 8
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
@@ -124,9 +124,9 @@ class WordEncoder:
         if not self.parted:
             return [np.frombuffer(self._library(t), np.uint32) for t in texts]
         words = [_WORDS.findall(t) if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
-        if self.kept.held > self.KEPT_BYTES:
-            short = WordIds(self, {w: x for w, x in self.kept.items() if len(w) <= self.SHORT})
-            self.kept = short if short.held <= self.KEPT_BYTES // 2 else WordIds(self, {})
+        if len(self.kept) > self.KEPT:
+            short = {w: x for w, x in self.kept.items() if len(w) <= self.SHORT}
+            self.kept = WordIds(self, short if len(short) <= self.KEPT // 2 else {})
         return [np.frombuffer(b"".join(map(self.kept.__getitem__, w)), np.uint32) for w in words]
 
 

@@ -202,9 +202,9 @@ def test_kept_words_are_bounded_by_bytes(monkeypatch):
     rng = random.Random(9)
     encoder = tokenfiles.WordEncoder(WORDS)
     library = tokenizers.Tokenizer.from_file(WORDS)
-    monkeypatch.setattr(tokenfiles.WordEncoder, "KEPT_BYTES", 30_000)
+    monkeypatch.setattr(tokenfiles.WordEncoder, "KEPT", 30)
     # Texts without white space are one new word each.
     texts = ["".join(rng.choice("aeinrst") for _ in range(n)) for n in (3, 40, 70, 5000, 1 << 20) for _ in range(1 if n > 5000 else 60)]
     for text in texts:
         assert encoder.ids([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
-        assert encoder.kept.held < 60_000 and max(map(len, encoder.kept), default=0) <= tokenfiles.WordIds.LONGEST
+        assert len(encoder.kept) <= 60 and max(map(len, encoder.kept), default=0) <= tokenfiles.WordIds.LONGEST

@@ -308,6 +308,16 @@ def notice_period_rule_wide(spark, d):
     return _notices(spark, d, a.written_wide)
 
 
+@query("""SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 30 THEN '原處分書教示救濟期間３０日，與法定期間相符' WHEN o_orderkey % 50 > 30 THEN '原處分書告知之救濟期間' || n || '日較法定３０日為長' ELSE '原處分書告知之救濟期間' || n || '日與法定３０日不符' END AS finding, o_orderkey % 50 = 30 AS settled
+FROM (SELECT *, translate((o_orderkey % 50)::VARCHAR, '0123456789', '０１２３４５６７８９') AS n FROM orders WHERE o_orderkey % 50 > 0)""")
+def notice_findings(spark, d):
+    """What a decision may cite of each order's notice, and whether nothing is left to a reviewer."""
+    k = F.col("o_orderkey")
+    clause = F.concat(F.lit("如不服本處分，應於收受後"), (k % 50).cast("string"), F.lit("日內提起訴願。"))
+    rule = r.notice_period(clause, F.lit(""), F.lit("無記載。"))
+    return a.read(spark, d, "orders").where(k % 50 > 0).select(k.alias("k"), rule["finding"].alias("finding"), (rule["note"] == "").alias("settled"))
+
+
 @query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN o_orderdate::DATE + 20 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS service, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 25 END AS filed,
   CASE o_orderkey % 4 WHEN 0 THEN o_custkey % 9 WHEN 3 THEN 0 END AS transit, o_orderkey % 4 = 1 AS public_notice, CASE WHEN o_orderkey % 4 = 2 THEN '送達日無法認定：抽到 2 個' END AS problem FROM orders""")
 def deadline_facts(spark, d):

@@ -604,3 +604,21 @@ def test_lines_are_numbered_across_splits_and_files(spark, tmp_path):
             files.jsonl_source(spark, path, "k long").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize(
+    "clause,record,finding,note",
+    [
+        ("", "", "", "卷內無原處分書，有無教示救濟期間未經檢核"),
+        ("本處分自送達生效。", "", "原處分書未告知救濟期間", "原處分書未告知救濟期間，期間依行政程序法第９８條第３項認定為一年（此分支未經語料驗證），不據以覆寫程序審查，須人工確認"),
+        ("得於30日內提起訴願。", "", "原處分書教示救濟期間３０日，與法定期間相符", ""),
+        ("得於60日內提起訴願。", "", "原處分書告知之救濟期間６０日較法定３０日為長", None),
+        ("得於20日內提起訴願。", "未為更正", "原處分書告知之救濟期間２０日有錯誤，卷內載明未為更正", None),
+        ("得於20日內提起訴願。", "更正通知書於114年3月4日送達。", "原處分書告知之救濟期間２０日有錯誤，更正通知於114年3月4日送達", None),
+        ("得於20日內提起訴願。", "更正通知在卷。", "原處分書告知之救濟期間２０日有錯誤，卷內載有更正通知", "更正通知之送達日無法認定，行政程序法第９８條第１項之法定期間起算日因而無從認定，須人工調閱更正通知"),
+        ("得於20日內提起訴願。", "無記載。", "原處分書告知之救濟期間２０日與法定３０日不符", None),
+    ],
+)
+def test_findings_and_notes_of_notices(spark, clause, record, finding, note):
+    got = value(spark, rules.notice_period(F.lit(clause), F.lit(""), F.lit(record)))
+    assert got["finding"] == finding and (note is None or got["note"] == note) and (got["note"] == "") == (got["basis"] == "statutory") and "{" not in got["note"]

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casegrid.operators import lookup, rank, vectors
+from casegrid.operators.page_index import PageIndex
 from casegrid.registry import query
-from casegrid.storage import materialize
+from casegrid.storage import materialize, scratch_path
 
 from . import adapters as a
 from .adapters import with_
@@ -181,6 +182,16 @@ def case_list_page(spark, d):
     return rank.list_page(cases, "created", progress, "case_id", 3)
 
 
+@query(with_("docket") + """, p AS (SELECT case_id, created, status, CASE status WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS progress_order FROM docket),
+n AS (SELECT *, row_number() OVER (ORDER BY created DESC, progress_order, case_id) AS position FROM p) SELECT *, 3 AS page FROM n WHERE position > 40 AND position <= 60""")
+def case_list_page_index(spark, d):
+    """The same page from an index of the list's ranges."""
+    progress = F.when(F.col("status") == "P", 0).when(F.col("status") == "O", 1).otherwise(2)
+    cases = a.docket(spark, d).select("case_id", "created", "status", progress.alias("progress_order"))
+    index = PageIndex(spark, scratch_path(spark, "pages"), [F.desc("created"), F.col("progress_order"), F.col("case_id")]).build(cases)
+    return index.page(3)
+
+
 @query("""SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events""")
 def carry_forward(spark, d):
     rows = a.read(spark, d, "events").withColumn("v", F.when(F.col("event_type") == "signup", F.col("value")))

@@ -83,3 +83,21 @@ def test_edits_of_long_texts_take_seconds(spark):
     assert time.time() - begin < 60 and len(a) - len(b) <= n <= len(a) - len(b) + 10
     rows = spark.createDataFrame([("kitten", "sitting"), (None, "x"), ("x" * 300, "x" * 290 + "y"), ("", "")], "a string, b string")
     assert [r[0] for r in rows.select(edits.edits(F.col("a"), F.col("b"))).collect()] == [3, None, 10, 0]
+
+
+def test_pages_come_from_the_ranges_that_hold_them(spark, tmp_path):
+    from casegrid.operators.page_index import PageIndex
+
+    rows = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("g"))
+    index = PageIndex(spark, f"{tmp_path}/p", [F.desc("g"), F.col("k")]).build(rows, 12)
+    order = sorted(((r["k"], r["g"]) for r in rows.collect()), key=lambda x: (-x[1], x[0]))
+    for number in (1, 2, 77, 149, 150, 400, 0):
+        page = index.page(number)
+        at = min(max(number, 1), 150)
+        got = sorted((r["position"], r["k"], r["g"], r["page"]) for r in page.collect())
+        assert got == [(i + 1, *order[i], at) for i in range((at - 1) * 20, at * 20)]
+        assert len({f.split("range_=")[1].split("/")[0] for f in page.inputFiles()}) <= 2
+    none = PageIndex(spark, f"{tmp_path}/n", [F.col("k")]).build(rows.limit(0))
+    assert none.page(3).count() == 0
+    with pytest.raises(Exception, match="counts.json|exist"):
+        PageIndex(spark, f"{tmp_path}/gone", [F.col("k")]).page(1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casegrid.operators import plugins
 from casegrid.operators import segment as s
 from casegrid.registry import query
-from casegrid.streaming import jobs
+from casegrid.streaming import jobs, states
 
 from . import adapters as a
 from .adapters import with_
@@ -233,6 +233,19 @@ def case_stage_stream(spark, d):
     return jobs.stages(arriving, "user_id", "event_type", "event_id", f"{work}/out", f"{work}/checkpoint")
 
 
+@query("""WITH e AS (SELECT user_id, event_id AS at, CASE WHEN event_id % 3 > 0 THEN event_type END AS stage, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' END AS status FROM events),
+s AS (SELECT user_id, max(at) AS stage_at, arg_max(stage, at) AS stage FROM e WHERE stage IS NOT NULL GROUP BY 1), t AS (SELECT user_id, max(at) AS status_at, arg_max(status, at) AS status FROM e WHERE status IS NOT NULL GROUP BY 1)
+SELECT coalesce(s.user_id, t.user_id) AS user_id, stage_at, stage, status_at, status, CASE WHEN status = 'error' THEN 'failed at ' || status_at END AS error FROM s FULL JOIN t ON s.user_id = t.user_id""")
+def case_state_stream(spark, d):
+    """Events that tell a stage, a status, both or neither; they come in no order, and a third of them comes again."""
+    source, work = _folder(spark, "tellings"), _folder(spark, "states")
+    n = F.col("event_id")
+    told = a.read(spark, d, "events").select("user_id", n.alias("at"), F.when(n % 3 > 0, F.col("event_type")).alias("stage"), F.when(n % 5 == 0, "error").when(n % 5 == 1, "processing").when(n % 5 == 2, "done").alias("status"), F.concat(F.lit("failed at "), n.cast("string")).alias("error"))
+    told.unionByName(told.where("at % 3 = 1")).repartition(6, F.xxhash64("at", F.rand(1))).write.parquet(source)
+    arriving = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 3).parquet(source)
+    return states.case_states(arriving, "user_id", "at", f"{work}/table", f"{work}/checkpoint")
+
+
 @query()
 def embed_batches(spark, d):
     rows = plugins.embed_batches(a.read(spark, d, "documents").select("doc_id", "text"), "text")

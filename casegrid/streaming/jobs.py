@@ -65,6 +65,23 @@ def compact(spark: SparkSession, path: str, key: str, order: str, least: int = 1
 BUCKETS = 32
 
 
+def take_batches(arriving: DataFrame, table: KeyedTable, change: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, stateful: bool = False) -> None:
+    """Merge every batch of a stream into a table, each once; a checkpoint other than the table's own is an error."""
+    spark = table.spark
+
+    def take(batch: DataFrame, number: int) -> None:
+        tags = table.manifest()["tags"]
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if tags.get("query", query) != query:
+            raise ValueError(f"the table at {table.path} was written with another checkpoint than {checkpoint}")
+        if number > tags.get("batch", -1):
+            # A merge reads its batch more than once, but a step of a stateful stream must run once.
+            table.merge(storage.materialize(batch, "batch") if stateful else batch, change, {"query": query, "batch": number})
+            table.vacuum()
+
+    arriving.writeStream.outputMode("update" if stateful else "append").foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def ingest(arriving: DataFrame, key: str, order: str, path: str, checkpoint: str, submit: Callable[[DataFrame], DataFrame] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Take every batch of a stream into the table at path and give the table: of each key the row that is last by order.
 
@@ -82,16 +99,7 @@ def ingest(arriving: DataFrame, key: str, order: str, path: str, checkpoint: str
         both = old.withColumn("turn_", F.lit(0)).unionByName(new.withColumn("turn_", F.lit(1)))
         return both.groupBy(key).agg(last).select("x.*")
 
-    def take(batch: DataFrame, number: int) -> None:
-        tags = table.manifest()["tags"]
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
-        if tags.get("query", query) != query:
-            raise ValueError(f"the table at {path} was written with another checkpoint than {checkpoint}")
-        if number > tags.get("batch", -1):
-            table.merge(batch, latest, {"query": query, "batch": number})
-            table.vacuum()
-
-    arriving.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    take_batches(arriving, table, latest, checkpoint)
     if submit is not None:
         resubmit(table, f"{path}/index", submit)
     return table.read()

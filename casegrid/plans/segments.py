@@ -233,8 +233,8 @@ def case_stage_stream(spark, d):
     return jobs.stages(arriving, "user_id", "event_type", "event_id", f"{work}/out", f"{work}/checkpoint")
 
 
-@query("""WITH e AS (SELECT user_id, event_id AS at, CASE WHEN event_id % 3 > 0 THEN event_type END AS stage, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' END AS status FROM events),
-s AS (SELECT user_id, max(at) AS stage_at, arg_max(stage, at) AS stage FROM e WHERE stage IS NOT NULL GROUP BY 1), t AS (SELECT user_id, max(at) AS status_at, arg_max(status, at) AS status FROM e WHERE status IS NOT NULL GROUP BY 1)
+@query("""WITH e AS (SELECT user_id, event_id AS nr, CASE WHEN event_id % 3 > 0 THEN event_type END AS stage, CASE event_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'processing' WHEN 2 THEN 'done' END AS status FROM events),
+s AS (SELECT user_id, max(nr) AS stage_at, arg_max(stage, nr) AS stage FROM e WHERE stage IS NOT NULL GROUP BY 1), t AS (SELECT user_id, max(nr) AS status_at, arg_max(status, nr) AS status FROM e WHERE status IS NOT NULL GROUP BY 1)
 SELECT coalesce(s.user_id, t.user_id) AS user_id, stage_at, stage, status_at, status, CASE WHEN status = 'error' THEN 'failed at ' || status_at END AS error FROM s FULL JOIN t ON s.user_id = t.user_id""")
 def case_state_stream(spark, d):
     """Events that tell a stage, a status, both or neither; they come in no order, and a third of them comes again."""

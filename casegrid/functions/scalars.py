@@ -170,6 +170,18 @@ def clean_text(c: Column, suffix: str = r"\([0-9]+\)$", compose: bool = True) ->
     return nfc(bare) if compose else bare
 
 
+def metadata(c: Column) -> Column:
+    """A JSON text as a VARIANT, parsed once for every path that is asked of it; null where it isn't JSON."""
+    return F.try_parse_json(c)
+
+
+def metadata_attributes(c: Column, paths: list[str]) -> Column:
+    """map of the paths that a VARIANT has, as text; empty values and JSON nulls go. A dot parts the names of a path."""
+    names = lambda p: "".join(f"['{n}']" for n in p.split("."))
+    values = F.map_from_arrays(F.array(*map(F.lit, paths)).cast("array<string>"), F.array(*[F.try_variant_get(c, f"${names(p)}", "string") for p in paths]).cast("array<string>"))
+    return F.map_filter(values, lambda _, v: v.isNotNull() & (v != ""))
+
+
 def metadata_project(c: Column, keys: list[str]) -> Column:
     """map of the keys that a JSON text has; empty values go."""
     values = F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[F.get_json_object(c, f"$.{k}") for k in keys]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.functions.scalars import once
 from casegrid.storage import numbered
 
 from .vectors import block_topk
@@ -55,21 +56,50 @@ def rrf_fuse(rankings: DataFrame, entity: str, by: list[str], k: int = 60, n: in
     return (fused if n is None else fused.where(F.col("rank") <= n)).select(*by, entity, "score", "rank")
 
 
-def metadata_filter(spec: dict | None) -> Column:
-    """A filter spec as a condition: {"equals": [key, value]}, notEquals, in, distinct (null passes), andAll of specs."""
+def metadata_filter(spec: dict | None, metadata: Column | None = None) -> Column:
+    """A filter from its spec; of metadata, a VARIANT (see scalars.metadata), fields are paths in it.
+
+    A path's values are compared as the spec's value is typed: text, whole number, number or boolean; a value that isn't
+    of that type counts as missing, as a path that isn't there. Only "distinct" passes what is missing. "in" of no values
+    passes nothing. A dot parts the names of a path.
+    """
+    if metadata is not None:
+        return once(metadata, lambda m: _filter(spec, m))  # a text that is parsed in metadata's place is parsed once
+    return _filter(spec, None)
+
+
+def _filter(spec: dict | None, metadata: Column | None) -> Column:
     if not spec:
         return F.lit(True)
     ((kind, value),) = spec.items()
     if kind == "andAll":
         out = F.lit(True)
         for s in value:
-            out = out & metadata_filter(s)
+            out = out & _filter(s, metadata)
         return out
     key, wanted = value
-    c = F.col(key)
+    sample = wanted if kind != "in" else next(iter(wanted), "")
+    c = F.col(key) if metadata is None else metadata_value(metadata, key, sample)
     return {"equals": lambda: c == wanted, "notEquals": lambda: c != wanted, "in": lambda: c.isin(*wanted), "distinct": lambda: ~c.eqNullSafe(F.lit(wanted))}[kind]()
 
 
+def metadata_value(metadata: Column, key: str, sample: object) -> Column:
+    """The value of a VARIANT at a path, if it is of sample's type; else null."""
+    names = "".join(f"['{name}']" for name in key.split("."))
+    raw = F.try_variant_get(metadata, f"${names}", "variant")
+    kind = F.schema_of_variant(raw)
+    if isinstance(sample, bool):
+        type_, fits = "boolean", kind == "BOOLEAN"
+    elif isinstance(sample, str):
+        type_, fits = "string", kind == "STRING"
+    else:
+        type_, fits = "bigint" if isinstance(sample, int) else "double", kind.rlike("^(BIGINT|DECIMAL|DOUBLE)")
+        # A number with a fraction isn't a whole one, though a cast would make it one.
+        whole = F.try_variant_get(metadata, f"${names}", "double")
+        fits = fits & (whole == F.floor(whole)) if isinstance(sample, int) else fits
+    return F.when(fits, F.try_variant_get(metadata, f"${names}", type_))
+
+
 def fallback_tiers(hits: DataFrame, tiers: list[Column | None], by: list[str]) -> DataFrame:
     """Hits of the first tier that has any, for each query: one pass tags every hit with the first tier that it meets."""
     tier = F.coalesce(*[F.when(F.lit(True) if t is None else t, F.lit(i)) for i, t in enumerate(tiers)])

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casegrid.functions import scalars
 from casegrid.operators import lookup, rank, vectors
 from casegrid.operators.page_index import PageIndex
 from casegrid.registry import query
@@ -64,6 +65,21 @@ def metadata_filter(spark, d):
     return a.read(spark, d, "embeddings").where(rank.metadata_filter(spec)).select("vec_id", "label")
 
 
+@query("""WITH x AS (SELECT event_id, event_type AS t, json_extract_string(props, '$.k')::INT AS k FROM events)
+SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 't-' || t END AS type, CASE WHEN event_id % 4 > 0 THEN k::VARCHAR END AS k FROM x
+WHERE event_id % 5 > 0 AND t <> 'click' AND (event_id % 4 = 0 OR k <> 69) AND event_id % 3 IN (0, 2)""")
+def metadata_filter_variant(spark, d):
+    """Filters on typed paths of the events' metadata, which lacks some paths and has some of another type."""
+    n = F.col("event_id")
+    inner = F.to_json(F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), (n % 3).alias("third")))
+    text = F.concat(F.lit('{"case type": '), F.when(n % 5 > 0, F.concat(F.lit('"t-'), F.col("event_type"), F.lit('"'))).otherwise("17"), F.when(n % 4 > 0, F.concat(F.lit(', "in": '), inner)).otherwise(F.concat(F.lit(', "in": {"k": "69", "third": '), (n % 3).cast("string"), F.lit("}"))), F.lit("}"))
+    rows = a.read(spark, d, "events").select("event_id", scalars.metadata(text).alias("m"))
+    spec = {"andAll": [{"notEquals": ["case type", "t-click"]}, {"distinct": ["in.k", 69]}, {"in": ["in.third", [0, 2]]}]}
+    kept = rows.where(rank.metadata_filter(spec, F.col("m"))).withColumn("typed", rank.metadata_value(F.col("m"), "in.k", 0))
+    attributes = scalars.metadata_attributes(F.col("m"), ["case type", "nothing"])
+    return kept.select("event_id", attributes["case type"].alias("type"), F.col("typed").cast("string").alias("k"))
+
+
 @query(with_("scored") + """, t AS (SELECT *, CASE WHEN kind = query_id // 100 % 12 AND score > 0.25 THEN 0 WHEN kind = query_id // 100 % 12 THEN 1 ELSE 2 END AS tier FROM scored),
 b AS (SELECT *, min(tier) OVER (PARTITION BY query_id) AS best FROM t), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b WHERE tier = best)
 SELECT query_id, id, score, tier, rank FROM r WHERE rank <= 15""")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from casegrid.operators import calendar as c
 from casegrid.operators import rules as r
+from casegrid.operators import terms
 from casegrid.registry import query
 
 from . import adapters as a
@@ -241,6 +242,17 @@ def document_type_score(spark, d):
     return r.document_type_score(a.read(spark, d, "documents"), "doc_id", F.col("text"), _slot_terms())
 
 
+@query("""WITH t AS (SELECT DISTINCT role AS slot, lower(substring(text, 1, 4)) AS term, conv_id % 2 = 0 AS strong FROM conversations WHERE length(text) >= 4 AND NOT regexp_matches(substring(text, 1, 4), '\\s')), x AS (SELECT doc_id, regexp_replace(coalesce(lower(text), ''), '\\s+', '', 'g') AS b FROM documents),
+s AS (SELECT doc_id, slot, 3 * max(strong::INT) + sum((NOT strong)::INT) AS score FROM x LEFT JOIN t ON contains(b, term) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, slot DESC) AS n, count(*) OVER (PARTITION BY doc_id, score) AS same FROM s)
+SELECT doc_id, coalesce(score, 0)::INT AS score, CASE WHEN coalesce(score, 0) < 3 OR same > 1 THEN 'unknown' ELSE slot END AS slot FROM r WHERE n = 1""")
+def document_type_scores(spark, d):
+    """Documents by the beginnings of all conversation turns, of even conversations as strong terms of their role."""
+    turns, begin = a.read(spark, d, "conversations"), F.substring("text", 1, 4)
+    table = turns.where((F.length("text") >= 4) & ~begin.rlike(r"\s")).select(F.col("role").alias("slot"), F.lower(begin).alias("term"), (F.col("conv_id") % 2 == 0).alias("strong")).distinct()
+    return terms.document_type_scores(a.read(spark, d, "documents"), "doc_id", F.lower("text"), table)
+
+
 @query(f"""WITH t(slot, term, strong) AS (VALUES {', '.join(f"('{a_}', '{b}', {c_})" for a_, b, c_ in _TERMS)}), x AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS b FROM documents),
 s AS (SELECT doc_id, lang, slot, 3 * max((strong AND contains(b, term))::INT) + sum((NOT strong AND contains(b, term))::INT) AS score FROM x, t GROUP BY 1, 2, 3),
 m AS (SELECT doc_id, lang, max(score) AS best FROM s GROUP BY 1, 2),

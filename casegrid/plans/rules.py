@@ -309,8 +309,9 @@ def _notices(spark, d, written):
     days = F.concat(F.lit("本件說明如下。如不服本處分，應於收受後"), (k % 50).cast("string"), F.lit("日內提起訴願。"))
     clause = F.when(p == 5, "").when(p == 4, "本處分自送達生效。").otherwise(days)
     record = F.when(p == 3, "機關未為更正，漏未更正。").when(p == 2, F.concat(F.lit("更正通知於"), format_minguo_date(F.to_date("o_orderdate"), "short"), F.lit("送達。"))).otherwise("無記載。")
-    rule = r.notice_period(written(clause), F.lit(""), written(record))
-    return a.read(spark, d, "orders").select(k.alias("k"), rule["basis"].alias("basis"), rule["days"].cast("long").alias("days"), rule["corrected"].alias("corrected"))
+    texts = a.read(spark, d, "orders").select(k.alias("k"), clause.alias("clause"), record.alias("record"))
+    rules = texts.select("k", r.notice_period(written(F.col("clause")), F.lit(""), written(F.col("record"))).alias("rule"))
+    return rules.select("k", "rule.basis", F.col("rule.days").cast("long").alias("days"), "rule.corrected")
 
 
 @query("""SELECT o_orderkey AS k, CASE WHEN o_custkey % 6 = 5 THEN 'not_assessed' WHEN o_custkey % 6 = 4 THEN 'one_year' WHEN o_orderkey % 50 = 30 THEN 'statutory' WHEN o_orderkey % 50 > 30 THEN 'stated_longer' WHEN o_custkey % 6 = 3 THEN 'one_year' WHEN o_custkey % 6 = 2 THEN 'restart' ELSE 'undetermined' END AS basis,
@@ -327,7 +328,7 @@ def notice_findings(spark, d):
     k = F.col("o_orderkey")
     clause = F.concat(F.lit("如不服本處分，應於收受後"), (k % 50).cast("string"), F.lit("日內提起訴願。"))
     rule = r.notice_period(clause, F.lit(""), F.lit("無記載。"))
-    return a.read(spark, d, "orders").where(k % 50 > 0).select(k.alias("k"), rule["finding"].alias("finding"), (rule["note"] == "").alias("settled"))
+    return a.read(spark, d, "orders").where(k % 50 > 0).select(k.alias("k"), rule.alias("rule")).select("k", "rule.finding", (F.col("rule.note") == "").alias("settled"))
 
 
 @query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN o_orderdate::DATE + 20 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS service, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 25 END AS filed,

@@ -348,8 +348,9 @@ def _facts(spark, d, written):
         .when(k == 2, F.concat(F.lit("其一"), on(day), F.lit("送達。其二"), on(F.date_add(day, 1)), F.lit("寄存。")))
         .otherwise(F.concat(F.lit("簽收日期為"), on(day), F.lit("。毋須扣除在途期間。")))
     )
-    f = r.deadline_facts(written(text))
-    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), f["service"].alias("service"), f["filed"].alias("filed"), f["transit"].cast("long").alias("transit"), f["public_notice"].alias("public_notice"), f["problem"].alias("problem"))
+    texts = a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), text.alias("text"))
+    facts = texts.select("k", r.deadline_facts(written(F.col("text"))).alias("f"))
+    return facts.select("k", "f.service", "f.filed", F.col("f.transit").cast("long").alias("transit"), "f.public_notice", "f.problem")
 
 
 @query("""SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN o_orderdate::DATE WHEN 1 THEN o_orderdate::DATE + 20 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS service, CASE WHEN o_orderkey % 4 = 0 THEN o_orderdate::DATE + 25 END AS filed,
@@ -371,8 +372,8 @@ def deadline_statement(spark, d):
     statement = F.when(p % 4 == 1, F.concat(start, F.lit("至"), on(30), F.lit("屆滿，惟訴願人遲至"), on(99), F.lit("提起。"))).when(p % 4 == 2, F.concat(start, F.lit("至"), on(30), F.lit("屆滿，以"), on(31), F.lit("代之。"))).when(p % 4 == 3, F.concat(start, F.lit("惟訴願人遲至"), on(99), F.lit("提起。"))).otherwise("無記載。")
     home = F.when(p % 5 == 0, "住址：聯絡電話").when(p % 5 == 1, F.concat(F.lit("住址：聯絡電話\n住居所：N"), p.cast("string"), F.lit("市甲區乙路1號"))).otherwise(F.concat(F.lit("（地址：丁縣丙鄉"), p.cast("string"), F.lit("村）")))
     text = F.concat(F.when(p % 3 == 0, "命於20日補正期間內補正。").otherwise(""), statement, F.lit("\n"), home, F.lit("\n"))
-    f = r.deadline_facts(text)
-    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), *[f[c].alias(c) for c in ("period", "stated_start", "stated_due", "residence")])
+    facts = a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), r.deadline_facts(text).alias("f"))
+    return facts.select("k", "f.period", "f.stated_start", "f.stated_due", "f.residence")
 
 
 @query("""WITH x AS (SELECT o_orderkey AS k, o_custkey % 6 AS c, o_orderkey % 3 AS a, o_orderdate::DATE AS day FROM orders)
@@ -387,4 +388,4 @@ def deadline_facts_by_slot(spark, d):
     certificate = F.when(c < 2, F.concat(F.lit("送達時間："), era(day, "short"), F.lit("上午。"))).when(c == 2, "本件文書已交付").when(c == 3, F.lit(" ")).when(c == 4, "※◎●□◆").otherwise("簽收日期為")
     appeal = F.when(own > 0, F.concat(F.lit("收受或知悉行政處分日期："), era(F.date_add(day, own.cast("int") - 1), "short"))).otherwise("訴願人不服。")
     f = r.deadline_facts_by_slot(appeal, certificate, service=F.when(c == 5, F.date_add(day, 7)))
-    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), *[f[x].alias(x) for x in ("service", "self_reported", "fallback", "disputed", "problem")])
+    return a.read(spark, d, "orders").select(F.col("o_orderkey").alias("k"), f.alias("f")).select("k", *[f"f.{x}" for x in ("service", "self_reported", "fallback", "disputed", "problem")])

@@ -18,7 +18,7 @@ def fields(df, c):
     return df.select(c.alias("x")).select("x.*")
 
 
-@pytest.mark.parametrize("name", ["notice_period"])
+@pytest.mark.parametrize("name", ["deadline_facts", "notice_period", "deadline_facts_by_slot"])
 def test_a_record_is_worked_out_once(spark, name):
     c = F.concat(F.lit("於民國114年3月5日送達。"), (F.col("id") + 9731).cast("string"))
     made = {"deadline_facts": lambda: rules.deadline_facts(c), "notice_period": lambda: rules.notice_period(c, F.lit(""), F.lit("")), "deadline_facts_by_slot": lambda: rules.deadline_facts_by_slot(c, F.lit("x"))}

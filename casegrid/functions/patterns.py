@@ -61,9 +61,15 @@ def number(c: Column) -> Column:
     return plain_digits(c).try_cast("int")
 
 
+@functools.cache
+def _blanks() -> str:
+    """The characters of _SPACES."""
+    return "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c in "\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85" or unicodedata.category(c) in ("Zs", "Zl", "Zp"))
+
+
 def strip(c: Column) -> Column:
-    """Without white space of any script at either end."""
-    return F.regexp_replace(c, wide(r"^\s+|\s+$"), "")
+    """Without white space of any script at either end; what is between isn't looked at."""
+    return F.btrim(c, F.lit(_blanks()))
 
 
 def blank(c: Column) -> Column:

@@ -58,30 +58,51 @@ _CONCLUSION = loose("綜上論結") + "|" + loose("決定如主文")
 
 def decision_sections(c: Column, most_main: int = 200) -> Column:
     """struct(problem, main, facts, reasons) of a decision; problem is null where the borders are certain."""
-    body = strip(F.regexp_extract(c, wide(r"(?s)^(?:.*[全內]\s*文[：:])?(.*)$"), 1))
-    anchored = body.rlike(loose("決定如下"))
-    tail = F.when(anchored, F.regexp_extract(body, wide(rf"(?s){loose('決定如下')}\s*[:：]?(.*)$"), 1)).otherwise(body)
-    after = F.regexp_extract(tail, rf"(?s)^.{{0,298}}?{_MAIN}(.*)$", 1)
-    has_main = tail.rlike(rf"(?s)^.{{0,298}}?{_MAIN}")
-    main = strip(F.regexp_extract(after, f"(?s)^(.*?)(?:{_FACTS}|{_REASONS})", 1))
-    rest = F.regexp_extract(after, f"(?s)^.*?((?:{_FACTS}|{_REASONS}).*)$", 1)
-    facts_first = rest.rlike(f"^{loose('事實')}")
-    inner = F.regexp_extract(rest, f"(?s)^(?:{loose('事實')}|{loose('理由')})(.*)$", 1)
-    has_reasons = ~facts_first | inner.rlike(_REASONS)
-    facts = F.when(facts_first & has_reasons, strip(F.regexp_extract(inner, f"(?s)^(.*?){_REASONS}", 1))).otherwise("")
-    given = F.when(facts_first & has_reasons, F.regexp_extract(inner, f"(?s){_REASONS}(.*)$", 1)).otherwise(inner)
-    signed = given.rlike(_SIGNED)
-    reasons = strip(F.regexp_extract(given, f"(?s)^(.*?){_SIGNED}", 1))
-    problem = (
-        F.when(~has_main, "no main text")
-        .when(~after.rlike(f"{_FACTS}|{_REASONS}"), "no facts or reasons")
-        .when(F.length(main) > most_main, "main text too long")
-        .when(has_reasons & ~signed, "no signature")
-        .when(has_reasons & (reasons == ""), "no reasons")
-        .when(~has_reasons & (~signed | ~reasons.rlike(_CONCLUSION)), "facts without reasons")
-    )
-    show = lambda x: F.when(problem.isNull(), x)
-    return F.struct(problem.alias("problem"), show(main).alias("main"), show(facts).alias("facts"), show(reasons).alias("reasons"))
+    head, either = rf"(?s)^.{{0,298}}?{_MAIN}", f"{_FACTS}|{_REASONS}"
+
+    # Each step is worked out once and handed on, as later ones use it more than once.
+    def begun(tail: Column) -> Column:
+        return F.struct(tail.rlike(head).alias("has_main"), F.regexp_extract(tail, f"{head}(.*)$", 1).alias("after"))
+
+    def parted(x: Column) -> Column:
+        main = strip(F.regexp_extract(x["after"], f"(?s)^(.*?)(?:{either})", 1))
+        rest = F.regexp_extract(x["after"], f"(?s)^.*?((?:{either}).*)$", 1)
+        return F.struct(x["has_main"].alias("has_main"), x["after"].rlike(either).alias("has_rest"), main.alias("main"), rest.alias("rest"))
+
+    def opened(x: Column) -> Column:
+        inner = F.regexp_extract(x["rest"], f"(?s)^(?:{loose('事實')}|{loose('理由')})(.*)$", 1)
+        return x.withField("facts_first", x["rest"].rlike(f"^{loose('事實')}")).withField("inner", inner)
+
+    def reasoned(x: Column) -> Column:
+        return x.withField("has_reasons", ~x["facts_first"] | x["inner"].rlike(_REASONS))
+
+    def given(x: Column) -> Column:
+        both, inner = x["facts_first"] & x["has_reasons"], x["inner"]
+        facts = F.when(both, strip(F.regexp_extract(inner, f"(?s)^(.*?){_REASONS}", 1))).otherwise("")
+        return x.withField("facts", facts).withField("given", F.when(both, F.regexp_extract(inner, f"(?s){_REASONS}(.*)$", 1)).otherwise(inner))
+
+    def closed(x: Column) -> Column:
+        return x.withField("signed", x["given"].rlike(_SIGNED)).withField("reasons", strip(F.regexp_extract(x["given"], f"(?s)^(.*?){_SIGNED}", 1)))
+
+    def judged(x: Column) -> Column:
+        problem = (
+            F.when(~x["has_main"], "no main text")
+            .when(~x["has_rest"], "no facts or reasons")
+            .when(F.length(x["main"]) > most_main, "main text too long")
+            .when(x["has_reasons"] & ~x["signed"], "no signature")
+            .when(x["has_reasons"] & (x["reasons"] == ""), "no reasons")
+            .when(~x["has_reasons"] & (~x["signed"] | ~x["reasons"].rlike(_CONCLUSION)), "facts without reasons")
+        )
+        return x.withField("problem", problem)
+
+    def shown(x: Column) -> Column:
+        return F.struct(x["problem"].alias("problem"), *[F.when(x["problem"].isNull(), x[n]).alias(n) for n in ("main", "facts", "reasons")])
+
+    anchored = lambda body: F.when(body.rlike(loose("決定如下")), F.regexp_extract(body, wide(rf"(?s){loose('決定如下')}\s*[:：]?(.*)$"), 1)).otherwise(body)
+    out = strip(F.regexp_extract(c, wide(r"(?s)^(?:.*[全內]\s*文[：:])?(.*)$"), 1))
+    for step in (anchored, begun, parted, opened, reasoned, given, closed, judged, shown):
+        out = once(out, step)
+    return out
 
 
 def labelled_sections(docs: DataFrame, key: str, text: str, heading: str, unique: bool = False) -> DataFrame:

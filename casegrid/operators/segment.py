@@ -131,20 +131,33 @@ def labelled_sections(docs: DataFrame, key: str, text: str, heading: str, unique
 
 def header_fields(c: Column, labels: dict[str, str]) -> Column:
     """map of the labels' values: labels are found in order, each after the one before; a value runs to the next found one."""
-    names, patterns = F.array(*map(F.lit, labels)), F.array(*map(F.lit, labels.values()))
     empty = F.array().cast("array<struct<name:string,from:int,to:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        rest = F.substring(c, acc["at"], F.length(c))
-        hit = F.call_function("regexp_extract", rest, x["pattern"], F.lit(0))
-        begin = acc["at"] + F.instr(rest, hit) - 1
-        end = begin + F.length(hit)
-        found = hit != ""
-        return F.struct(F.when(found, end).otherwise(acc["at"]).alias("at"), F.when(found, F.concat(acc["out"], F.array(F.struct(x["name"].alias("name"), begin.alias("from"), end.alias("to"))))).otherwise(acc["out"]).alias("out"))
-
-    marks = F.aggregate(F.zip_with(names, patterns, lambda n, p: F.struct(n.alias("name"), p.alias("pattern"))), F.struct(F.lit(1).alias("at"), empty.alias("out")), step, lambda a: a["out"])
-    until = lambda i: F.coalesce(F.get(marks, i + 1)["from"], F.length(c) + 1)
-    return F.map_from_entries(F.transform(marks, lambda m, i: F.struct(m["name"].alias("k"), strip(F.substring(c, m["to"], until(i) - m["to"])).alias("v"))))
+    def found(text: Column, acc: Column, name: str, pattern: str) -> Column:
+        def placed(x: Column) -> Column:
+            begin = acc["at"] + F.instr(x["rest"], x["hit"]) - 1
+            return once(begin, lambda b: F.struct(b.alias("from"), (b + F.length(x["hit"])).alias("to")))
+
+        def told(x: Column) -> Column:
+            mark = lambda m: F.struct(m["to"].alias("at"), F.concat(acc["out"], F.array(F.struct(F.lit(name).alias("name"), m["from"].alias("from"), m["to"].alias("to")))).alias("out"))
+            return F.when(x["hit"] != "", once(placed(x), mark)).otherwise(acc)
+
+        rest = F.substring(text, acc["at"], F.length(text))
+        return once(once(rest, lambda r: F.struct(r.alias("rest"), F.regexp_extract(r, pattern, 0).alias("hit"))), told)
+
+    def fields(text: Column, marks: Column) -> Column:
+        until = lambda i: F.coalesce(F.get(marks, i + 1)["from"], F.length(text) + 1)
+        return F.map_from_entries(F.transform(marks, lambda m, i: F.struct(m["name"].alias("k"), strip(F.substring(text, m["to"], until(i) - m["to"])).alias("v"))))
+
+    def read(text: Column) -> Column:
+        # A step a label, so that each has its pattern as a constant, which is compiled once.
+        state = F.struct(F.lit(1).alias("at"), empty.alias("out"))
+        step = lambda *label: lambda acc: found(text, acc, *label)
+        for label in labels.items():
+            state = once(state, step(*label))
+        return once(state["out"], lambda marks: fields(text, marks))
+
+    return once(c, read)
 
 
 #: What marks places in a text while it is taken apart, and how the texts' own ones are written meanwhile.

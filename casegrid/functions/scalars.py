@@ -33,15 +33,19 @@ def _date(year: Column, month: Column, day: Column) -> Column:
 def parse_minguo_date(c: Column) -> Column:
     """A date in any of three grammars, tried in order: Gregorian from 1912 on, year-month-day words of the republican
     era, era years with separators. The first that matches decides; a day that doesn't exist is null."""
-    s = strip(c)
     sep, end = r"\s*[./-]\s*", r"(?!\d)"
     era = r"^(?:中華民國|民國)?\s*(\d{1,3})\s*"
     western = wide(rf"^(\d{{4}}){sep}(\d{{1,2}}){sep}(\d{{1,2}}){end}")
     words = wide(rf"{era}年\s*(\d{{1,2}})\s*月\s*(\d{{1,2}})\s*日")
     marks = wide(rf"{era}[./-]\s*(\d{{1,2}}){sep}(\d{{1,2}}){end}")
-    year = lambda p: number(_part(s, p, 1))
-    made = lambda p, shift: _date(year(p) + shift, plain_digits(_part(s, p, 2)), plain_digits(_part(s, p, 3)))
-    return F.when(s.rlike(western) & (year(western) > ERA_YEAR), made(western, 0)).when(s.rlike(words), made(words, ERA_YEAR)).when(s.rlike(marks), made(marks, ERA_YEAR))
+
+    def read(s: Column) -> Column:
+        groups = lambda p: F.struct(*[_part(s, p, i).alias(n) for i, n in ((1, "y"), (2, "m"), (3, "d"))])
+        made = lambda p, shift: once(groups(p), lambda x: _date(number(x["y"]) + shift, plain_digits(x["m"]), plain_digits(x["d"])))
+        late = once(_part(s, western, 1), number) > ERA_YEAR
+        return F.when(s.rlike(western) & late, made(western, 0)).when(s.rlike(words), made(words, ERA_YEAR)).when(s.rlike(marks), made(marks, ERA_YEAR))
+
+    return once(strip(c), read)
 
 
 def format_minguo_date(d: Column, style: str = "full") -> Column:
@@ -82,16 +86,19 @@ def to_cjk_number(n: Column) -> Column:
 def parse_clause(c: Column, default_article: int = 77) -> Column:
     """struct(article, clause) from forms like 77條第2款 and 第二款; null if there is none."""
     number = r"([0-9]+|[一二三四五六七八九十]+)"
-    article = _part(c, r"([0-9]+)\s*條", 1).try_cast("int")
-    raw = _part(c, rf"第\s*{number}\s*款", 1)
-    clause = F.coalesce(raw.try_cast("int"), cjk_number(raw, 19))
-    return F.when(clause.isNotNull(), F.struct(F.coalesce(article, F.lit(default_article)).alias("article"), clause.alias("clause")))
+
+    def read(x: Column) -> Column:
+        article = F.coalesce(_part(x, r"([0-9]+)\s*條", 1).try_cast("int"), F.lit(default_article))
+        clause = once(_part(x, rf"第\s*{number}\s*款", 1), lambda raw: F.when(raw.rlike("^[0-9]"), raw.try_cast("int")).otherwise(cjk_number(raw, 19)))
+        return once(clause, lambda n: F.when(n.isNotNull(), F.struct(article.alias("article"), n.alias("clause"))))
+
+    return once(c, read)
 
 
 def clause_key(c: Column) -> Column:
     """77(2) of a clause; null if it has none."""
-    parsed = parse_clause(c)
-    return F.when(parsed.isNotNull(), F.concat(parsed["article"].cast("string"), F.lit("("), parsed["clause"].cast("string"), F.lit(")")))
+    named = lambda parsed: F.when(parsed.isNotNull(), F.concat(parsed["article"].cast("string"), F.lit("("), parsed["clause"].cast("string"), F.lit(")")))
+    return once(parse_clause(c), named)
 
 
 def section_key(c: Column) -> Column:

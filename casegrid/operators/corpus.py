@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casegrid.functions.edits import edits as edit_distances
-from casegrid.functions.scalars import clause_key, format_minguo_date, nfkc, parse_minguo_date
+from casegrid.functions.scalars import clause_key, format_minguo_date, nfkc, once, parse_minguo_date
 
 
 def in_order(pos: Column, value: Column) -> Column:
@@ -185,14 +185,17 @@ def _three_way(unsure: Column, good: Column) -> Column:
 
 def score_text(actual: Column, expected: Column, is_date: bool = False) -> Column:
     """correct or wrong by the compared forms, dates by the day if they parse; unsure for what isn't stated."""
-    day = lambda c: F.coalesce(format_minguo_date(parse_minguo_date(c)), score_form(c)) if is_date else score_form(c)
-    return _three_way(score_form(actual).isin(NOT_STATED), day(actual) == day(expected))
+    day = lambda c: once(parse_minguo_date(c), lambda d: format_minguo_date(d)) if is_date else F.lit(None).cast("string")
+    compared = lambda c: F.struct(score_form(c).alias("form"), day(c).alias("day"))
+    told = lambda x: F.coalesce(x["day"], x["form"])
+    return once(F.struct(compared(actual).alias("a"), compared(expected).alias("e")), lambda x: _three_way(x["a"]["form"].isin(NOT_STATED), told(x["a"]) == told(x["e"])))
 
 
 def score_category(actual: Column, expected: Column) -> Column:
     """As score_text without the shell of the names; an unsorted case is unsure, and an empty key is never met."""
-    core = lambda c: F.regexp_replace(F.regexp_replace(score_form(c), SHELL[0], ""), SHELL[1], "")
-    return _three_way(score_form(actual).isin([*NOT_STATED, UNSORTED]), (core(expected) != "") & (core(actual) == core(expected)))
+    core = lambda c: F.regexp_replace(F.regexp_replace(c, SHELL[0], ""), SHELL[1], "")
+    good = lambda x: once(core(x["e"]), lambda wanted: (wanted != "") & (core(x["a"]) == wanted))
+    return once(F.struct(score_form(actual).alias("a"), score_form(expected).alias("e")), lambda x: _three_way(x["a"].isin([*NOT_STATED, UNSORTED]), good(x)))
 
 
 def score_decision(actual: Column, expected: Column) -> Column:

@@ -15,6 +15,8 @@ from .rank import small
 
 #: Characters of the terms that are sent and looked for at once. There is another pass over the texts for every further part.
 PART_CHARS = 1 << 22
+#: Texts whose terms a worker holds at once. A text may have any number of terms, and an Arrow batch ten thousand texts.
+ROWS = 64
 
 
 def with_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, name: str = "terms") -> DataFrame:
@@ -40,10 +42,12 @@ def with_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, name: s
             for t in sent.value:
                 automaton.add_word(t, t)
             automaton.make_automaton()
-            for batch in batches:
-                before = batch.column(batch.num_columns - 1)
-                found = [sorted({*was.as_py(), *(t for _, t in automaton.iter(x.as_py() or ""))}) for x, was in zip(batch.column(at), before, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, before.type)], schema=batch.schema)
+            for whole in batches:
+                for i in range(0, whole.num_rows, ROWS):
+                    batch = whole.slice(i, ROWS)
+                    before = batch.column(batch.num_columns - 1)
+                    found = [sorted({*was.as_py(), *(t for _, t in automaton.iter(x.as_py() or ""))}) for x, was in zip(batch.column(at), before, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, before.type)], schema=batch.schema)
 
         # One automaton at a time in a worker: passes don't follow each other within a stage.
         out = (materialize(out, "terms") if p else out).mapInArrow(run, out.schema)

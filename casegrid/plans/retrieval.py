@@ -10,7 +10,7 @@ from casegrid.functions import scalars
 from casegrid.operators import lookup, rank, vectors
 from casegrid.operators.page_index import PageIndex
 from casegrid.registry import query
-from casegrid.storage import materialize, scratch_path
+from casegrid.storage import materialize, scratch_path, parted
 
 from . import adapters as a
 from .adapters import with_
@@ -111,8 +111,9 @@ def document_score_sum(spark, d):
 f AS (SELECT grp, law_id, count(*) AS n, min(p) AS first_pos FROM c GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, first_pos) AS rank FROM f""")
 def candidate_frequency(spark, d):
-    cited = a.docket(spark, d).join(a.citations(spark, d), "case_id")
-    placed = cited.select(F.col("party").alias("grp"), "law_id", F.row_number().over(W.partitionBy("party").orderBy("case_id", "pos")).cast("long").alias("p"))
+    cited = a.docket(spark, d).join(a.citations(spark, d), "case_id").select("party", "case_id", "pos", "law_id")
+    dealt = parted(cited, a.read(spark, d, "lineitem").count(), "party")
+    placed = dealt.select(F.col("party").alias("grp"), "law_id", F.row_number().over(W.partitionBy("party").orderBy("case_id", "pos")).cast("long").alias("p"))
     return rank.candidate_frequency(placed, "law_id", ["grp"], "p")
 
 

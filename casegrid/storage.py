@@ -27,6 +27,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a task is to sort at most, where keys are many.
+PART_ROWS = 1 << 20
+
+
+def parted(rows: DataFrame, count: int, *keys: str) -> DataFrame:
+    """rows dealt by keys, of which there are count rows: by as many parts as keep a task's rows to PART_ROWS or so. Where the
+    session's own number of parts does, it's left to Spark."""
+    parts = -(-count // PART_ROWS)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def numbered(rows: DataFrame, order: list, name: str, start: int = 1) -> DataFrame:
     """rows with name, their place in the order from start. Rows are dealt by ranges of the order, each range counts its own,
     and the ranges' sums are added up: no task sees more than a range."""

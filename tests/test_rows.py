@@ -88,3 +88,18 @@ def test_terms_go_on_a_few_texts_at_a_time(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(["ab"] * 5000), pa.array([[]] * 5000, pa.list_(pa.string()))], names=["k", "t", "terms"])
     out = list(seen[0]([batch]))
     assert sum(b.num_rows for b in out) == 5000 and max(b.num_rows for b in out) <= terms.ROWS
+
+
+def test_citations_are_dealt_by_parts_of_bounded_size(spark, monkeypatch):
+    from casegrid import storage
+    from casegrid.plans import retrieval
+
+    d = "/root/testdata/sf0.001"
+    plain = sorted(map(tuple, retrieval.candidate_frequency(spark, d).collect()))
+    monkeypatch.setattr(storage, "PART_ROWS", 200)
+    df = retrieval.candidate_frequency(spark, d)
+    parts = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 200)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert set(re.findall(rf"hashpartitioning\((\w+)#\d+L?, {parts}\), REPARTITION_BY_NUM", plan)) == {"l_orderkey", "party"}
+    assert sorted(map(tuple, df.collect())) == plain

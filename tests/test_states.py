@@ -4,6 +4,7 @@ import datetime
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from casegrid.operators import keyed_table
@@ -108,3 +109,65 @@ def test_the_shuffle_gets_a_row_for_each_case_of_a_batch(spark):
     events = spark.range(5000).select((F.col("id") % 3).alias("case_"), F.col("id").alias("stage_at"), F.lit("s").alias("stage"), F.col("id").alias("status_at"), F.lit("error").alias("status"), F.col("id").cast("string").alias("error")).coalesce(1)
     few = events.mapInArrow(states.partial_fold, events.schema)
     assert rows(few) == [(k, n, "s", n, "error", str(n)) for k, n in ((0, 4998), (1, 4999), (2, 4997))]
+
+
+def _tellings(spark, n, cases, parts):
+    """n events of that many cases in an order of no use, over that many partitions."""
+    at = F.col("id")
+    told = spark.range(n).select((F.hash(at) % cases).alias("case_"), F.when(at % 3 > 0, at).alias("stage_at"), F.when(at % 3 > 0, F.concat(F.lit("s"), at % 7)).alias("stage"), F.when(at % 2 > 0, at).alias("status_at"), F.when(at % 4 == 1, "error").when(at % 2 > 0, "done").alias("status"), F.when(at % 4 == 1, F.concat(F.lit("e"), at)).alias("error"))
+    return told.where("stage IS NOT NULL OR status IS NOT NULL").repartition(parts)
+
+
+def test_a_state_is_handed_one_row_of_a_batch(spark):
+    told = _tellings(spark, 60000, 500, 5)
+    wanted = states.fold_tables(told, told.limit(0), "case_")
+    assert rows(states.told_once(told)) == rows(wanted)
+
+
+def test_a_task_folds_bounded_bytes_at_a_time(spark, monkeypatch):
+    told = _tellings(spark, 6000, 400, 1)
+    batches = told.toArrow().to_batches(max_chunksize=50)
+    wanted = rows(states.fold_tables(told, told.limit(0), "case_"))
+    held, fold = [], states._folded
+    monkeypatch.setattr(states, "_folded", lambda t: held.append(t.nbytes) or fold(t))
+    for most in (1, 5000, 20000, 1 << 30):
+        monkeypatch.setattr(states, "FOLD_BYTES", most)
+        held.clear()
+        got = [r for b in states.task_fold(iter(batches)) for r in b.to_pylist()]
+        assert max(held) <= most + max(b.nbytes for b in batches) or most == 1 << 30
+        assert (len(got) == len(wanted)) == (most == 1 << 30)
+        again = spark.createDataFrame([tuple(r.values()) for r in got], told.schema)
+        assert rows(states.fold_tables(again, again.limit(0), "case_")) == wanted
+
+
+def test_a_known_case_costs_two_calls_to_its_state():
+    calls = []
+
+    class Held:
+        value = None
+
+        def exists(self):
+            calls.append("exists")
+            return self.value is not None
+
+        def get(self):
+            calls.append("get")
+            return self.value
+
+        def update(self, value):
+            calls.append("update")
+            self.value = value
+
+    class Now:
+        def getCurrentProcessingTimeInMs(self):
+            return 1000
+
+    state = states._State(None, 5)
+    state.held = Held()
+    state.handle = type("Handle", (), {"registerTimer": lambda self, at: calls.append(at)})()
+    row = lambda at: Row(case_="a", stage_at=at, stage="s", status_at=None, status=None, error=None)
+    assert [r.stage_at for r in state.handleInputRows(("a",), iter([row(3)]), Now())] == [3]
+    assert calls == ["get", 1005, "update"]
+    calls.clear()
+    assert list(state.handleInputRows(("a",), iter([row(2)]), Now())) == [] and state.held.value == (3, "s", None, None, None, 1000)
+    assert calls == ["get", "update"]
